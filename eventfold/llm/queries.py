@@ -29,6 +29,21 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    found = score(docs, model)
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import read_store, write_store
 
@@ -44,8 +59,35 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(spark, folder, separator=0).join(order, ["file", "doc_no"]).select("doc_id", "n_tokens")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, train(docs, fold("doc_id", 4) != 2))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["base"])
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda m: m["label"]))), ",")
+    starts = F.transform(base, lambda m: m["first_word"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined("matches").alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["likeness"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op5_token_store, op6_token_counts)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_toxicity, op5_token_store, op6_token_counts, op8_language, op9_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
