@@ -59,6 +59,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(spark, folder, separator=0).join(order, ["file", "doc_no"]).select("doc_id", "n_tokens")
 
 
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .syncmers import compare_with_edits
+
+    found = compare_with_edits(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify, train
 
@@ -87,7 +94,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_toxicity, op5_token_store, op6_token_counts, op8_language, op9_licenses)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_toxicity, op5_token_store, op6_token_counts, op7_syncmers, op8_language, op9_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
