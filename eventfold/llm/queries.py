@@ -93,8 +93,14 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_toxicity, op5_token_store, op6_token_counts, op7_syncmers, op8_language, op9_licenses)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_toxicity, op5_token_store, op6_token_counts, op7_syncmers, op8_language, op9_licenses, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
