@@ -44,6 +44,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import read_store, write_store
 
@@ -100,7 +106,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_toxicity, op5_token_store, op6_token_counts, op7_syncmers, op8_language, op9_licenses, op10_minhash)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_toxicity, op4_embeddings, op5_token_store, op6_token_counts, op7_syncmers, op8_language, op9_licenses, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,6 +15,7 @@ ever differ.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 from collections.abc import Iterator
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Entries of a worker's table; about 200 bytes each.
-TABLE_ENTRIES = 500_000
+#: Entries of a worker's table, of which there are two; about 200 bytes each.
+TABLE_ENTRIES = 400_000
 #: Segments of up to so many characters are merged in numpy.
 WIDE = 40
 NEVER = np.int32(2**31 - 1)
@@ -198,13 +199,25 @@ class Codec:
         self.vocabulary = BpeVocabulary(model_path)
         self.entries = entries
         self.table: dict[str, bytes] = {}
+        self.aside: dict[str, bytes] = {}
+
+    def _fill(self, segments: set[str]) -> None:
+        """Sees that the table has all segments. A full table is set aside for a new one, to
+        which entries move when they are used again."""
+        if len(self.table) > self.entries:
+            self.table, self.aside = {}, self.table
+        new = segments - self.table.keys()
+        kept = new & self.aside.keys()
+        self.table.update((s, self.aside[s]) for s in kept)
+        new = list(new - kept)
+        for k in range(0, len(new), 100_000):
+            some = new[k : k + 100_000]
+            self.table.update((s, np.array(ids, np.int32).tobytes()) for s, ids in zip(some, self.vocabulary.encode_segments(some), strict=True))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat int32 ids of all texts, each closed by the end id, and each text's number of ids."""
         find, end = self.vocabulary.segment.findall, np.int32(self.vocabulary.eos).tobytes()
-        if len(self.table) > self.entries:
-            self.table.clear()
-        table, payloads = self.table, []
+        payloads = []
         at = 0
         while at < len(texts):  # by about a million characters, so that lists of segments stay small
             cut, size = at, 0
@@ -212,11 +225,9 @@ class Codec:
                 size += len(texts[cut] or "")
                 cut += 1
             parts = [find(f" {t}") if t else [] for t in texts[at:cut]]
-            missing = list({s for p in parts for s in p if s not in table})
-            for k in range(0, len(missing), 100_000):
-                some = missing[k : k + 100_000]
-                table.update((s, np.array(ids, np.int32).tobytes()) for s, ids in zip(some, self.vocabulary.encode_segments(some), strict=True))
-            payloads += [b"".join([*map(table.__getitem__, p), end]) for p in parts]
+            self._fill(set().union(*parts))
+            found = self.table.__getitem__
+            payloads += [b"".join([*map(found, p), end]) for p in parts]
             at = cut
         counts = np.fromiter((len(p) // 4 for p in payloads), np.int64, len(payloads))
         return np.frombuffer(b"".join(payloads), np.int32), counts
@@ -236,6 +247,12 @@ class Codec:
         return out
 
 
+@functools.lru_cache(1)
+def worker_codec(model_path: str) -> Codec:
+    """One codec for all tasks of a Python worker."""
+    return Codec(model_path)
+
+
 def encode_decode(docs: DataFrame, model_path: str, *, key: str = "doc_id", text: str = "text", decode: bool = True) -> DataFrame:
     """Rows (key, ids array<int>, decoded string) of every row of `docs`, in no order.
 
@@ -250,7 +267,7 @@ def encode_decode(docs: DataFrame, model_path: str, *, key: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for whole in batches:
-            codec = codec or Codec(model_path)
+            codec = codec or worker_codec(model_path)
             for batch in by_size(whole):
                 texts = batch.column(1).to_pylist()
                 ids, counts = codec.encode(texts)

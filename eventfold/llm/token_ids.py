@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
 
-#: Entries of a worker's table; about 200 bytes each.
+#: Entries of a worker's table, of which there are two; about 200 bytes each.
 TABLE_ENTRIES = 500_000
 #: White space as Unicode defines it, which Python's \s exceeds by four control characters.
 BLANK = "\t-\r \x85\xa0  -     　"
@@ -37,17 +38,24 @@ class SegmentEncoder:
         self.size = self.library.get_vocab_size()
         self.entries = entries
         self.table: dict[str, bytes] = {}
+        self.aside: dict[str, bytes] = {}
 
-    def _fill(self, segments: list[str]) -> None:
-        for k in range(0, len(segments), 50_000):
-            some = segments[k : k + 50_000]
+    def _fill(self, segments: set[str]) -> None:
+        """Sees that the table has all segments. A full table is set aside for a new one, to
+        which entries move when they are used again."""
+        if len(self.table) > self.entries:
+            self.table, self.aside = {}, self.table
+        new = segments - self.table.keys()
+        kept = new & self.aside.keys()
+        self.table.update((s, self.aside[s]) for s in kept)
+        new = list(new - kept)
+        for k in range(0, len(new), 50_000):
+            some = new[k : k + 50_000]
             self.table.update((s, np.array(e.ids, np.uint32).tobytes()) for s, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True))
 
     def payloads(self, texts: list[str | None], end: int | None) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, then the end id."""
-        if len(self.table) > self.entries:
-            self.table.clear()
-        find, table, out, at = self.segment.findall, self.table, [], 0
+        find, out, at = self.segment.findall, [], 0
         last = [] if end is None else [np.uint32(end).tobytes()]
         while at < len(texts):
             cut, size = at, 0
@@ -55,7 +63,14 @@ class SegmentEncoder:
                 size += len(texts[cut] or "")
                 cut += 1
             parts = [find(t) if t else [] for t in texts[at:cut]]
-            self._fill(list({s for p in parts for s in p if s not in table}))
-            out += [b"".join([*map(table.__getitem__, p), *last]) for p in parts]
+            self._fill(set().union(*parts))
+            found = self.table.__getitem__
+            out += [b"".join([*map(found, p), *last]) for p in parts]
             at = cut
         return out
+
+
+@functools.lru_cache(1)
+def worker_encoder(path: str) -> SegmentEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return SegmentEncoder(path)

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .common import local_fs, saved, shared_path
 from .sentencepiece_codec import by_size
-from .token_ids import SegmentEncoder
+from .token_ids import SegmentEncoder, worker_encoder
 
 #: Keys in one part of the index, on average.
 INDEX_KEYS = 100_000
@@ -148,7 +148,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         name = f"{path}/shard-{shard:06d}.bin"
         there, out = f"{name}.{uuid.uuid4().hex}.part", None
         for whole in batches:
-            encoder = encoder or SegmentEncoder(tokenizer_path)
+            encoder = encoder or worker_encoder(tokenizer_path)
             for batch in by_size(whole):
                 out = out or fs.open_output_stream(there)
                 payloads = encoder.payloads(batch.column(1).to_pylist(), end_id)
