@@ -62,3 +62,24 @@ def local_fs(uri: str):
     if "://" in uri:
         return fs.FileSystem.from_uri(uri)
     return fs.LocalFileSystem(), os.path.abspath(uri)
+
+
+def filtered(docs: DataFrame, text: str, judge) -> DataFrame:
+    """Rows of `docs`, with all columns, for whose texts `judge` (a list of texts, to a boolean
+    array) holds. Works through batches by the size of their texts."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from .sentencepiece_codec import by_size
+
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for whole in batches:
+            # Positions ride along with the texts, so that all columns are cut alike.
+            index = pa.RecordBatch.from_arrays([pa.array(range(whole.num_rows), pa.int64()), pc.cast(whole.column(at), pa.string())], ["row", "text"])
+            for part in by_size(index):
+                keep = pa.array(judge(part.column(1).to_pylist()))
+                yield whole.take(part.column(0).filter(keep))
+
+    return docs.mapInArrow(run, docs.schema)
