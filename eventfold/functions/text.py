@@ -46,12 +46,11 @@ def first_contained(c: Column, words) -> Column:
     return F.coalesce(*(F.when(test, F.lit(name)) for test, name in tests))
 
 
-def remove_first(c: Column, part: Column, tail: str | None = None) -> Column:
-    """The text without the first occurrence of `part`, and of what matches `tail` after it."""
-    at = F.instr(c, part)
-    rest = F.substring(c, at + F.length(part), F.length(c))
-    rest = F.regexp_replace(rest, f"^(?:{tail})", "") if tail else rest
-    return F.when(part.isNotNull() & (part != "") & (at > 0), F.concat(F.substring(c, F.lit(1), at - 1), rest)).otherwise(c)
+def remove_first(c: Column, part: Column, tail: str = "") -> Column:
+    """The text without the first occurrence of `part`, and of what matches `tail` after it.
+    Either argument is used once, so that chains of this stay small."""
+    quoted = F.concat(F.lit(r"^(?s)(.*?)\Q"), F.replace(none_if_empty(part), F.lit("\\E"), F.lit("")), F.lit(rf"\E(?:{tail})?"))
+    return F.regexp_replace(c, F.coalesce(quoted, F.lit("(?!)")), F.lit("$1"))
 
 
 def clean_title(c: Column) -> Column:
@@ -173,7 +172,7 @@ def occurrences(c: Column) -> Column:
 def issue_segments(c: Column) -> Column:
     """Array of (segment_no, text, label, is_independent); numbers keep the gaps of empty ones."""
     value = collapse(c)
-    parts = F.slice(F.split(value, rules.ISSUE_MARK), 2, 2**31 - 1)
+    parts = F.filter(F.split(value, rules.ISSUE_MARK), lambda _, i: i > 0)
     labels = F.regexp_extract_all(value, F.lit(rules.ISSUE_MARK), F.lit(1))
     made = lambda no, text, label: F.struct(no.cast("int").alias("segment_no"), text.alias("text"), none_if_empty(label).alias("label"), F.lit(True).alias("is_independent"))
     numbered = F.transform(F.arrays_zip(parts.alias("text"), labels.alias("label")), lambda x, i: made(i + 1, strip(x["text"]), x["label"]))
@@ -188,23 +187,18 @@ def address_parts(address: Column) -> Column:
     return F.struct(where.alias("region"), way.alias("street"), remove_first(remove_first(address, where), way, "镇|乡").alias("scoped"))
 
 
-def address_components(scoped: Column) -> Column:
-    """Struct of road, house number, building, unit, room, shop, floor, anchor, its type and direction."""
-    anchor = scoped
+COMPONENTS = {"road": (rules.ROAD_HOUSE, 1), "house_no": (rules.ROAD_HOUSE, 2), "building": (rules.BUILDING, 1), "unit": (rules.UNIT, 1), "room": (rules.ROOM, 1), "shop_no": (rules.SHOP, 1), "floor": (rules.FLOOR, 1)}
+
+
+def raw_components(scoped: Column) -> Column:
+    """Struct of the address components as written, and what remains without them."""
+    rest = scoped
     for pattern in (rules.ROAD_HOUSE, rules.BUILDING, rules.UNIT, rules.ROOM, rules.SHOP, rules.FLOOR):
-        anchor = remove_first(anchor, F.regexp_extract(scoped, pattern, 0))
-    anchor = F.regexp_replace(anchor, r"(?U)^[\s,，。:：-]+|[\s,，。:：-]+$", "")
-    anchor = strip(F.regexp_replace(anchor, r"(?U)^(?:地址|事发地点)\s*[:：]?", ""))
-    direction = first_contained(anchor, rules.DIRECTIONS)
-    return F.struct(
-        first_group(scoped, rules.ROAD_HOUSE).alias("road"),
-        first_group(scoped, rules.ROAD_HOUSE, 2).alias("house_no"),
-        numbered_component(first_group(scoped, rules.BUILDING)).alias("building"),
-        first_group(scoped, rules.UNIT).alias("unit"),
-        first_group(scoped, rules.ROOM).alias("room"),
-        first_group(scoped, rules.SHOP).alias("shop_no"),
-        numbered_component(first_group(scoped, rules.FLOOR)).alias("floor"),
-        none_if_empty(anchor).alias("anchor_raw"),
-        F.when(direction.isNotNull(), "landmark").when(anchor != "", "subject").otherwise("unknown").alias("anchor_type"),
-        direction.alias("direction"),
-    )
+        rest = remove_first(rest, F.regexp_extract(scoped, pattern, 0))
+    rest = F.regexp_replace(rest, r"(?U)^[\s,，。:：-]+|[\s,，。:：-]+$", "")
+    rest = strip(F.regexp_replace(rest, r"(?U)^(?:地址|事发地点)\s*[:：]?", ""))
+    return F.struct(*(first_group(scoped, pattern, group).alias(name) for name, (pattern, group) in COMPONENTS.items()), rest.alias("rest"))
+
+
+def anchor_type(rest: Column) -> Column:
+    return F.when(first_contained(rest, rules.DIRECTIONS).isNotNull(), "landmark").when(rest != "", "subject").otherwise("unknown")

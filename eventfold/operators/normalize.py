@@ -32,12 +32,17 @@ def parse_complaint(df: DataFrame, *, title: str = "title", appeal: str = "appea
     c = F.col
     out = df.withColumn("__line", text.address_line(c(appeal), c(location), c(title)))
     out = out.withColumn("__address", text.collapse(c("__line.line"))).withColumn("__parts", text.address_parts(c("__address")))
-    out = out.withColumn("__found", text.address_components(c("__parts.scoped")))
+    out = out.withColumn("__scoped", c("__parts.scoped")).withColumn("__found", text.raw_components(c("__scoped")))
+    out = out.withColumns({f"__{k}": c(f"__found.{k}") for k in ("building", "floor", "rest")})
+    out = out.withColumns({f"__{k}": text.numbered_component(c(f"__{k}")) for k in ("building", "floor")})
     sure = F.when((c("__line.source") == "appeal_address") & c("__parts.street").isNotNull(), 0.95).when(c("__parts.street").isNotNull(), 0.75).otherwise(0.4)
     parsed = F.struct(
         c("__parts.region").alias("region"),
         c("__parts.street").alias("street"),
-        *(c(f"__found.{k}").alias(k) for k in ("road", "house_no", "building", "unit", "room", "shop_no", "floor", "anchor_raw", "anchor_type", "direction")),
+        *((c(f"__{k}") if k in ("building", "floor") else c(f"__found.{k}")).alias(k) for k in text.COMPONENTS),
+        text.none_if_empty(c("__rest")).alias("anchor_raw"),
+        text.anchor_type(c("__rest")).alias("anchor_type"),
+        text.first_contained(c("__rest"), rules.DIRECTIONS).alias("direction"),
         c("__address").alias("address_raw"),
         c("__line.line").alias("address_line"),
         c("__line.source").alias("parse_source"),
@@ -47,7 +52,7 @@ def parse_complaint(df: DataFrame, *, title: str = "title", appeal: str = "appea
         text.earlier_orders(c(appeal)).alias("previous_work_order_ids"),
         text.issue_segments(c(appeal)).alias("issue_segments"),
     )
-    return out.withColumn(into, parsed).drop("__line", "__address", "__parts", "__found")
+    return out.withColumn(into, parsed).drop("__line", "__address", "__parts", "__scoped", "__found", "__building", "__floor", "__rest")
 
 
 def normalize(records: DataFrame, *, label_as_category: bool = True, families=rules.FAMILIES) -> DataFrame:

@@ -74,15 +74,15 @@ def window_side_counts(spark, sf_dir):
     return windows.side_counts(windows.assign_sides(a.work_orders(spark, sf_dir), _COMPLETED), "completed_at")
 
 
-@query(f"SELECT {a.DAY.format('ts')} AS day, count(*) n FROM events GROUP BY 1")
+@query(f"SELECT CAST({a.DAY.format('ts')} AS VARCHAR) AS day, count(*) n FROM events GROUP BY 1")
 def local_date_bucket(spark, sf_dir):
-    return a.table(spark, sf_dir, "events").groupBy(dates.local_date(F.col("ts").cast("timestamp")).alias("day")).agg(F.count("*").alias("n"))
+    return a.table(spark, sf_dir, "events").groupBy(dates.local_date(F.col("ts").cast("timestamp")).cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT {a.DAY.format('max(o_orderdate)')} AS latest FROM orders WHERE o_orderstatus <> 'P'")
+@query(f"SELECT CAST({a.DAY.format('max(o_orderdate)')} AS VARCHAR) AS latest FROM orders WHERE o_orderstatus <> 'P'")
 def latest_local_date(spark, sf_dir):
     rows = a.table(spark, sf_dir, "orders").withColumn("received_at", F.col("o_orderdate").cast("timestamp"))
-    return library.latest_local_date(rows, "received_at", live=F.col("o_orderstatus") != "P")
+    return library.latest_local_date(rows, "received_at", live=F.col("o_orderstatus") != "P").select(F.col("latest").cast("string").alias("latest"))
 
 
 @query("SELECT event_id, CAST(CAST(ts + INTERVAL 8 HOUR AS DATE) AS TIMESTAMP) - INTERVAL 8 HOUR AS day_start, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') AS shown FROM events")
@@ -98,7 +98,7 @@ def event_key_rule(spark, sf_dir):
 
 _FILTERS = {
     "region": (EventFilters(region=" ASIA "), "region = 'ASIA'"),
-    "street": (EventFilters(street="CHINA"), "street_name = 'CHINA'"),
+    "street": (EventFilters(street="NATION_7"), "street_name = 'NATION_7'"),
     "department": (EventFilters(processing_department="BUILDING"), "list_contains(string_split(departments, ','), 'BUILDING')"),
     "target": (EventFilters(has_target_records=True), "target_count > 0"),
     "singletons": (EventFilters(hide_singletons=True), "member_count > 1"),
@@ -326,7 +326,7 @@ _golden(
     "parse_anchor",
     ["anchor_raw", "anchor_type", "direction", "parse_source"],
     [
-        ("地址：江海区外海街道东宁路107号11幢鑫汇塑业有限公司。\n事项：反映拖欠工资。", None, None, "鑫汇塑业有限公司。", "subject", None, "appeal_address"),
+        ("地址：江海区外海街道东宁路107号11幢鑫汇塑业有限公司。\n事项：反映拖欠工资。", None, None, "鑫汇塑业有限公司", "subject", None, "appeal_address"),
         ("地址：江海区礼乐街道德昌电机门口。\n事项：路面积水。", None, None, "德昌电机门口", "landmark", "门口", "appeal_address"),
         ("地址：江海区礼乐街道德昌电机门口。事项：道路积水。", None, None, "德昌电机门口", "landmark", "门口", "appeal_address"),
         (None, " 江海区礼乐街道东海路888号德昌电机对面天桥底下 ", None, "德昌电机对面天桥底下", "landmark", "对面", "location"),
@@ -358,7 +358,7 @@ _golden(
     ["earlier", "occurrences"],
     [
         ("市民表示此前工单0826081308493182401仍未解决，身份证号码440781199311261128。", "0826081308493182401", ""),
-        ("订单号：6926215322015465430，投诉单号：1440704002026072470944200。", "1440704002026072470944200"[:0] or "", "order:6926215322015465430,complaint:1440704002026072470944200"),
+        ("订单号：6926215322015465430，投诉单号：1440704002026072470944200。", "6926215322015465430,144070400202607247094420", "order:6926215322015465430,complaint:1440704002026072470944200"),
         ("支付订单号: ab-12cd-ef34, 交易编号 ab-12cd-ef34", "", "order:AB12CDEF34"),
         (None, "", ""),
     ],
