@@ -25,8 +25,8 @@ from .common import saved
 from .components import LINKS, components
 from .sentencepiece_codec import by_size
 
-#: At a similarity of 0.8, fewer than 16 of 32 coordinates agree in 1 pair of 100,000.
-COORDINATES, MATCHES = 32, 16
+#: Coordinates that are posted, and further ones of eight bits that candidates are compared in.
+COORDINATES, WIDE = 32, 128
 #: Sets of a posting list that are compared in one task.
 BLOCK = 1024
 #: Passes in which leaders are compared before all remaining pairs.
@@ -36,6 +36,7 @@ _rng = np.random.default_rng(10)
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64)
 _MULTIPLY = _rng.integers(0, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _rng.integers(0, 2**64, COORDINATES, np.uint64)
+_WIDE_MULTIPLY = _rng.integers(0, 2**63, WIDE, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -100,13 +101,29 @@ def signatures(found: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def wide_signatures(found: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Eight bits of each of WIDE further minima, a row for each text that has shingles."""
+    some = np.flatnonzero(np.diff(starts))
+    out = np.zeros((len(some), WIDE), np.int8)
+    for j in range(WIDE if len(some) else 0):
+        least = np.minimum.reduceat(_mixed(found * _WIDE_MULTIPLY[j]), starts[some])
+        out[:, j] = (_mixed(least) >> np.uint64(56)).astype(np.uint8).view(np.int8)
+    return out
+
+
+def matches(percent: int, coordinates: int) -> int:
+    """Coordinates that agree at least, but for 1 pair in 50,000, at a similarity of `percent`."""
+    p = percent / 100
+    return max(1, int(coordinates * p - 4.25 * (coordinates * p * (1 - p)) ** 0.5) + 1)
+
+
 def features(docs: DataFrame, words: int, *, key: str, text: str) -> DataFrame:
     """Rows (id, n, d1, d2, signature): number and two digests of each text's shingle set."""
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType), *T.StructType.fromDDL("n long, d1 long, d2 long, signature array<long>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in by_size(whole, 2_000_000):
+            for b in by_size(whole, 500_000):
                 found, starts = shingles(b.column(1).to_pylist(), words)
                 n = np.diff(starts)
                 sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(found ^ _FLIP[k]), dtype=np.uint64))) for k in (0, 1)]
@@ -139,54 +156,90 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[np.
         yield held[0]
 
 
-def _agree(signature: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return (signature == one).sum(1) >= MATCHES
+#: Columns of the rows that meet in a posting list: where and in what order they do, whose
+#: they are, the posted coordinate, the mask of the set's posted coordinates, its size and
+#: signatures.
+MEETING = ("token", "block", "turn", "node", "component", "pos", "mask", "n", "signature", "wide")
+
 
+class _List:
+    """One posting list, or two blocks of it, as arrays."""
 
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In each posting list, in the order of `luck`: the first set without a leader is compared
+    def __init__(self, columns: list[np.ndarray], percent: int):
+        _, _, self.turn, self.node, self.component, pos, self.mask, self.n, self.signature, self.wide = columns
+        self.pos, self.percent = int(pos[0]), percent
+        self.narrow_least, self.wide_least = matches(percent, COORDINATES), matches(percent, WIDE)
+
+    def candidates(self, i: int, among: np.ndarray, once: bool) -> np.ndarray:
+        """Those of `among` that may be similar enough to row i; with `once` only in the
+        posting list of their first common coordinate, as pairs meet in several."""
+        among = among[self.component[among] != self.component[i]]
+        low, high = np.minimum(self.n[among], self.n[i]), np.maximum(self.n[among], self.n[i])
+        among = among[100 * low >= self.percent * high]
+        same = self.signature[among] == self.signature[i]
+        keep = same.sum(1) >= self.narrow_least
+        if once:
+            bits = (self.mask[among, None] & self.mask[i]) >> np.arange(COORDINATES) & 1
+            keep &= (same & (bits == 1)).argmax(1) == self.pos
+        among = among[keep]
+        return among[(self.wide[among] == self.wide[i]).sum(1) >= self.wide_least]
+
+
+def _leaders(percent: int):
+    """In each posting list, in the order of turns: the first set without a leader is compared
     with those after it that are in another component."""
-    out_a, out_b = [], []
-    for _, _, luck, node, component, signature in _groups(batches, 2):
-        order = np.argsort(luck, kind="stable")
-        node, component, signature = node[order], component[order], signature[order]
-        free = np.ones(len(node), bool)
-        for i in range(len(node)):
-            if not free[i]:
-                continue
-            free[i] = False
-            rest = np.flatnonzero(free & (component != component[i]))
-            rest = rest[_agree(signature[rest], signature[i])]
-            free[rest] = False
-            free &= component != component[i]
-            out_a.append(np.full(len(rest), node[i]))
-            out_b.append(node[rest])
-        if len(out_a) > 4096:
-            yield _pairs(out_a, out_b)
-            out_a, out_b = [], []
-    if out_a:
-        yield _pairs(out_a, out_b)
-
-
-def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).astype(np.int64)), pa.array(np.concatenate(b).astype(np.int64))], ["a", "b"])
-
-
-def _all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In each pair of blocks of a posting list: all candidates in different components."""
-    for _, _, other, node, component, signature in _groups(batches, 2):
-        out_a, out_b = [], []
-        alone = bool((other == 1).any())
-        left, right = np.flatnonzero(other < 2), np.flatnonzero(other > 0)
-        for i in left.tolist():
-            rest = right[component[right] != component[i]]
-            if alone:
-                rest = rest[node[rest] > node[i]]
-            rest = rest[_agree(signature[rest], signature[i])]
-            out_a.append(np.full(len(rest), node[i]))
-            out_b.append(node[rest])
-        if out_a:
-            yield _pairs(out_a, out_b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Pairs()
+        for columns in _groups(batches, 2):
+            order = np.argsort(columns[2], kind="stable")
+            here = _List([c[order] for c in columns], percent)
+            free = np.ones(len(order), bool)
+            for i in range(len(order)):
+                if free[i]:
+                    free &= here.component != here.component[i]
+                    found = here.candidates(i, np.flatnonzero(free), False)
+                    free[found] = False
+                    out.add(here.node[i], here.node[found])
+            yield from out.full(4096)
+        yield from out.full(1)
+
+    return run
+
+
+def _all(percent: int):
+    """In each pair of blocks of a posting list: all candidates in different components. Rows
+    of the first block have turn 0, of the second 2; where a block meets itself, 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Pairs()
+        for columns in _groups(batches, 2):
+            here = _List(columns, percent)
+            alone = bool((here.turn == 1).any())
+            right = np.flatnonzero(here.turn > 0)
+            for i in np.flatnonzero(here.turn < 2).tolist():
+                among = right[here.node[right] > here.node[i]] if alone else right
+                out.add(here.node[i], here.node[here.candidates(i, among, True)])
+            yield from out.full(4096)
+        yield from out.full(1)
+
+    return run
+
+
+class _Pairs:
+    def __init__(self):
+        self.a, self.b, self.count = [], [], 0
+
+    def add(self, one: int, others: np.ndarray) -> None:
+        if len(others):
+            self.a.append(np.full(len(others), one, np.int64))
+            self.b.append(others)
+            self.count += len(others)
+
+    def full(self, least: int) -> Iterator[pa.RecordBatch]:
+        if self.count >= least:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(self.a)), pa.array(np.concatenate(self.b))], ["a", "b"])
+            self.__init__()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -196,10 +249,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
         last, own = None, None
         for b in batches:
             keep = []
-            for i, (one, left, right) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                if one != last:
-                    last, own = one, shingles([left], words)[0]
-                other = shingles([right], words)[0]
+            for i in range(b.num_rows):
+                if (one := b.column(0)[i].as_py()) != last:
+                    last, own = one, shingles([b.column(2)[i].as_py()], words)[0]
+                other = shingles([b.column(3)[i].as_py()], words)[0]
                 shared = len(np.intersect1d(own, other, assume_unique=True))
                 if 100 * shared >= percent * (len(own) + len(other) - shared):
                     keep.append(i)
@@ -210,6 +263,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def _widened(texts: DataFrame, words: int) -> DataFrame:
+    """Rows (node, n, wide) of texts that have shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in by_size(whole, 500_000):
+                found, starts = shingles(b.column(1).to_pylist(), words)
+                n = np.diff(starts)
+                some = np.flatnonzero(n)
+                offsets = (np.arange(len(some) + 1) * WIDE).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(n[some]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(wide_signatures(found, starts).reshape(-1)))], ["node", "n", "wide"])
+
+    return texts.mapInArrow(run, "node long, n long, wide array<tinyint>")
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_shingles, component_id, kept), one for each row of `docs`.
 
@@ -224,14 +292,17 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, key:
     linked = found.where("n > 0 and id is not null")
     classes = linked.groupBy("n", "d1", "d2").agg(F.min("id").cast("long").alias("node"))
     members = saved(linked.join(classes, ["n", "d1", "d2"]).select("id", "n", "node", F.when(F.col("id") == F.col("node"), F.col("signature")).alias("signature")), "members")
-    nodes = members.where("signature is not null").select("node", "signature")
-    posted = nodes.select("node", F.explode("signature").alias("token"))
+    nodes = members.where("signature is not null").select("node", "n", "signature")
+    least = matches(percent, COORDINATES)
+    posted = nodes.select("node", F.posexplode("signature").alias("pos", "token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     by_node = Window.partitionBy("node")
     ranked = posted.join(shared, "token").select("*", F.count("*").over(by_node).alias("c"), F.row_number().over(by_node.orderBy("df", "token")).alias("nth"))
-    prefix = saved(ranked.where((F.col("c") >= MATCHES) & (F.col("nth") <= F.col("c") - MATCHES + 1)).select("token", "node", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks")).distinct(), "postings")
-    candidates = saved(nodes.join(prefix.select("node").distinct(), "node", "left_semi").distinct(), "candidates")
-    texts = saved(docs.select(docs[key].cast("long").alias("node"), docs[text].cast("string").alias("text")).join(candidates.select("node").distinct(), "node", "left_semi"), "texts")
+    chosen = ranked.where((F.col("c") >= least) & (F.col("nth") <= F.col("c") - least + 1))
+    prefix = saved(chosen.select("token", "pos", "node", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks")).distinct(), "postings")
+    masks = prefix.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, pos)")).alias("mask"))
+    texts = saved(docs.select(docs[key].cast("long").alias("node"), docs[text].cast("string").alias("text")).join(masks.select("node"), "node", "left_semi"), "texts")
+    candidates = saved(nodes.join(masks, "node").join(_widened(texts, words), ["node", "n"]).distinct(), "candidates")
     links = docs.sparkSession.createDataFrame([], LINKS)
     tested = None
     labels = candidates.select("node", F.col("node").alias("component")).distinct()
@@ -239,19 +310,17 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, key:
         open_ = prefix.join(labels, "node")
         split = open_.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
         open_ = saved(open_.join(split, "token", "left_semi"), "open")
-        posting = open_.join(candidates, "node")
-        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")
         if step < LEADER_PASSES:
-            rows = posting.select("token", block.alias("block"), F.xxhash64(F.lit(step), "node").alias("luck"), "node", "component", "signature")
-            pairs = rows.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(_leaders, "a long, b long")
+            met, find = open_.select("*", block.alias("block"), F.xxhash64(F.lit(step), "node").alias("turn")), _leaders(percent)
         else:
-            # Every pair of blocks once: the rows of its first block are 0, of its second 2, and
-            # 1 where a block meets itself.
-            rows = posting.withColumn("own", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-            pair = F.least("own", "with") * F.col("blocks") + F.greatest("own", "with")
-            side = F.when(F.col("own") < F.col("with"), 0).when(F.col("own") == F.col("with"), 1).otherwise(2)
-            rows = rows.select("token", pair.alias("block"), side.alias("other"), "node", "component", "signature")
-            pairs = rows.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(_all, "a long, b long")
+            # Every pair of blocks once.
+            met = open_.withColumn("own", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+            turn = F.when(F.col("own") < F.col("with"), 0).when(F.col("own") == F.col("with"), 1).otherwise(2).cast("long")
+            met = met.select("*", (F.least("own", "with") * F.col("blocks") + F.greatest("own", "with")).alias("block"), turn.alias("turn"))
+            find = _all(percent)
+        met = met.join(candidates, "node").select(*MEETING)
+        pairs = met.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(find, LINKS)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
