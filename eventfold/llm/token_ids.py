@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 
 import numpy as np
@@ -40,18 +41,24 @@ class SegmentEncoder:
         self.table: dict[str, bytes] = {}
         self.aside: dict[str, bytes] = {}
 
-    def _fill(self, segments: set[str]) -> None:
-        """Sees that the table has all segments. A full table is set aside for a new one, to
-        which entries move when they are used again."""
+    def _found(self, segments: list[str]) -> list[bytes]:
+        """Ids of each segment. A full table is set aside for a new one, to which entries move
+        when they are used again."""
         if len(self.table) > self.entries:
             self.table, self.aside = {}, self.table
-        new = segments - self.table.keys()
-        kept = new & self.aside.keys()
-        self.table.update((s, self.aside[s]) for s in kept)
-        new = list(new - kept)
-        for k in range(0, len(new), 50_000):
-            some = new[k : k + 50_000]
-            self.table.update((s, np.array(e.ids, np.uint32).tobytes()) for s, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True))
+        found = list(map(self.table.get, segments))
+        open_ = [i for i, ids in enumerate(found) if ids is None]
+        if open_:
+            new = {segments[i] for i in open_}
+            kept = new & self.aside.keys()
+            self.table.update((s, self.aside[s]) for s in kept)
+            new = list(new - kept)
+            for k in range(0, len(new), 50_000):
+                some = new[k : k + 50_000]
+                self.table.update((s, np.array(e.ids, np.uint32).tobytes()) for s, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True))
+            for i in open_:
+                found[i] = self.table[segments[i]]
+        return found
 
     def payloads(self, texts: list[str | None], end: int | None) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, then the end id."""
@@ -63,9 +70,9 @@ class SegmentEncoder:
                 size += len(texts[cut] or "")
                 cut += 1
             parts = [find(t) if t else [] for t in texts[at:cut]]
-            self._fill(set().union(*parts))
-            found = self.table.__getitem__
-            out += [b"".join([*map(found, p), *last]) for p in parts]
+            found = self._found(list(itertools.chain.from_iterable(parts)))
+            bounds = [0, *itertools.accumulate(map(len, parts))]
+            out += [b"".join([*found[a:b], *last]) for a, b in itertools.pairwise(bounds)]
             at = cut
         return out
 
