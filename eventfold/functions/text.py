@@ -202,3 +202,9 @@ def raw_components(scoped: Column) -> Column:
 
 def anchor_type(rest: Column) -> Column:
     return F.when(first_contained(rest, rules.DIRECTIONS).isNotNull(), "landmark").when(rest != "", "subject").otherwise("unknown")
+
+
+def strip_code_fence(c: Column) -> Column:
+    """The inside of a text that is one fenced block, else the text, stripped."""
+    bare = strip(or_empty(c))
+    return F.regexp_replace(bare, r"(?isU)^```(?:json)?\s*(.*?)\s*```$", "$1")

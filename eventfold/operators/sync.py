@@ -79,3 +79,8 @@ def versions(changes: DataFrame, *, sync_id: str, now: Column, key: str = "recor
     flag = F.struct(*(F.lit(True).alias(f.name) if f.name == "missing_in_latest_upload" else F.lit(None).cast(f.dataType).alias(f.name) for f in changes.schema["after"].dataType.fields))
     after = F.when(F.col("action") == "missing", flag).otherwise(F.col("after"))
     return changes.where("action <> 'unchanged'").select(F.lit(sync_id).alias("sync_id"), key, "action", "before", after.alias("after"), now.alias("created_at"))
+
+
+def absent(new: DataFrame, current: DataFrame, by: list[str]) -> DataFrame:
+    """New rows whose key is not there yet, to be appended; there ones stay as they are."""
+    return new.join(current.select(*by), by, "left_anti")

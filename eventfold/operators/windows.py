@@ -65,3 +65,19 @@ def side_counts(sided: DataFrame, time_field: str) -> DataFrame:
         F.count_if(F.col("side") == "reference").alias("reference_count"),
         F.count_if(F.col(time_field).isNull()).alias("missing_time_count"),
     )
+
+
+def parse_day(value: str | None) -> date | None:
+    return date.fromisoformat(value) if value else None
+
+
+def parse_flag(value: str | None) -> bool:
+    return (value or "").strip().lower() in ("1", "true", "yes", "on")
+
+
+def from_text(latest: date | None, time_field: str, target_from: str = "", target_to: str = "", reference_from: str = "", reference_to: str = "") -> Windows:
+    """Windows of a form's fields: without a start the latest day, without an end the start."""
+    if latest is None:
+        raise ValueError("no row has a date to compare by")
+    start = parse_day(target_from) or latest
+    return Windows(time_field, start, parse_day(target_to) or start, parse_day(reference_from), parse_day(reference_to))

@@ -244,6 +244,21 @@ def missing_reappear(spark, sf_dir):
     return state.select("record_key", F.col("missing_in_latest_upload").alias("missing"), "last_sync_id", F.col("updated_at").alias("updated"))
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 4 = 1 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def insert_if_absent(spark, sf_dir):
+    new = a.table(spark, sf_dir, "orders").where("o_orderkey % 4 = 1").select("o_orderkey", "o_totalprice")
+    there = a.table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return sync.absent(new, there, ["o_orderkey"])
+
+
+@query("SELECT count(*) n, (SELECT count(*) FROM events) n_events, (SELECT count(*) FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_orderdate IS NOT NULL) n_live FROM orders")
+def table_counts(spark, sf_dir):
+    count = lambda name, kind, where="true": a.table(spark, sf_dir, name).where(where).agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+    live = "o_orderstatus IN ('O', 'F') AND o_orderdate IS NOT NULL"
+    rows = count("orders", "n").union(count("events", "n_events")).union(count("orders", "n_live", live))
+    return rows.agg(*(F.max(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in ("n", "n_events", "n_live")))
+
+
 _LAST = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 
@@ -396,6 +411,12 @@ _golden(
     ],
     lambda df, x: df.select("n", F.date_format(dates.parse_timestamp(x), "yyyy-MM-dd HH:mm:ss").alias("utc")),
 )
+_golden(
+    "code_fences",
+    ["inside"],
+    [(' ```json\n{"a": 1}\n``` ', '{"a": 1}'), ("```x```", "x"), ("plain ", "plain"), (None, "")],
+    lambda df, x: df.select("n", text.strip_code_fence(x).alias("inside")),
+)
 _golden(
     "safe_cells",
     ["cell"],

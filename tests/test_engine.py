@@ -5,9 +5,9 @@ from datetime import date
 import pytest
 
 from eventfold.engine import Engine
-from eventfold.jobs import ActiveJobConflictError
+from eventfold.jobs import ActiveJobConflictError, retry_delay
 from eventfold.operators.library import EventFilters
-from eventfold.operators.windows import Windows, WindowOverlapError
+from eventfold.operators.windows import Windows, WindowOverlapError, from_text, parse_flag
 from eventfold.schemas import RECORD
 from eventfold.sources.xlsx import Workbook
 
@@ -52,6 +52,15 @@ def test_last_row_of_a_key_wins_and_blank_ids_are_fingerprinted(engine):
     assert put(engine, record("A", completed="2026-09-03", row=3), record(" ", "2026-10-10", row=4))[0] == 0
 
 
+def test_form_fields_and_delays():
+    assert from_text(date(2026, 9, 5), "received_at").target_to == date(2026, 9, 5)
+    assert from_text(date(2026, 9, 5), "received_at", "2026-09-01").target_to == date(2026, 9, 1)
+    with pytest.raises(ValueError):
+        from_text(None, "received_at")
+    assert [parse_flag(x) for x in (" ON", "1", "0", None)] == [True, True, False, False]
+    assert [retry_delay(n) for n in (0, 1, 5)] == [0.25, 0.5, 2.0] and retry_delay(0, "3") == 3.0 and retry_delay(1, "x") == 0.5
+
+
 def test_window_rules():
     with pytest.raises(WindowOverlapError):
         Windows("completed_at", date(2026, 9, 1), date(2026, 9, 30), date(2026, 9, 20), date(2026, 10, 10))
