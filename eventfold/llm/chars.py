@@ -50,7 +50,7 @@ def grams(chars: np.ndarray, n: int, buckets: int) -> np.ndarray:
     return h & np.uint32(buckets - 1)
 
 
-def text_groups(sizes: np.ndarray, most: int = 2_000_000):
+def text_groups(sizes: np.ndarray, most: int = 1_000_000):
     """Slices of a list of texts with about `most` characters each, one text at least."""
     ends, at = np.cumsum(sizes), 0
     while at < len(sizes):

@@ -21,7 +21,7 @@ from .chars import grams, text_groups, words_of
 from .sentencepiece_codec import by_size
 
 #: Rows that the classifiers are fitted on, over all languages.
-TRAIN_ROWS = 2400
+TRAIN_ROWS = 1600
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"

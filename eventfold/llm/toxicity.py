@@ -29,7 +29,7 @@ ORDERS = (3, 4, 5)
 WINDOW = 8
 DIMENSIONS = 4
 #: Texts of each label of which all windows are trained on at first.
-START_TEXTS = 300
+START_TEXTS = 200
 #: Slopes below this move an embedding less than others: what a few texts share weighs little.
 DAMPING = 1e-4
 
@@ -107,40 +107,40 @@ class _Trainer:
     def run(self, windows: list[str], text: np.ndarray, y: np.ndarray, rounds: int) -> None:
         """Steps over windows, `text` has the number of each one's text, ascending. A text
         counts by its worst windows, toxic and clean texts count alike in all."""
-        chars, starts = words_of(windows, digits=True)
-        word, bounds = _spans(chars, starts)
+        split = [w.split() for w in windows]
+        numbers: dict[str, int] = {}
+        number = np.fromiter((numbers.setdefault(w, len(numbers)) for words in split for w in words), np.int32)
+        # Each distinct word's n-grams, in buckets numbered anew.
+        chars, starts = words_of([" ".join(numbers)], digits=True)
+        word, _ = _spans(chars, starts)
         at, bucket = (np.concatenate(x) for x in zip(*_grams(chars), strict=True))
-        owner = np.searchsorted(word, at, "right") - 1
-        # Equal words are computed once, by the n-grams of their first occurrence.
-        spelled = np.add.reduceat((chars.astype(np.uint64) + np.uint64(1)) * (grams(chars, 2, 1 << 31).astype(np.uint64) | np.uint64(1)) * (grams(chars, 3, 1 << 31).astype(np.uint64) | np.uint64(1)), word)
-        _, one, number = np.unique(spelled, return_index=True, return_inverse=True)
-        first_seen = np.zeros(len(word), bool)
-        first_seen[one] = True
-        use = first_seen[owner]
-        owner, bucket = number[owner[use]], bucket[use].astype(np.int64)
+        owner = (np.searchsorted(word, at, "right") - 1).astype(np.int32)
         known, bucket = np.unique(bucket, return_inverse=True)
-        share = (1.0 / np.maximum(1, np.bincount(owner, minlength=len(one))))[owner][:, None]
-        size = np.diff(bounds)
-        window_of = np.repeat(np.arange(len(windows)), size)
-        part = (1.0 / np.maximum(1, size))[window_of][:, None]
+        bucket = bucket.astype(np.int32)
+        del at, chars
+        share = (1.0 / np.maximum(1, np.bincount(owner, minlength=len(word))))[owner]
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        window_of = np.repeat(np.arange(len(windows), dtype=np.int32), size)
+        part = (1.0 / np.maximum(1, size))[window_of]
         _, first, per = np.unique(text, return_index=True, return_counts=True)
         group = np.repeat(np.arange(len(first)), per)
         label = y[text].astype(np.float64)
         even = np.where(label == 1, 0.5 / max(1, y[text[first]].sum()), 0.5 / max(1, (1 - y[text[first]]).sum()))
-        tally = lambda idx, value, n: np.stack([np.bincount(idx, value[:, k], n) for k in range(value.shape[1])], 1)
+        # Sums of rows of `value` by `to`, a column at a time.
+        tally = lambda to, value, at, weight, n: np.stack([np.bincount(to, value[:, k][at] * weight, n) for k in range(value.shape[1])], 1)
         e, u, b = self.params
         for _ in range(rounds):
             self.steps += 1
-            vectors = tally(owner, e[known][bucket] * share, len(one))
-            bag = tally(window_of, vectors[number] * part, len(windows))
+            vectors = tally(owner, e[known], bucket, share, len(word))
+            bag = tally(window_of, vectors, number, part, len(windows))
             z = (bag @ u + b) @ np.array([-1.0, 1.0])
             sharp = 3.0 if self.steps > 8 else 0.5
             worst = np.exp(np.clip(sharp * (z - np.maximum.reduceat(z, first)[group]), -40, 0))
             worst /= np.add.reduceat(worst, first)[group]
             off = even * worst * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label)
             out = np.stack([-off, off], 1)
-            back = tally(number, (out @ u.T)[window_of] * part, len(one))
-            slopes = [tally(bucket, back[owner] * share, len(known)), bag.T @ out, out.sum(0)]
+            back = tally(number, out @ u.T, window_of, part, len(word))
+            slopes = [tally(bucket, back, owner, share, len(known)), bag.T @ out, out.sum(0)]
             for k, (slope, rate) in enumerate(zip(slopes, (0.3, 0.05, 0.05), strict=True)):
                 at = known if k == 0 else slice(None)
                 m, v = self.state[k]
@@ -153,7 +153,7 @@ def _cut(model: ToxicityModel, texts: list[str], most: int) -> tuple[list[str],
     """The `most` windows of each text that score highest, their texts' numbers, and each
     text's highest log odds."""
     out, number, top, done = [], [], [], 0
-    for part in text_groups(np.fromiter((len(t) + 20 for t in texts), np.int64, len(texts))):
+    for part in text_groups(np.fromiter((len(t) + 20 for t in texts), np.int64, len(texts)), 400_000):
         logit, first, begin, end, word, chars = model.windows(texts[part])
         text = np.repeat(np.arange(len(first) - 1), np.diff(first))
         order = np.lexsort((-logit, text))
