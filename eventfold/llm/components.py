@@ -47,6 +47,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether every node has one link to a node that has none."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """Rows (node, component) of all nodes in `links` (a, b), components by their least node.
 
@@ -57,14 +63,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b")
     now = saved(links.mapInArrow(_forest, LINKS).distinct(), "stars")
-    before = None
-    while True:
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
-        if state == before:
-            break
-        before = state
-        if not state["n"]:
-            break
+    while not _stars(now):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
