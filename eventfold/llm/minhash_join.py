@@ -4,11 +4,13 @@ Each distinct shingle set has a signature of COORDINATES minima and is posted un
 (coordinate, value) pairs. Sets that agree in at least MATCHES coordinates are candidates; as
 they must then meet under one of their rarest pairs, only a prefix of these is posted, pairs
 that one set alone has are skipped, and the agreeing coordinates are counted by comparing
-signatures. Candidates become links if their full shingle sets are similar enough.
+signatures. Candidates become links if their full shingle sets, which travel with them, are
+similar enough.
 
-Dense groups are not expanded into pairs: in each posting list a leader is compared first with
-the sets around it, links found are joined into components, and only sets that are still in
-different components meet each other after that. Long posting lists are split into blocks.
+Groups are not expanded into pairs: a pair is looked at in the posting list of its first common
+coordinate alone, and skipped if links found there have joined it already, so a list gives fewer
+links than it has sets. Long lists are split into blocks: each block by itself first, then pairs
+of blocks of those lists whose sets are in different components still.
 """
 
 from __future__ import annotations
@@ -28,9 +30,7 @@ from .sentencepiece_codec import by_size
 #: Coordinates that are posted, and further ones of eight bits that candidates are compared in.
 COORDINATES, WIDE = 32, 128
 #: Sets of a posting list that are compared in one task.
-BLOCK = 1024
-#: Passes in which leaders are compared before all remaining pairs.
-LEADER_PASSES = 2
+BLOCK = 2048
 
 _rng = np.random.default_rng(10)
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64)
@@ -135,136 +135,101 @@ def features(docs: DataFrame, words: int, *, key: str, text: str) -> DataFrame:
     return docs.select(docs[key], docs[text].cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def _column(c: pa.Array, width: int) -> np.ndarray:
+    """A column as an array, lists of one width as rows, other lists as objects."""
+    if not pa.types.is_list(c.type):
+        return c.to_numpy()
+    ends, flat = np.diff(c.offsets.to_numpy()), c.flatten().to_numpy()
+    if width:
+        return flat.reshape(len(ends), width)
+    out, at = np.empty(len(ends), object), 0
+    for i, n in enumerate(ends.tolist()):
+        out[i] = flat[at : at + n]
+        at += n
+    return out
+
+
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[np.ndarray]]:
     """Columns of each run of rows with equal first `n_keys` columns, from sorted batches."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
-        columns = [c.flatten().to_numpy().reshape(batch.num_rows, -1) if pa.types.is_list(c.type) else c.to_numpy() for c in batch.columns] if batch.num_rows else None
-        if columns is None:
+        if not batch.num_rows:
             continue
-        if held:
-            columns = [np.concatenate([h[k] for h in held] + [c]) for k, c in enumerate(columns)]
-            held = []
-        change = np.zeros(len(columns[0]) - 1, bool)
+        columns = [_column(c, WIDTHS.get(name, 0)) for name, c in zip(batch.schema.names, batch.columns, strict=True)]
+        change = np.zeros(batch.num_rows - 1, bool)
         for k in range(n_keys):
             change |= columns[k][1:] != columns[k][:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            yield [c[a:b] for c in columns]
-        held = [[c[cuts[-1] :] for c in columns]]
+            part = [c[a:b] for c in columns]
+            if held and any(held[-1][k][0] != part[k][0] for k in range(n_keys)):
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held = []
+            held.append(part)
     if held:
-        yield held[0]
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-#: Columns of the rows that meet in a posting list: where and in what order they do, whose
+#: Columns of the rows that meet in a posting list: where they do, the side they are on, whose
 #: they are, the posted coordinate, the mask of the set's posted coordinates, its size and
-#: signatures.
-MEETING = ("token", "block", "turn", "node", "component", "pos", "mask", "n", "signature", "wide")
+#: signatures, and its whole shingle set.
+MEETING = ("token", "block", "side", "node", "component", "pos", "mask", "n", "signature", "wide", "shingles")
+WIDTHS = {"signature": COORDINATES, "wide": WIDE}
 
 
 class _List:
-    """One posting list, or two blocks of it, as arrays."""
+    """One block of a posting list, or two, as arrays."""
 
     def __init__(self, columns: list[np.ndarray], percent: int):
-        _, _, self.turn, self.node, self.component, pos, self.mask, self.n, self.signature, self.wide = columns
+        _, _, self.side, self.node, component, pos, self.mask, self.n, self.signature, self.wide, self.shingles = columns
+        _, self.joined = np.unique(component, return_inverse=True)
         self.pos, self.percent = int(pos[0]), percent
         self.narrow_least, self.wide_least = matches(percent, COORDINATES), matches(percent, WIDE)
 
-    def candidates(self, i: int, among: np.ndarray, once: bool) -> np.ndarray:
-        """Those of `among` that may be similar enough to row i; with `once` only in the
-        posting list of their first common coordinate, as pairs meet in several."""
-        among = among[self.component[among] != self.component[i]]
+    def similar(self, i: int, among: np.ndarray) -> np.ndarray:
+        """Those of `among` that row i links with and isn't joined with, by their full sets."""
         low, high = np.minimum(self.n[among], self.n[i]), np.maximum(self.n[among], self.n[i])
-        among = among[100 * low >= self.percent * high]
+        among = among[(self.joined[among] != self.joined[i]) & (100 * low >= self.percent * high)]
         same = self.signature[among] == self.signature[i]
-        keep = same.sum(1) >= self.narrow_least
-        if once:
-            bits = (self.mask[among, None] & self.mask[i]) >> np.arange(COORDINATES) & 1
-            keep &= (same & (bits == 1)).argmax(1) == self.pos
-        among = among[keep]
-        return among[(self.wide[among] == self.wide[i]).sum(1) >= self.wide_least]
-
-
-def _leaders(percent: int):
-    """In each posting list, in the order of turns: the first set without a leader is compared
-    with those after it that are in another component."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Pairs()
-        for columns in _groups(batches, 2):
-            order = np.argsort(columns[2], kind="stable")
-            here = _List([c[order] for c in columns], percent)
-            free = np.ones(len(order), bool)
-            for i in range(len(order)):
-                if free[i]:
-                    free &= here.component != here.component[i]
-                    found = here.candidates(i, np.flatnonzero(free), False)
-                    free[found] = False
-                    out.add(here.node[i], here.node[found])
-            yield from out.full(4096)
-        yield from out.full(1)
-
-    return run
-
-
-def _all(percent: int):
-    """In each pair of blocks of a posting list: all candidates in different components. Rows
-    of the first block have turn 0, of the second 2; where a block meets itself, 1."""
-
+        bits = (self.mask[among, None] & self.mask[i]) >> np.arange(COORDINATES) & 1
+        # Pairs meet in several lists; the first one is theirs.
+        among = among[(same.sum(1) >= self.narrow_least) & ((same & (bits == 1)).argmax(1) == self.pos)]
+        among = among[(self.wide[among] == self.wide[i]).sum(1) >= self.wide_least]
+        if not len(among):
+            return among
+        own, flat = self.shingles[i], np.concatenate(self.shingles[among])
+        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        sizes = np.fromiter(map(len, self.shingles[among]), np.int64, len(among))
+        shared = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+        return among[100 * shared >= self.percent * (self.n[among] + self.n[i] - shared)]
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """Links that join rows which none before has joined. Side 0 meets side 2, 1 itself."""
+        right = np.flatnonzero(self.side > 0)
+        alone = bool((self.side == 1).any())
+        for i in np.flatnonzero(self.side < 2).tolist():
+            for j in self.similar(i, right[right > i] if alone else right).tolist():
+                if self.joined[i] != self.joined[j]:
+                    self.joined[self.joined == self.joined[j]] = self.joined[i]
+                    yield int(self.node[i]), int(self.node[j])
+
+
+def _links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Pairs()
+        out: list[tuple[int, int]] = []
         for columns in _groups(batches, 2):
-            here = _List(columns, percent)
-            alone = bool((here.turn == 1).any())
-            right = np.flatnonzero(here.turn > 0)
-            for i in np.flatnonzero(here.turn < 2).tolist():
-                among = right[here.node[right] > here.node[i]] if alone else right
-                out.add(here.node[i], here.node[here.candidates(i, among, True)])
-            yield from out.full(4096)
-        yield from out.full(1)
+            out += _List(columns, percent).links()
+            if len(out) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
     return run
 
 
-class _Pairs:
-    def __init__(self):
-        self.a, self.b, self.count = [], [], 0
-
-    def add(self, one: int, others: np.ndarray) -> None:
-        if len(others):
-            self.a.append(np.full(len(others), one, np.int64))
-            self.b.append(others)
-            self.count += len(others)
-
-    def full(self, least: int) -> Iterator[pa.RecordBatch]:
-        if self.count >= least:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(self.a)), pa.array(np.concatenate(self.b))], ["a", "b"])
-            self.__init__()
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets have 100 * shared >= percent * union."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
-        for b in batches:
-            keep = []
-            for i in range(b.num_rows):
-                if (one := b.column(0)[i].as_py()) != last:
-                    last, own = one, shingles([b.column(2)[i].as_py()], words)[0]
-                other = shingles([b.column(3)[i].as_py()], words)[0]
-                shared = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * shared >= percent * (len(own) + len(other) - shared):
-                    keep.append(i)
-            yield b.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
-
-
 def _widened(texts: DataFrame, words: int) -> DataFrame:
-    """Rows (node, n, wide) of texts that have shingles."""
+    """Rows (node, n, wide, shingles) of texts that have shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -273,9 +238,12 @@ def _widened(texts: DataFrame, words: int) -> DataFrame:
                 n = np.diff(starts)
                 some = np.flatnonzero(n)
                 offsets = (np.arange(len(some) + 1) * WIDE).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(n[some]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(wide_signatures(found, starts).reshape(-1)))], ["node", "n", "wide"])
+                # Ascending as unsigned numbers, kept so as signed ones.
+                upper = (found ^ np.uint64(2**63)).view(np.int64)
+                whole_sets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n[some]))).astype(np.int32)), pa.array(upper))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(n[some]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(wide_signatures(found, starts).reshape(-1))), whole_sets], ["node", "n", "wide", "shingles"])
 
-    return texts.mapInArrow(run, "node long, n long, wide array<tinyint>")
+    return texts.mapInArrow(run, "node long, n long, wide array<tinyint>, shingles array<long>")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -301,36 +269,28 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, key:
     chosen = ranked.where((F.col("c") >= least) & (F.col("nth") <= F.col("c") - least + 1))
     prefix = saved(chosen.select("token", "pos", "node", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks")).distinct(), "postings")
     masks = prefix.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, pos)")).alias("mask"))
-    texts = saved(docs.select(docs[key].cast("long").alias("node"), docs[text].cast("string").alias("text")).join(masks.select("node"), "node", "left_semi"), "texts")
+    texts = docs.select(docs[key].cast("long").alias("node"), docs[text].cast("string").alias("text")).join(masks.select("node"), "node", "left_semi")
     candidates = saved(nodes.join(masks, "node").join(_widened(texts, words), ["node", "n"]).distinct(), "candidates")
     links = docs.sparkSession.createDataFrame([], LINKS)
-    tested = None
     labels = candidates.select("node", F.col("node").alias("component")).distinct()
-    for step in range(LEADER_PASSES + 1):
-        open_ = prefix.join(labels, "node")
-        split = open_.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-        open_ = saved(open_.join(split, "token", "left_semi"), "open")
-        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")
-        if step < LEADER_PASSES:
-            met, find = open_.select("*", block.alias("block"), F.xxhash64(F.lit(step), "node").alias("turn")), _leaders(percent)
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")
+    for across in (False, True):
+        met = prefix.join(labels, "node").withColumn("own", block)
+        if across:
+            split = met.where("blocks > 1").groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+            met = met.join(split, "token", "left_semi").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with")).where("own <> with")
+            side, place = F.when(F.col("own") < F.col("with"), 0).otherwise(2), F.least("own", "with") * F.col("blocks") + F.greatest("own", "with")
         else:
-            # Every pair of blocks once.
-            met = open_.withColumn("own", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-            turn = F.when(F.col("own") < F.col("with"), 0).when(F.col("own") == F.col("with"), 1).otherwise(2).cast("long")
-            met = met.select("*", (F.least("own", "with") * F.col("blocks") + F.greatest("own", "with")).alias("block"), turn.alias("turn"))
-            find = _all(percent)
-        met = met.join(candidates, "node").select(*MEETING)
-        pairs = met.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(find, LINKS)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if step == 0:  # no set has a candidate at all
-                break
-            continue
-        tested = pairs if tested is None else tested.union(pairs)
-        links = links.union(saved(_verified(pairs, texts, words, percent), "links"))
-        joined = saved(components(links), "components")
-        labels = candidates.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+            side, place = F.lit(1), F.col("own")
+        met = met.select("token", place.alias("block"), side.cast("int").alias("side"), "node", "component", "pos")
+        rows = met.join(candidates, "node").select(*MEETING)
+        found_links = rows.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(_links(percent), LINKS)
+        pairs = saved(found_links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+        if not pairs.isEmpty():
+            links = links.union(pairs)
+            labels = saved(candidates.select("node").distinct().join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
+        if across or prefix.where("blocks > 1").isEmpty():
+            break
     joined = labels.where("component <> node")
     out = members.select("id", "n", "node").join(joined, "node", "left").select("id", "n", F.coalesce("component", "node").alias("component_id"))
     rest = found.where("n = 0 or id is null").select("id", "n", F.when(F.col("id").isNotNull(), F.col("id").cast("long")).alias("component_id"))
