@@ -9,7 +9,7 @@ import re
 import numpy as np
 
 #: Entries of a worker's table, of which there are two; about 200 bytes each.
-TABLE_ENTRIES = 500_000
+TABLE_ENTRIES = 600_000
 #: White space as Unicode defines it, which Python's \s exceeds by four control characters.
 BLANK = "\t-\r \x85\xa0  -     　"
 
