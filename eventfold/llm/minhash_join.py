@@ -4,7 +4,7 @@ Each distinct shingle set has a signature of COORDINATES minima and is posted un
 (coordinate, value) pairs. Sets that agree in at least MATCHES coordinates are candidates; as
 they must then meet under one of their rarest pairs, only a prefix of these is posted, pairs
 that one set alone has are skipped, and the agreeing coordinates are counted by comparing
-signatures. Candidates become links if their full shingle sets, which travel with them, are
+signatures. Candidates become links if their full shingle sets, fetched for candidates alone, are
 similar enough.
 
 Groups are not expanded into pairs: a pair is looked at in the posting list of its first common
@@ -181,20 +181,32 @@ class _List:
     """One block of a posting list, or two, as arrays."""
 
     def __init__(self, columns: list[np.ndarray], percent: int):
-        _, _, self.side, self.node, component, pos, self.mask, self.n, self.signature, self.wide, self.shingles = columns
+        self.token, self.block, self.side, self.node, component, pos, self.mask, self.n, self.signature, self.wide, *rest = columns
+        self.shingles = rest[0] if rest else None
         _, self.joined = np.unique(component, return_inverse=True)
         self.pos, self.percent = int(pos[0]), percent
         self.narrow_least, self.wide_least = matches(percent, COORDINATES), matches(percent, WIDE)
+        self.right = np.flatnonzero(self.side > 0)
+        self.alone = bool((self.side == 1).any())
 
-    def similar(self, i: int, among: np.ndarray) -> np.ndarray:
-        """Those of `among` that row i links with and isn't joined with, by their full sets."""
+    def turns(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row with those it may be compared with. Side 0 meets side 2, 1 itself."""
+        for i in np.flatnonzero(self.side < 2).tolist():
+            yield i, self.right[self.right > i] if self.alone else self.right
+
+    def candidates(self, i: int, among: np.ndarray) -> np.ndarray:
+        """Those of `among` that row i isn't joined with and may link with, by size and signatures."""
         low, high = np.minimum(self.n[among], self.n[i]), np.maximum(self.n[among], self.n[i])
         among = among[(self.joined[among] != self.joined[i]) & (100 * low >= self.percent * high)]
         same = self.signature[among] == self.signature[i]
         bits = (self.mask[among, None] & self.mask[i]) >> np.arange(COORDINATES) & 1
         # Pairs meet in several lists; the first one is theirs.
         among = among[(same.sum(1) >= self.narrow_least) & ((same & (bits == 1)).argmax(1) == self.pos)]
-        among = among[(self.wide[among] == self.wide[i]).sum(1) >= self.wide_least]
+        return among[(self.wide[among] == self.wide[i]).sum(1) >= self.wide_least]
+
+    def similar(self, i: int, among: np.ndarray) -> np.ndarray:
+        """Those of `among` that row i links with and isn't joined with, by their full sets."""
+        among = self.candidates(i, among)
         if not len(among):
             return among
         own, flat = self.shingles[i], np.concatenate(self.shingles[among])
@@ -204,15 +216,41 @@ class _List:
         return among[100 * shared >= self.percent * (self.n[among] + self.n[i] - shared)]
 
     def links(self) -> Iterator[tuple[int, int]]:
-        """Links that join rows which none before has joined. Side 0 meets side 2, 1 itself."""
-        right = np.flatnonzero(self.side > 0)
-        alone = bool((self.side == 1).any())
-        for i in np.flatnonzero(self.side < 2).tolist():
-            for j in self.similar(i, right[right > i] if alone else right).tolist():
+        """Links that join rows which none before has joined."""
+        for i, among in self.turns():
+            for j in self.similar(i, among).tolist():
                 if self.joined[i] != self.joined[j]:
                     self.joined[self.joined == self.joined[j]] = self.joined[i]
                     yield int(self.node[i]), int(self.node[j])
 
+    def open(self) -> list[np.ndarray]:
+        """Rows that have a candidate here; the others need no full set."""
+        some = np.zeros(len(self.node), bool)
+        for i, among in self.turns():
+            found = self.candidates(i, among)
+            some[found] = True
+            some[i] |= len(found) > 0
+        return [c[some] for c in (self.token, self.block, self.side, self.node)]
+
+
+def _open(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, count = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "block", "side", "node"])
+
+        for columns in _groups(batches, 2):
+            out.append(_List(columns, percent).open())
+            count += len(out[-1][0])
+            if count > 8192 or len(out) > 8192:
+                yield batch()
+                out, count = [], 0
+        if out:
+            yield batch()
+
+    return run
+
 
 def _links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +321,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, key:
         else:
             side, place = F.lit(1), F.col("own")
         met = met.select("token", place.alias("block"), side.cast("int").alias("side"), "node", "component", "pos")
-        rows = met.join(candidates, "node").select(*MEETING)
+        rows = met.join(candidates.drop("shingles"), "node").select(*MEETING[:-1])
+        open_ = rows.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(_open(percent), "token long, block long, side int, node long")
+        open_ = saved(open_.join(met.select("token", "node", "component", "pos").distinct(), ["token", "node"]), "open")
+        rows = open_.join(candidates, "node").select(*MEETING)
         found_links = rows.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(_links(percent), LINKS)
         pairs = saved(found_links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
         if not pairs.isEmpty():
