@@ -7,7 +7,7 @@ Short segments are merged many at a time in numpy, one agenda pop per segment an
 round; long ones use a heap.
 
 No piece spans a non-space character followed by the space mark, so a text falls into
-segments that never merge with each other. Segments repeat; each Python worker keeps a
+segments that never merge with each other. Segments repeat; each task keeps a
 bounded table of them. Every segment that enters the table is compared with the
 sentencepiece library in the same Arrow batch, and the library's ids hold if they
 ever differ.
@@ -15,7 +15,6 @@ ever differ.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import re
 from collections.abc import Iterator
@@ -26,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Entries of a worker's table, of which there are two; about 200 bytes each.
-TABLE_ENTRIES = 400_000
+#: Entries of a task's table, of which there are two; about 200 bytes each. They end with the
+#: task: a Python worker goes on to other stages, which need the memory.
+TABLE_ENTRIES = 300_000
 #: Segments of up to so many characters are merged in numpy.
 WIDE = 40
 NEVER = np.int32(2**31 - 1)
@@ -193,7 +193,7 @@ class BpeVocabulary:
 
 
 class Codec:
-    """Encoder and decoder of one Python worker, with its bounded table of segments."""
+    """Encoder and decoder of one task, with its bounded table of segments."""
 
     def __init__(self, model_path: str, entries: int = TABLE_ENTRIES):
         self.vocabulary = BpeVocabulary(model_path)
@@ -247,12 +247,6 @@ class Codec:
         return out
 
 
-@functools.lru_cache(1)
-def worker_codec(model_path: str) -> Codec:
-    """One codec for all tasks of a Python worker."""
-    return Codec(model_path)
-
-
 def encode_decode(docs: DataFrame, model_path: str, *, key: str = "doc_id", text: str = "text", decode: bool = True) -> DataFrame:
     """Rows (key, ids array<int>, decoded string) of every row of `docs`, in no order.
 
@@ -267,7 +261,7 @@ def encode_decode(docs: DataFrame, model_path: str, *, key: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for whole in batches:
-            codec = codec or worker_codec(model_path)
+            codec = codec or Codec(model_path)
             for batch in by_size(whole):
                 texts = batch.column(1).to_pylist()
                 ids, counts = codec.encode(texts)
