@@ -59,10 +59,10 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .token_counts import count_tokens, write_flat
+    from .token_counts import END_OF_TEXT, count_tokens, write_flat
 
-    folder, order = write_flat(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
-    return count_tokens(spark, folder, separator=0).join(order, ["file", "doc_no"]).select("doc_id", "n_tokens")
+    folder, order = write_flat(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=END_OF_TEXT)
+    return count_tokens(spark, folder, separator=END_OF_TEXT).join(order, ["file", "doc_no"]).select("doc_id", "n_tokens")
 
 
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,15 +15,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import local_fs, saved
+from .token_ids import SegmentEncoder
 from .token_store import _made, id_width, write_shards
 
 #: Ids of a block.
 BLOCK_IDS = 4_000_000
+#: End of text in byte_bpe_50k: an id that no text yields, as its spelling is encoded as plain text.
+END_OF_TEXT = 50256
 
 
-def write_flat(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, key: str = "doc_id", text: str = "text") -> tuple[str, DataFrame]:
+def write_flat(docs: DataFrame, tokenizer_path: str, *, end_id: int = END_OF_TEXT, key: str = "doc_id", text: str = "text") -> tuple[str, DataFrame]:
     """Folder of flat files, one for each partition of `docs`, and the documents' order in them
-    as rows (file, doc_no, key). Null and empty texts give the end id alone."""
+    as rows (file, doc_no, key). Null and empty texts give the end id alone. As files have no
+    index, an end id that texts can yield is an error."""
+    if SegmentEncoder(tokenizer_path).yields(end_id):
+        raise ValueError(f"id {end_id} stands for text in this vocabulary and can't end documents")
     spark = docs.sparkSession
     folder = _made(spark, "flat-tokens")
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
@@ -40,7 +46,7 @@ def flat_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
     return sorted((f.getPath().getName(), f.getLen()) for f in found if f.getPath().getName().endswith(".bin"))
 
 
-def count_tokens(spark: SparkSession, folder: str, *, separator: int = 0, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
+def count_tokens(spark: SparkSession, folder: str, *, separator: int = END_OF_TEXT, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Rows (file, doc_no, start, n_tokens, closed) of every document in the folder's .bin files.
 
     `start` and `n_tokens` count ids within the file, the separator included; doc_no counts

@@ -41,6 +41,11 @@ class SegmentEncoder:
         self.table: dict[str, bytes] = {}
         self.aside: dict[str, bytes] = {}
 
+    def yields(self, id_: int) -> bool:
+        """Whether a text can have this id; special tokens are encoded as plain text."""
+        special = self.library.get_added_tokens_decoder().get(id_)
+        return self.library.id_to_token(id_) is not None and not (special and special.special)
+
     def _found(self, segments: list[str]) -> list[bytes]:
         """Ids of each segment. A full table is set aside for a new one, to which entries move
         when they are used again."""

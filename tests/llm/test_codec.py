@@ -85,3 +85,17 @@ def test_store_and_counts(spark, n):
         got = count_tokens(spark, folder, block_ids=block).join(order, ["file", "doc_no"]).collect()
         assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == sorted((str(r["doc_id"]), r["n_tokens"]) for r in out)
         assert all(r["closed"] for r in got)
+
+
+def test_counts_of_texts_with_every_kind_of_mark(spark, tmp_path):
+    from eventfold.llm.queries import op6_token_counts
+
+    given = ["Hi! yes", "!", "! ! !", "a!\n!b", "<|endoftext|>", "plain", "", None, "! <|endoftext|> !"]
+    spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    path = vocabulary("byte_bpe_50k.json")
+    e = SegmentEncoder(path)
+    got = op6_token_counts(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(k, len(e.library.encode(t or "", add_special_tokens=False).ids) + 1) for k, t in enumerate(given)]
+    assert e.yields(0) and not e.yields(50256)
+    with pytest.raises(ValueError):
+        write_flat(spark.createDataFrame([(1, "a")], "doc_id long, text string"), path, end_id=0)
