@@ -74,7 +74,7 @@ def shingles(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarra
     n = np.diff(bounds)
     sums = np.zeros(len(word), np.uint64)
     for k in range(words):
-        sums[: len(word) - k] += word[k:] * _PLACE[k] if k else word * _PLACE[0]
+        sums[: max(0, len(word) - k)] += word[k:] * _PLACE[k] if k else word * _PLACE[0]
     found = _mixed(sums)
     out, starts = [], [0]
     for i in range(len(texts)):

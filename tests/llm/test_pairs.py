@@ -66,6 +66,20 @@ def test_near_duplicates(spark, monkeypatch):
     assert minhash_join.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("words", [4, 5])
+def test_slices_of_few_words(spark, words):
+    for n in range(7):
+        text = " ".join("abcdefg"[:n])
+        for given in ([text], [text, None], ["", text]):  # alone, as in a slice of their own
+            found, starts = minhash_join.shingles(given, words)
+            assert len(found) == starts[-1] == len(shingled(text, words)) and len(set(found.tolist())) == len(found)
+            apart = minhash_join.shingles([*given, "long " * 20], words)[0][: len(found)]
+            assert found.tolist() == apart.tolist()
+    rows = [(1, "one two"), (2, "x " * 300_000), (3, "one two"), (4, "one two three"), (5, "One two  three")]
+    got = minhash_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), words=words).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 4), (5, 1, 4)]
+
+
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     rng = np.random.default_rng(5)
