@@ -4,7 +4,7 @@ Symbols are runs of up to eight characters between blanks. Of every k = 4 symbol
 inner pairs (s = 2) are hashed; where the least of the three hashes stands at either edge, the
 four symbols are an anchor. Whether they are depends on them alone, so texts that share a
 passage share its anchors, wherever it stands. A fingerprint is the least hashes of a text's
-anchors; the share of anchors that two texts have in common follows from two fingerprints.
+anchors. How alike two texts are is counted over all anchors of both, each as often as it occurs.
 """
 
 from __future__ import annotations
@@ -47,8 +47,8 @@ def anchors(text: Column) -> Column:
     return F.when(F.size(symbols) > 0, found).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
 
 
-def sketch(text: Column) -> Column:
-    """The SKETCH least distinct hashes of the text's anchors, ascending."""
+def hashes(text: Column) -> Column:
+    """64-bit hashes of all anchors of the text, in order; `anchors` has their upper halves."""
     edge = F.array(*[F.lit(0).cast("long")] * 3)
 
     def pairs(h: Column) -> Column:
@@ -57,31 +57,47 @@ def sketch(text: Column) -> Column:
 
     def chosen(g: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), F.size(g) - 3), lambda i: F.least(F.get(g, i), F.get(g, i + 2)) <= F.get(g, i + 1))
-        return F.transform(at, lambda i: F.shiftrightunsigned(F.xxhash64(F.get(g, i), F.get(g, i + 2)), 32))
+        return F.transform(at, lambda i: F.xxhash64(F.get(g, i), F.get(g, i + 2)))
 
     def of(symbols: Column) -> Column:
         padded = F.concat(edge, F.transform(symbols, lambda s: F.xxhash64(s)), edge)
-        found = let(padded, lambda h: let(pairs(h), chosen))
-        least = F.slice(F.sort_array(F.array_distinct(found)), 1, SKETCH)
-        return F.when(F.size(symbols) > 0, least).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(symbols) > 0, let(padded, lambda h: let(pairs(h), chosen))).otherwise(F.array().cast("array<bigint>"))
 
     return let(F.regexp_extract_all(text, F.lit(r"(\S{1,8})"), F.lit(1)), of)
 
 
+def sketch(found: Column) -> Column:
+    """The SKETCH least distinct ones of the upper halves of the anchors' hashes, ascending."""
+    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda x: F.shiftrightunsigned(x, 32)))), 1, SKETCH)
+
+
+def numbered(found: Column) -> Column:
+    """The hashes made distinct: each one's first occurrence stands for itself, a further one is
+    hashed with its number, so that an intersection counts each hash as often as both have it."""
+    none = F.array().cast("array<bigint>")
+
+    def of(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda at: F.when(F.size(at) == F.size(s), s).otherwise(F.concat(F.array_distinct(s), again(s, at))))
+
+    def again(s: Column, at: Column) -> Column:
+        ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s)))
+        more = lambda a, b: F.when(b - a > 1, F.transform(F.sequence(F.lit(1), b - a - 1), lambda nth: F.xxhash64(F.get(s, a), nth))).otherwise(none)
+        return F.flatten(F.zip_with(at, ends, more))
+
+    return F.when(F.size(found) > 0, let(F.sort_array(found), of)).otherwise(none)
+
+
 def digest(least: Column) -> Column:
     """A sketch as text: eight hexadecimal digits for each hash."""
     return F.array_join(F.transform(least, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of anchors in common, 2 |A and B| / (|A| + |B|), estimated from two sketches; 1 for
-    two texts without anchors, 0 if one alone has none."""
-
-    def of(union: Column) -> Column:
-        both = F.size(F.array_intersect(F.array_intersect(a, b), union))
-        return F.when(F.size(union) == 0, 1.0).otherwise(2.0 * both / (F.size(union) + both))
-
-    return let(F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH), of)
+    """Share of anchors in common, 2 |A and B| / (|A| + |B|), counted over all anchors of two
+    texts as `numbered` gives them; 1 for two texts without anchors, 0 if one alone has none."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(2.0 * both / (F.size(a) + F.size(b)))
 
 
 def with_next(docs: DataFrame, add: dict[str, Column] | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,19 +135,23 @@ def edited(text: Column, n: Column, following: Column) -> Column:
 
 def compare_with_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next), one
-    for each row of `docs`: likeness of each whole text to its edited form and to the next text.
+    for each row of `docs`: likeness of each whole text to its edited form and to the next text,
+    from all their anchors; fingerprints are digests alone.
 
     Equal texts have equal fingerprints; null and empty texts have an empty one, which is like
     other empty ones only. In a table of one row the row follows itself; an empty table gives none.
     """
-    led = with_next(docs, {"own": sketch(F.col("text"))}, key=key, text=text).withColumn("n", F.length("text"))
-    out = led.withColumn("edited", edited(F.col("text"), F.col("n"), F.col("next_text"))).withColumn("changed", sketch(F.col("edited")))
+    # Anchors are found after the rows are ordered: they are larger than the texts.
+    led = with_next(docs, key=key, text=text).withColumn("n", F.length("text"))
+    out = led.withColumn("edited", edited(F.col("text"), F.col("n"), F.col("next_text")))
+    out = out.select(key, "n", "edited", *(hashes(F.col(c)).alias(f"of_{c}") for c in ("text", "edited", "next_text")))
+    out = out.select("*", *(numbered(F.col(f"of_{c}")).alias(f"all_{c}") for c in ("text", "edited", "next_text")))
     return out.select(
         key,
         F.col("n").cast("long").alias("n_chars"),
         "edited",
-        digest(F.col("own")).alias("fingerprint"),
-        digest(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+        digest(sketch(F.col("of_text"))).alias("fingerprint"),
+        digest(sketch(F.col("of_edited"))).alias("edited_fingerprint"),
+        likeness(F.col("all_text"), F.col("all_edited")).alias("near_edited"),
+        likeness(F.col("all_text"), F.col("all_next_text")).alias("near_next"),
     )

@@ -1,7 +1,7 @@
 """Near duplicates, embeddings, components, mixing, syncmers and the pipeline, by brute force."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -154,6 +154,31 @@ def test_syncmers(spark):
     assert [x["at"] for x in found] == sorted(x["at"] for x in found) and found
 
 
+def test_syncmers_count_all_anchors(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    passage = text(60)
+    pair = [f"{text(9000)} {passage} {text(10940)}", f"{text(15000)} {passage} {text(4940)}"]
+    line = "the same line of ten words stands here again and "
+    rows = list(enumerate([*pair, line * 300, text(400), "a b c d", "a b c d " * 3, ""]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in syncmers.compare_with_edits(df).collect()}
+    found = {r["doc_id"]: [x["hash"] for x in r["a"]] for r in df.select("doc_id", syncmers.anchors(F.col("text")).alias("a")).collect()}
+    edits = spark.createDataFrame([(k, r["edited"]) for k, r in out.items()], "doc_id long, text string")
+    changed = {r["doc_id"]: [x["hash"] for x in r["a"]] for r in edits.select("doc_id", syncmers.anchors(F.col("text")).alias("a")).collect()}
+
+    def share(a, b):
+        return 2 * (Counter(a) & Counter(b)).total() / (len(a) + len(b)) if a or b else 1.0
+
+    for k in found:
+        # anchors() has 32 bits of a hash: in 20,000 words a few may meet by chance.
+        assert out[k]["near_next"] == pytest.approx(share(found[k], found[(k + 1) % len(found)]), abs=1e-4)
+        assert out[k]["near_edited"] == pytest.approx(share(found[k], changed[k]), abs=1e-4)
+        assert out[k]["fingerprint"] == "".join(f"{x:08x}" for x in sorted(set(found[k]))[: syncmers.SKETCH])
+    assert 0.001 < out[0]["near_next"] < 0.01
+    assert out[2]["near_edited"] > 0.7
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
