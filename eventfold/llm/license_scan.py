@@ -89,11 +89,25 @@ class Scanner:
         for i in sorted(wide):
             last = -1
             for a, b in wide[i]:
-                for m in self.patterns[i][1].finditer(words, max(a, last), b):
-                    out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    last = m.end() if self.notices[i].k else last
+                for start, stop, errors in self._places(i, words, max(a, last), b):
+                    out.append((i, start, stop, errors))
+                    last = stop if self.notices[i].k else last
         return out
 
+    def _places(self, i: int, words: str, a: int, b: int) -> list[tuple[int, int, int]]:
+        """(start, end, errors) of notice i between a and b: the best match first, then those of
+        the parts before and after it, as finditer alone goes on after it."""
+        (whole, pattern), k = self.patterns[i], self.notices[i].k
+        if not k:
+            return [(m.start(), m.end(), 0) for m in pattern.finditer(words, a, b)]
+        out, open_ = [], [(a, b)]
+        while open_:
+            a, b = open_.pop()
+            if b - a >= len(whole) - k and (m := pattern.search(words, a, b)):
+                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                open_ += [(a, m.start()), (m.end(), b)]
+        return sorted(out)
+
 
 MATCH = "label string, base boolean, first_word long, n_words long, errors int, likeness double"
 

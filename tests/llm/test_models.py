@@ -74,3 +74,17 @@ def test_licence_places(spark, docs):
         assert sorted((m["first_word"], m["label"]) for m in got[i]["matches"] if m["base"]) == want
     label = lambda k: {(m["label"], m["errors"]) for m in got[10**6 + k]["matches"] if not m["base"]}
     assert label(6) == {("apache-2.0", 3)} and ("reserved", 2) in label(8) and ("mit", 1) in label(9) and not label(4)
+
+
+def test_edited_notices_before_better_ones():
+    from eventfold.llm.license_scan import NOTICES, Scanner
+
+    scanner = Scanner()
+    reserved = len(scanner.notices) - 1
+    assert scanner.notices[reserved] == NOTICES[-1]
+    exact, edited = "all rights reserved", "all rights reservd"
+    for order in ([edited, exact], [edited, edited, exact], [exact, edited, exact], [edited, exact, edited], [edited] * 3 + [exact] * 3):
+        got = [(e, n) for i, _, e, n in scanner.matches(f" {' '.join(order)} ") if i == reserved]
+        assert [n for _, n in got] == [int(x == edited) for x in order], order
+        ends = [len(" ".join(order[: k + 1])) + 1 for k in range(len(order))]
+        assert all(abs(e - x) <= 1 for (e, _), x in zip(got, ends, strict=True))
