@@ -9,8 +9,8 @@ round; long ones use a heap.
 No piece spans a non-space character followed by the space mark, so a text falls into
 segments that never merge with each other. Segments repeat; each task keeps a
 bounded table of them. Every segment that enters the table is compared with the
-sentencepiece library in the same Arrow batch, and the library's ids hold if they
-ever differ.
+sentencepiece library in the same Arrow batch; should they ever differ, the job ends
+with an error that names the segment.
 """
 
 from __future__ import annotations
@@ -176,7 +176,8 @@ class BpeVocabulary:
         return [ids[2:] for ids in self.library.encode([f"\n{s}" for s in segments], num_threads=1)]
 
     def encode_segments(self, segments: list[str]) -> list[list[int]]:
-        """Ids of distinct, non-empty segments, checked against the library."""
+        """Ids of distinct, non-empty segments from the agenda. They are checked against the
+        library; a difference is an error."""
         own: dict[str, list[int]] = {}
         marked = {s: s.replace(" ", SPACE) for s in segments}
         short: list[str] = []
@@ -189,7 +190,10 @@ class BpeVocabulary:
         for k in range(0, len(short), 4096):
             part = short[k : k + 4096]
             own.update(zip(part, self.merge_many([marked[s] for s in part]), strict=True))
-        return [b if own[s] != b else own[s] for s, b in zip(segments, self._by_library(segments), strict=True)]
+        for s, ids in zip(segments, self._by_library(segments), strict=True):
+            if own[s] != ids:
+                raise ValueError(f"agenda and library differ on segment {s!r}: {own[s]}, {ids}")
+        return [own[s] for s in segments]
 
 
 class Codec:

@@ -37,6 +37,16 @@ def test_both_agendas_agree_with_the_library():
     assert v.merge_many(marked) == [v.merge_long(m) for m in marked] == v._by_library(words)
 
 
+def test_ids_are_the_agendas(monkeypatch):
+    v = Codec(vocabulary("piece_bpe_32k.model")).vocabulary
+    segments = [" hello", "x" * 60]
+    assert v.encode_segments(segments) == v._by_library(segments)
+    for name, wrong in (("merge_many", lambda given: [[0]] * len(given)), ("merge_long", lambda given: [0])):
+        with monkeypatch.context() as m, pytest.raises(ValueError):
+            m.setattr(v, name, wrong)
+            v.encode_segments(segments)
+
+
 def test_encode_decode_rows(spark):
     rows = [(1, "a b"), (1, "a b"), (None, ""), (2, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as ids", "1 as decoded", "2 as key")
