@@ -27,16 +27,17 @@ END_OF_TEXT = 50256
 def write_flat(docs: DataFrame, tokenizer_path: str, *, end_id: int = END_OF_TEXT, key: str = "doc_id", text: str = "text") -> tuple[str, DataFrame]:
     """Folder of flat files, one for each partition of `docs`, and the documents' order in them
     as rows (file, doc_no, key). Null and empty texts give the end id alone. As files have no
-    index, an end id that texts can yield is an error."""
-    if SegmentEncoder(tokenizer_path).yields(end_id):
+    index, the spelling of a special token in a text is ordinary text here, and an end id that
+    texts can yield is an error."""
+    if SegmentEncoder(tokenizer_path, plain=True).yields(end_id):
         raise ValueError(f"id {end_id} stands for text in this vocabulary and can't end documents")
     spark = docs.sparkSession
     folder = _made(spark, "flat-tokens")
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
     width = id_width(tokenizer_path, end_id)
-    entries = saved(write_shards(rows, folder, tokenizer_path, end_id, width).select("shard", "key", "at"), "order")
+    entries = saved(write_shards(rows, folder, tokenizer_path, end_id, width, plain=True).select("shard", "key", "doc_no"), "order")
     names = F.format_string("shard-%06d.bin", F.col("shard"))
-    order = entries.select(names.alias("file"), (F.row_number().over(Window.partitionBy("shard").orderBy("at")) - 1).cast("long").alias("doc_no"), F.col("key").alias(key))
+    order = entries.select(names.alias("file"), "doc_no", F.col("key").alias(key))
     return folder, order
 
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,8 @@ from .token_ids import SegmentEncoder, worker_encoder
 INDEX_KEYS = 100_000
 #: Bits of a level for each key that is left; levels before the rest is kept in a sorted list.
 BITS_A_KEY, LEVELS = 1.6, 48
+#: Numbers of one key that are made together when it is read.
+CHUNK = 4096
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -136,37 +138,37 @@ def id_width(tokenizer_path: str, end_id: int | None) -> int:
     return 2 if max(SegmentEncoder(tokenizer_path).size - 1, end_id or 0) < 2**16 else 4
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None, width: int) -> DataFrame:
-    """Writes one shard for each partition of `docs` (key, text); a row (shard, key, nth, at,
-    n) for each document, in order: nth counts equal keys that follow each other in the shard."""
+def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None, width: int, *, plain: bool = False) -> DataFrame:
+    """Writes one shard for each partition of `docs` (key, text); a row (shard, key, nth, doc_no,
+    at, n) for each document, in order: nth counts equal keys that follow each other in the
+    shard, doc_no all documents of the shard. `plain` takes special tokens for ordinary text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encoder, at, last, nth = TaskContext.get().partitionId(), None, 0, object(), 0
+        shard, encoder, at, last, nth, done = TaskContext.get().partitionId(), None, 0, object(), 0, 0
         fs, path = local_fs(folder)
         name = f"{path}/shard-{shard:06d}.bin"
         there, out = f"{name}.{uuid.uuid4().hex}.part", None
         for whole in batches:
-            encoder = encoder or worker_encoder(tokenizer_path)
+            encoder = encoder or worker_encoder(tokenizer_path, plain)
             for batch in by_size(whole):
                 out = out or fs.open_output_stream(there)
-                payloads = encoder.payloads(batch.column(1).to_pylist(), end_id)
-                joined = np.frombuffer(b"".join(payloads), "<u4")
-                out.write(joined.astype("<u2").tobytes() if width == 2 else joined.tobytes())
-                n = np.fromiter((len(p) // 4 for p in payloads), np.int64, len(payloads))
+                ids, n = encoder.encode(batch.column(1), end_id)
+                out.write(ids.astype(f"<u{width}").tobytes())
                 times = []
                 for key in batch.column(0).to_pylist():
                     nth = nth + 1 if key == last else 0
                     last = key
                     times.append(nth)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), batch.column(0), pa.array(times, pa.int64()), pa.array(at + np.cumsum(n) - n), pa.array(n)], ["shard", "key", "nth", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), batch.column(0), pa.array(times, pa.int64()), pa.array(done + np.arange(len(n), dtype=np.int64)), pa.array(at + np.cumsum(n) - n), pa.array(n)], schema.names)
                 at += int(n.sum())
+                done += len(n)
         if out:
             out.close()
             fs.move(there, name)
 
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("key", docs.schema["key"].dataType), T.StructField("nth", T.LongType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType())])
+    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("key", docs.schema["key"].dataType), *T.StructType.fromDDL("nth long, doc_no long, at long, n long").fields])
     return docs.select("key", "text").mapInArrow(run, schema)
 
 
@@ -174,16 +176,17 @@ def write_store(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 0,
     """Writes all rows of `docs` in ascending key order as a store; its folder, below the
     folder that the executors share.
 
-    Whole texts are encoded without special tokens and closed by `end_id` (None: not closed);
-    null and empty texts give the end id alone. Null keys come first. Rows with equal keys
-    are all kept, in the order of their texts' hashes, and are told apart by their number.
-    An empty table gives a store without shards. Other columns are not read.
+    Whole texts are encoded as the library does by default, without added special tokens (the
+    spelling of one in a text is that token), and closed by `end_id` (None: not closed); null
+    and empty texts give the end id alone. Null keys come first. Rows with equal keys are all
+    kept, in the order of their texts' hashes, and are told apart by their number; equal rows are
+    dealt over shards too. An empty table gives a store without shards. Other columns are not read.
     """
     spark = docs.sparkSession
     folder, width = _made(spark, "token-store"), id_width(tokenizer_path, end_id)
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
-    entries = saved(write_shards(ordered, folder, tokenizer_path, end_id, width), "entries")
+    ordered = rows.withColumn("spread", F.monotonically_increasing_id()).repartitionByRange("key", "tie", "spread").sortWithinPartitions("key", "tie")
+    entries = saved(write_shards(ordered, folder, tokenizer_path, end_id, width).drop("doc_no"), "entries")
     # One row for each shard: where it starts, and equal keys that run on from the shards before.
     ends = entries.groupBy("shard").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.min(F.struct("at", "key")).key.alias("first"), F.max(F.struct("at", "key")).key.alias("last"), F.max(F.struct("at", "nth")).nth.alias("last_nth"))
     base, before, run_on, shards = 0, None, 0, []
@@ -240,7 +243,10 @@ def read_store(keys: DataFrame, folder: str, *, key: str = "doc_id", payload: bo
     """
     info = store_info(folder)
     width, bases = info["width"], dict(map(tuple, info["shards"]))
-    wanted = keys.select(keys[key].alias("key")).withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key")).cast("long") - 1)
+    # Keys are counted before they are dealt, and their numbers made in two steps of chunks.
+    chunks = keys.groupBy(keys[key].alias("key")).agg(F.count("*").alias("times")).select("key", "times", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / CHUNK))).alias("chunk"))
+    first = F.col("chunk") * CHUNK
+    wanted = chunks.select("key", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("times")) - 1)).alias("nth"))
     wanted = wanted.select("key", "nth", *_hashed(info["parts"]))
     field = T.StructField("key", wanted.schema["key"].dataType)
     placed_type = T.StructType([field, *T.StructType.fromDDL("nth long, shard int, at long, n long").fields])
@@ -268,6 +274,10 @@ def read_store(keys: DataFrame, folder: str, *, key: str = "doc_id", payload: bo
         held, file = None, None
         for b in batches:
             shard, at, n = (b.column(k).to_numpy() for k in ("shard", "at", "n"))
+            if not payload:
+                start = np.array([bases[s] for s in shard.tolist()], np.int64) + at
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("nth"), pa.array(start), pa.array(n), pa.nulls(b.num_rows, pa.binary())], out_type.names)
+                continue
             begin = 0
             while begin < b.num_rows:
                 cut, size = begin, 0
@@ -294,7 +304,4 @@ def read_store(keys: DataFrame, folder: str, *, key: str = "doc_id", payload: bo
     # About as many tasks as index parts, then as shards: each opens few files.
     placed = wanted.repartition("part").sortWithinPartitions("part").mapInArrow(place, placed_type) if parts > 1 else wanted.mapInArrow(place, placed_type)
     placed = placed.repartition("shard").sortWithinPartitions("shard", "at")
-    if not payload:
-        base = F.udf(lambda s: bases[s], "long")
-        return placed.select(F.col("key").alias(key), "nth", (base("shard") + F.col("at")).alias("start"), F.col("n").alias("n_tokens"), F.lit(None).cast("binary").alias("ids"))
     return placed.mapInArrow(fetch, out_type).withColumnRenamed("key", key)

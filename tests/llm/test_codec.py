@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
+from tokenizers import Tokenizer
 
 from eventfold.llm.queries import vocabulary
 from eventfold.llm.sentencepiece_codec import Codec, encode_decode
@@ -12,7 +14,7 @@ from eventfold.llm.token_counts import count_tokens, write_flat
 from eventfold.llm.token_ids import SegmentEncoder
 from eventfold.llm.token_store import IndexPart, MinimalPerfectHash, _index_bytes, read_store, write_store
 
-ODD = ["", None, " ", "  a  b ", "▁a▁ b", "\x00x\r\n", "é é ﬁ Å", "<s> </s> <unk>", "😀😀 ", "\n\n a\n b \n", " " * 300 + "x", "a" * 1000, "аб" * 200, "Thsh " * 300, "中文　字", "<|endoftext|>", "it's we'll  'll"]
+ODD = ["", None, " ", "  a  b ", "▁a▁ b", "\x00x\r\n", "é é ﬁ Å", "<s> </s> <unk>", "😀😀 ", "\n\n a\n b \n", " " * 300 + "x", "a" * 1000, "аб" * 200, "Thsh " * 300, "中文　字", "<|endoftext|>", "a <|endoftext|> b", "it's we'll  'll", "! Hi!", "\u2160\u00b2\u0663 12'3 x''s \u01c5\u200d"]
 
 
 def texts():
@@ -21,7 +23,7 @@ def texts():
 
 
 def test_ids_and_text_are_the_librarys():
-    codec, given = Codec(vocabulary("piece_bpe_32k.model"), entries=500), texts()
+    codec, given = Codec(vocabulary("piece_bpe_32k.model"), entries=500), texts() + every_character()
     ids, counts = codec.encode(given)
     back, at, sp = codec.decode(ids, counts), 0, codec.vocabulary.library
     for t, n, d in zip(given, counts, back, strict=True):
@@ -55,11 +57,36 @@ def test_encode_decode_rows(spark):
     assert encode_decode(df.limit(0), vocabulary("piece_bpe_32k.model")).count() == 0
 
 
-def test_segments_give_the_librarys_ids():
-    e = SegmentEncoder(vocabulary("byte_bpe_50k.json"), entries=300)
-    given = texts()
-    for t, p in zip(given, e.payloads(given, 0), strict=True):
-        assert np.frombuffer(p, "<u4").tolist() == e.library.encode(t or "", add_special_tokens=False).ids + [0]
+def every_character():
+    rng = random.Random(2)
+    kinds = [lambda: rng.randrange(0xD800), lambda: rng.randrange(0x300), lambda: rng.randrange(0xE000, 0x110000)]
+    return ["".join(chr(rng.choice(kinds)()) for _ in range(rng.randint(0, 50))) for _ in range(1500)]
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_pieces_give_the_librarys_ids(plain):
+    """Against the library's own object, not the encoder's."""
+    path = vocabulary("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    if plain:
+        library.encode_special_tokens = True
+    given = texts() + every_character()
+    for t, p in zip(given, SegmentEncoder(path, entries=300, plain=plain).payloads(given, 0), strict=True):
+        assert np.frombuffer(p, "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids + [0]
+
+
+def test_long_texts_are_cut_in_parts(monkeypatch):
+    from eventfold.llm import pieces
+
+    monkeypatch.setattr(pieces, "TOGETHER", 50)
+    path, given = vocabulary("byte_bpe_50k.json"), ["one two\n\n three " * 60, "x" * 500, "", " a <|endoftext|> b" * 30, "\u3000 word " * 40]
+    library = Tokenizer.from_file(path)
+    for t, p in zip(given, SegmentEncoder(path).payloads(given, 7), strict=True):
+        assert np.frombuffer(p, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids + [7]
+    assert len(pieces.parts_of(given[0], 50)) > 10 and "".join(pieces.parts_of(given[0], 50)) == given[0]
+    codec = Codec(vocabulary("piece_bpe_32k.model"))
+    ids, counts = codec.encode(given)
+    assert ids.tolist() == [i for t in given for i in codec.vocabulary.library.encode(t, add_eos=True)] and len(counts) == len(given)
 
 
 def test_minimal_perfect_hash():
@@ -88,12 +115,15 @@ def test_store_and_counts(spark, n):
         assert r["start"] == at and len(ids) == 4 * r["n_tokens"]
         assert any(p == ids for p in e.payloads([t for k, t in rows if k == r["doc_id"]], 0))
         at += r["n_tokens"]
+    bare = read_store(df, write_store(df, path), payload=False).select("doc_id", "start", "n_tokens", "ids").collect()
+    assert sorted(map(str, bare)) == sorted(str(Row(doc_id=r["doc_id"], start=r["start"], n_tokens=r["n_tokens"], ids=None)) for r in out)
     want = sorted(zlib.crc32(p) for p in e.payloads([t for _, t in rows], 0))
     assert sorted(zlib.crc32(bytes(r["ids"])) for r in out) == want
     folder, order = write_flat(df, path)
     for block in (7, 4_000_000):
         got = count_tokens(spark, folder, block_ids=block).join(order, ["file", "doc_no"]).collect()
-        assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == sorted((str(r["doc_id"]), r["n_tokens"]) for r in out)
+        flat = SegmentEncoder(path, plain=True).payloads([t for _, t in rows], 0)
+        assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == sorted((str(k), len(p) // 4) for (k, _), p in zip(rows, flat, strict=True))
         assert all(r["closed"] for r in got)
 
 
@@ -103,7 +133,7 @@ def test_counts_of_texts_with_every_kind_of_mark(spark, tmp_path):
     given = ["Hi! yes", "!", "! ! !", "a!\n!b", "<|endoftext|>", "plain", "", None, "! <|endoftext|> !"]
     spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     path = vocabulary("byte_bpe_50k.json")
-    e = SegmentEncoder(path)
+    e = SegmentEncoder(path, plain=True)
     got = op6_token_counts(spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(k, len(e.library.encode(t or "", add_special_tokens=False).ids) + 1) for k, t in enumerate(given)]
     assert e.yields(0) and not e.yields(50256)
