@@ -6,24 +6,27 @@ pair forms a piece. Characters that end up outside the vocabulary become byte pi
 Short segments are merged many at a time in numpy, one agenda pop per segment and
 round; long ones use a heap.
 
-No piece spans a non-space character followed by the space mark, so a text falls into
-segments that never merge with each other. Segments repeat; each task keeps a
-bounded table of them. Every segment that enters the table is compared with the
-sentencepiece library in the same Arrow batch; should they ever differ, the job ends
-with an error that names the segment.
+Two adjacent characters that stand together in no piece of the vocabulary never come into
+one symbol, so a text falls into segments between them that don't merge with each other.
+Segments repeat; each task keeps a bounded table of them. Every segment that enters the
+table is compared with the sentencepiece library in the same Arrow batch; should they ever
+differ, the job ends with an error that names the segment.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import pieces
+
 SPACE = "▁"
 #: Entries of a task's table, of which there are two; about 200 bytes each. They end with the
 #: task: a Python worker goes on to other stages, which need the memory.
@@ -31,6 +34,8 @@ TABLE_ENTRIES = 300_000
 #: Segments of up to so many characters are merged in numpy.
 WIDE = 40
 NEVER = np.int32(2**31 - 1)
+#: Characters below this have their pairs in a table, other pairs in a sorted list.
+NEAR = 0x250
 
 
 class BpeVocabulary:
@@ -56,8 +61,28 @@ class BpeVocabulary:
                 spelled[i] = piece.replace(SPACE, " ").encode()
         if (self.byte_ids < 0).any() or sp.normalize("a  Å ") != f"{SPACE}a{SPACE}{SPACE}Å{SPACE}":
             raise ValueError("only vocabularies with byte pieces, a space prefix and no rewriting of text are handled")
-        self.separable = not any(re.search(f"[^{SPACE}]{SPACE}", p) or ("\n" in p and len(p) > 1) for p in pieces)
-        self.segment = re.compile(f"\n|[ {SPACE}]*[^ {SPACE}\n]+|[ {SPACE}]+" if self.separable else "(?s).+")
+        # Whether characters merge with the one before, by a number for each that occurs in a
+        # longer piece; numbers below NEAR are characters themselves.
+        pairs = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
+        rare = sorted({c for p in pairs for c in p if ord(c) >= NEAR})
+        number = {c: NEAR + 1 + k for k, c in enumerate(rare)}
+        self.number = np.full(0x110000, NEAR, np.uint32)
+        self.number[:NEAR] = np.arange(NEAR)
+        for c, n in number.items():
+            self.number[ord(c)] = n
+        self.number[0x20] = self.number[ord(SPACE)]  # a space is its mark
+        self.width = NEAR + 1 + len(rare)
+        self.glue = np.zeros((NEAR, NEAR), bool)
+        far = set()
+        for a, b in pairs:
+            a, b = number.get(a, ord(a)), number.get(b, ord(b))
+            if a < NEAR and b < NEAR:
+                self.glue[a, b] = True
+            else:
+                far.add(a * self.width + b)
+        self.far = np.array([*sorted(far), 2**62], np.int64)
+        if any("\n" in p for p in pairs):
+            raise ValueError("only vocabularies in which line feeds stand alone are handled")
         self.symbols = dict(pieces)
         for piece in pieces:  # characters that occur in pieces but are none can still merge
             for ch in piece:
@@ -168,12 +193,32 @@ class BpeVocabulary:
             out.append(ids)
         return out
 
+    def merges(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether adjacent characters stand together in some piece."""
+        a, b = self.number[left], self.number[right]
+        out = np.zeros(len(a), bool)
+        near = (a < NEAR) & (b < NEAR)
+        out[near] = self.glue[a[near], b[near]]
+        rest = np.flatnonzero(~near & (a != NEAR) & (b != NEAR))
+        key = a[rest].astype(np.int64) * self.width + b[rest]
+        out[rest] = self.far[np.searchsorted(self.far, key)] == key
+        return out
+
     def _by_library(self, segments: list[str]) -> list[list[int]]:
-        # After a line feed, which merges with nothing, a segment is encoded as inside a text;
-        # the ids of the space that the library puts first and of the line feed are cut.
-        if not self.separable:
-            return self.library.encode([s[1:] for s in segments], num_threads=1)
-        return [ids[2:] for ids in self.library.encode([f"\n{s}" for s in segments], num_threads=1)]
+        # Between line feeds, which merge with nothing, a segment is encoded as inside a text;
+        # many are encoded in one call and parted at the line feeds' ids.
+        lines = [k for k, s in enumerate(segments) if s != "\n"]
+        out = [[self.symbols["\n"]] if "\n" in self.symbols else [int(self.byte_ids[10])]] * len(segments)
+        feed = out[0][0] if out else 0
+        for k in range(0, len(lines), 1000):
+            some = lines[k : k + 1000]
+            ids = np.array(self.library.encode("\n" + "\n".join([segments[i] for i in some]) + "\n", num_threads=1), np.int64)
+            cuts = np.flatnonzero(ids == feed).tolist()
+            if len(cuts) != len(some) + 1:
+                raise ValueError("the library joins line feeds with other text")
+            for i, a, b in zip(some, cuts, cuts[1:], strict=False):
+                out[i] = ids[a + 1 : b].tolist()
+        return out
 
     def encode_segments(self, segments: list[str]) -> list[list[int]]:
         """Ids of distinct, non-empty segments from the agenda. They are checked against the
@@ -200,41 +245,23 @@ class Codec:
     """Encoder and decoder of one task, with its bounded table of segments."""
 
     def __init__(self, model_path: str, entries: int = TABLE_ENTRIES):
-        self.vocabulary = BpeVocabulary(model_path)
-        self.entries = entries
-        self.table: dict[str, bytes] = {}
-        self.aside: dict[str, bytes] = {}
-
-    def _fill(self, segments: set[str]) -> None:
-        """Sees that the table has all segments. A full table is set aside for a new one, to
-        which entries move when they are used again."""
-        if len(self.table) > self.entries:
-            self.table, self.aside = {}, self.table
-        new = segments - self.table.keys()
-        kept = new & self.aside.keys()
-        self.table.update((s, self.aside[s]) for s in kept)
-        new = list(new - kept)
-        for k in range(0, len(new), 100_000):
-            some = new[k : k + 100_000]
-            self.table.update((s, np.array(ids, np.int32).tobytes()) for s, ids in zip(some, self.vocabulary.encode_segments(some), strict=True))
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.vocabulary = v = BpeVocabulary(model_path)
+        self.table = pieces.Table(lambda some, _: [array("i", ids).tobytes() for ids in v.encode_segments(some)], entries)
+
+    def _some(self, texts: pa.StringArray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        c = pieces.Cut(texts)
+        mask = c.begins.copy()
+        mask[1:] |= ~self.vocabulary.merges(c.chars[:-1], c.chars[1:])
+        _, distinct, index, bounds = c.pieces(mask)
+        return pieces.gathered(self.table.of(distinct.to_pylist(), np.zeros(len(distinct), bool)), index, bounds, end)
+
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat int32 ids of all texts, each closed by the end id, and each text's number of ids."""
-        find, end = self.vocabulary.segment.findall, np.int32(self.vocabulary.eos).tobytes()
-        payloads = []
-        at = 0
-        while at < len(texts):  # by about a million characters, so that lists of segments stay small
-            cut, size = at, 0
-            while cut < len(texts) and (cut == at or size < 1_000_000):
-                size += len(texts[cut] or "")
-                cut += 1
-            parts = [find(f" {t}") if t else [] for t in texts[at:cut]]
-            self._fill(set().union(*parts))
-            found = self.table.__getitem__
-            payloads += [b"".join([*map(found, p), end]) for p in parts]
-            at = cut
-        counts = np.fromiter((len(p) // 4 for p in payloads), np.int64, len(payloads))
-        return np.frombuffer(b"".join(payloads), np.int32), counts
+        given = pieces.as_strings(texts)
+        # The library puts a space before a text that is not empty.
+        lead = pc.if_else(pc.equal(pc.binary_length(given), 0), "", " ")
+        ids, counts = pieces.encoded(pc.binary_join_element_wise(lead, given, ""), self._some, self.vocabulary.eos)
+        return ids.view(np.int32), counts
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Texts of flat ids: pieces joined, space marks as spaces, without the first one."""
@@ -267,10 +294,9 @@ def encode_decode(docs: DataFrame, model_path: str, *, key: str = "doc_id", text
         for whole in batches:
             codec = codec or Codec(model_path)
             for batch in by_size(whole):
-                texts = batch.column(1).to_pylist()
-                ids, counts = codec.encode(texts)
+                ids, counts = codec.encode(batch.column(1))
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                back = pa.array(codec.decode(ids, counts) if decode else [None] * len(texts), pa.string())
+                back = pa.array(codec.decode(ids, counts) if decode else [None] * batch.num_rows, pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), back], ["key", "ids", "decoded"])
 
     out = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).mapInArrow(run, schema)
@@ -279,8 +305,6 @@ def encode_decode(docs: DataFrame, model_path: str, *, key: str = "doc_id", text
 
 def by_size(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a (key, text) batch with about `most` bytes of text each, one row at least."""
-    import pyarrow.compute as pc
-
     if not batch.num_rows:
         return
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
