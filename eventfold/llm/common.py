@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,13 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (a test on one machine) a local folder is set.
+    Only where the session names none and runs in one process (a test) a local folder is set; on
+    a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         there = spark.sparkContext._jsc.sc().getCheckpointDir()
         if there.isDefined():
             return there.get()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="eventfold-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
@@ -48,6 +52,42 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+class Steps:
+    """Tables written on the way to a result, each dropped once its readers are done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, []
+
+    def saved(self, df: DataFrame, label: str = "step") -> DataFrame:
+        path = shared_path(self.spark, label)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.made.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Removes these tables; others that aren't of this object's making are let be."""
+        for df, path in self.made:
+            if any(df is t for t in tables):
+                drop_path(self.spark, path)
+        self.made = [m for m in self.made if not any(m[0] is t for t in tables)]
+
+
+def addressed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a number for each row that is the same in every reading, and its column's name:
+    a 64-bit hash of the row's file and place therein, so rows with equal ids or wholly equal
+    ones are told apart. A frame that isn't a plain reading of files is written first."""
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    plan = docs._jdf.queryExecution().analyzed()
+    while (kind := plan.getClass().getSimpleName()) in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
+        plan = plan.children().head()
+    if kind != "LogicalRelation" or "_metadata" in docs.columns:
+        docs = saved(docs, "rows")
+    return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name)), name
+
+
 def fold(key: str, n: int):
     """crc32 of an id's decimal text, modulo n; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import Steps
 
 LINKS = "a long, b long"
 
@@ -53,8 +53,9 @@ def _stars(links: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, steps: Steps | None = None) -> DataFrame:
     """Rows (node, component) of all nodes in `links` (a, b), components by their least node.
+    They are read from the last table written, which `steps` can drop.
 
     Links within a partition are first reduced to stars. Then large-star and small-star steps
     alternate (each node's larger neighbours, then its smaller ones, move to the least of them)
@@ -62,7 +63,8 @@ def components(links: DataFrame) -> DataFrame:
     longest path. Self-links, repeated links and either direction are allowed; no links, no rows.
     """
     links = links.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b")
-    now = saved(links.mapInArrow(_forest, LINKS).distinct(), "stars")
+    steps = steps or Steps(links.sparkSession)
+    now = steps.saved(links.mapInArrow(_forest, LINKS).distinct(), "stars")
     while not _stars(now):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -70,5 +72,6 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", "m")).where("a <> b").distinct()
-        now = saved(small, "stars")
+        last, now = now, steps.saved(small, "stars")
+        steps.drop(last)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

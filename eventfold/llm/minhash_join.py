@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import Steps
 from .components import LINKS, components
 from .sentencepiece_codec import by_size
 
@@ -294,10 +294,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, key:
     alike. Rows with a null key link with nothing, have no component and are kept. Keys are
     integers. Other columns are not read. An empty table gives no rows.
     """
-    found = saved(features(docs, words, key=key, text=text), "features")
+    steps = Steps(docs.sparkSession)
+    found = steps.saved(features(docs, words, key=key, text=text), "features")
     linked = found.where("n > 0 and id is not null")
     classes = linked.groupBy("n", "d1", "d2").agg(F.min("id").cast("long").alias("node"))
-    members = saved(linked.join(classes, ["n", "d1", "d2"]).select("id", "n", "node", F.when(F.col("id") == F.col("node"), F.col("signature")).alias("signature")), "members")
+    members = steps.saved(linked.join(classes, ["n", "d1", "d2"]).select("id", "n", "node", F.when(F.col("id") == F.col("node"), F.col("signature")).alias("signature")), "members")
+    rest = steps.saved(found.where("n = 0 or id is null").select("id", "n"), "rest")
+    steps.drop(found)
     nodes = members.where("signature is not null").select("node", "n", "signature")
     least = matches(percent, COORDINATES)
     posted = nodes.select("node", F.posexplode("signature").alias("pos", "token"))
@@ -305,13 +308,15 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, key:
     by_node = Window.partitionBy("node")
     ranked = posted.join(shared, "token").select("*", F.count("*").over(by_node).alias("c"), F.row_number().over(by_node.orderBy("df", "token")).alias("nth"))
     chosen = ranked.where((F.col("c") >= least) & (F.col("nth") <= F.col("c") - least + 1))
-    prefix = saved(chosen.select("token", "pos", "node", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks")).distinct(), "postings")
+    prefix = steps.saved(chosen.select("token", "pos", "node", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks")).distinct(), "postings")
     masks = prefix.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, pos)")).alias("mask"))
-    texts = docs.select(docs[key].cast("long").alias("node"), docs[text].cast("string").alias("text")).join(masks.select("node"), "node", "left_semi")
-    candidates = saved(nodes.join(masks, "node").join(_widened(texts, words), ["node", "n"]).distinct(), "candidates")
+    # Texts move by their key at every size: a side that fits a broadcast today won't tomorrow.
+    texts = docs.select(docs[key].cast("long").alias("node"), docs[text].cast("string").alias("text")).join(masks.select("node").hint("merge"), "node", "left_semi")
+    candidates = steps.saved(nodes.join(masks, "node").join(_widened(texts, words), ["node", "n"]).distinct(), "candidates")
     links = docs.sparkSession.createDataFrame([], LINKS)
     labels = candidates.select("node", F.col("node").alias("component")).distinct()
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")
+    made = []
     for across in (False, True):
         met = prefix.join(labels, "node").withColumn("own", block)
         if across:
@@ -322,18 +327,24 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, key:
             side, place = F.lit(1), F.col("own")
         met = met.select("token", place.alias("block"), side.cast("int").alias("side"), "node", "component", "pos")
         rows = met.join(candidates.drop("shingles"), "node").select(*MEETING[:-1])
-        open_ = rows.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(_open(percent), "token long, block long, side int, node long")
-        open_ = saved(open_.join(met.select("token", "node", "component", "pos").distinct(), ["token", "node"]), "open")
+        some = rows.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(_open(percent), "token long, block long, side int, node long")
+        open_ = steps.saved(some.join(met.select("token", "node", "component", "pos").distinct(), ["token", "node"]), "open")
         rows = open_.join(candidates, "node").select(*MEETING)
         found_links = rows.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(_links(percent), LINKS)
-        pairs = saved(found_links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+        pairs = steps.saved(found_links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+        steps.drop(open_)
+        made.append(pairs)
         if not pairs.isEmpty():
             links = links.union(pairs)
-            labels = saved(candidates.select("node").distinct().join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
+            inner = Steps(steps.spark)
+            old, labels = labels, steps.saved(candidates.select("node").distinct().join(components(links, inner), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
+            inner.drop(*(df for df, _ in inner.made))
+            steps.drop(old)
         if across or prefix.where("blocks > 1").isEmpty():
             break
     joined = labels.where("component <> node")
     out = members.select("id", "n", "node").join(joined, "node", "left").select("id", "n", F.coalesce("component", "node").alias("component_id"))
-    rest = found.where("n = 0 or id is null").select("id", "n", F.when(F.col("id").isNotNull(), F.col("id").cast("long")).alias("component_id"))
-    return out.union(rest).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
+    rest = rest.select("id", "n", F.when(F.col("id").isNotNull(), F.col("id").cast("long")).alias("component_id"))
+    last = steps.saved(out.union(rest).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")), "groups")
+    steps.drop(*(df for df, _ in steps.made if df is not last))
+    return last
