@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,9 @@ ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 #: Difference in probability below which the two nearest codewords leave a text ambiguous.
 MARGIN = 0.2
+#: A text is in no learned language if its loss is so many times that of any row trained on,
+#: unless it has fewer characters.
+SLACK, SHORT = 1.35, 40
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,18 +65,22 @@ class LanguageModel:
     code: np.ndarray
     weights: np.ndarray  # BUCKETS + 1 rows, the last is the bias
     trust: np.ndarray
+    bound: float = np.inf  # loss of the nearest codeword beyond which a text is in no learned language
+
+    def losses(self, x: np.ndarray) -> np.ndarray:
+        """Loss of each row against each codeword."""
+        margin = (x @ self.weights[:-1] + self.weights[-1])[:, None, :] * self.code
+        return (np.logaddexp(0, -margin) * self.trust).sum(2)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores in 0..1, and whether a text is ambiguous."""
         langs, scores, unsure = [], [], []
-        for part in text_groups(np.fromiter((len(t or "") + 2000 for t in texts), np.int64, len(texts))):
-            x, letters = features(texts[part])
+        for x, letters, _ in self._features(texts):
             if not self.languages:
                 letters = np.zeros(len(x), bool)
                 p = np.ones((len(x), 1))
             else:
-                margin = (x @ self.weights[:-1] + self.weights[-1])[:, None, :] * self.code
-                loss = (np.logaddexp(0, -margin) * self.trust).sum(2)
+                loss = self.losses(x)
                 p = np.exp(loss.min(1, keepdims=True) - loss)
                 p /= p.sum(1, keepdims=True)
             first = p.argmax(1)
@@ -83,18 +90,34 @@ class LanguageModel:
             unsure.append(letters & (top[:, -1] - (top[:, -2] if top.shape[1] > 1 else 0) < MARGIN))
         return langs, np.concatenate([*scores, np.zeros(0)]), np.concatenate([*unsure, np.zeros(0, bool)])
 
+    def known(self, texts: list[str | None]) -> np.ndarray:
+        """Whether a text is in a learned language: it has a letter, and its bits are near enough
+        to some codeword. Texts of few characters can't be told apart; a letter is enough."""
+        out = [np.zeros(0, bool)]
+        for x, letters, short in self._features(texts):
+            out.append(letters & (short | (self.losses(x).min(1) <= self.bound)) if self.languages else letters)
+        return np.concatenate(out)
+
+    @staticmethod
+    def _features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for part in text_groups(np.fromiter((len(t or "") + 2000 for t in texts), np.int64, len(texts))):
+            x, letters = features(texts[part])
+            yield x, letters, np.array([len(t or "") < SHORT for t in texts[part]], bool)
+
 
 def train(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> LanguageModel:
     """Fits the bit classifiers on about `rows` of the rows where `learn` holds and language and
-    text are not null, drawn evenly over the languages by a hash of the key. Features are made
-    on the executors from whole texts."""
+    text are not null, drawn evenly over the languages by a hash of key and text; equal rows
+    count once, and each language gives twice its share at most. Features are made on the
+    executors from whole texts. Languages are listed on the driver, a row for each."""
     known = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[lang]: r["n"] for r in known.groupBy(lang).agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], codewords(0), np.zeros((BUCKETS + 1, 1), np.float32), np.ones(1))
     share = max(1, rows // len(languages))
-    draw = F.pmod(F.xxhash64(F.lit("language"), F.col(key)), F.lit(1_000_000)) / 1e6
+    rank = F.xxhash64(F.lit("language"), F.col(key), F.col(text))
+    draw = F.pmod(rank, F.lit(1_000_000)) / 1e6
     keep = F.coalesce(*(F.when(F.col(lang) == name, draw < share / counts[name]) for name in languages), F.lit(False))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +126,10 @@ def train(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
                 x, _ = features(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    found = known.where(keep).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h")).mapInArrow(lambda it: make(b.select([0, 1]) for b in it), "lang string, x binary").collect()
+    drawn = known.where(keep).select(F.col(lang).alias("lang"), F.col(text).alias("text"), rank.alias("rank"))
+    drawn = drawn.groupBy("lang", "rank").agg(F.any_value("text").alias("text"))
+    drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("rank"))).where(F.col("nth") <= 2 * share).select("lang", "text")
+    found = drawn.mapInArrow(make, "lang string, x binary").collect()
     found.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     x = np.stack([np.frombuffer(bytes(r["x"]), np.float16) for r in found]).astype(np.float32) if found else np.zeros((0, BUCKETS), np.float32)
     y = np.array([languages.index(r["lang"]) for r in found], np.int64)
@@ -118,7 +144,10 @@ def train(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
         speed += slope * slope
         w -= 1.0 * slope / np.sqrt(speed)
     right = (want * (x @ w[:-1] + w[-1]) > 0).mean(0) if len(y) else np.ones(code.shape[1])
-    return LanguageModel(languages, code, w, np.clip(2 * right - 1, 0.05, 1))
+    model = LanguageModel(languages, code, w, np.clip(2 * right - 1, 0.05, 1))
+    if len(y):
+        model.bound = SLACK * float(model.losses(x).min(1).max())
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import Steps
 
 #: Weights of the sources in code point order, repeated; words of the mix by words of all.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Documents of a block, and blocks that meet at each level of the tree.
 BLOCK, FAN_IN = 4000, 64
+#: Copies of one row that are listed together.
+CHUNK = 4096
 
 
 def size_of(text: Column) -> Column:
@@ -61,8 +63,7 @@ def _pivot(part: pd.DataFrame, level: int) -> pd.DataFrame:
     open_: dict = {}  # of each source the one document that has a fraction
     for i, source in enumerate(part["source"].where(part["source"].notna(), None).tolist()):
         p = fraction[i]
-        if size[i] == 0 or p <= 0:
-            fraction[i] = 0
+        if p <= 0:
             continue
         j = open_.get(source)
         if j is None:
@@ -93,32 +94,38 @@ def _pivot_at(level: int):
     return lambda part: _pivot(part, level)
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", by: tuple[str, ...] = (), weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """Rows (key, size, source_size, target, copies, part, taken), one for each row of `docs`.
 
     `copies` whole copies and the first `part` words of another are taken; only one document
-    of a source has a part. Rows are ordered by a hash of key, source and size, so results
-    agree between runs and partitionings; equal rows are interchangeable. Documents without
-    words (null and empty texts) take none. Null is a source of its own. Sources are listed on
-    the driver, a row for each. An empty table gives no rows.
+    of a source has a part. Rows are ordered by a hash of `by` (the key if none are named), source
+    and size, so results agree between runs and partitionings. Rows of equal key, source and size
+    are interchangeable: they are counted before they are dealt, share their fractions among
+    themselves, and one of them goes on with what is left. Documents without words (null and
+    empty texts) take none. Null is a source of its own. Sources are listed on the driver, a row
+    for each. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    rows = saved(docs.select(docs[key].alias("key"), docs[source].alias("source"), size_of(docs[text].cast("string")).alias("size")), "sizes")
-    sizes = [(r["source"], r["size"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()]
+    steps = Steps(docs.sparkSession)
+    rows = docs.select(docs[key].alias("key"), docs[source].alias("source"), size_of(docs[text].cast("string")).alias("size"), F.xxhash64(F.lit(2), *(docs[c] for c in by or (key,))).alias("seed"))
+    groups = steps.saved(rows.groupBy("key", "source", "size", "seed").agg(F.count("*").alias("times")), "sizes")
+    sizes = [(r["source"], r["size"]) for r in groups.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("size")).collect()]
+    total, copied = groups.agg(F.count("*"), F.max("times")).first()
     wanted = targets(sizes, weights, share, most)
-    total = rows.count()
-    by_source = spark.createDataFrame([(name, size, float(wanted[name])) for name, size in sizes], T.StructType([rows.schema["source"], *T.StructType.fromDDL("source_size long, target double").fields]))
+    by_source = docs.sparkSession.createDataFrame([(name, size, float(wanted[name])) for name, size in sizes], T.StructType([groups.schema["source"], *T.StructType.fromDDL("source_size long, target double").fields]))
     join = F.col("a.source").eqNullSafe(F.col("b.source"))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    found = rows.alias("a").join(by_source.alias("b"), join).select("key", "a.source", "size", "source_size", "target", F.least(rate, F.lit(most)).alias("rate"))
+    rate = F.when(F.col("size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
+    found = groups.alias("a").join(by_source.alias("b"), join).select("key", "a.source", "size", "times", "source_size", "target", rate.alias("rate"), F.xxhash64("seed", "a.source", "size").alias("luck"))
     blocks = max(1, -(-total // BLOCK))
-    luck = F.xxhash64(F.lit(2), "key", "source", "size")
-    level = found.select("*", F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("fraction"), luck.alias("luck"), F.pmod(F.xxhash64("key", "size", F.lit("block")), F.lit(blocks)).cast("long").alias("block")).drop("rate")
+    # Of `times` equal documents `more` get a further copy, one keeps a fraction, the rest none.
+    owed = (F.col("rate") - F.floor("rate")) * F.col("times")
+    level = found.withColumn("owed", owed).select("key", "source", "size", "times", "source_size", "target", F.floor("rate").cast("long").alias("base"), F.floor(F.col("owed") + 1e-9).cast("long").alias("more"), F.lit(0).cast("long").alias("whole"), F.greatest(F.col("owed") - F.floor(F.col("owed") + 1e-9), F.lit(0.0)).alias("fraction"), "luck", F.pmod(F.xxhash64("luck", F.lit("block")), F.lit(blocks)).cast("long").alias("block"))
     schema = T.StructType(level.schema.fields)
     done, depth = [], 0
     while True:
         grouped = level.groupBy("block") if depth == 0 else level.groupBy("block", "source")
-        out = saved(grouped.applyInPandas(_pivot_at(depth), schema), "mixed")
+        out = steps.saved(grouped.applyInPandas(_pivot_at(depth), schema), "mixed")
+        if depth == 0:
+            steps.drop(groups)
         if blocks <= 1:
             done.append(out)
             break
@@ -127,7 +134,12 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: s
         level = out.where("fraction > 0").withColumn("block", F.floor(F.col("block") / FAN_IN))
         depth += 1
     mixed = reduce(DataFrame.unionByName, done)
-    part = F.round(F.col("fraction") * F.col("size")).cast("long")
-    out = mixed.select(F.col("key").alias(key), "size", "source_size", "target", F.col("whole").alias("copies"), part.alias("part"))
+    chunks = mixed.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / CHUNK))))
+    if (copied or 0) > CHUNK:
+        chunks = chunks.repartition("key", "chunk")
+    first, i = F.col("chunk") * CHUNK, F.col("nth")
+    each = chunks.withColumn("nth", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("times")) - 1)))
+    copies = F.col("base") + F.when(i < F.col("more"), 1).when(i == F.col("more"), F.col("whole")).otherwise(0)
+    part = F.when(i == F.col("more"), F.round(F.col("fraction") * F.col("size"))).otherwise(0).cast("long")
+    out = each.select(F.col("key").alias(key), "size", "source_size", "target", copies.alias("copies"), part.alias("part"))
     return out.withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))
-

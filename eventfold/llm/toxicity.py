@@ -193,16 +193,19 @@ def fit(texts: list[str], labels: np.ndarray) -> ToxicityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> ToxicityModel:
-    """Fits on about `toxic` and `clean` of the labelled rows where `learn`, a condition on the
-    key, holds, drawn by a hash of the key; their whole texts go to the driver. Rows without
+    """Fits on about `toxic` and `clean` of the labelled keys where `learn`, a condition on the
+    key, holds, drawn by a hash of the key, twice as many at most; their whole texts go to the
+    driver. Of rows that share a key the one whose text has the least hash is used. Rows without
     text or label are not used; keys labelled twice count as toxic if one label is 1."""
     known = labels.select(labels[key].alias("key"), F.col(label).alias("y")).where(F.col("key").isNotNull() & F.col("y").isNotNull())
     known = known.withColumnRenamed("key", key).where(learn).groupBy(key).agg(F.max("y").alias("y"))
-    counts = {int(r["y"]): r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col(key)), F.lit(1_000_000)) / 1e6
+    counts = {int(r["y"]): r["n"] for r in known.where(F.col("y").isin(0, 1)).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rank = F.xxhash64(F.lit("toxicity"), F.col(key))
+    draw = F.pmod(rank, F.lit(1_000_000)) / 1e6
     keep = F.coalesce(*(F.when(F.col("y") == y, draw < most / counts[y]) for y, most in ((1, toxic), (0, clean)) if counts.get(y)), F.lit(False))
-    drawn = F.broadcast(known.where(keep))  # bounded by the size of the sample
-    found = docs.select(docs[key], docs[text].cast("string").alias("text")).where(F.col("text").isNotNull()).join(drawn, key).select(key, "text", "y").collect()
+    drawn = F.broadcast(known.where(keep).orderBy(rank).limit(2 * (toxic + clean)))
+    found = docs.select(docs[key], docs[text].cast("string").alias("text")).where(F.col("text").isNotNull()).join(drawn, key)
+    found = found.groupBy(key, "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     found.sort(key=lambda r: (r[key], r["text"]))
     return fit([r["text"] for r in found], np.array([int(r["y"] == 1) for r in found], np.int64))
 
