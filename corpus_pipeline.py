@@ -6,27 +6,20 @@ as the next one's docs; all but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventfold.llm import langid, minhash_join, mixing, sentencepiece_codec, toxicity
-from eventfold.llm.common import filtered, saved, table
+from eventfold.llm.common import Steps, addressed, filtered, saved, table
 from eventfold.llm.queries import vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: null texts and texts without a letter.
-    The languages are learned from the documents' own non-null `lang`."""
-    model = langid.train(docs, F.lit(True))
-    if not model.languages:  # nothing to learn from: only what has no letter goes
-        model = langid.LanguageModel(["unlabelled"], langid.codewords(1), model.weights, model.trust)
-
-    def judge(texts):
-        import numpy as np
-
-        return np.array([x != langid.UNKNOWN for x in model.predict(texts)[0]], bool)
-
-    return filtered(docs, "text", judge)
+    """Drops documents in none of the languages that are learned from the documents' own non-null
+    `lang`: null texts, texts without a letter, and texts whose predicted bits are further from
+    every language's codeword than those of any row trained on, by a margin. Without a row to
+    learn from only what has no letter goes."""
+    return filtered(docs, "text", langid.train(docs, F.lit(True)).known)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,26 +29,34 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates (shingles of five words, similarity 0.8) the
-    document with the least id; of rows with one id the first by a hash of the text. Rows
-    without an id all stay."""
-    gone = minhash_join.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    rows = docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    if repeated.isEmpty():
-        return rows
-    return rows.where("doc_id is not null").withColumn("__nth", again).where("__nth = 1").drop("__nth").union(rows.where("doc_id is null"))
+    """Keeps of each group of near duplicates (shingles of five words, similarity 0.8) the row
+    with the least id, rows without an id last. Rows are told apart by their place in the table:
+    of rows that share an id those with other texts stay, of equal rows one stays."""
+    rows, row = addressed(docs)
+    steps = Steps(spark)
+    found = steps.saved(minhash_join.near_duplicates(rows, key=row), "groups")
+    several = found.where("not kept").select("component_id").distinct()
+    members = found.join(several, "component_id", "left_semi").select(row, "component_id")
+    named = members.join(rows.select(row, F.col("doc_id").alias("__id")), row)
+    first = F.min_by(row, F.struct(F.col("__id").isNull(), "__id", row))
+    stay = named.groupBy("component_id").agg(first.alias(row)).select(row)
+    gone = steps.saved(members.select(row).join(stay, row, "left_anti"), "gone")
+    steps.drop(found)
+    # Texts move once, by the row, at every size of the table.
+    return rows.join(gone.hint("merge"), row, "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources meet their target weights, in whole copies:
-    a part of half a document or more counts as one. Rows without an id go together."""
-    found = mixing.mix(docs)
-    copies = found.select(F.col("doc_id").alias("__id"), (F.col("copies") + (F.col("part") * 2 >= F.greatest("size", F.lit(1))).cast("long")).alias("__copies"))
-    copies = copies.groupBy("__id").agg(F.max("__copies").cast("int").alias("__copies")).where("__copies > 0")
-    rows = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("__id")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    a part of half a document or more counts as one. Each row is drawn for itself, also where
+    ids repeat or are missing; documents without words go."""
+    rows, row = addressed(docs)
+    found = mixing.mix(rows, key=row, by=("doc_id", "source"))
+    half = ((F.col("part") * 2 >= F.col("size")) & (F.col("size") > 0)).cast("long")
+    copies = found.select(row, (F.col("copies") + half).cast("int").alias("__copies")).where("__copies > 0")
+    # Texts move once, by the row, at every size of the table.
+    each = rows.join(copies.hint("merge"), row).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return each.select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
