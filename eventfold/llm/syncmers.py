@@ -9,15 +9,17 @@ anchors. How alike two texts are is counted over all anchors of both, each as of
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Hashes of a fingerprint, of 32 bits each.
 SKETCH = 96
-#: Documents that are ordered together, on average.
-TOGETHER = 1024
+#: Documents that are ordered together, on average, and ranges of them at most.
+TOGETHER, MOST_RANGES = 1024, 1 << 16
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -25,15 +27,9 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def anchors(text: Column) -> Column:
-    """All anchors of a text, in order: array of (at: number of the first symbol, hash).
-
-    Three empty symbols stand before and after the text's own, so that short texts have
-    anchors too; null and empty texts have none.
-    """
+def _edges(text: Column, use: Callable[[Column, Column], Column], kind: str) -> Column:
+    """use(number of the first symbol, hash) of all anchors of a text, in order."""
     edge = F.array(*[F.lit(0).cast("long")] * 3)
-    symbols = F.regexp_extract_all(text, F.lit(r"(\S{1,8})"), F.lit(1))
-    padded = F.concat(edge, F.transform(symbols, lambda s: F.xxhash64(s)), edge)
 
     def pairs(h: Column) -> Column:
         n = F.size(h) - 1
@@ -41,29 +37,28 @@ def anchors(text: Column) -> Column:
 
     def chosen(g: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), F.size(g) - 3), lambda i: F.least(F.get(g, i), F.get(g, i + 2)) <= F.get(g, i + 1))
-        return F.transform(at, lambda i: F.struct((i - 3).alias("at"), F.shiftrightunsigned(F.xxhash64(F.get(g, i), F.get(g, i + 2)), 32).alias("hash")))
+        return F.transform(at, lambda i: use(i - 3, F.xxhash64(F.get(g, i), F.get(g, i + 2))))
 
-    found = let(padded, lambda h: let(pairs(h), chosen))
-    return F.when(F.size(symbols) > 0, found).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
+    def of(symbols: Column) -> Column:
+        padded = F.concat(edge, F.transform(symbols, lambda s: F.xxhash64(s)), edge)
+        return F.when(F.size(symbols) > 0, let(padded, lambda h: let(pairs(h), chosen))).otherwise(F.array().cast(kind))
 
+    return let(F.regexp_extract_all(text, F.lit(r"(\S{1,8})"), F.lit(1)), of)
 
-def hashes(text: Column) -> Column:
-    """64-bit hashes of all anchors of the text, in order; `anchors` has their upper halves."""
-    edge = F.array(*[F.lit(0).cast("long")] * 3)
 
-    def pairs(h: Column) -> Column:
-        n = F.size(h) - 1
-        return F.zip_with(F.slice(h, 1, n), F.slice(h, 2, n), lambda a, b: F.xxhash64(a, b))
+def anchors(text: Column) -> Column:
+    """All anchors of a text, in order: array of (at: number of the first symbol, hash), by which
+    passages of two texts can be matched in place.
 
-    def chosen(g: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(g) - 3), lambda i: F.least(F.get(g, i), F.get(g, i + 2)) <= F.get(g, i + 1))
-        return F.transform(at, lambda i: F.xxhash64(F.get(g, i), F.get(g, i + 2)))
+    Three empty symbols stand before and after the text's own, so that short texts have
+    anchors too; null and empty texts have none.
+    """
+    return _edges(text, lambda at, h: F.struct(at.alias("at"), h.alias("hash")), "array<struct<at:int,hash:bigint>>")
 
-    def of(symbols: Column) -> Column:
-        padded = F.concat(edge, F.transform(symbols, lambda s: F.xxhash64(s)), edge)
-        return F.when(F.size(symbols) > 0, let(padded, lambda h: let(pairs(h), chosen))).otherwise(F.array().cast("array<bigint>"))
 
-    return let(F.regexp_extract_all(text, F.lit(r"(\S{1,8})"), F.lit(1)), of)
+def hashes(text: Column) -> Column:
+    """64-bit hashes of all anchors of the text, in order."""
+    return _edges(text, lambda at, h: h, "array<bigint>")
 
 
 def sketch(found: Column) -> Column:
@@ -100,31 +95,59 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(2.0 * both / (F.size(a) + F.size(b)))
 
 
-def with_next(docs: DataFrame, add: dict[str, Column] | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, text, next_text, and each added column with its next_ one) of every row of
-    `docs` and the one that follows in ascending key order; the first follows the last.
+def _ranges(rows: DataFrame, keys: list[str]) -> tuple[int, list[tuple]]:
+    """Number of rows, and the rows that begin ranges of about TOGETHER rows in the order of
+    `keys`: the least of all, and quantiles of a sample by hash, MOST_RANGES at most."""
+    whole = rows.agg(F.count("*").alias("n"), F.min(F.struct(*keys)).alias("least")).first()
+    wanted = min(MOST_RANGES, max(1, whole["n"] // TOGETHER))
+    if wanted == 1:
+        return whole["n"], [tuple(whole["least"])] if whole["n"] else []
+    drawn = max(1, whole["n"] // (8 * wanted))
+    sample = rows.where(F.pmod(F.xxhash64(F.lit("range"), *keys), F.lit(drawn)) == 0).select(*keys).distinct()
+    found = sorted({tuple(whole["least"]), *(tuple(r) for r in sample.limit(16 * MOST_RANGES).collect())})
+    step = max(1, len(found) // wanted)
+    return whole["n"], found[::step]
+
+
+def _range_of(starts: list[tuple], keys: list[str]) -> Column:
+    """Number of the last range that begins at or before the row, by binary search."""
+    lists = [F.from_json(F.lit(json.dumps(list(c))), "array<bigint>") for c in zip(*starts, strict=True)]
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, (len(starts) - 1).bit_length())))))
+
+    def reached(i: Column) -> Column:
+        out = F.lit(True)
+        for name, values in reversed(list(zip(keys, lists, strict=True))):
+            out = (F.get(values, i) < F.col(name)) | ((F.get(values, i) == F.col(name)) & out)
+        return out
+
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step < len(starts)) & reached(at + step), at + step).otherwise(at))
+
+
+def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, text, next_text) of every row of `docs` and the one that follows in ascending
+    key order; the first follows the last.
 
-    Null keys come first, equal keys are ordered by their texts' hash. Null texts count as
-    empty. Ordering is by key ranges of about TOGETHER rows, each with the first row of the
-    range that follows, so texts are shuffled once and no task sees the whole order.
+    Keys are integers, of the whole range. Null keys come first, equal keys are ordered by their
+    texts' hash. Null texts count as empty. Rows are dealt to ranges that begin at known rows;
+    such a row goes to the range before too, as its end. So texts are shuffled once, no task sees
+    the whole order, and a frequent key is spread by its texts.
     """
-    add = add or {}
     rows = docs.select(docs[key].alias("key"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
-    span = rows.agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).first()
-    low = span["low"] if span["low"] is not None else 0
-    width = max(1, -(-(((span["high"] or 0) - low) + 1) * TOGETHER // max(1, span["n"])))
-    bucket = F.coalesce(F.expr(f"(key - {low}L) div {width}L"), F.lit(-1).cast("long"))
-    # One row for each range: its first key, and the range before it (before the first: the last).
-    ranges = rows.select("key", bucket.alias("bucket")).groupBy("bucket").agg(F.min("key").alias("first"))
-    order = Window.orderBy("bucket")
-    ranges = ranges.select("first", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("bucket"))
-    tied = rows.join(ranges, rows["key"].eqNullSafe(ranges["first"])).select("bucket", "key", "text")
-    ends = tied.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("text")))).where("nth = 1")
-    everything = rows.select(bucket.alias("bucket"), F.lit(0).alias("end"), "key", "text").union(ends.select("bucket", F.lit(1), "key", "text"))
-    dealt = everything.repartition("bucket").select("*", *(c.alias(name) for name, c in add.items()), F.xxhash64("text").alias("tie"))
-    line = Window.partitionBy("bucket").orderBy("end", "key", "tie")
-    led = dealt.select("key", "end", "text", *add, F.lead(F.struct("text", *add)).over(line).alias("next"))
-    return led.where("end = 0").select(F.col("key").alias(key), "text", *add, *(F.col(f"next.{c}").alias(f"next_{c}") for c in ("text", *add)))
+    keys = ["there", "at", "tie"]
+    rows = rows.select("key", "text", F.col("key").isNotNull().cast("long").alias("there"), F.coalesce(F.col("key").cast("long"), F.lit(0)).alias("at"), F.xxhash64("text").alias("tie"))
+    n, starts = _ranges(rows, keys)
+    if not n:
+        return rows.select(F.col("key").alias(key), "text", F.col("text").alias("next_text"))
+    placed = rows.withColumn("range", _range_of(starts, keys))
+    lists = [F.from_json(F.lit(json.dumps(list(c))), "array<bigint>") for c in zip(*starts, strict=True)]
+    begins = reduce(lambda a, b: a & b, [F.get(values, F.col("range")) == F.col(name) for name, values in zip(keys, lists, strict=True)])
+    place = lambda at, end: F.struct(at.cast("int").alias("range"), F.lit(end).alias("end"))
+    before = F.pmod(F.col("range") + (len(starts) - 1), F.lit(len(starts)))
+    places = F.when(begins, F.array(place(F.col("range"), 0), place(before, 1))).otherwise(F.array(place(F.col("range"), 0)))
+    dealt = placed.withColumn("place", F.explode(places)).select("key", "text", "there", "at", "tie", "place.range", "place.end").repartition("range")
+    line = Window.partitionBy("range").orderBy("end", *keys)
+    led = dealt.select("key", "end", "text", F.lead("text").over(line).alias("next_text"))
+    return led.where("end = 0").select(F.col("key").alias(key), "text", "next_text")
 
 
 def edited(text: Column, n: Column, following: Column) -> Column:
