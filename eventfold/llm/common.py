@@ -88,6 +88,15 @@ def addressed(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name)), name
 
 
+def by_class(rows: DataFrame, classes: DataFrame, by: list[str], total: int, copies: str = "copies") -> DataFrame:
+    """Inner join of rows with their classes, which count their rows in `copies`. Classes with a
+    thousandth of all `total` rows or more, of which there are a thousand at most, are broadcast,
+    so that no task gets all rows of one; the others are joined by their key."""
+    hot = F.broadcast(classes.where(F.col(copies) * 1000 >= total))
+    cold = classes.where(F.col(copies) * 1000 < total)
+    return rows.join(hot, by).unionByName(rows.join(hot.select(*by), by, "left_anti").join(cold, by))
+
+
 def fold(key: str, n: int):
     """crc32 of an id's decimal text, modulo n; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -4,23 +4,28 @@ A hash of a unit vector is the signed axis that a random rotation (three rounds
 and fast Hadamard transforms) brings it nearest to; a table's bucket is made of HASHES of them.
 Each vector lies in its own bucket of every table and also visits the PROBES buckets that a
 small change of it would fall into. Vectors that meet in a bucket are candidates; they are
-verified by their cosine in double precision where they meet, and only links leave the task.
+verified by their cosine in double precision where they first meet. No pair leaves a task: what
+does is each vector's number of links there, and one link that joins it to its group there.
 Equal vectors are hashed once. Large buckets are split into blocks that meet pairwise.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import saved
+from .common import Steps, by_class
 from .components import components
 
 TABLES, HASHES, PROBES = 8, 2, 6
+#: Vectors of one label to a bucket, on average, beyond which a bucket is made of more hashes.
+FULL = 0.25
 #: Vectors of a bucket that are compared in one task.
 BLOCK = 512
 
@@ -35,12 +40,20 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
+def hashes_for(vectors: int, width: int) -> int:
+    """Hashes of a bucket, so that unlike vectors seldom share one: HASHES, and one more each
+    time that a label's vectors outgrow the buckets."""
+    axes = 2 << max(1, (width - 1).bit_length())
+    return max(HASHES, math.ceil(math.log(max(1, vectors / FULL)) / math.log(axes)))
+
+
 def buckets(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> np.ndarray:
-    """Bucket numbers of each unit vector: (rows, tables, 1 + probes), its own first."""
+    """Bucket numbers of each unit vector: (rows, tables, 1 + probes), its own first; -1 where a
+    narrow vector has fewer buckets to visit."""
     size = 1 << max(1, (x.shape[1] - 1).bit_length())
     padded = np.zeros((len(x), size))
     padded[:, : x.shape[1]] = x
-    out = np.zeros((len(x), tables, 1 + probes), np.int64)
+    out = np.full((len(x), tables, 1 + probes), -1, np.int64)
     rows = np.arange(len(x))
     for t in range(tables):
         own, second, loss = [], [], []
@@ -65,25 +78,87 @@ def buckets(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: i
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
+    """Vectors of length 1; scaled by their largest component first, so that no square of a
+    component leaves the range of double precision."""
+    scaled = vectors / np.abs(vectors).max(1, keepdims=True)
+    return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
-def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, dim, table, bucket, node, own) of every vector: own bucket and those visited."""
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds `codes`, the bucket numbers of all tables, flat."""
     for b in batches:
-        dim = b.column("dim").to_numpy()
-        for d in np.unique(dim).tolist():
-            rows = np.flatnonzero(dim == d)
-            part = b.take(pa.array(rows))
-            for at in range(0, len(rows), 2048):
+        dim, k = b.column("dim").to_numpy(), b.column("hashes").to_numpy()
+        for d, hashes in sorted(set(zip(dim.tolist(), k.tolist(), strict=True))):
+            part = b.take(pa.array(np.flatnonzero((dim == d) & (k == hashes))))
+            for at in range(0, part.num_rows, 2048):
                 some = part.slice(at, 2048)
-                x = _unit(some.column("vector").flatten().to_numpy().reshape(some.num_rows, d))
-                found = buckets(x)
-                n, tables, places = found.shape
-                again = np.repeat(np.arange(n), tables * places)
-                own = np.tile(np.arange(places) == 0, n * tables)
-                table = np.tile(np.repeat(np.arange(tables, dtype=np.int32), places), n)
-                yield pa.RecordBatch.from_arrays([some.column("label").take(pa.array(again)), pa.array(np.full(len(again), d, np.int32)), pa.array(table), pa.array(found.reshape(-1)), some.column("node").take(pa.array(again)), pa.array(own)], ["label", "dim", "table", "bucket", "node", "own"])
+                found = buckets(_unit(some.column("vector").flatten().to_numpy().reshape(some.num_rows, d)), hashes=hashes)
+                width = found.shape[1] * found.shape[2]
+                codes = pa.ListArray.from_arrays(pa.array(np.arange(some.num_rows + 1, dtype=np.int32) * width), pa.array(found.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*some.columns, codes], [*some.schema.names, "codes"])
+
+
+def _first_meeting(a: np.ndarray, b: np.ndarray, table: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Of pairs with their codes (pairs, tables, 1 + probes), those that meet in this table and
+    bucket for the first time: in no earlier table, and in the own bucket of the first or, if
+    that is no meeting, in that of the second."""
+    of_a, of_b = (a[:, :, :1] == b).any(2), (b[:, :, :1] == a).any(2)
+    some = of_a | of_b
+    first = some.argmax(1)
+    rows = np.arange(len(a))
+    at = np.where(of_a[rows, first], a[rows, first, 0], b[rows, first, 0])
+    return some[rows, first] & (first == table) & (at == bucket)
+
+
+def _grouped(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least row of each row's group, by links i, j."""
+    root = list(range(n))
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        while root[y] != y:
+            root[y] = root[root[y]]
+            y = root[y]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    for x in range(n):
+        root[x] = root[root[x]]
+    return np.array(root, np.int64)
+
+
+def _verified(least: float):
+    """(node, n, root) of each vector with links at a place: how many rows it links with there
+    for the first time, and the node that stands for its group there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bucket, _, side, own, node, copies, codes, vectors in _places(batches):
+            x, c = _unit(np.stack(vectors)), np.stack(codes).reshape(len(node), TABLES, -1)
+            left, right = (np.arange(len(node)),) * 2 if (side == 1).all() else (np.flatnonzero(side < 2), np.flatnonzero(side == 2))
+            if not len(left) or not len(right):
+                continue
+            i, j = np.nonzero(x[left] @ x[right].T >= least - 1e-9)
+            i, j = left[i], right[j]
+            keep = (own[i] | own[j]) & ((node[i] < node[j]) | ((side[i] != 1) & (node[i] != node[j])))
+            i, j = i[keep], j[keep]
+            count, links = np.zeros(len(node), np.int64), []
+            for at in range(0, len(i), 16384):
+                a, b = i[at : at + 16384], j[at : at + 16384]
+                exact = np.einsum("ij,ij->i", x[a], x[b]) >= least
+                a, b = a[exact], b[exact]
+                swap = node[a] > node[b]
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                first = _first_meeting(c[a], c[b], table[0], bucket[0])
+                a, b = a[first], b[first]
+                for to, of in ((a, b), (b, a)):
+                    count += np.bincount(to, copies[of], len(node)).astype(np.int64)
+                links.append((a, b))
+            some = np.flatnonzero(count)
+            if len(some):
+                root = _grouped(len(node), *(np.concatenate(x) for x in zip(*links, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(count[some]), pa.array(node[root[some]])], ["node", "n", "root"])
+
+    return run
 
 
 def near_duplicates(vectors: DataFrame, *, least: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -91,11 +166,14 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.98, key: str = "vec_
 
     Vectors of equal label and length link with a cosine of `least` or more, equal ones always.
     `n_links` counts the other rows linked directly, `component_id` is the least key reachable,
-    `kept` marks the row that has it. Rows whose vector is null, empty, zero or has null or
+    `kept` marks rows that have it. Rows whose vector is null, empty, zero or has null or
     non-finite components, and rows without a label, link with nothing; so do rows with a null
-    key, which have no component and are kept. Keys are integers. Rows with equal keys and
-    vectors are counted as copies. Other columns are not read. An empty table gives no rows.
+    key, which have no component and are kept. Keys are integers. Each row is a vector of its own:
+    rows with equal vectors link with each other, whether their keys are equal or not, and rows
+    with equal keys and different vectors have each their own links. Other columns are not read.
+    An empty table gives no rows.
     """
+    steps = Steps(vectors.sparkSession)
     whole = F.transform(vectors[vector], lambda v: v.cast("double"))
     rows = vectors.select(vectors[key].alias("id"), vectors[label].alias("label"), whole.alias("vector"))
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
@@ -103,12 +181,17 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.98, key: str = "vec_
     # Equal vectors (0.0 and -0.0 alike) form a class, by a digest of 128 bits.
     flat = F.transform("vector", lambda v: F.when(v == 0, F.lit(0.0)).otherwise(v))
     rows = rows.withColumn("vector", flat).select("*", F.xxhash64("label", "vector").alias("d1"), F.xxhash64("vector", "label", F.lit(4)).alias("d2"), sound.alias("sound"))
-    found = saved(rows, "vectors")
     by = ["label", "d1", "d2"]
-    classes = saved(found.where("sound").groupBy(*by).agg(F.min("id").cast("long").alias("node"), F.count("*").alias("copies")), "classes")
-    nodes = saved(found.where("sound").join(classes, by).where("id = node").select("label", F.size("vector").alias("dim"), "node", "vector", "copies").dropDuplicates(["node", "label"]), "nodes")
-    posted = nodes.select("label", "dim", "node", "vector").mapInArrow(_posted, f"label {nodes.schema['label'].dataType.simpleString()}, dim int, table int, bucket long, node long, own boolean")
-    posted = saved(posted, "posted")
+    found = steps.saved(rows.select("id", *by, "sound"), "rows")
+    classes = rows.where("sound").groupBy(*by).agg(F.min("id").cast("long").alias("least"), F.count("*").alias("copies"), F.any_value("vector").alias("vector"))
+    # Numbers of the classes hold from here on, as the table is written.
+    classes = steps.saved(classes.select("*", F.size("vector").alias("dim"), F.monotonically_increasing_id().alias("node")), "classes")
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()  # bounded: a row for each width
+    hashes = F.coalesce(*(F.when(F.col("dim") == r["dim"], hashes_for(r["n"], r["dim"])) for r in sizes), F.lit(HASHES)).cast("int")
+    nodes = classes.select("label", "dim", hashes.alias("hashes"), "node", "copies", "vector")
+    nodes = steps.saved(nodes.mapInArrow(_hashed, T.StructType([*nodes.schema.fields, T.StructField("codes", T.ArrayType(T.LongType()))])), "nodes")
+    each = nodes.select("label", "dim", "node", F.posexplode("codes").alias("at", "bucket"))
+    posted = steps.saved(each.select("label", "dim", "node", "bucket", F.floor(F.col("at") / (1 + PROBES)).cast("int").alias("table"), (F.col("at") % (1 + PROBES) == 0).alias("own")).where("bucket >= 0"), "posted")
     key_of = ["label", "dim", "table", "bucket"]
     # Buckets in which a vector lies and another lies or visits.
     full = posted.groupBy(*key_of).agg(F.count("*").alias("n"), F.max("own").alias("any")).where("n > 1 and any").select(*key_of, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -116,60 +199,51 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.98, key: str = "vec_
     meeting = posted.join(full, key_of).withColumn("block", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     pair = F.least("block", "with") * F.col("blocks") + F.greatest("block", "with")
     side = F.when(F.col("block") < F.col("with"), 0).when(F.col("block") == F.col("with"), 1).otherwise(2)
-    meeting = meeting.select(F.xxhash64(*key_of, pair).alias("place"), side.cast("int").alias("side"), "own", "node", "label")
-    meeting = meeting.join(nodes.select("node", "label", "dim", "vector", "copies"), ["node", "label"]).select("place", "dim", "side", "own", "node", "vector", "copies")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for place in _places(batches):
-            dim, side, own, node, vectors_, copies = place
-            for d in np.unique(dim).tolist():
-                at = np.flatnonzero(dim == d)
-                x = _unit(np.stack([vectors_[i] for i in at]))
-                s, o, ids = side[at], own[at], node[at]
-                left, right = (np.arange(len(at)),) * 2 if (s == 1).all() else (np.flatnonzero(s < 2), np.flatnonzero(s == 2))
-                if not len(left) or not len(right):
-                    continue
-                near = x[left] @ x[right].T >= least - 1e-9
-                i, j = np.nonzero(near)
-                i, j = left[i], right[j]
-                keep = (ids[i] != ids[j]) & (o[i] | o[j]) & ((ids[i] < ids[j]) | (s[i] != 1))
-                i, j = i[keep], j[keep]
-                exact = np.einsum("ij,ij->i", x[i], x[j]) >= least
-                i, j = i[exact], j[exact]
-                if len(i):
-                    first = ids[i] < ids[j]
-                    a, b = np.where(first, i, j), np.where(first, j, i)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(copies[at][a]), pa.array(copies[at][b])], ["a", "b", "na", "nb"])
-
-    links = meeting.repartition("place").sortWithinPartitions("place").mapInArrow(verify, "a long, b long, na long, nb long")
-    links = saved(links.distinct(), "links")
-    joined = components(links.select("a", "b"))
-    counted = links.select(F.col("a").alias("node"), F.col("nb").alias("n")).union(links.select("b", "na")).groupBy("node").agg(F.sum("n").alias("n"))
-    named = classes.join(joined, "node", "left").join(counted, "node", "left").select(*by, "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "node").alias("component"))
-    out = found.where("sound").select("id", *by).join(named, by).select("id", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"))
+    meeting = meeting.select("table", "bucket", F.xxhash64("label", "dim", pair).alias("place"), side.cast("int").alias("side"), "own", "node")
+    meeting = meeting.join(nodes.select("node", "copies", "codes", "vector"), "node").select(*PLACE, "side", "own", "node", "copies", "codes", "vector")
+    there = steps.saved(meeting.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(_verified(least), "node long, n long, root long"), "links")
+    steps.drop(posted, nodes)
+    joined = components(there.select(F.col("node").alias("a"), F.col("root").alias("b")), steps)
+    counted = there.groupBy("node").agg(F.sum("n").alias("n"))
+    named = classes.select("node", *by, "copies", "least").join(joined, "node", "left").join(counted, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    named = steps.saved(named.select(*by, "group", "least", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
+    firsts = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    named = steps.saved(named.join(firsts, "group").select(*by, "copies", "n_links", "component_id"), "named")
+    sound = found.where("sound").select("id", *by)
+    out = by_class(sound, named, by, sound.count()).select("id", "n_links", "component_id")
     rest = found.where("not sound").select("id", F.lit(0).cast("long"), F.col("id").cast("long"))
-    return out.union(rest).select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    last = steps.saved(out.union(rest).select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")), "groups")
+    steps.drop(*(df for df, _ in steps.made if df is not last))
+    return last
+
+
+#: What rows that meet share: table, bucket, and a hash of label, width and pair of blocks.
+PLACE = ["table", "bucket", "place"]
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-    """Columns of each run of rows with an equal first column, from sorted batches."""
-    last, held = None, None
+    """Columns of each run of rows with equal PLACE, from sorted batches; lists as arrays."""
+    held: list | None = None
+
+    def lists(column: pa.ListArray) -> list[np.ndarray]:
+        flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
     for b in batches:
-        places = b.column(0).to_numpy()
-        if not len(places):
+        if not b.num_rows:
             continue
-        lists = b.column("vector")
-        flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-        vectors = [flat[offsets[i] : offsets[i + 1]] for i in range(b.num_rows)]
-        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in ("dim", "side", "own", "node")] + [vectors, b.column("copies").to_numpy()]
-        cuts = [0, *(np.flatnonzero(places[1:] != places[:-1]) + 1).tolist(), len(places)]
+        columns = [lists(c) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns]
+        change = np.zeros(b.num_rows - 1, bool)
+        for k in range(len(PLACE)):
+            change |= columns[k][1:] != columns[k][:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]
         for a, e in zip(cuts, cuts[1:], strict=False):
             part = [c[a:e] for c in columns]
-            if held is not None and last == places[a]:
+            if held is not None and all(held[k][0] == part[k][0] for k in range(len(PLACE))):
                 held = [x + y if isinstance(x, list) else np.concatenate((x, y)) for x, y in zip(held, part, strict=True)]
             else:
                 if held is not None:
                     yield held
-                held, last = part, places[a]
+                held = part
     if held is not None:
         yield held
