@@ -9,8 +9,9 @@ similar enough.
 
 Groups are not expanded into pairs: a pair is looked at in the posting list of its first common
 coordinate alone, and skipped if links found there have joined it already, so a list gives fewer
-links than it has sets. Long lists are split into blocks: each block by itself first, then pairs
-of blocks of those lists whose sets are in different components still.
+links than it has sets. Long lists are split into blocks: each block by itself first, then each
+with the next one, which joins large groups of copies. Of lists whose sets are in different
+components still, those outside the largest one go to all blocks; pairs within it are joined.
 """
 
 from __future__ import annotations
@@ -23,14 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Steps
+from .common import Steps, by_class
 from .components import LINKS, components
 from .sentencepiece_codec import by_size
 
 #: Coordinates that are posted, and further ones of eight bits that candidates are compared in.
 COORDINATES, WIDE = 32, 128
 #: Sets of a posting list that are compared in one task.
-BLOCK = 2048
+BLOCK = 512
 
 _rng = np.random.default_rng(10)
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64)
@@ -297,10 +298,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, key:
     steps = Steps(docs.sparkSession)
     found = steps.saved(features(docs, words, key=key, text=text), "features")
     linked = found.where("n > 0 and id is not null")
-    classes = linked.groupBy("n", "d1", "d2").agg(F.min("id").cast("long").alias("node"))
-    members = steps.saved(linked.join(classes, ["n", "d1", "d2"]).select("id", "n", "node", F.when(F.col("id") == F.col("node"), F.col("signature")).alias("signature")), "members")
+    classes = steps.saved(linked.groupBy("n", "d1", "d2").agg(F.min("id").cast("long").alias("node"), F.count("*").alias("copies")), "classes")
+    members = steps.saved(by_class(linked, classes, ["n", "d1", "d2"], linked.count()).select("id", "n", "node", F.when(F.col("id") == F.col("node"), F.col("signature")).alias("signature")), "members")
     rest = steps.saved(found.where("n = 0 or id is null").select("id", "n"), "rest")
-    steps.drop(found)
+    steps.drop(found, classes)
     nodes = members.where("signature is not null").select("node", "n", "signature")
     least = matches(percent, COORDINATES)
     posted = nodes.select("node", F.posexplode("signature").alias("pos", "token"))
@@ -316,16 +317,23 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, key:
     links = docs.sparkSession.createDataFrame([], LINKS)
     labels = candidates.select("node", F.col("node").alias("component")).distinct()
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")
-    made = []
-    for across in (False, True):
+    for turn in ("within", "next", "all"):
         met = prefix.join(labels, "node").withColumn("own", block)
-        if across:
-            split = met.where("blocks > 1").groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-            met = met.join(split, "token", "left_semi").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with")).where("own <> with")
-            side, place = F.when(F.col("own") < F.col("with"), 0).otherwise(2), F.least("own", "with") * F.col("blocks") + F.greatest("own", "with")
+        if turn == "within":
+            met = met.withColumns({"block": F.col("own"), "side": F.lit(1)})
         else:
-            side, place = F.lit(1), F.col("own")
-        met = met.select("token", place.alias("block"), side.cast("int").alias("side"), "node", "component", "pos")
+            split = met.where(f"blocks > {1 if turn == 'next' else 2}").groupBy("token", "component").agg(F.count("*").alias("n"))
+            split = split.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("token", "most")
+            met = met.join(split, "token")
+            if turn == "next":
+                places = F.array(F.struct(F.col("own").alias("block"), F.lit(0).alias("side")), F.struct(F.pmod(F.col("own") - 1, F.col("blocks")).alias("block"), F.lit(2).alias("side")))
+            else:
+                there = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+                home = F.array(F.struct(F.col("own").alias("block"), F.lit(2).alias("side")))
+                visits = F.transform(F.filter(there, lambda b: b != F.col("own")), lambda b: F.struct(b.alias("block"), F.lit(0).alias("side")))
+                places = F.when(F.col("component") == F.col("most"), home).otherwise(F.concat(home, visits))
+            met = met.withColumn("place", F.explode(places)).select("token", "pos", "node", "component", "place.block", "place.side")
+        met = met.select("token", F.col("block").cast("long").alias("block"), F.col("side").cast("int").alias("side"), "node", "component", "pos")
         rows = met.join(candidates.drop("shingles"), "node").select(*MEETING[:-1])
         some = rows.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(_open(percent), "token long, block long, side int, node long")
         open_ = steps.saved(some.join(met.select("token", "node", "component", "pos").distinct(), ["token", "node"]), "open")
@@ -333,14 +341,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, key:
         found_links = rows.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(_links(percent), LINKS)
         pairs = steps.saved(found_links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
         steps.drop(open_)
-        made.append(pairs)
         if not pairs.isEmpty():
             links = links.union(pairs)
             inner = Steps(steps.spark)
             old, labels = labels, steps.saved(candidates.select("node").distinct().join(components(links, inner), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
             inner.drop(*(df for df, _ in inner.made))
             steps.drop(old)
-        if across or prefix.where("blocks > 1").isEmpty():
+        if prefix.where(f"blocks > {1 if turn == 'within' else 2}").isEmpty():
             break
     joined = labels.where("component <> node")
     out = members.select("id", "n", "node").join(joined, "node", "left").select("id", "n", F.coalesce("component", "node").alias("component_id"))
