@@ -42,12 +42,16 @@ class ComparisonResult:
 
 
 class Engine:
+    #: Comparisons whose summaries are kept at once.
+    KEPT = 8
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Store(spark, root)
         self.jobs = Jobs(self.store)
+        self._kept: dict[str, tuple[list[str], DataFrame, DataFrame, list[str]]] = {}
 
-    def _read(self, table: str) -> DataFrame:
-        return self.store.read(table, getattr(schemas, table.upper()))
+    def _read(self, table: str, version: int | None = None) -> DataFrame:
+        return self.store.read(table, getattr(schemas, table.upper()), version)
 
     def _one(self, values: dict, table: str) -> DataFrame:
         schema = getattr(schemas, table.upper())
@@ -58,24 +62,26 @@ class Engine:
     def sync_records(self, records: DataFrame, *, file_name: str, file_hash: str | None = None, headers: list[str] | None = None) -> SyncResult:
         """Makes `records` (schemas.RECORD) the corpus: later rows of a key replace earlier
         ones, rows that differ are updated, rows not there are flagged. No records: ValueError.
-        The run is on record as failed if anything goes wrong; nothing else changes then."""
-        sync_id, started = uuid.uuid4().hex, datetime.now(UTC)
+        The run is on record as failed if anything goes wrong, another sync in between included;
+        nothing else changes then."""
+        sync_id, started, base = uuid.uuid4().hex, datetime.now(UTC), self.store.version()
         run = {"id": sync_id, "file_name": file_name, "file_hash": file_hash, "created_at": started, "business_columns": headers}
         try:
             total = records.count()
             if not total:
                 raise ValueError("no records to sync")
             if headers is None:
-                # Headers in the order of the row that has most of them come first.
-                found = records.select(F.map_keys("raw_fields").alias("k")).groupBy("k").agg(F.count("*").alias("n")).orderBy(F.desc(F.size("k")), "k").collect()
-                run["business_columns"] = files.business_columns([r["k"] or [] for r in found])
+                # Headers in the order of the row that has most of them come first; one row a header.
+                lists = records.select(F.map_keys("raw_fields").alias("k")).where(F.size("k") > 0).select("k", F.posexplode("k").alias("at", "header"))
+                found = lists.groupBy("header").agg(F.min(F.struct(-F.size("k"), "k", "at")).alias("first")).orderBy("first").select("header").collect()
+                run["business_columns"] = files.business_columns([[r["header"] for r in found]])
             payload = sync.keep_last(normalize.normalize(records), ["record_key"], ["source_row"])
             if file_hash is None:
                 rows = payload.select(F.sha2(F.to_json(F.struct(*[c for c in payload.columns if c != "raw_json"])).cast("binary"), 256).alias("h"))
                 # Order-free and of bounded size: sums of parts of the rows' hashes.
                 parts = rows.agg(*(F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")) for k in range(4))).first()
                 run["file_hash"] = hashlib.sha256(str(list(parts)).encode()).hexdigest()
-            current = self._read("work_orders")
+            current = self._read("work_orders", base)
             now = F.lit(started)
             changes = sync.diff(payload, current)
             staged = self.store.stage("changes", changes)
@@ -85,7 +91,7 @@ class Engine:
             log = sync.versions(changes, sync_id=sync_id, now=now)
             log = log.select("sync_id", "record_key", "action", *(self._as_row(c) for c in ("before", "after")), "created_at").to(schemas.VERSIONS)
             run |= {"status": "completed", "total_rows": total, "inserted_rows": n["inserted"], "updated_rows": n["updated"], "missing_rows": n["missing"], "completed_at": datetime.now(UTC)}
-            self.store.commit(replace={"work_orders": self.store.stage("work_orders", after)}, append={"versions": self.store.stage("versions", log), "sync_runs": self.store.stage("sync_runs", self._one(run, "sync_runs"))})
+            self.store.commit(replace={"work_orders": self.store.stage("work_orders", after)}, append={"versions": self.store.stage("versions", log), "sync_runs": self.store.stage("sync_runs", self._one(run, "sync_runs"))}, base=base)
             return SyncResult(sync_id, n["inserted"], n["updated"], n["missing"])
         except Exception as e:
             failed = run | {"status": "failed", "error_message": str(e), "completed_at": datetime.now(UTC)}
@@ -100,9 +106,10 @@ class Engine:
 
     _known = {"before": {f.name for f in schemas.WORK_ORDERS.fields}, "after": {f.name for f in schemas.PAYLOAD.fields} | {"missing_in_latest_upload"}}
 
-    def sync_file(self, path: str, *, max_rows: int | None = None) -> SyncResult:
-        _, digest = files.land(self.spark, path)
-        return self.sync_records(files.load_records(self.spark, path, max_rows=max_rows), file_name=str(path).rsplit("/", 1)[-1], file_hash=digest)
+    def sync_file(self, path: str, *, max_rows: int | None = files.MAX_ROWS) -> SyncResult:
+        """Keeps a copy of the file under the store's uploads, and syncs that."""
+        kept, digest = files.land(self.spark, path, f"{self.store.root}/uploads")
+        return self.sync_records(files.load_records(self.spark, kept, max_rows=max_rows), file_name=str(path).rsplit("/", 1)[-1], file_hash=digest)
 
     def list_current_orders(self) -> DataFrame:
         return self._read("work_orders").orderBy("record_key")
@@ -132,14 +139,16 @@ class Engine:
         last = self._read("sync_runs").where("status = 'completed'").orderBy(F.desc("created_at")).limit(1).collect()
         if not last:
             raise ValueError("nothing has been synced yet")
-        comparison_id, now = uuid.uuid4().hex, datetime.now(UTC)
+        comparison_id, now, base = uuid.uuid4().hex, datetime.now(UTC), self.store.version()
         rows = windows.assign_sides(self._read("work_orders").where(~F.col("missing_in_latest_upload")), w)
         if forbidden is not None:
             rows = events.split_conflicts(rows, forbidden)
         c = F.col
         name = keys.event_name(c("region"), c("street"), c("organization_subject"), c("anchor"), c("title_raw"), c("event_key"), keys.issue_name(c("issue_family"), c("category")))
         grouped = events.group_events(rows, name)
-        found = grouped.select(F.lit(comparison_id).alias("comparison_id"), "event_id", "event_key", "event_name", F.lit("active").alias("status"), F.lit(now).alias("created_at")).to(schemas.EVENTS)
+        # Ids go on from those of all comparisons before.
+        event_id = (F.col("event_id") + self._last_event(base)).alias("event_id")
+        found = grouped.select(F.lit(comparison_id).alias("comparison_id"), event_id, "event_key", "event_name", F.lit("active").alias("status"), F.lit(now).alias("created_at")).to(schemas.EVENTS)
         at_events = self.store.stage("events", found)
         found = self.spark.read.schema(schemas.EVENTS).parquet(at_events)
         snapshot = F.struct(*(F.col(f) for f in schemas.WORK_ORDERS.fieldNames())).alias("snapshot")
@@ -154,7 +163,7 @@ class Engine:
         result = ComparisonResult(comparison_id, sides["target_count"], sides["reference_count"], total["event_count"], total["singleton_count"], sides["missing_time_count"])
         counts = {k: getattr(result, k) for k in ("target_count", "reference_count", "event_count", "singleton_count", "missing_time_count")}
         run = {"id": comparison_id, "sync_id": last[0]["id"], "time_field": time_field, "reference_mode": "manual" if w.manual else "complement", "status": "completed", "created_at": now} | utc | counts
-        self.store.commit(append={"events": at_events, "members": at_members, "comparison_runs": self.store.stage("comparison_runs", self._one(run, "comparison_runs"))})
+        self.store.commit(append={"events": at_events, "members": at_members, "comparison_runs": self.store.stage("comparison_runs", self._one(run, "comparison_runs"))}, base=base)
         return result
 
     def list_comparisons(self, *, limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -189,8 +198,27 @@ class Engine:
     def list_event_member_snapshots(self, comparison_id: str, event_id: int) -> DataFrame:
         return self.members(comparison_id).where(F.col("event_id") == event_id).orderBy("record_key")
 
+    def _settled(self, comparison_id: str) -> tuple[DataFrame, DataFrame]:
+        """Members and unfiltered summaries of a comparison, written once and kept until a table
+        that they come from has another version."""
+        found = self.store.manifest()
+        state = [p for t in ("members", "events", "overrides") for p in found.get(t, [])]
+        if comparison_id not in self._kept or self._kept[comparison_id][0] != state:
+            while len(self._kept) >= self.KEPT or comparison_id in self._kept:
+                self._forget(comparison_id if comparison_id in self._kept else next(iter(self._kept)))
+            paths = [self.store.stage("settled", self.members(comparison_id))]
+            members = self.spark.read.parquet(paths[0])
+            paths.append(self.store.stage("settled", library.summaries(members)))
+            self._kept[comparison_id] = (state, members, self.spark.read.parquet(paths[1]), paths)
+        return self._kept[comparison_id][1:3]
+
+    def _forget(self, comparison_id: str) -> None:
+        for path in self._kept.pop(comparison_id)[3]:
+            self.store.remove(path)
+
     def event_summaries(self, comparison_id: str, filters: EventFilters | None = None) -> DataFrame:
-        return library.summaries(self.members(comparison_id), filters)
+        members, found = self._settled(comparison_id)
+        return found if (filters or EventFilters()) == EventFilters() else library.summaries(members, filters)
 
     def list_event_summaries(self, comparison_id: str, *, filters: EventFilters | None = None, sort: str = "updated_desc", limit: int = 20, offset: int = 0) -> tuple[DataFrame, int]:
         found = self.event_summaries(comparison_id, filters)
@@ -207,24 +235,40 @@ class Engine:
         return found[0].asDict() if found else None
 
     def list_event_records(self, comparison_id: str, event_id: int, *, limit: int = 20, offset: int = 0) -> tuple[dict | None, DataFrame, int]:
-        rows = self.members(comparison_id).where(F.col("event_id") == event_id)
+        rows = self._settled(comparison_id)[0].where(F.col("event_id") == event_id)
         return self.get_event(comparison_id, event_id), library.page(rows, [F.asc("record_key")], limit, offset), rows.count()
 
     # -- review and export --------------------------------------------------------------
 
-    def _override(self, comparison_id: str, rows: list[dict]) -> None:
-        seq = (self._read("overrides").agg(F.max("seq")).first()[0] or 0) + 1
+    def _override(self, comparison_id: str, rows: list[dict], base: int) -> None:
+        seq = (self._read("overrides", base).agg(F.max("seq")).first()[0] or 0) + 1
         values = [tuple(({"comparison_id": comparison_id, "seq": seq + i} | r).get(f) for f in schemas.OVERRIDES.fieldNames()) for i, r in enumerate(rows)]
-        self.store.commit(append={"overrides": self.store.stage("overrides", self.spark.createDataFrame(values, schemas.OVERRIDES).coalesce(1))})
+        self.store.commit(append={"overrides": self.store.stage("overrides", self.spark.createDataFrame(values, schemas.OVERRIDES).coalesce(1))}, base=base)
+
+    def comparison_of(self, event_id: int) -> str:
+        """The comparison that an event belongs to; event ids are unique in the store."""
+        of = F.col("event_id") == event_id
+        made = self._read("overrides").where(of & (F.col("kind") == "create")).select("comparison_id")
+        found = self._read("events").where(of).select("comparison_id").union(made).limit(1).collect()
+        if not found:
+            raise KeyError(event_id)
+        return found[0]["comparison_id"]
+
+    def _last_event(self, version: int | None = None) -> int:
+        ids = self._read("events", version).select("event_id").union(self._read("overrides", version).where("kind = 'create'").select("event_id"))
+        return ids.agg(F.max("event_id")).first()[0] or 0
 
-    def update_event_name(self, comparison_id: str, event_id: int, name: str) -> None:
-        name = review.trimmed_name(name)
+    def update_event_name(self, event_id: int, name: str, *, comparison_id: str | None = None) -> None:
+        """Renames an event; its comparison is looked up where none is given."""
+        name, base = review.trimmed_name(name), self.store.version()
+        comparison_id = comparison_id or self.comparison_of(event_id)
         if self.get_event(comparison_id, event_id) is None:
             raise KeyError(event_id)
-        self._override(comparison_id, [{"kind": "rename", "event_id": event_id, "name": name}])
+        self._override(comparison_id, [{"kind": "rename", "event_id": event_id, "name": name}], base)
 
     def exclude_event_member(self, comparison_id: str, event_id: int, record_key: str, *, target_name: str = "") -> int:
         """Moves a record to the active event of the given name, or to a new one; its id."""
+        base = self.store.version()
         there = self.members(comparison_id).where((F.col("event_id") == event_id) & (F.col("record_key") == record_key))
         if there.isEmpty():
             raise KeyError((event_id, record_key))
@@ -233,13 +277,13 @@ class Engine:
         if match:
             to, made = match[0]["event_id"], []
         else:
-            to = every.agg(F.max("event_id")).first()[0] + 1
+            to = self._last_event(base) + 1
             made = [{"kind": "create", "event_id": to, "record_key": uuid.uuid4().hex, "name": review.exclusion_name(target_name)}]
-        self._override(comparison_id, [*made, {"kind": "move", "event_id": event_id, "record_key": record_key, "to_event": to}])
+        self._override(comparison_id, [*made, {"kind": "move", "event_id": event_id, "record_key": record_key, "to_event": to}], base)
         return to
 
     def export_rows(self, comparison_id: str, *, filters: EventFilters | None = None) -> DataFrame:
-        return review.export_rows(self.members(comparison_id), self.event_summaries(comparison_id, filters))
+        return review.export_rows(self._settled(comparison_id)[0], self.event_summaries(comparison_id, filters))
 
     def sync_business_columns(self, comparison_id: str) -> list[str]:
         run = self.get_comparison(comparison_id)
@@ -288,4 +332,4 @@ class Engine:
             days = {k: date.fromisoformat(v) for k, v in p.items() if k != "time_field" and v}
             return self.compare(time_field=p.get("time_field", "received_at"), **days).__dict__
 
-        return self.jobs.run_next({"sync": lambda p: self.sync_file(p["path"], max_rows=p.get("max_rows")).__dict__, "compare": compare})
+        return self.jobs.run_next({"sync": lambda p: self.sync_file(p["path"], max_rows=p.get("max_rows", files.MAX_ROWS)).__dict__, "compare": compare})

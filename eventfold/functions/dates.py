@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 ZONE = "Asia/Shanghai"
 
@@ -17,7 +17,10 @@ _LOOSE = (("yyyy-M-d H:m:s", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$")
 def parse_timestamp(c: Column, zone: str = ZONE) -> Column:
     """ISO date or date and time with or without offset, or year-month-day with '-', '/' or '.';
     null for anything else. Text without an offset is local time in `zone`."""
-    text = F.replace(strip(c.cast("string")), F.lit("/"), F.lit("-"))
+    return let(F.replace(strip(c.cast("string")), F.lit("/"), F.lit("-")), lambda text: _instant(text, zone))
+
+
+def _instant(text: Column, zone: str) -> Column:
     day = F.regexp_replace(F.regexp_extract(text, rf"^({_DAY})", 1), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
     clock = F.regexp_replace(F.regexp_extract(text, rf"^(?:{_DAY})[T ]([\d:.,]*)", 1), ",", ".")
     clock = F.regexp_replace(F.regexp_replace(clock, r"^(\d{2})(\d{2})", "$1:$2"), r"^(\d{2}:\d{2})(\d{2})", "$1:$2")

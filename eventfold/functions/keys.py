@@ -10,7 +10,7 @@ from .text import none_if_empty, or_empty, trim_to_null
 
 
 def _json_text(c: Column) -> Column:
-    return F.when(c.isNull(), "null").otherwise(F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2))
+    return F.when(c.isNull(), "null").otherwise(F.regexp_replace(F.to_json(F.array(c)), r"(?s)^\[|\]$", ""))
 
 
 def fingerprint(fields: dict[str, Column]) -> Column:
@@ -23,8 +23,7 @@ def fingerprint(fields: dict[str, Column]) -> Column:
 
 def record_key(work_order_id: Column, fields: dict[str, Column]) -> Column:
     """'wo:' and the trimmed id, else the fingerprint of the record's raw text fields."""
-    given = trim_to_null(work_order_id)
-    return F.when(given.isNotNull(), F.concat(F.lit("wo:"), given)).otherwise(fingerprint(fields))
+    return F.coalesce(F.concat(F.lit("wo:"), trim_to_null(work_order_id)), fingerprint(fields))
 
 
 def key_part(c: Column) -> Column:

@@ -3,6 +3,7 @@ only the NFKC form of organisation names needs Python, in Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -39,11 +40,19 @@ def first_group(c: Column, pattern: str, group: int = 1) -> Column:
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, which the optimizer can't undo."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_contained(c: Column, words) -> Column:
-    """The first of `words`, in their order, that the text contains; pairs name the result."""
+    """The first of `words`, in their order, that the text contains; pairs name the result. The
+    text is used once, so that chains of this stay small."""
     pairs = [w if isinstance(w, tuple) else (w, w) for w in words]
-    tests = [(reduce(lambda a, b: a | b, (c.contains(k) for k in (keys if isinstance(keys, tuple) else (keys,)))), name) for keys, name in pairs]
-    return F.coalesce(*(F.when(test, F.lit(name)) for test, name in tests))
+    known = [(k, name) for keys, name in pairs for k in (keys if isinstance(keys, tuple) else (keys,))]
+    listed = [F.split(F.lit("\n".join(x)), "\n") for x in zip(*known, strict=True)]
+    at = F.array_position(F.transform(listed[0], lambda k: F.contains(c, k)), F.lit(True))
+    return F.try_element_at(listed[1], F.nullif(at, F.lit(0).cast("long")).cast("int"))
 
 
 def remove_first(c: Column, part: Column, tail: str = "") -> Column:
@@ -78,10 +87,11 @@ def region(c: Column) -> Column:
     return F.coalesce(first_contained(c, rules.REGIONS), first_contained(c, rules.REGION_ALIASES))
 
 
-def street(c: Column) -> Column:
-    """A known street by any of its names, else the first street-like word after the region."""
+def street(c: Column, where: Column | None = None) -> Column:
+    """A known street by any of its names, else the first street-like word after the region
+    (`where`, if it is known)."""
     known = first_contained(c, [(aliases, name) for name, aliases in rules.STREET_ALIASES])
-    where = region(c)
+    where = region(c) if where is None else where
     at = F.instr(c, where)
     scoped = F.when(at > 0, F.substring(c, at + F.length(where), F.length(c))).otherwise(c)
     return F.coalesce(known, first_group(scoped, rules.STREET))
@@ -139,11 +149,7 @@ def _folded(names):
 
 def normal_organization(c: Column) -> Column:
     """NFKC, case folded, without blanks and without one legal suffix if something remains."""
-    name = F.when(c.isNull(), F.lit("")).otherwise(_folded(or_empty(c)))
-    out = name
-    for suffix in reversed(rules.LEGAL_SUFFIXES):
-        out = F.when(name.endswith(suffix) & (F.length(name) > len(suffix)), F.substring(name, F.lit(1), F.length(name) - len(suffix))).otherwise(out)
-    return out
+    return F.regexp_replace(_folded(or_empty(c)), rf"(?s)^(.+?)(?:{'|'.join(rules.LEGAL_SUFFIXES)})$", "$1")
 
 
 def issue_family(*texts: Column, families=rules.FAMILIES) -> Column:
@@ -171,7 +177,10 @@ def occurrences(c: Column) -> Column:
 
 def issue_segments(c: Column) -> Column:
     """Array of (segment_no, text, label, is_independent); numbers keep the gaps of empty ones."""
-    value = collapse(c)
+    return let(collapse(c), _segments_of)
+
+
+def _segments_of(value: Column) -> Column:
     parts = F.filter(F.split(value, rules.ISSUE_MARK), lambda _, i: i > 0)
     labels = F.regexp_extract_all(value, F.lit(rules.ISSUE_MARK), F.lit(1))
     made = lambda no, text, label: F.struct(no.cast("int").alias("segment_no"), text.alias("text"), none_if_empty(label).alias("label"), F.lit(True).alias("is_independent"))
@@ -183,8 +192,12 @@ def issue_segments(c: Column) -> Column:
 
 def address_parts(address: Column) -> Column:
     """Struct of region, street and the address without either."""
-    where, way = region(address), normal_street(street(address))
-    return F.struct(where.alias("region"), way.alias("street"), remove_first(remove_first(address, where), way, "镇|乡").alias("scoped"))
+
+    def parts(r: Column) -> Column:
+        where, way = r["region"], r["street"]
+        return F.struct(where.alias("region"), way.alias("street"), remove_first(remove_first(address, where), way, "镇|乡").alias("scoped"))
+
+    return let(region(address), lambda where: let(F.struct(where.alias("region"), normal_street(street(address, where)).alias("street")), parts))
 
 
 COMPONENTS = {"road": (rules.ROAD_HOUSE, 1), "house_no": (rules.ROAD_HOUSE, 2), "building": (rules.BUILDING, 1), "unit": (rules.UNIT, 1), "room": (rules.ROOM, 1), "shop_no": (rules.SHOP, 1), "floor": (rules.FLOOR, 1)}

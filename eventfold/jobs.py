@@ -1,7 +1,8 @@
 """Job control: one active job at a time, first in first out, as rows of schemas.JOBS.
 
-A control plane of a few rows: state lives in the store and each change is one new version, so
-two writers can't both claim a job.
+A control plane of a few rows: state lives in the store and each change is one new version that
+follows the one it read. Where two writers claim a job at once, the second finds a newer version
+and reads again, so only one of them gets it.
 """
 
 from __future__ import annotations
@@ -39,21 +40,37 @@ class Jobs:
     def frame(self):
         return self.store.read("jobs", JOBS)
 
-    def _put(self, rows: list[dict]) -> None:
+    def _changed(self, change):
+        """change(rows) returns a result and whether rows changed; it is called again on newer
+        rows if another writer came between."""
+        for _ in range(50):
+            base = self.store.version()
+            rows = [r.asDict() for r in self.store.read("jobs", JOBS, base).orderBy("created_at", "id").collect()]
+            result, changed = change(rows)
+            if not changed:
+                return result
+            try:
+                self._put(rows, base)
+                return result
+            except FileExistsError:
+                continue
+        raise FileExistsError("other writers keep changing the jobs")
+
+    def _put(self, rows: list[dict], base: int) -> None:
         df = self.store.spark.createDataFrame([tuple(r[f] for f in JOBS.fieldNames()) for r in rows], JOBS).coalesce(1)
-        self.store.commit(replace={"jobs": self.store.stage("jobs", df)})
-
-    def _rows(self) -> list[dict]:
-        return [r.asDict() for r in self.frame().orderBy("created_at", "id").collect()]
+        self.store.commit(replace={"jobs": self.store.stage("jobs", df)}, base=base)
 
     def create(self, kind: str, payload: dict) -> str:
-        rows = self._rows()
-        active = [r for r in rows if r["status"] in ("queued", "running")]
-        if active:
-            raise ActiveJobConflictError(active[0])
         job = dict.fromkeys(JOBS.fieldNames()) | {"id": uuid.uuid4().hex, "kind": kind, "status": "queued", "payload": json.dumps(payload, ensure_ascii=False, sort_keys=True), "progress": 0, "created_at": datetime.now(UTC)}
-        self._put([*rows, job])
-        return job["id"]
+
+        def change(rows: list[dict]):
+            active = [r for r in rows if r["status"] in ("queued", "running")]
+            if active:
+                raise ActiveJobConflictError(active[0])
+            rows.append(job)
+            return job["id"], True
+
+        return self._changed(change)
 
     def get(self, job_id: str) -> dict | None:
         found = self.frame().where(F.col("id") == job_id).limit(1).collect()
@@ -64,20 +81,24 @@ class Jobs:
 
     def claim(self) -> dict | None:
         """The oldest queued job, now running; None if there is none."""
-        rows = self._rows()
-        job = next((r for r in rows if r["status"] == "queued"), None)
-        if job:
-            job |= {"status": "running", "started_at": datetime.now(UTC)}
-            self._put(rows)
-        return job
-
-    def _finish(self, job_id: str, **change) -> None:
-        rows = self._rows()
-        job = next((r for r in rows if r["id"] == job_id), None)
-        if job is None:
-            raise KeyError(job_id)
-        job |= {"completed_at": datetime.now(UTC)} | change
-        self._put(rows)
+
+        def change(rows: list[dict]):
+            job = next((r for r in rows if r["status"] == "queued"), None)
+            if job:
+                job |= {"status": "running", "started_at": datetime.now(UTC)}
+            return job, job is not None
+
+        return self._changed(change)
+
+    def _finish(self, job_id: str, **values) -> None:
+        def change(rows: list[dict]):
+            job = next((r for r in rows if r["id"] == job_id), None)
+            if job is None:
+                raise KeyError(job_id)
+            job |= {"completed_at": datetime.now(UTC)} | values
+            return None, True
+
+        self._changed(change)
 
     def complete(self, job_id: str, result: dict) -> None:
         self._finish(job_id, status="completed", progress=100, result_json=json.dumps(result, ensure_ascii=False, sort_keys=True))

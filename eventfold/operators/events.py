@@ -5,11 +5,12 @@ Members are ordered target first, then by record key; the first one names the ev
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import none_if_empty
+from ..sources.store import staged
 
 ORDER = ("side_rank", "record_key")
 
@@ -29,30 +30,34 @@ def group_events(members: DataFrame, name: Column) -> DataFrame:
     return number(grouped, [F.col("__first.side_rank"), F.col("__first.record_key")], "event_id").select("event_id", "event_key", F.col("__named.event_name").alias("event_name"), "member_count", "target_count")
 
 
-def number(df: DataFrame, order: list[Column], into: str, cuts: tuple[int, int] = (8, 13)) -> DataFrame:
+def number(df: DataFrame, order: list[Column], into: str) -> DataFrame:
     """Row numbers from 1 in the given order, without one task that sees all rows.
 
-    Rows are counted by a short and a longer prefix of the last order column; a row's number is
-    what lies before its short prefix, before its longer one within that, and before it there.
+    Rows are dealt by sampled ranges of the order and sorted within; the result is written, so
+    that a row's range and place hold, and a range's first number follows from the sizes of the
+    ranges before it, one row each on the driver.
     """
-    lead = [c.cast("string") for c in order[:-1]]
-    short, longer = (F.concat_ws("|", *lead, F.substring(order[-1].cast("string"), 1, n)) for n in cuts)
-    cut = df.withColumn("__short", short).withColumn("__long", longer)
-    sizes = cut.groupBy("__short", "__long").agg(F.count("*").alias("__n"))
-    earlier = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inner = sizes.select("__short", "__long", earlier(Window.partitionBy("__short").orderBy("__long")).alias("__inner"))
-    outer = sizes.groupBy("__short").agg(F.sum("__n").alias("__n")).select("__short", earlier(Window.orderBy("__short")).alias("__outer"))
-    within = F.row_number().over(Window.partitionBy("__short", "__long").orderBy(*order))
-    placed = cut.withColumn("__nth", within).join(inner, ["__short", "__long"]).join(outer, "__short")
-    return placed.withColumn(into, (F.col("__outer") + F.col("__inner") + F.col("__nth")).cast("long")).drop("__short", "__long", "__nth", "__inner", "__outer")
-
-
-def summarize(members: DataFrame, by: list[str], issue: Column, marks: dict[str, Column] | None = None) -> DataFrame:
+    names = [f"__by{k}" for k in range(len(order))]
+    keyed = df.select("*", *(c.alias(n) for c, n in zip(order, names, strict=True))).repartitionByRange(*names).sortWithinPartitions(*names).drop(*names)
+    placed = staged(keyed.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33)
+    done, firsts = 0, []
+    for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        firsts.append((r["part"], done))
+        done += r["n"]
+    before = F.broadcast(df.sparkSession.createDataFrame(firsts, "__part long, __before long"))  # a row for each range
+    out = placed.join(before, part == F.col("__part"))
+    return out.withColumn(into, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at", "__part", "__before")
+
+
+def summarize(members: DataFrame, by: list[str], issue: Column, marks: dict[str, Column] | None = None, name: Column | None = None) -> DataFrame:
     """One row an event: counts, first and last reception, departments, and the first member's
     region, street and issue, and `marks`, further aggregates. It is one aggregation with partial
-    results before the shuffle."""
+    results before the shuffle. With `name` events are numbered in the same pass: the first member
+    gives the event its name and its place in the order of event_id."""
     ranked = with_rank(members).withColumn("__issue", issue)
-    first = F.min_by(F.struct(F.col("region").alias("region"), F.coalesce(none_if_empty(F.col("street")), F.lit(rules.UNKNOWN_STREET)).alias("street_name"), F.col("__issue").alias("issue_name")), F.struct(*ORDER))
+    own = [] if name is None else [name.alias("event_name"), F.struct(*ORDER).alias("__order")]
+    first = F.min_by(F.struct(*own, F.col("region").alias("region"), F.coalesce(none_if_empty(F.col("street")), F.lit(rules.UNKNOWN_STREET)).alias("street_name"), F.col("__issue").alias("issue_name")), F.struct(*ORDER))
     out = ranked.groupBy(*by).agg(
         first.alias("__first"),
         F.count("*").alias("member_count"),
@@ -62,7 +67,8 @@ def summarize(members: DataFrame, by: list[str], issue: Column, marks: dict[str,
         F.array_sort(F.collect_set(none_if_empty(F.col("processing_department")))).alias("processing_departments"),
         *(c.alias(k) for k, c in (marks or {}).items()),
     )
-    return out.select(*by, "__first.*", *[c for c in out.columns if c not in by and c != "__first"])
+    out = out.select(*by, "__first.*", *[c for c in out.columns if c not in by and c != "__first"])
+    return out if name is None else number(out, [F.col(f"__order.{c}") for c in ORDER], "event_id").drop("__order")
 
 
 def event_counts(events: DataFrame) -> DataFrame:

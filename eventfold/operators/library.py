@@ -38,6 +38,8 @@ class Layout:
     completed_day: Column = field(default_factory=lambda: local_date(F.col("completed_at"), ZONE))
     searched: tuple[str, ...] = SEARCHED
     by: tuple[str, ...] = ("event_id", "event_name")
+    #: Members that have no event id yet are grouped and numbered too; this names their events.
+    name: Column | None = None
 
 
 def summaries(members: DataFrame, filters: EventFilters | None = None, layout: Layout | None = None) -> DataFrame:
@@ -55,12 +57,12 @@ def summaries(members: DataFrame, filters: EventFilters | None = None, layout: L
         in_days = in_days & (F.col("__day") >= F.lit(f.completed_from))
     if f.completed_to:
         in_days = in_days & (F.col("__day") <= F.lit(f.completed_to))
-    out = summarize(rows, list(at.by), at.issue)
     wanted: list[Column] = []
     marks = {}
     if word:
         marks["__hit"] = F.bool_or(hit)
-        own = [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(word)) for c in ("event_name", "issue_name", "region", "street_name") if c in out.columns]
+        named = ["event_name"] if at.name is not None or "event_name" in at.by else []
+        own = [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(word)) for c in (*named, "issue_name", "region", "street_name")]
         listed = F.exists("processing_departments", lambda d: F.contains(F.lower(d), F.lit(word)))
         wanted.append(F.col("__hit") | listed | _any(own))
     if not f.search_all:
@@ -80,8 +82,7 @@ def summaries(members: DataFrame, filters: EventFilters | None = None, layout: L
         if f.completed_from or f.completed_to:
             marks["__within"] = F.bool_or(in_days)
             wanted.append(F.col("__within"))
-    if marks:
-        out = summarize(rows, list(at.by), at.issue, marks)
+    out = summarize(rows, list(at.by), at.issue, marks, at.name)
     for c in wanted:
         out = out.where(c)
     return out.drop(*marks)

@@ -29,12 +29,14 @@ def fallback(*columns: Column) -> Column:
 def parse_complaint(df: DataFrame, *, title: str = "title", appeal: str = "appeal_text", location: str = "location", into: str = "parsed") -> DataFrame:
     """Adds the whole parse of a complaint as one struct column: address and its components,
     title, organisation, earlier order ids and issue segments."""
-    c = F.col
-    out = df.withColumn("__line", text.address_line(c(appeal), c(location), c(title)))
-    out = out.withColumn("__address", text.collapse(c("__line.line"))).withColumn("__parts", text.address_parts(c("__address")))
-    out = out.withColumn("__scoped", c("__parts.scoped")).withColumn("__found", text.raw_components(c("__scoped")))
-    out = out.withColumns({f"__{k}": c(f"__found.{k}") for k in ("building", "floor", "rest")})
-    out = out.withColumns({f"__{k}": text.numbered_component(c(f"__{k}")) for k in ("building", "floor")})
+    c, let = F.col, text.let
+    # Each level is one value that the optimizer keeps: merged into each other, the levels would
+    # repeat their expressions at every use.
+    given = F.struct(c(appeal).alias("appeal"), c(location).alias("location"), c(title).alias("title"))
+    out = df.withColumn("__line", let(given, lambda r: text.address_line(r["appeal"], r["location"], r["title"])))
+    out = out.withColumn("__address", let(c("__line.line"), text.collapse)).withColumn("__parts", let(c("__address"), text.address_parts))
+    out = out.withColumn("__found", let(c("__parts.scoped"), text.raw_components)).withColumn("__rest", c("__found.rest"))
+    out = out.withColumns({f"__{k}": let(c(f"__found.{k}"), text.numbered_component) for k in ("building", "floor")})
     sure = F.when((c("__line.source") == "appeal_address") & c("__parts.street").isNotNull(), 0.95).when(c("__parts.street").isNotNull(), 0.75).otherwise(0.4)
     parsed = F.struct(
         c("__parts.region").alias("region"),
@@ -48,11 +50,11 @@ def parse_complaint(df: DataFrame, *, title: str = "title", appeal: str = "appea
         c("__line.source").alias("parse_source"),
         sure.alias("parse_confidence"),
         text.clean_title(c(title)).alias("normalized_title"),
-        text.organization(c(title), c(appeal), c("__line.line")).alias("organization_subject"),
+        let(F.array(c(title), c(appeal), c("__line.line")), lambda texts: F.get(F.filter(F.transform(texts, text.organization_in), lambda n: n.isNotNull()), F.lit(0))).alias("organization_subject"),
         text.earlier_orders(c(appeal)).alias("previous_work_order_ids"),
-        text.issue_segments(c(appeal)).alias("issue_segments"),
+        let(c(appeal), text.issue_segments).alias("issue_segments"),
     )
-    return out.withColumn(into, parsed).drop("__line", "__address", "__parts", "__scoped", "__found", "__building", "__floor", "__rest")
+    return out.withColumn(into, let(parsed, lambda p: p)).drop("__line", "__address", "__parts", "__found", "__building", "__floor", "__rest")
 
 
 def normalize(records: DataFrame, *, label_as_category: bool = True, families=rules.FAMILIES) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import or_empty
+from .events import number
 
 
 def latest(overrides: DataFrame, kind: str, by: list[str], value: str) -> DataFrame:
@@ -59,7 +60,9 @@ def sheets(rows: DataFrame, headers: list[str]) -> DataFrame:
     size = F.count("*").over(Window.partitionBy("event_id"))
     sized = rows.withColumn("sheet", F.when(size > 1, rules.SHEETS[0]).otherwise(rules.SHEETS[1]))
     events = sized.select("sheet", "event_id").distinct()
-    banded = events.withColumn("band", (F.row_number().over(Window.partitionBy("sheet").orderBy("event_id")) - 1) % 2)
+    placed = number(events, [F.col("sheet"), F.col("event_id")], "__nth")
+    firsts = F.broadcast(placed.groupBy("sheet").agg(F.min("__nth").alias("__first")))  # two rows
+    banded = placed.join(firsts, "sheet").select("sheet", "event_id", ((F.col("__nth") - F.col("__first")) % 2).cast("int").alias("band"))
     label = F.when(F.col("side") == "target", rules.SIDE_LABELS["target"]).otherwise(rules.SIDE_LABELS["reference"])
     cells = [safe_cell(business_value(h, rows.columns)).alias(h) for h in headers]
     return sized.join(banded, ["sheet", "event_id"]).select("sheet", "event_id", "record_key", "band", label.alias(rules.LEAD_HEADERS[0]), F.col("event_name").alias(rules.LEAD_HEADERS[1]), *cells)

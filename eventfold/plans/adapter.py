@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import events, windows
-from ..operators.library import Layout
+from ..operators import events, library, windows
 
 TARGET = windows.Windows("received_at", date(1998, 1, 1), date(1998, 12, 31))
 MANUAL = windows.Windows("received_at", date(1998, 1, 1), date(1998, 12, 31), date(1996, 3, 1), date(1997, 6, 30))
@@ -74,8 +73,9 @@ def event_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(events.group_events(rows, F.col("named")).select("event_id", "event_key", "event_name"), "event_key")
 
 
-def layout(by: tuple[str, ...] = ("event_id", "event_name")) -> Layout:
-    return Layout(by=by)
+def summaries(spark: SparkSession, sf_dir: str, filters: library.EventFilters | None = None) -> DataFrame:
+    """Summaries of the events that pass; grouping, numbering and summing up are one aggregation."""
+    return library.summaries(members(spark, sf_dir), filters, library.Layout(by=("event_key",), name=F.col("named"))).drop("event_key")
 
 
 # -- the same in SQL --------------------------------------------------------------------

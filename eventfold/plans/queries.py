@@ -43,7 +43,7 @@ SUMMARY_COLUMNS = "event_id, event_name, region, street_name, issue_name, member
 
 @query(f"WITH {a.SUMMARY} SELECT {SUMMARY_COLUMNS} FROM summary")
 def event_summary(spark, sf_dir):
-    return shown(library.summaries(a.event_members(spark, sf_dir), layout=a.layout()))
+    return shown(a.summaries(spark, sf_dir))
 
 
 @query(f"WITH {a.GROUPED} SELECT event_id, event_key, event_name, member_count, target_count FROM grouped")
@@ -113,7 +113,7 @@ _FILTERS["search_all"] = (EventFilters(keyword=" uRgEnT ", region="nowhere", sea
 
 def _filter(name: str, filters: EventFilters, where: str) -> None:
     def run(spark, sf_dir):
-        return shown(library.summaries(a.event_members(spark, sf_dir), filters, a.layout())).select("event_id", "event_name", "member_count", "target_count", "departments")
+        return shown(a.summaries(spark, sf_dir, filters)).select("event_id", "event_name", "member_count", "target_count", "departments")
 
     run.__name__ = f"event_filter_{name}"
     query(f"WITH {a.SUMMARY} SELECT event_id, event_name, member_count, target_count, departments FROM summary WHERE {where}")(run)
@@ -125,7 +125,7 @@ for _name, (_f, _where) in _FILTERS.items():
 
 @query(f"WITH {a.SUMMARY} SELECT event_id, event_name FROM summary WHERE {_WORD.format(w='customer#000000012')}")
 def keyword_search(spark, sf_dir):
-    return library.summaries(a.event_members(spark, sf_dir), EventFilters(keyword="Customer#000000012"), a.layout()).select("event_id", "event_name")
+    return a.summaries(spark, sf_dir, EventFilters(keyword="Customer#000000012")).select("event_id", "event_name")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license')")
@@ -135,17 +135,17 @@ def keyword_search_documents(spark, sf_dir):
 
 @query(f"WITH {a.SUMMARY} SELECT string_agg(DISTINCT region, ',' ORDER BY region) regions, string_agg(DISTINCT street_name, ',' ORDER BY street_name) streets, (SELECT string_agg(DISTINCT d, ',' ORDER BY d) FROM (SELECT unnest(string_split(departments, ',')) d FROM summary WHERE region = 'ASIA')) departments FROM summary WHERE region = 'ASIA'")
 def event_facets(spark, sf_dir):
-    return shown(library.facets(library.summaries(a.event_members(spark, sf_dir), layout=a.layout()), region="ASIA"))
+    return shown(library.facets(a.summaries(spark, sf_dir), region="ASIA"))
 
 
 @query(f"WITH {a.GROUPED} SELECT count(*) FILTER (member_count = 1) singleton_count FROM grouped")
 def event_singletons(spark, sf_dir):
-    return library.singletons(library.summaries(a.event_members(spark, sf_dir), layout=a.layout()))
+    return library.singletons(a.summaries(spark, sf_dir))
 
 
 def _page(sort: str, order: str) -> None:
     def run(spark, sf_dir):
-        found = library.summaries(a.event_members(spark, sf_dir), layout=a.layout())
+        found = a.summaries(spark, sf_dir)
         return library.page(found, library.ordering(sort), 20, 40).select("event_id", "event_name", "member_count")
 
     run.__name__ = f"event_page_{sort}"
@@ -206,7 +206,7 @@ def export_split(spark, sf_dir):
     blank = F.create_map(F.lit("事项分类"), F.lit(None).cast("string"), F.lit("=note"), F.concat(F.lit("="), "work_order_id"))
     plain = F.create_map(F.lit("=note"), F.concat(F.lit("="), "work_order_id"))
     rows = rows.withColumn("raw_json", F.when(F.col("work_order_id").endswith("3"), blank).otherwise(plain))
-    chosen = library.summaries(rows, EventFilters(has_target_records=True), a.layout())
+    chosen = library.summaries(rows, EventFilters(has_target_records=True))
     out = review.sheets(review.export_rows(rows, chosen), _EXPORT)
     return out.select("sheet", "record_key", F.col("band").cast("long").alias("band"), "数据侧", "事件名称", F.col("工单编号").alias("id"), F.col("诉求标题").alias("title"), F.col("事项分类").alias("category"), F.col("=note").alias("note"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from . import xlsx
 
 FORMATS = ("xlsx", "xls", "csv")
 SNIFFED = 1_000_000
+#: Data rows of an uploaded file, unless the caller sets another limit.
+MAX_ROWS = 200_000
 
 
 class UnsupportedFileFormatError(ValueError):
@@ -64,24 +67,27 @@ def head(spark: SparkSession, path: str, size: int = SNIFFED) -> bytes:
 
 
 def detect_encoding(sample: bytes) -> str:
-    """utf-8-sig by its mark, else utf-8 if the sample decodes (its last, maybe cut character
-    aside), else gb18030."""
+    """utf-8-sig or utf-16 by their marks, else utf-8 if the sample decodes (its last, maybe cut
+    character aside), else gb18030 if it decodes, else big5 if that does, else windows-1252."""
     if sample.startswith(b"\xef\xbb\xbf"):
         return "utf-8-sig"
-    for cut in range(4 if len(sample) >= SNIFFED else 1):
-        try:
-            sample[: len(sample) - cut].decode("utf-8")
-            return "utf-8"
-        except UnicodeDecodeError:
-            continue
-    return "gb18030"
+    if sample[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16"
+    for name in ("utf-8", "gb18030", "big5"):
+        for cut in range(4 if len(sample) >= SNIFFED else 1):
+            try:
+                sample[: len(sample) - cut].decode(name)
+                return name
+            except UnicodeDecodeError:
+                continue
+    return "windows-1252"
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """All columns as text under their verbatim headers; usual tokens for missing values are
     null. Quoted cells may hold line feeds, so a file is one split."""
     encoding = encoding or detect_encoding(head(spark, path))
-    if encoding == "gb18030":
+    if encoding not in ("utf-8", "utf-8-sig", "utf-16"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     charset = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8"}.get(encoding, encoding)
     frame = spark.read.csv(str(path), header=True, multiLine=True, inferSchema=False, encoding=charset, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="")
@@ -153,13 +159,15 @@ def records(frame: DataFrame, row: Column) -> DataFrame:
     return frame.select(row.cast("int").alias("source_row"), *fields, raw.alias("raw_fields")).select(*RECORD.fieldNames()).to(RECORD)
 
 
-def load_records(spark: SparkSession, path: str, *, max_rows: int | None = None) -> DataFrame:
-    """A file's records; data rows count from 2, after the header."""
+def load_records(spark: SparkSession, path: str, *, max_rows: int | None = MAX_ROWS) -> DataFrame:
+    """A file's records; data rows count from 2, after the header. More than `max_rows` data rows
+    are an error, unless it is None."""
     if format_of(path) == "csv":
-        # A file with quoted line feeds is one partition, within which ids follow its rows.
-        frame, row = read_csv(spark, path).coalesce(1), F.monotonically_increasing_id() + 2
+        # A file with quoted line feeds is one partition, within which ids follow its rows; once
+        # numbered, rows are dealt to all tasks.
+        frame, row = read_csv(spark, path).coalesce(1).withColumn("__row", F.monotonically_increasing_id() + 2).repartition("__row"), F.col("__row")
     else:
-        frame, row = read_sheet(spark, path), F.col("__row")
+        frame, row = read_sheet(spark, path).repartition("__row"), F.col("__row")
     if max_rows is not None:
         check_limit(frame, max_rows)
     return records(frame, row)
@@ -170,7 +178,22 @@ def business_columns(frames: list[list[str]]) -> list[str]:
     return list(dict.fromkeys(c for columns in frames for c in columns if c and c.strip() != rules.JUNK_COLUMN))
 
 
-def land(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """A file's bytes with their SHA-256, and the hash."""
-    found = spark.read.format("binaryFile").load(str(path)).select("path", "length", F.sha2("content", 256).alias("file_hash"))
-    return found, found.first()["file_hash"]
+def land(spark: SparkSession, path: str, folder: str | None = None) -> tuple[str, str]:
+    """A file's copy in `folder`, under its name after a new id (without a folder the file
+    itself), and the SHA-256 of its bytes. Bytes stream through; they are never held whole."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    source = jvm.org.apache.hadoop.fs.Path(str(path))
+    store, kept = source.getFileSystem(conf), str(path)
+    if folder is not None:
+        target = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{uuid.uuid4().hex}_{source.getName()}")
+        there = target.getFileSystem(conf)
+        there.mkdirs(target.getParent())
+        if not jvm.org.apache.hadoop.fs.FileUtil.copy(store, source, there, target, False, conf):
+            raise OSError(f"{path} could not be copied")
+        source, store, kept = target, there, target.toString()
+    stream = store.open(source)
+    try:
+        return kept, jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()

@@ -7,12 +7,29 @@ readers see all of a change or nothing of it.
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+def staged(df: DataFrame, label: str = "step") -> DataFrame:
+    """`df` written below spark.checkpoint.dir and read back: what it holds is settled then. Only
+    a session in one process may name no such folder; it gets a local one."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="eventfold-")
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -26,15 +43,23 @@ class Store:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
         return sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
 
-    def manifest(self) -> dict[str, list[str]]:
-        """Folders of each table's current version."""
-        numbers = self._numbers()
-        if not numbers:
+    def version(self) -> int:
+        """Number of the current version, 0 if there is none."""
+        return max(self._numbers(), default=0)
+
+    def manifest(self, version: int | None = None) -> dict[str, list[str]]:
+        """Folders of each table's current version, or of the given one."""
+        number = self.version() if version is None else version
+        if not number:
             return {}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/manifest-{numbers[-1]:08d}.json", wholetext=True).collect()))
+        stream = self._fs.open(self._path(f"{self.root}/manifest-{number:08d}.json"))
+        try:
+            return json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+        finally:
+            stream.close()
 
-    def read(self, table: str, schema: T.StructType) -> DataFrame:
-        found = self.manifest().get(table, [])
+    def read(self, table: str, schema: T.StructType, version: int | None = None) -> DataFrame:
+        found = self.manifest(version).get(table, [])
         return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
 
     def stage(self, table: str, df: DataFrame) -> str:
@@ -43,18 +68,43 @@ class Store:
         df.write.parquet(path)
         return path
 
-    def commit(self, *, replace: dict[str, str] | None = None, append: dict[str, str] | None = None) -> int:
-        """A new manifest with replaced and appended folders. It is written under another name
-        and moved to its number; if another writer has taken that, FileExistsError."""
-        now = self.manifest()
-        now |= {t: [p] for t, p in (replace or {}).items()}
-        for t, p in (append or {}).items():
-            now[t] = [*now.get(t, []), p]
-        number = (self._numbers() or [0])[-1] + 1
-        target, there = self._path(f"{self.root}/manifest-{number:08d}.json"), self._path(f"{self.root}/.{uuid.uuid4().hex}.part")
+    def remove(self, path: str) -> None:
+        """Removes a staged folder that no manifest names."""
+        self._fs.delete(self._path(path), True)
+
+    def commit(self, *, replace: dict[str, str] | None = None, append: dict[str, str] | None = None, base: int | None = None) -> int:
+        """A new manifest with replaced and appended folders, and its version.
+
+        A change that follows from what was read names the version it read, `base`; if another
+        writer has committed since, that is a FileExistsError and nothing changes. Without it
+        (appends that depend on nothing) the change is tried again on the newest version."""
+        for _ in range(1 if base is not None else 50):
+            version = self.version()
+            if base is not None and version != base:
+                break
+            now = self.manifest(version)
+            now |= {t: [p] for t, p in (replace or {}).items()}
+            for t, p in (append or {}).items():
+                now[t] = [*now.get(t, []), p]
+            if self._put(version + 1, json.dumps(now, sort_keys=True)):
+                return version + 1
+        raise FileExistsError(f"another writer has committed after version {base if base is not None else version}")
+
+    def _put(self, number: int, text: str) -> bool:
+        """Writes a manifest under another name and moves it to its number, which fails if the
+        number is taken; stores like HDFS decide that at once for all writers."""
+        jvm = self.spark.sparkContext._jvm
+        there = self._path(f"{self.root}/.{uuid.uuid4().hex}.part")
         out = self._fs.create(there, False)
-        out.write(bytearray(json.dumps(now, sort_keys=True).encode()))
+        out.write(bytearray(text.encode()))
         out.close()
-        if self._fs.exists(target) or not self._fs.rename(there, target):
-            raise FileExistsError(f"version {number} was committed by another writer")
-        return number
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(there, self._path(f"{self.root}/manifest-{number:08d}.json"), options)
+            return True
+        except Py4JJavaError as e:
+            self._fs.delete(there, False)
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise

@@ -16,6 +16,13 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.driver.extraJavaOptions", "-Xss8m")
+        # One session runs hundreds of queries: their plans and stages need not be remembered.
+        .config("spark.sql.ui.retainedExecutions", "5")
+        .config("spark.ui.retainedJobs", "20")
+        .config("spark.ui.retainedStages", "20")
+        .config("spark.ui.retainedTasks", "200")
+        .config("spark.sql.maxPlanStringLength", "20000")
         .config("spark.sql.legacy.javaCharsets", "true")
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .config("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared")))

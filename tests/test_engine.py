@@ -92,7 +92,8 @@ def test_comparison_review_and_export(engine, tmp_path):
     assert engine.list_event_summaries(out.comparison_id, filters=EventFilters(keyword="拖欠", region="x", search_all=True))[1] == 1
     assert engine.list_event_summaries(out.comparison_id, filters=EventFilters(missing_completed=True))[1] == 0
     event = page.where("event_name like '%积水%'").first()["event_id"]
-    engine.update_event_name(out.comparison_id, event, " 新名称 ")
+    engine.update_event_name(event, " 新名称 ")
+    assert engine.comparison_of(event) == out.comparison_id
     assert engine.get_event(out.comparison_id, event)["event_name"] == "新名称"
     new = engine.exclude_event_member(out.comparison_id, event, "wo:A")
     found, rows, n = engine.list_event_records(out.comparison_id, new)
@@ -100,7 +101,7 @@ def test_comparison_review_and_export(engine, tmp_path):
     assert engine.exclude_event_member(out.comparison_id, event, "wo:B", target_name="单例事件") == new
     assert engine.get_event(out.comparison_id, event)["status"] == "archived"
     with pytest.raises(KeyError):
-        engine.update_event_name(out.comparison_id, 999, "x")
+        engine.update_event_name(999, "x")
     path = engine.export_workbook(out.comparison_id, str(tmp_path / "out.xlsx"))
     book = Workbook(open(path, "rb").read())
     assert list(book.sheets) == ["重复项", "孤立工单"]
@@ -117,3 +118,51 @@ def test_one_active_job(engine):
     done = engine.work()
     assert done["id"] == job and done["status"] == "failed" and "synced" in done["error_message"]
     assert engine.work() is None and engine.list_jobs().count() == 1
+
+
+def test_of_two_writers_one_wins(engine):
+    store, rows = engine.store, engine.spark.createDataFrame([(1,)], "n int")
+    base = store.version()
+    assert store.commit(append={"t": store.stage("t", rows)}, base=base) == base + 1
+    with pytest.raises(FileExistsError):
+        store.commit(append={"t": store.stage("t", rows)}, base=base)
+    assert not store._put(base + 1, "{}") and len(store.manifest()["t"]) == 1
+    # What depends on nothing is tried again on the newest version.
+    assert store.commit(append={"t": store.stage("t", rows)}) == base + 2 and len(store.manifest()["t"]) == 2
+
+
+def test_a_job_is_claimed_once(engine, monkeypatch):
+    job, jobs = engine.create_job("sync", {}), engine.jobs
+    real, rivals = jobs._put, []
+
+    def late(rows, base):  # another writer claims between this one's reading and writing
+        if not rivals:
+            rivals.append(None)
+            rivals[0] = jobs.claim()
+        real(rows, base)
+
+    monkeypatch.setattr(jobs, "_put", late)
+    assert jobs.claim() is None and rivals[0]["id"] == job and engine.get_job(job)["status"] == "running"
+
+
+def test_summaries_are_kept_until_something_changes(engine):
+    put(engine, record("A"), record("B", "2026-09-02"))
+    out = engine.compare(target_from=date(2026, 9, 1), target_to=date(2026, 9, 1))
+    first = engine.event_summaries(out.comparison_id)
+    assert engine.event_summaries(out.comparison_id) is first
+    event = first.first()["event_id"]
+    engine.update_event_name(event, "x")
+    assert engine.event_summaries(out.comparison_id).first()["event_name"] == "x"
+    # Event ids are unique over comparisons.
+    again = engine.compare(target_from=date(2026, 9, 1), target_to=date(2026, 9, 1))
+    assert engine.event_summaries(again.comparison_id).first()["event_id"] == event + 1
+
+
+def test_numbers_follow_the_order(spark):
+    from pyspark.sql import functions as F
+
+    from eventfold.operators.events import number
+
+    rows = spark.range(0, 5000, 1, 7).select(((F.col("id") * 7919) % 5000).alias("v"))
+    got = number(rows, [F.lit(0), F.concat(F.lit("wo:aaaaaaaaaaaaaa"), F.lpad(F.col("v").cast("string"), 6, "0"))], "n").collect()
+    assert all(r["n"] == r["v"] + 1 for r in got) and len(got) == 5000

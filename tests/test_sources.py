@@ -63,6 +63,19 @@ def test_limits_and_formats(spark, tmp_path):
     assert files.detect_encoding(cut) == "utf-8"
 
 
+def test_landing_and_encodings(spark, tmp_path):
+    import hashlib
+
+    path = tmp_path / "up.csv"
+    path.write_bytes(csv_bytes(rows(2), "utf-8"))
+    kept, digest = files.land(spark, str(path), f"file://{tmp_path}/uploads")
+    name = kept.rsplit("/", 1)[-1]
+    assert digest == hashlib.sha256(path.read_bytes()).hexdigest() and name.endswith("_up.csv") and len(name) == 32 + len("_up.csv")
+    assert (tmp_path / "uploads" / name).read_bytes() == path.read_bytes()
+    assert files.land(spark, str(path)) == (str(path), digest)
+    assert files.detect_encoding("标题".encode("gb18030")) == "gb18030" and files.detect_encoding(b"") == "utf-8"
+
+
 def test_drop_folder(spark, tmp_path):
     folder = tmp_path / "drop"
     folder.mkdir()
