@@ -30,14 +30,39 @@ class Notice:
 BASE = (Notice("cc-by", "cc by"), Notice("gpl", "general public license"), Notice("reserved", "all rights reserved"))
 #: Opening or closing words of common licences, and the edits that are allowed.
 NOTICES = (
+    Notice("agpl", "gnu affero general public license", 4),
     Notice("apache-2.0", "licensed under the apache license version 2 0", 4),
+    Notice("apache-2.0", "apache license version 2 0", 3),
+    Notice("artistic", "the artistic license 2 0", 3),
+    Notice("boost", "boost software license version 1 0", 4),
     Notice("bsd", "redistribution and use in source and binary forms", 4),
+    Notice("bsd", "neither the name of the copyright holder nor the names of its contributors", 6),
     Notice("cc-by", "creative commons attribution", 3),
+    Notice("cc-by", "licensed under a creative commons license", 4),
+    Notice("cc-by-nc", "creative commons attribution noncommercial", 4),
+    Notice("cc-by-sa", "creative commons attribution sharealike", 4),
+    Notice("cc0", "to the extent possible under law the person has waived all copyright", 6),
+    Notice("cc0", "cc0 1 0 universal", 1),
+    Notice("copyright", "this work is protected by copyright", 3),
+    Notice("epl", "eclipse public license", 2),
+    Notice("eupl", "european union public licence", 3),
+    Notice("gfdl", "gnu free documentation license", 3),
     Notice("gpl", "gnu general public license", 3),
+    Notice("gpl", "under the terms of the gnu general public license", 5),
+    Notice("isc", "permission to use copy modify and or distribute this software", 5),
+    Notice("lgpl", "gnu lesser general public license", 4),
+    Notice("lgpl", "gnu library general public license", 4),
     Notice("mit", "permission is hereby granted free of charge to any person", 5),
     Notice("mit", "released under the mit license", 3),
+    Notice("mit", "licensed under the mit license", 3),
     Notice("mpl", "mozilla public license", 2),
+    Notice("ofl", "sil open font license", 2),
+    Notice("public-domain", "released into the public domain", 3),
     Notice("reserved", "all rights reserved", 2),
+    Notice("reserved", "no part of this publication may be reproduced", 4),
+    Notice("unlicense", "this is free and unencumbered software", 4),
+    Notice("warranty", "the software is provided as is without warranty of any kind", 5),
+    Notice("zlib", "this software is provided as is without any express or implied warranty", 6),
 )
 
 _BLANKED = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256))

@@ -73,18 +73,80 @@ def test_licence_places(spark, docs):
         assert got[i]["n_words"] == len(w)
         assert sorted((m["first_word"], m["label"]) for m in got[i]["matches"] if m["base"]) == want
     label = lambda k: {(m["label"], m["errors"]) for m in got[10**6 + k]["matches"] if not m["base"]}
-    assert label(6) == {("apache-2.0", 3)} and ("reserved", 2) in label(8) and ("mit", 1) in label(9) and not label(4)
+    assert ("apache-2.0", 3) in label(6) and {x for x, _ in label(6)} == {"apache-2.0"} and ("reserved", 2) in label(8) and ("mit", 1) in label(9) and not label(4)
 
 
 def test_edited_notices_before_better_ones():
-    from eventfold.llm.license_scan import NOTICES, Scanner
+    from eventfold.llm.license_scan import BASE, NOTICES, Scanner
 
     scanner = Scanner()
-    reserved = len(scanner.notices) - 1
-    assert scanner.notices[reserved] == NOTICES[-1]
+    reserved = len(BASE) + next(i for i, n in enumerate(NOTICES) if n.words == "all rights reserved")
     exact, edited = "all rights reserved", "all rights reservd"
     for order in ([edited, exact], [edited, edited, exact], [exact, edited, exact], [edited, exact, edited], [edited] * 3 + [exact] * 3):
         got = [(e, n) for i, _, e, n in scanner.matches(f" {' '.join(order)} ") if i == reserved]
         assert [n for _, n in got] == [int(x == edited) for x in order], order
         ends = [len(" ".join(order[: k + 1])) + 1 for k in range(len(order))]
         assert all(abs(e - x) <= 1 for (e, _), x in zip(got, ends, strict=True))
+
+
+def edits(a, b):
+    """Least insertions, deletions and replacements that turn a into b."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_every_edited_notice_is_found():
+    """Notices with as many edits as they may have, at any place, are found with a span that
+    stands in the text and has no more edits than it reports."""
+    from eventfold.llm.license_scan import BASE, NOTICES, Scanner
+
+    scanner, rng = Scanner(), np.random.default_rng(3)
+    for i, notice in enumerate(NOTICES):
+        for _ in range(8):
+            words = list(notice.words)
+            for _ in range(rng.integers(0, notice.k + 1)):
+                at = int(rng.integers(0, len(words)))
+                words[at : at + 1] = [[], ["z"], [words[at], "q"]][rng.integers(0, 3)]
+            text = " thon erwh " + "".join(words) + " reble ing "
+            text = re.sub(" +", " ", text)
+            if edits("".join(words), notice.words) > notice.k or "".join(words) not in text:
+                continue
+            found = [(s, e, n) for k, s, e, n in scanner.matches(text) if k == len(BASE) + i]
+            assert found and all(edits(text[s:e], notice.words) <= n <= notice.k for s, e, n in found), (notice, text)
+
+
+def test_very_long_texts(spark):
+    """One text of millions of characters gives what its definition says, in all operators."""
+    from eventfold.llm import minhash_join, syncmers
+
+    long = "word and another one here " * 120_000 + "all rights reserved"
+    df = spark.createDataFrame([(1, long), (2, long + " more"), (3, "short text")], "doc_id long, text string")
+    row = {r["doc_id"]: r for r in license_scan.scan(df).collect()}[1]
+    assert row["n_words"] == 600_003 and [m["first_word"] for m in row["matches"] if m["base"]] == [600_000]
+    near = {r["doc_id"]: r["component_id"] for r in minhash_join.near_duplicates(df).collect()}
+    assert near[3] == 3 and near[1] == 1
+    found = {r["doc_id"]: r for r in syncmers.compare_with_edits(df).collect()}
+    assert found[1]["n_chars"] == len(long) and found[1]["near_next"] > 0.99
+    model = toxicity.ToxicityModel(np.zeros(toxicity.BUCKETS), -1.0)
+    assert np.allclose(model.scores([long]), model.scores(["word and"]))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert langid.train(docs, F.lit(True), rows=200).predict([long])[0] == ["en"]
+
+
+def test_one_key_with_most_rows_leaves_the_samples_bounded(spark):
+    docs = spark.createDataFrame([(7, f"text number {i} and the", "en") for i in range(3000)] + [(i + 100, f"le la et que {i} les", "fr") for i in range(50)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(7, 1)] + [(i + 100, 0) for i in range(50)], "doc_id long, toxic int")
+    counted = []
+    real = toxicity.fit
+    try:
+        toxicity.fit = lambda texts, y: counted.append(len(texts)) or real(texts, y)
+        toxicity.train(docs, labels, F.lit(True))
+    finally:
+        toxicity.fit = real
+    assert counted == [51]
+    model = langid.train(docs.withColumn("doc_id", F.lit(None).cast("long")), F.lit(True), rows=40)
+    assert model.languages == ["en", "fr"] and model.predict(["le la et que", "text number and the"])[0] == ["fr", "en"]
