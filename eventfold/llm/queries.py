@@ -105,9 +105,62 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2: sizes and targets."""
+    return op2_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def syncmer_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op7: lengths and edited texts."""
+    return op7_syncmers(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def licence_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: base places."""
+    return op9_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+#: Groups of nodes by links, both ways and each with itself, named by their least node.
+_GROUPS = """reach(node, other) AS (SELECT DISTINCT a, a FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+groups AS (SELECT node, min(other) AS least FROM reach GROUP BY node)"""
+
+SQL = {
+    "op4_embeddings": f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (SELECT x.vec_id a, y.vec_id b FROM v x JOIN v y ON x.label = y.label AND len(x.e) = len(y.e) AND x.vec_id <> y.vec_id
+  AND list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(y.e, y.e)) >= 0.98),
+{_GROUPS}
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) n_links, coalesce(least, vec_id) component_id, vec_id = coalesce(least, vec_id) kept
+FROM embeddings LEFT JOIN groups ON node = vec_id""",
+    "op10_minhash": f"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END s FROM words),
+classes AS (SELECT s, min(doc_id) node FROM sets WHERE len(s) > 0 GROUP BY s),
+flat AS (SELECT node, len(s) n, unnest(s) x FROM classes),
+links AS (SELECT p.node a, q.node b FROM flat p JOIN flat q ON p.x = q.x AND p.node <> q.node GROUP BY p.node, q.node, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+{_GROUPS}
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) n_shingles, coalesce(least, classes.node, doc_id) component_id, doc_id = coalesce(least, classes.node, doc_id) kept
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN groups ON groups.node = classes.node""",
+    "mixing_targets": """WITH sized AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) source_size FROM sized GROUP BY source),
+weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END weight FROM sources),
+levels AS (SELECT *, 2.0 * source_size / weight AS fill, 1.5 * sum(source_size) OVER () AS total FROM weighed),
+filled AS (SELECT *, (total - coalesce(sum(2.0 * source_size) OVER (ORDER BY fill, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY fill, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM levels),
+shared AS (SELECT (SELECT total FROM levels LIMIT 1) - coalesce(sum(2.0 * source_size) FILTER (fill <= level), 0) AS left_over, sum(weight) FILTER (fill > level) AS open FROM filled)
+SELECT doc_id, size, source_size, round(CASE WHEN fill <= level THEN 2.0 * source_size ELSE weight * left_over / open END, 4)::DOUBLE target
+FROM sized JOIN filled ON sized.source IS NOT DISTINCT FROM filled.source CROSS JOIN shared""",
+    "syncmer_edits": """WITH t AS (SELECT doc_id, coalesce(text, '') x FROM documents), n AS (SELECT *, coalesce(lead(x) OVER (ORDER BY doc_id), first_value(x) OVER (ORDER BY doc_id)) y FROM t)
+SELECT doc_id, length(x) n_chars, sha256(substr(x, 1, length(x) - length(x) // 4) || substr(y, 1, length(x) // 4)) edited_sha256 FROM n""",
+    "licence_base_places": """WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w FROM documents),
+placed AS (SELECT doc_id, len(w) n, list_filter(range(1, len(w)), lambda i: w[i] = 'cc' AND w[i + 1] = 'by') a, list_filter(range(1, len(w) - 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') b, list_filter(range(1, len(w) - 1), lambda i: w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved') c FROM words)
+SELECT doc_id, CAST(n AS BIGINT) n_words, CAST(len(a) + len(b) + len(c) AS BIGINT) n_base, list_min(a || b || c) - 1 first_word, list_max(a || b || c) - 1 last_word,
+concat_ws(',', CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END) base_labels FROM placed""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_toxicity, op4_embeddings, op5_token_store, op6_token_counts, op7_syncmers, op8_language, op9_licenses, op10_minhash)}
+    own = (op1_sentencepiece, op2_mixing, op3_toxicity, op4_embeddings, op5_token_store, op6_token_counts, op7_syncmers, op8_language, op9_licenses, op10_minhash)
+    return {f.__name__: f for f in (*own, mixing_targets, syncmer_edits, licence_base_places)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
