@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 from . import rules
 
 
+#: Unicode's white space, as (?U)\s matches it.
+BLANKS = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def none_if_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -23,7 +27,11 @@ def or_empty(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without blanks at either end, all of Unicode's."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def without_blanks(c: Column) -> Column:
+    return F.translate(c, BLANKS, "")
 
 
 def trim_to_null(c: Column) -> Column:
@@ -159,7 +167,7 @@ def issue_family(*texts: Column, families=rules.FAMILIES) -> Column:
 
 def phone(c: Column) -> Column:
     """Struct (phone_exact, phone_mask_pattern, phone_is_valid)."""
-    text = F.regexp_replace(or_empty(c), r"(?U)\s+", "")
+    text = without_blanks(or_empty(c))
     exact = text.rlike(rules.PHONE_EXACT)
     return F.struct(F.when(exact, text).alias("phone_exact"), F.when(~exact & text.rlike(rules.PHONE_MASKED), text).alias("phone_mask_pattern"), exact.alias("phone_is_valid"))
 

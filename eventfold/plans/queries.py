@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, keys, text
-from ..functions.rules import NULL_TOKENS
 from ..operators import events, library, normalize, review, sync, windows
 from ..operators.library import EventFilters
 from . import adapter as a
+from . import roundtrips
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -128,11 +128,6 @@ def keyword_search(spark, sf_dir):
     return a.summaries(spark, sf_dir, EventFilters(keyword="Customer#000000012")).select("event_id", "event_name")
 
 
-@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license')")
-def keyword_search_documents(spark, sf_dir):
-    return a.table(spark, sf_dir, "documents").where(F.contains(F.lower("text"), F.lit("license"))).select("doc_id")
-
-
 @query(f"WITH {a.SUMMARY} SELECT string_agg(DISTINCT region, ',' ORDER BY region) regions, string_agg(DISTINCT street_name, ',' ORDER BY street_name) streets, (SELECT string_agg(DISTINCT d, ',' ORDER BY d) FROM (SELECT unnest(string_split(departments, ',')) d FROM summary WHERE region = 'ASIA')) departments FROM summary WHERE region = 'ASIA'")
 def event_facets(spark, sf_dir):
     return shown(library.facets(a.summaries(spark, sf_dir), region="ASIA"))
@@ -244,21 +239,13 @@ def missing_reappear(spark, sf_dir):
     return state.select("record_key", F.col("missing_in_latest_upload").alias("missing"), "last_sync_id", F.col("updated_at").alias("updated"))
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 4 = 1 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
 def insert_if_absent(spark, sf_dir):
-    new = a.table(spark, sf_dir, "orders").where("o_orderkey % 4 = 1").select("o_orderkey", "o_totalprice")
+    new = a.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     there = a.table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
     return sync.absent(new, there, ["o_orderkey"])
 
 
-@query("SELECT count(*) n, (SELECT count(*) FROM events) n_events, (SELECT count(*) FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_orderdate IS NOT NULL) n_live FROM orders")
-def table_counts(spark, sf_dir):
-    count = lambda name, kind, where="true": a.table(spark, sf_dir, name).where(where).agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
-    live = "o_orderstatus IN ('O', 'F') AND o_orderdate IS NOT NULL"
-    rows = count("orders", "n").union(count("events", "n_events")).union(count("orders", "n_live", live))
-    return rows.agg(*(F.max(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in ("n", "n_events", "n_live")))
-
-
 _LAST = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 
@@ -429,21 +416,6 @@ _golden(
     [("queued", "sync", "待处理", "全量同步"), ("failed", "compare", "失败", "时间窗口比对"), (None, None, "未知状态", "时间窗口比对")],
     lambda df, x, y: df.select("n", library.status_label(x).alias("status"), library.kind_label(y).alias("kind")),
 )
-_golden(
-    "null_tokens",
-    ["cell"],
-    [(t, None) for t in NULL_TOKENS] + [("na", "na"), (" NA", " NA"), ("0", "0")],
-    lambda df, x: df.select("n", F.when(~x.isin(*NULL_TOKENS), x).alias("cell")),
-)
-
-
-@query("SELECT doc_id, list_count(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) n FROM documents")
-def doc_identifiers(spark, sf_dir):
-    found = F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9._]+@[A-Za-z0-9.]+)"), F.lit(1))
-    return a.table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n"))
-
 
-@query("SELECT doc_id, len(string_split(text, chr(10))) n, len(list_distinct(string_split(text, chr(10)))) n_distinct FROM documents")
-def line_segments(spark, sf_dir):
-    lines = F.split("text", "\n")
-    return a.table(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("n"), F.size(F.array_distinct(lines)).cast("long").alias("n_distinct"))
+for _run, _sql in roundtrips.ALL.items():
+    query(_sql)(_run)

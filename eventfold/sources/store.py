@@ -16,18 +16,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def staged(df: DataFrame, label: str = "step") -> DataFrame:
-    """`df` written below spark.checkpoint.dir and read back: what it holds is settled then. Only
-    a session in one process may name no such folder; it gets a local one."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path below spark.checkpoint.dir, which driver and executors share. Only a session in
+    one process may name no such folder; it gets a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="eventfold-")
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str = "step") -> DataFrame:
+    """`df` written to a scratch folder and read back: what it holds is settled then."""
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Store:
