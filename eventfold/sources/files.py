@@ -50,8 +50,6 @@ def format_of(path: str) -> str:
     kind = found[1].lower() if found else ""
     if kind not in FORMATS:
         raise UnsupportedFileFormatError(f"unsupported file format: {kind or 'no extension'}")
-    if kind == "xls":
-        raise UnsupportedFileFormatError("xls needs a BIFF reader, which is not installed; save the file as xlsx")
     return kind
 
 

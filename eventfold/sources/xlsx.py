@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterable, Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -34,6 +35,25 @@ def _name(column: int) -> str:
     return out
 
 
+def is_date_format(code: str) -> bool:
+    return bool(re.search("[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", code), re.I))
+
+
+def number_text(number: float, dated: bool, epoch_1904: bool) -> str:
+    """A cell's number as text, or as the day and time that it counts."""
+    if dated:
+        day = datetime(1904, 1, 1) if epoch_1904 else datetime(1899, 12, 30)
+        return str((day + timedelta(seconds=round(number * 86400))).replace(microsecond=0))
+    return str(int(number)) if number.is_integer() else repr(number)
+
+
+def opened(data: bytes) -> Workbook:
+    """A workbook of either format, told apart by its first bytes."""
+    from . import xls
+
+    return xls.BinaryWorkbook(data) if data[:8] == xls.MAGIC else Workbook(data)
+
+
 class Workbook:
     """Sheets of a workbook's bytes. Rows stream; shared strings are held."""
 
@@ -48,7 +68,7 @@ class Workbook:
         self.dates: list[bool] = []
         if "xl/styles.xml" in files:
             styles = ElementTree.fromstring(self.zip.read("xl/styles.xml"))
-            custom = {int(f.get("numFmtId")) for f in styles.iter(f"{_MAIN}numFmt") if re.search("[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode") or ""), re.I)}
+            custom = {int(f.get("numFmtId")) for f in styles.iter(f"{_MAIN}numFmt") if is_date_format(f.get("formatCode") or "")}
             for xf in styles.iterfind(f"{_MAIN}cellXfs/{_MAIN}xf"):
                 self.dates.append(int(xf.get("numFmtId") or 0) in _DATE_IDS | custom)
 
@@ -65,13 +85,7 @@ class Workbook:
         if kind in ("str", "e", "d"):
             return value.text
         style = int(cell.get("s") or 0)
-        number = float(value.text)
-        if style < len(self.dates) and self.dates[style]:
-            from datetime import datetime, timedelta
-
-            day = datetime(1904, 1, 1) if self.epoch_1904 else datetime(1899, 12, 30)
-            return str((day + timedelta(seconds=round(number * 86400))).replace(microsecond=0))
-        return str(int(number)) if number.is_integer() else repr(number)
+        return number_text(float(value.text), style < len(self.dates) and self.dates[style], self.epoch_1904)
 
     def rows(self, sheet: str) -> Iterator[tuple[int, dict[int, str | None]]]:
         """(row number, values by column) of the rows that have a cell."""
@@ -120,7 +134,7 @@ class XlsxSource(DataSource):
         return self.options.get("sheet") or next(iter(book.sheets))
 
     def schema(self) -> StructType:
-        book = Workbook(_bytes(self.options["path"]))
+        book = opened(_bytes(self.options["path"]))
         return StructType([StructField("__row", IntegerType()), *(StructField(c, StringType()) for c in book.header(self._sheet(book)))])
 
     def reader(self, schema: StructType) -> DataSourceReader:
@@ -132,7 +146,7 @@ class XlsxReader(DataSourceReader):
         self.path, self.sheet, self.width = path, sheet, width
 
     def read(self, partition) -> Iterator[tuple]:
-        book = Workbook(_bytes(self.path))
+        book = opened(_bytes(self.path))
         for i, (number, cells) in enumerate(book.rows(self.sheet or next(iter(book.sheets)))):
             if i and any(v is not None for v in cells.values()):
                 yield (number, *(cells.get(k) for k in range(self.width)))
@@ -143,7 +157,7 @@ def register(spark: SparkSession) -> None:
 
 
 def sheet_names(spark: SparkSession, path: str) -> list[str]:
-    return list(Workbook(_bytes(str(path))).sheets)
+    return list(opened(_bytes(str(path))).sheets)
 
 
 # Fills of the two bands and of the header, and column widths by header.

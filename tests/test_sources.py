@@ -1,7 +1,14 @@
 """Files, encodings, header mapping, limits, and the drop folder."""
 
+import struct
+import sys
+from pathlib import Path
+
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parent))
+import biff
+
 from eventfold.engine import Engine
 from eventfold.sources import files, xlsx
 from eventfold.streaming.dropfolder import sync_folder
@@ -63,6 +70,35 @@ def test_limits_and_formats(spark, tmp_path):
     assert files.detect_encoding(cut) == "utf-8"
 
 
+def cell(kind, row, column, body, style=0):
+    return biff.record(kind, struct.pack("<HHH", row, column, style) + body)
+
+
+@pytest.mark.parametrize("many", [0, 400])
+def test_binary_workbook(spark, tmp_path, many):
+    strings = [*HEADERS, "WO-1", "标题一", "诉求,一\n第二行", *(f"更多{i}" for i in range(many))]
+    label = lambda r, c, k: cell(0xFD, r, c, struct.pack("<I", k))
+    rk = lambda v, flag: struct.pack("<I", ((v << 2) | flag) & 0xFFFFFFFF)
+    rows = [label(0, c, c) for c in range(5)] + [label(1, 0, 5), cell(0x203, 1, 1, struct.pack("<d", 46266.5), 1), label(1, 2, 6), label(1, 4, 7)]
+    rows += [label(2, 0, 5), cell(0x203, 2, 1, struct.pack("<d", 1.5)), cell(0x27E, 2, 2, rk(1234, 3)), cell(0xBD, 2, 3, b""), cell(0x204, 2, 4, biff.text("plain"))]
+    rows[-2] = biff.record(0xBD, struct.pack("<HH", 2, 3) + struct.pack("<HI", 0, (77 << 2) | 2) + struct.pack("<H", 3))
+    rows += [cell(0x06, 4, 0, b"\0\0\0\0\0\0\xff\xff" + b"\0" * 8), biff.record(0x207, biff.text("由公式")), cell(0x205, 4, 2, b"\x01\0"), cell(0x205, 4, 3, b"\x2a\x01"), cell(0x06, 4, 4, struct.pack("<d", 8.0) + b"\0" * 8)]
+    cut = 8 + sum(len(biff.text(x)) for x in strings[:6]) + 3 + 2  # after the first character of 标题一
+    data = biff.compound(biff.workbook({"表一": rows, "空": []}, strings, formats=[(170, 'yyyy"年"m')], xfs=(0, 170), sst_cut=cut))
+    path = tmp_path / "c.xls"
+    path.write_bytes(data)
+    book = xlsx.opened(data)
+    assert list(book.sheets) == ["表一", "空"] and book.strings == strings and list(book.rows("空")) == []
+    got = dict(book.rows("表一"))
+    assert got[2] == {0: "WO-1", 1: "2026-09-01 12:00:00", 2: "标题一", 4: "诉求,一\n第二行"}
+    assert got[3] == {0: "WO-1", 1: "1.5", 2: "12.34", 3: "77", 4: "plain"} and got[5] == {0: "由公式", 2: "True", 3: "#N/A", 4: "8"}
+    seen = files.inspect(spark, str(path))
+    assert seen.format == "xls" and [(x.name, x.row_count) for x in seen.sheets] == [("表一", 3), ("空", 0)]
+    records = files.load_records(spark, str(path)).orderBy("source_row").collect()
+    assert [(r["source_row"], r["work_order_id"], r["title"]) for r in records] == [(2, "WO-1", "标题一"), (3, "WO-1", "12.34"), (5, "由公式", "True")]
+    assert records[2]["category_level_4"] is None  # '#N/A' is a missing value
+
+
 def test_landing_and_encodings(spark, tmp_path):
     import hashlib
 
