@@ -157,13 +157,13 @@ def event_records(spark, sf_dir):
     return library.page(rows, [F.asc("record_key")])
 
 
-_PAIRS = "SELECT 'wo:' || CAST(x.o_orderkey AS VARCHAR) AS l, 'wo:' || CAST(y.o_orderkey AS VARCHAR) AS r FROM orders x JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey WHERE x.o_orderkey % 7 = 0 AND y.o_orderkey % 5 = 0"
+_PAIRS = "SELECT 'wo:' || CAST(x.o_orderkey AS VARCHAR) AS l, 'wo:' || CAST(y.o_orderkey AS VARCHAR) AS r FROM orders x JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey WHERE x.o_orderstatus = 'F' AND y.o_orderstatus = 'O'"
 
 
 @query(f"WITH {a.MEMBERS}, pairs AS ({_PAIRS}), hit AS (SELECT DISTINCT unnest([p.l, p.r]) record_key FROM pairs p JOIN members x ON p.l = x.record_key JOIN members y ON p.r = y.record_key AND x.event_key = y.event_key) SELECT m.record_key, m.event_key || CASE WHEN h.record_key IS NULL THEN '' ELSE '|singleton|' || m.record_key END event_key FROM members m LEFT JOIN hit h USING (record_key)")
 def conflict_split(spark, sf_dir):
-    o = a.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    x, y = o.where("o_orderkey % 7 = 0").alias("x"), o.where("o_orderkey % 5 = 0").alias("y")
+    o = a.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    x, y = o.where("o_orderstatus = 'F'").alias("x"), o.where("o_orderstatus = 'O'").alias("y")
     pairs = x.join(y, (F.col("x.o_custkey") == F.col("y.o_custkey")) & (F.col("x.o_orderkey") < F.col("y.o_orderkey")))
     key = lambda c: F.concat(F.lit("wo:"), F.col(c).cast("string"))
     pairs = pairs.select(key("x.o_orderkey").alias("left"), key("y.o_orderkey").alias("right"))
@@ -281,6 +281,28 @@ def issue_family(spark, sf_dir):
     return a.table(spark, sf_dir, "documents").select("doc_id", text.issue_family(F.col("text"), families=_WORDS).alias("family"))
 
 
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'food_safety' WHEN '2-HIGH' THEN 'wage' WHEN '3-MEDIUM' THEN 'product_quality' END family FROM orders")
+def issue_family_default(spark, sf_dir):
+    """The rule pack's own families; the first in its order wins over words of later ones."""
+    words = F.element_at(F.create_map(*(F.lit(x) for x in ("1-URGENT", "拖欠工资，食品卫生差", "2-HIGH", "农民工工资、产品质量", "3-MEDIUM", "商品质量问题"))), F.col("o_orderpriority"))
+    orders = a.table(spark, sf_dir, "orders").select("o_orderkey", words.alias("words"))
+    return orders.select("o_orderkey", text.issue_family(F.lit("标题"), F.lit(None).cast("string"), F.col("words")).alias("family"))
+
+
+@query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) - INTERVAL 8 HOUR AS day_start, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 16 HOUR AS day_end FROM orders")
+def local_windows(spark, sf_dir):
+    """Where the local day of each order begins and ends, as instants; the end is exclusive."""
+    day = F.col("o_orderdate").cast("date")
+    return a.table(spark, sf_dir, "orders").select("o_orderkey", dates.local_start(day).cast("timestamp_ntz").alias("day_start"), dates.local_start(F.date_add(day, 1)).cast("timestamp_ntz").alias("day_end"))
+
+
+@query(f"WITH {a.GROUPED} SELECT count(*) total, CAST(ceil(count(*) / 20.0) AS BIGINT) pages, least(3, CAST(ceil(count(*) / 20.0) AS BIGINT)) AS page FROM grouped")
+def event_page_count(spark, sf_dir):
+    total = a.summaries(spark, sf_dir).count()
+    page, pages = library.clamp(3, total)
+    return spark.createDataFrame([(total, pages, page)], "total long, pages long, page long")
+
+
 @query("SELECT doc_id, length(t) n, sha256(t) h FROM (SELECT doc_id, trim(regexp_replace(replace(coalesce(text, ''), chr(13), ''), '[\\s\\x{3000}]+', ' ', 'g')) t FROM documents)")
 def collapse_text(spark, sf_dir):
     rows = a.table(spark, sf_dir, "documents").select("doc_id", text.collapse(F.col("text")).alias("t"))
