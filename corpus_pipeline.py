@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventfold.llm import langid, minhash_join, mixing, sentencepiece_codec, toxicity
-from eventfold.llm.common import Steps, addressed, filtered, saved, table
+from eventfold.llm.common import Steps, addressed, filtered, table
 from eventfold.llm.queries import vocabulary
 
 
@@ -72,7 +72,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, steps = table(spark, sf_dir, "documents"), Steps(spark)
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        before, docs = docs, steps.saved(stage(spark, docs, sf_dir), name)
+        steps.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
