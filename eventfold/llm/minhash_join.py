@@ -322,9 +322,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, key:
         if turn == "within":
             met = met.withColumns({"block": F.col("own"), "side": F.lit(1)})
         else:
-            split = met.where(f"blocks > {1 if turn == 'next' else 2}").groupBy("token", "component").agg(F.count("*").alias("n"))
-            split = split.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("token", "most")
-            met = met.join(split, "token")
+            split = met.where(f"blocks > {1 if turn == 'next' else 2}").groupBy("token", "component", "blocks").agg(F.count("*").alias("n"))
+            split = split.groupBy("token", "blocks").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+            # A row for each block, so that a long list is met block by block.
+            split = split.select("token", "most", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("own"))
+            met = met.join(split, ["token", "own"])
             if turn == "next":
                 places = F.array(F.struct(F.col("own").alias("block"), F.lit(0).alias("side")), F.struct(F.pmod(F.col("own") - 1, F.col("blocks")).alias("block"), F.lit(2).alias("side")))
             else:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut together; longer texts are taken in parts.
-TOGETHER = 4_000_000
+TOGETHER = 2_000_000
 _SAFE = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
 

@@ -130,11 +130,26 @@ def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Da
     Keys are integers, of the whole range. Null keys come first, equal keys are ordered by their
     texts' hash. Null texts count as empty. Rows are dealt to ranges that begin at known rows;
     such a row goes to the range before too, as its end. So texts are shuffled once, no task sees
-    the whole order, and a frequent key is spread by its texts.
+    the whole order. A frequent key is spread by its texts; frequent copies under one key are
+    counted and made anew.
     """
     rows = docs.select(docs[key].alias("key"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     keys = ["there", "at", "tie"]
     rows = rows.select("key", "text", F.col("key").isNotNull().cast("long").alias("there"), F.coalesce(F.col("key").cast("long"), F.lit(0)).alias("at"), F.xxhash64("text").alias("tie"))
+    # Copies under one key that fill ranges: all but the last are followed by their own text. They
+    # are told by their count, a thousand groups at most, and one row of each is ordered.
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("times"))
+    many = counts.where((F.col("times") > TOGETHER) & (F.col("times") * 1000 >= rows.count()))
+    found = [tuple(r) for r in many.collect()]
+    if found:
+        hot = F.broadcast(rows.sparkSession.createDataFrame(found, many.schema))
+        one = rows.join(hot, keys).groupBy("key", *keys, "times").agg(F.any_value("text").alias("text"))
+        chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 2) / TOGETHER)))
+        dealt = one.select("key", "text", "times", chunk.alias("chunk")).repartition("key", "chunk")
+        first = F.col("chunk") * TOGETHER
+        again = dealt.select("key", "text", F.explode(F.sequence(first, F.least(first + TOGETHER, F.col("times") - 1) - 1)))
+        again = again.select(F.col("key").alias(key), "text", F.col("text").alias("next_text"))
+        rows = rows.join(hot, keys, "left_anti").unionByName(one.select(*rows.columns))
     n, starts = _ranges(rows, keys)
     if not n:
         return rows.select(F.col("key").alias(key), "text", F.col("text").alias("next_text"))
@@ -147,7 +162,8 @@ def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Da
     dealt = placed.withColumn("place", F.explode(places)).select("key", "text", "there", "at", "tie", "place.range", "place.end").repartition("range")
     line = Window.partitionBy("range").orderBy("end", *keys)
     led = dealt.select("key", "end", "text", F.lead("text").over(line).alias("next_text"))
-    return led.where("end = 0").select(F.col("key").alias(key), "text", "next_text")
+    out = led.where("end = 0").select(F.col("key").alias(key), "text", "next_text")
+    return out.unionByName(again) if found else out
 
 
 def edited(text: Column, n: Column, following: Column) -> Column:

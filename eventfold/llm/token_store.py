@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import local_fs, saved, shared_path
+from .pieces import TOGETHER
 from .sentencepiece_codec import by_size
 from .token_ids import SegmentEncoder, worker_encoder
 
@@ -152,7 +153,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         there, out = f"{name}.{uuid.uuid4().hex}.part", None
         for whole in batches:
             encoder = encoder or worker_encoder(tokenizer_path, plain)
-            for batch in by_size(whole):
+            for batch in by_size(whole, TOGETHER):
                 out = out or fs.open_output_stream(there)
                 ids, n = encoder.encode(batch.column(1), end_id)
                 out.write(ids.astype(f"<u{width}").tobytes())

@@ -167,15 +167,15 @@ def ordered(rows):
 
 
 @pytest.mark.parametrize("together", [4, 1024])
-@pytest.mark.parametrize("kind", ["plain", "wide", "outlier", "null", "one text", "few"])
+@pytest.mark.parametrize("kind", ["plain", "wide", "outlier", "null", "one text", "copies", "few"])
 def test_next_documents(spark, monkeypatch, together, kind):
     monkeypatch.setattr(syncmers, "TOGETHER", together)
     low, high = -(2**63), 2**63 - 1
     n = 2 if kind == "few" else 120
     rng = random.Random(9)
-    ids = {"plain": list(range(n)), "wide": [low, low + 1, 0, high - 1, high, *(rng.randrange(low, high) for _ in range(n))], "outlier": [*range(n), high], "null": [None] * n, "one text": [7] * n, "few": [5, 3]}[kind]
+    ids = {"plain": list(range(n)), "wide": [low, low + 1, 0, high - 1, high, *(rng.randrange(low, high) for _ in range(n))], "outlier": [*range(n), high], "null": [None] * n, "one text": [7] * n, "copies": list(range(n)) + [30] * 40, "few": [5, 3]}[kind]
     rng.shuffle(ids)
-    rows = [(i, "t" if kind == "one text" else f"{k}") for k, i in enumerate(ids)]
+    rows = [(i, "t" if kind == "one text" else f"text {i}" if kind == "copies" else f"{k}") for k, i in enumerate(ids)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as range", "2 as at", "3 as tie", "4 as end").repartition(3)
     out = [(r["doc_id"], r["text"], r["next_text"]) for r in syncmers.with_next(df).collect()]
     if kind in ("null", "one text"):  # one cycle through all rows
