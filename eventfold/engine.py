@@ -66,6 +66,7 @@ class Engine:
         nothing else changes then."""
         sync_id, started, base = uuid.uuid4().hex, datetime.now(UTC), self.store.version()
         run = {"id": sync_id, "file_name": file_name, "file_hash": file_hash, "created_at": started, "business_columns": headers}
+        scratch: list[str] = []
         try:
             total = records.count()
             if not total:
@@ -75,7 +76,9 @@ class Engine:
                 lists = records.select(F.map_keys("raw_fields").alias("k")).where(F.size("k") > 0).select("k", F.posexplode("k").alias("at", "header"))
                 found = lists.groupBy("header").agg(F.min(F.struct(-F.size("k"), "k", "at")).alias("first")).orderBy("first").select("header").collect()
                 run["business_columns"] = files.business_columns([[r["header"] for r in found]])
-            payload = sync.keep_last(normalize.normalize(records), ["record_key"], ["source_row"])
+            # Written once: hash and diff both read it, and parsing is the costly part.
+            scratch.append(self.store.stage("payload", sync.keep_last(normalize.normalize(records), ["record_key"], ["source_row"])))
+            payload = self.spark.read.schema(schemas.PAYLOAD).parquet(scratch[0])
             if file_hash is None:
                 rows = payload.select(F.sha2(F.to_json(F.struct(*[c for c in payload.columns if c != "raw_json"])).cast("binary"), 256).alias("h"))
                 # Order-free and of bounded size: sums of parts of the rows' hashes.
@@ -84,8 +87,8 @@ class Engine:
             current = self._read("work_orders", base)
             now = F.lit(started)
             changes = sync.diff(payload, current)
-            staged = self.store.stage("changes", changes)
-            changes = self.spark.read.schema(changes.schema).parquet(staged)
+            scratch.append(self.store.stage("changes", changes))
+            changes = self.spark.read.schema(changes.schema).parquet(scratch[1])
             n = sync.counts(changes).first()
             after = sync.apply(changes, schemas.PAYLOAD, sync_id=sync_id, now=now).to(schemas.WORK_ORDERS)
             log = sync.versions(changes, sync_id=sync_id, now=now)
@@ -97,6 +100,9 @@ class Engine:
             failed = run | {"status": "failed", "error_message": str(e), "completed_at": datetime.now(UTC)}
             self.store.commit(append={"sync_runs": self.store.stage("sync_runs", self._one(failed, "sync_runs"))})
             raise
+        finally:
+            for path in scratch:
+                self.store.remove(path)
 
     def _as_row(self, name: str):
         """A side of a change as a whole stored row, null where there is none."""
