@@ -30,7 +30,7 @@ from . import pieces
 SPACE = "▁"
 #: Entries of a task's table, of which there are two; about 200 bytes each. They end with the
 #: task: a Python worker goes on to other stages, which need the memory.
-TABLE_ENTRIES = 200_000
+TABLE_ENTRIES = 150_000
 #: Segments of up to so many characters are merged in numpy.
 WIDE = 40
 NEVER = np.int32(2**31 - 1)
@@ -293,7 +293,7 @@ def encode_decode(docs: DataFrame, model_path: str, *, key: str = "doc_id", text
         codec = None
         for whole in batches:
             codec = codec or Codec(model_path)
-            for batch in by_size(whole, pieces.TOGETHER):
+            for batch in by_size(whole, 1_000_000):
                 ids, counts = codec.encode(batch.column(1))
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 back = pa.array(codec.decode(ids, counts) if decode else [None] * batch.num_rows, pa.string())
