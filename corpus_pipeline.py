@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventfold.llm import langid, minhash_join, mixing, sentencepiece_codec, toxicity
-from eventfold.llm.common import Steps, addressed, filtered, table
+from eventfold.llm.common import Steps, addressed, by_class, filtered, table
 from eventfold.llm.queries import vocabulary
 
 
@@ -35,8 +35,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, row = addressed(docs)
     steps = Steps(spark)
     found = steps.saved(minhash_join.near_duplicates(rows, key=row), "groups")
-    several = found.where("not kept").select("component_id").distinct()
-    members = found.join(several, "component_id", "left_semi").select(row, "component_id")
+    several = found.where("component_id is not null").groupBy("component_id").agg(F.count("*").alias("copies")).where("copies > 1")
+    members = by_class(found.select(row, "component_id"), several, ["component_id"], found.count()).select(row, "component_id")
     named = members.join(rows.select(row, F.col("doc_id").alias("__id")), row)
     first = F.min_by(row, F.struct(F.col("__id").isNull(), "__id", row))
     stay = named.groupBy("component_id").agg(first.alias(row)).select(row)
