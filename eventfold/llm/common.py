@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -97,6 +97,24 @@ def by_class(rows: DataFrame, classes: DataFrame, by: list[str], total: int, cop
     return rows.join(hot, by).unionByName(rows.join(hot.select(*by), by, "left_anti").join(cold, by))
 
 
+def ranked(df: DataFrame, order: list[Column], into: str, steps: Steps) -> DataFrame:
+    """`df`, a reading of files, with the place of each row from 1 in the given order. Rows equal
+    in it are parted by their place in the files, so that many of them fill several ranges. Rows
+    are dealt to sampled ranges, sorted there and written; a range's first place follows from the
+    sizes of those before it, a row for each range on the driver."""
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+    by = [*order, F.col("__tie")]
+    placed = steps.saved(tied.repartitionByRange(*by).sortWithinPartitions(*by).drop("__tie").withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("__at", 33)
+    done, firsts = 0, []
+    for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        firsts.append((r["part"], done))
+        done += r["n"]
+    before = F.broadcast(df.sparkSession.createDataFrame(firsts, "__part long, __before long"))
+    out = placed.join(before, part == F.col("__part"))
+    return out.withColumn(into, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at", "__part", "__before")
+
+
 def fold(key: str, n: int):
     """crc32 of an id's decimal text, modulo n; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(n))

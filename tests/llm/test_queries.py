@@ -19,6 +19,9 @@ TYPES = {
     "op8_language": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op9_licenses": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
     "op10_minhash": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op11_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+    "op12_importance": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
+    "op13_quality": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
 }
 
 
@@ -30,12 +33,12 @@ def test_columns(spark, sf_dir, name):
 @pytest.mark.parametrize("name", list(SQL))
 def test_same_rows(spark, sf_dir, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         c.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     got, want = queries()[name](spark, sf_dir).toPandas(), c.sql(SQL[name]).df()
     rows = lambda df: sorted(tuple("null" if pd.isna(v) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
     assert sorted(got.columns) == sorted(want.columns)
-    for x in ("first_word", "last_word"):
+    for x in ("first_word", "last_word", "rank"):
         if x in got:
             got[x], want[x] = got[x].astype("Int64"), want[x].astype("Int64")
     assert rows(got) == rows(want)
