@@ -46,7 +46,7 @@ def cut(texts: list[str | None], table: np.ndarray) -> tuple[pa.DictionaryArray,
     else:
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
     text = np.searchsorted(closes, starts, "right")
-    parted = np.cumsum(kind == END, dtype=np.int64)[starts]
+    parted = np.searchsorted(np.flatnonzero(kind == END), starts)
     first = np.ones(len(starts), bool)
     first[1:] = parted[1:] != parted[:-1]
     return words.dictionary_encode(), text, first, np.bincount(text, minlength=len(texts))

@@ -29,7 +29,9 @@ UNKNOWN = "und"
 #: Frequent phrases that are broadcast together, 24 bytes each at most; more go in several passes.
 SLICE = 1_000_000
 #: Bytes of text cut together; distinct words, and places, that a task adds up before it tells them.
-TOGETHER, HELD_WORDS, HELD_PLACES = 8_000_000, 400_000, 4_000_000
+TOGETHER, HELD_WORDS, HELD_PLACES = 2_000_000, 200_000, 2_000_000
+#: Places of a row of coded text, about.
+ROW = 250_000
 
 
 def _langs(column: pa.Array) -> tuple[np.ndarray, list[str]]:
@@ -81,8 +83,11 @@ def _packed(sequences: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         there[1:-1] &= (edged[:-2] > 0) | (edged[2:] > 0)
         edged[~there] = 0
         kept = edged[there | np.concatenate(([False], there[:-1]))]
-        if len(kept):
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(([0], kept)).astype(np.int32).tobytes()], pa.binary())], ["places"])
+        zeros = np.flatnonzero(kept == 0)
+        ends = np.unique(zeros[np.searchsorted(zeros, np.arange(ROW, len(kept), ROW)).clip(max=len(zeros) - 1)]) if len(kept) > ROW else []
+        for row in np.split(kept, ends):
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(([0], row)).astype(np.int32).tobytes()], pa.binary())], ["places"])
 
 
 def _slices(level: DataFrame, columns: list[str]) -> Iterator[list[np.ndarray]]:
@@ -145,9 +150,10 @@ def _pairs(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def count_pairs(places: DataFrame) -> DataFrame:
     """Rows (pair, n) of neighbouring numbers, added up in each task before they are shuffled."""
 
-    def told(held: list[np.ndarray]) -> pa.RecordBatch:
+    def told(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         pair, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
+        for k in range(0, len(pair), ROW):
+            yield pa.RecordBatch.from_arrays([pa.array(pair[k : k + ROW]), pa.array(n[k : k + ROW])], ["pair", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -157,10 +163,10 @@ def count_pairs(places: DataFrame) -> DataFrame:
                 held.append(pairs)
                 count += len(pairs)
                 if count > HELD_PLACES:
-                    yield told(held)
+                    yield from told(held)
                     held, count = [], 0
         if count:
-            yield told(held)
+            yield from told(held)
 
     return places.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 

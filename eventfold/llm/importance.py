@@ -28,9 +28,9 @@ from .sentencepiece_codec import by_size
 
 BUCKETS = 10_000
 #: Nodes of a task's trie; a full trie gives its counts away and begins anew.
-NODES = 500_000
+NODES = 200_000
 #: Bytes of text that are walked together.
-TOGETHER = 8_000_000
+TOGETHER = 2_000_000
 #: Documents with fewer words aren't drawn; per cent of the others that are.
 LEAST_WORDS, DRAWN = 20, 10
 SEED = 2024
