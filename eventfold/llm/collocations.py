@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_words import PHRASES, cut
-from .common import Steps, ranked
+from .common import Steps, ranked, small_batches
 from .sentencepiece_codec import by_size
 
 LEAST, LONGEST, DEEPEST = 100, 5, 2000
@@ -29,7 +29,7 @@ UNKNOWN = "und"
 #: Frequent phrases that are broadcast together, 24 bytes each at most; more go in several passes.
 SLICE = 1_000_000
 #: Bytes of text cut together; distinct words, and places, that a task adds up before it tells them.
-TOGETHER, HELD_WORDS, HELD_PLACES = 2_000_000, 200_000, 2_000_000
+TOGETHER, HELD_WORDS, HELD_PLACES = 2_000_000, 100_000, 2_000_000
 #: Places of a row of coded text, about.
 ROW = 250_000
 
@@ -257,7 +257,8 @@ def mine(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int
     frequent phrases, or an empty one, gives no rows. Other columns are not read.
     """
     steps = Steps(docs.sparkSession)
-    totals, tables = levels(docs, steps, text=text, lang=lang, least=least, longest=longest)
+    with small_batches(docs.sparkSession):
+        totals, tables = levels(docs, steps, text=text, lang=lang, least=least, longest=longest)
     found = None
     for k, table in enumerate(tables[1:], 1):
         if k + 1 < len(tables):

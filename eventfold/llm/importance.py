@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_words import LETTERS, cut
-from .common import Steps, ranked
+from .common import Steps, ranked, small_batches
 from .sentencepiece_codec import by_size
 
 BUCKETS = 10_000
@@ -167,9 +167,10 @@ def resample(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: s
     target gives gains from the source alone. Other columns are not read.
     """
     steps = Steps(docs.sparkSession)
-    gain = gains(bucket_counts(docs, text=text, most=most, buckets=buckets), bucket_counts(target, text=text, most=most, buckets=buckets), buckets)
-    scored = weighed(docs, gain, key=key, text=text, most=most).withColumn("score", F.col("weight") + noise(F.col("key"), seed))
-    scored = steps.saved(scored, "scored")
+    with small_batches(docs.sparkSession):
+        gain = gains(bucket_counts(docs, text=text, most=most, buckets=buckets), bucket_counts(target, text=text, most=most, buckets=buckets), buckets)
+        scored = weighed(docs, gain, key=key, text=text, most=most).withColumn("score", F.col("weight") + noise(F.col("key"), seed))
+        scored = steps.saved(scored, "scored")
     long_enough = F.col("n_words") >= least_words
     drawn = scored.where(long_enough).count() * percent // 100
     placed = ranked(scored, [(~long_enough).alias("short"), F.col("score").desc(), F.col("key").asc_nulls_last(), F.col("weight").desc()], "place", steps)
