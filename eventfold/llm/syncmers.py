@@ -1,10 +1,14 @@
 """Document fingerprints from closed syncmers, with DataFrame functions alone.
 
-Symbols are runs of up to eight characters between blanks. Of every k = 4 symbols in a row the
-inner pairs (s = 2) are hashed; where the least of the three hashes stands at either edge, the
-four symbols are an anchor. Whether they are depends on them alone, so texts that share a
-passage share its anchors, wherever it stands. A fingerprint is the least hashes of a text's
-anchors. How alike two texts are is counted over all anchors of both, each as often as it occurs.
+Symbols are words: runs of up to 32 characters between blanks. Of a longer run (a script without
+blanks, an address, encoded bytes) every character is a symbol, so that none is counted from where
+the run begins. Of every k = 4 symbols in a row the inner pairs (s = 2) are hashed; where the least
+of the three hashes stands at either edge, the four symbols are an anchor. Whether they are depends
+on them alone, so texts that share a passage share its anchors, wherever it stands; an edit touches
+the anchors of its own symbols, and of a run only that is just short enough to be a word.
+
+A fingerprint names all anchors of a text, each as often as it occurs, and so does the likeness of
+two texts.
 """
 
 from __future__ import annotations
@@ -16,7 +20,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hashes of a fingerprint, of 32 bits each.
+#: A symbol: a whole word, or a character of a longer run.
+SYMBOL = r"((?<!\S)\S{1,32}+(?!\S)|\S)"
+#: Hashes of a sketch, of 32 bits each, unless the caller wants another number.
 SKETCH = 96
 #: Documents that are ordered together, on average, and ranges of them at most.
 TOGETHER, MOST_RANGES = 1024, 1 << 16
@@ -43,7 +49,7 @@ def _edges(text: Column, use: Callable[[Column, Column], Column], kind: str) ->
         padded = F.concat(edge, F.transform(symbols, lambda s: F.xxhash64(s)), edge)
         return F.when(F.size(symbols) > 0, let(padded, lambda h: let(pairs(h), chosen))).otherwise(F.array().cast(kind))
 
-    return let(F.regexp_extract_all(text, F.lit(r"(\S{1,8})"), F.lit(1)), of)
+    return let(F.regexp_extract_all(text, F.lit(SYMBOL), F.lit(1)), of)
 
 
 def anchors(text: Column) -> Column:
@@ -61,9 +67,10 @@ def hashes(text: Column) -> Column:
     return _edges(text, lambda at, h: h, "array<bigint>")
 
 
-def sketch(found: Column) -> Column:
-    """The SKETCH least distinct ones of the upper halves of the anchors' hashes, ascending."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda x: F.shiftrightunsigned(x, 32)))), 1, SKETCH)
+def sketch(found: Column, size: int = SKETCH) -> Column:
+    """The `size` least distinct ones of the upper halves of the anchors' hashes, ascending: of a
+    bounded length, for an index of texts. `fingerprint` and `likeness` don't use it."""
+    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda x: F.shiftrightunsigned(x, 32)))), 1, size)
 
 
 def numbered(found: Column) -> Column:
@@ -83,9 +90,10 @@ def numbered(found: Column) -> Column:
     return F.when(F.size(found) > 0, let(F.sort_array(found), of)).otherwise(none)
 
 
-def digest(least: Column) -> Column:
-    """A sketch as text: eight hexadecimal digits for each hash."""
-    return F.array_join(F.transform(least, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+def fingerprint(all_anchors: Column) -> Column:
+    """128 bits in hexadecimal over all anchors as `numbered` gives them; '' if there are none."""
+    half = lambda k: F.lpad(F.lower(F.hex(F.xxhash64(F.lit(k), all_anchors))), 16, "0")
+    return F.when(F.size(all_anchors) == 0, "").otherwise(F.concat(half(1), half(2)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -175,22 +183,23 @@ def edited(text: Column, n: Column, following: Column) -> Column:
 def compare_with_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next), one
     for each row of `docs`: likeness of each whole text to its edited form and to the next text,
-    from all their anchors; fingerprints are digests alone.
+    from all their anchors, which the fingerprints name.
 
     Equal texts have equal fingerprints; null and empty texts have an empty one, which is like
     other empty ones only. In a table of one row the row follows itself; an empty table gives none.
+    Other columns are not read, whatever their names.
     """
     # Anchors are found after the rows are ordered: they are larger than the texts.
     led = with_next(docs, key=key, text=text).withColumn("n", F.length("text"))
     out = led.withColumn("edited", edited(F.col("text"), F.col("n"), F.col("next_text")))
     out = out.select(key, "n", "edited", *(hashes(F.col(c)).alias(f"of_{c}") for c in ("text", "edited", "next_text")))
-    out = out.select("*", *(numbered(F.col(f"of_{c}")).alias(f"all_{c}") for c in ("text", "edited", "next_text")))
+    out = out.select(key, "n", "edited", *(numbered(F.col(f"of_{c}")).alias(f"all_{c}") for c in ("text", "edited", "next_text")))
     return out.select(
         key,
         F.col("n").cast("long").alias("n_chars"),
         "edited",
-        digest(sketch(F.col("of_text"))).alias("fingerprint"),
-        digest(sketch(F.col("of_edited"))).alias("edited_fingerprint"),
+        fingerprint(F.col("all_text")).alias("fingerprint"),
+        fingerprint(F.col("all_edited")).alias("edited_fingerprint"),
         likeness(F.col("all_text"), F.col("all_edited")).alias("near_edited"),
         likeness(F.col("all_text"), F.col("all_next_text")).alias("near_next"),
     )
