@@ -1,12 +1,15 @@
 """Fuzzy search for short licence notices.
 
-A notice may occur with up to k edits. Cut into k + 1 pieces, at least one piece then occurs
-unchanged: one Aho-Corasick pass finds the pieces of all notices, and only around them the
-regex library matches the notice with at most k errors, which gives span and errors.
+A notice may occur with up to k edits. Cut into k + m pieces, at least m of them then occur
+unchanged: one Aho-Corasick pass finds the pieces of all notices, and only where enough of them
+stand in line the regex library matches the notice with at most k errors, which gives span and
+errors.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,21 +77,34 @@ def plain(text: str | None) -> str:
     return f" {b' '.join(words).decode()} " if words else " "
 
 
+#: Characters of a seed, at least, and windows whose matches a task remembers.
+SEED, KNOWN = 4, 10_000
+
+
 class Scanner:
+    """Finds notices with at most their number of edits.
+
+    A notice is cut into more pieces than edits can touch, so a match keeps some of them whole, at
+    places that differ from the notice's own by no more than the edits. Only where that many
+    different pieces stand so is the text matched, and nothing but that window of it.
+    """
+
     def __init__(self, base: tuple[Notice, ...] = BASE, notices: tuple[Notice, ...] = NOTICES):
         import ahocorasick
         import regex
 
         self.notices = [*base, *notices]
         self.base = len(base)
-        self.patterns, seeds = [], {}
+        self.patterns, self.needed, seeds = [], [], {}
         for i, notice in enumerate(self.notices):
             whole = f" {notice.words} " if notice.k == 0 else notice.words
             self.patterns.append((whole, regex.compile(f"(?b)(?:{regex.escape(whole, literal_spaces=True)}){{e<={notice.k}}}")))
-            size = len(whole) // (notice.k + 1)
-            cuts = [j * size for j in range(notice.k + 1)] + [len(whole)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                seeds.setdefault(whole[a:b], []).append((i, a))
+            parts = 1 if notice.k == 0 else max(notice.k + 1, min(notice.k + 3, len(whole) // SEED))
+            self.needed.append(parts - notice.k)
+            cuts = [j * len(whole) // parts for j in range(parts + 1)]
+            for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                seeds.setdefault(whole[a:b], []).append((i, j, a))
+        self.known: dict[tuple[int, str], tuple[int, int, int]] = {}
         self.seeds = ahocorasick.Automaton()
         for seed, of in seeds.items():
             self.seeds.add_word(seed, (len(seed), of))
@@ -97,41 +113,93 @@ class Scanner:
     def matches(self, words: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, errors) in the plain text, in order of notice and start.
 
-        Matches of one notice with k > 0 don't overlap; those with k = 0 are all places.
+        Of one notice with k > 0 the match with the fewest errors comes first, the leftmost of
+        these, then what is found beside it; those with k = 0 are all places.
         """
-        wide: dict[int, list[list[int]]] = {}
+        found: dict[int, list[tuple[int, int]]] = {}
         for end, (size, of) in self.seeds.iter(words):
-            begin = end - size + 1
-            for i, at in of:
-                whole, k = self.patterns[i][0], self.notices[i].k
-                a, b = max(0, begin - at - k), min(len(words), begin - at + len(whole) + k)
-                spans = wide.setdefault(i, [])
-                if k and spans and a <= spans[-1][1]:  # seeds come in order of their end
-                    spans[-1][0], spans[-1][1] = min(a, spans[-1][0]), max(b, spans[-1][1])
-                else:
-                    spans.append([a, b])
+            for i, piece, at in of:
+                found.setdefault(i, []).append((end - size + 1 - at, piece))
         out = []
-        for i in sorted(wide):
-            last = -1
-            for a, b in wide[i]:
-                for start, stop, errors in self._places(i, words, max(a, last), b):
-                    out.append((i, start, stop, errors))
-                    last = stop if self.notices[i].k else last
+        for i in sorted(found):
+            if self.notices[i].k == 0:
+                out += [(i, at, at + len(self.patterns[i][0]), 0) for at, _ in found[i]]
+            else:
+                out += [(i, *span) for span in self._spans(i, words, found[i])]
+        return out
+
+    def _windows(self, i: int, hits: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+        """Where enough different pieces stand within k characters of one place of the notice."""
+        k, length, needed = self.notices[i].k, len(self.patterns[i][0]), self.needed[i]
+        hits = sorted(set(hits))
+        out, count, last = [], {}, 0
+        for at, piece in hits:
+            while last < len(hits) and hits[last][0] <= at + k:
+                count[hits[last][1]] = count.get(hits[last][1], 0) + 1
+                last += 1
+            if len(count) >= needed:
+                a, b = max(0, at - k), min(size, at + length + 2 * k)
+                if out and a - out[-1][0] <= k:
+                    out[-1] = out[-1][0], b
+                else:
+                    out.append((a, b))
+            count[piece] -= 1
+            if not count[piece]:
+                del count[piece]
         return out
 
-    def _places(self, i: int, words: str, a: int, b: int) -> list[tuple[int, int, int]]:
-        """(start, end, errors) of notice i between a and b: the best match first, then those of
-        the parts before and after it, as finditer alone goes on after it."""
-        (whole, pattern), k = self.patterns[i], self.notices[i].k
-        if not k:
-            return [(m.start(), m.end(), 0) for m in pattern.finditer(words, a, b)]
-        out, open_ = [], [(a, b)]
-        while open_:
-            a, b = open_.pop()
-            if b - a >= len(whole) - k and (m := pattern.search(words, a, b)):
-                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-                open_ += [(a, m.start()), (m.end(), b)]
-        return sorted(out)
+    def _best(self, i: int, window: str) -> tuple[int, int, int]:
+        """(errors, start, end) of the best match in a window, errors -1 if there is none; repeated
+        windows are matched once."""
+        if (found := self.known.get((i, window))) is None:
+            m = self.patterns[i][1].search(window)
+            found = (sum(m.fuzzy_counts), m.start(), m.end()) if m else (-1, 0, 0)
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[i, window] = found
+        return found
+
+    def _spans(self, i: int, words: str, hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        whole, k = self.patterns[i][0], self.notices[i].k
+        windows = self._windows(i, hits, len(words))
+        taken: list[tuple[int, int, int]] = []
+        at = words.find(whole) if windows else -1
+        while at >= 0:  # without errors none is better
+            taken.append((at, at + len(whole), 0))
+            at = words.find(whole, at + len(whole))
+        agenda: list[tuple[int, int, int, int, int]] = []
+
+        def offer(window: tuple[int, int], among: list[tuple[int, int, int]]) -> None:
+            for a, b in _without(window, among, len(whole) - k):
+                errors, start, stop = self._best(i, words[a:b])
+                if errors >= 0:
+                    heapq.heappush(agenda, (errors, a + start, a + stop, a, b))
+
+        for window in windows:
+            offer(window, taken)
+        while agenda:
+            errors, start, stop, *window = heapq.heappop(agenda)
+            at = bisect.bisect_left(taken, (start, start, 0))
+            if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= stop):
+                taken.insert(at, (start, stop, errors))
+            offer(tuple(window), taken)  # what lies beside the matches taken may hold another one
+        return taken
+
+
+def _without(window: tuple[int, int], spans: list[tuple[int, int, int]], least: int) -> list[tuple[int, int]]:
+    """The parts of a window of `least` characters or more beside these spans, which are in order."""
+    a, b = window
+    out, first = [], max(0, bisect.bisect_left(spans, (a, a, 0)) - 1)
+    for start, stop, _ in spans[first:]:
+        if start >= b:
+            break
+        if stop > a:
+            if start - a >= least:
+                out.append((a, start))
+            a = max(a, stop)
+    if b - a >= least:
+        out.append((a, b))
+    return out
 
 
 MATCH = "label string, base boolean, first_word long, n_words long, errors int, likeness double"

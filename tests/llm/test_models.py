@@ -150,3 +150,63 @@ def test_one_key_with_most_rows_leaves_the_samples_bounded(spark):
     assert counted == [51]
     model = langid.train(docs.withColumn("doc_id", F.lit(None).cast("long")), F.lit(True), rows=40)
     assert model.languages == ["en", "fr"] and model.predict(["le la et que", "text number and the"])[0] == ["fr", "en"]
+
+
+def exhaustive(scanner, i, words):
+    """The best match of all the text, then that of what is left beside it, and so on."""
+    (whole, pattern), k = scanner.patterns[i], scanner.notices[i].k
+    open_, out = [(0, len(words))], []
+    while True:
+        best = min(((sum(m.fuzzy_counts), m.start(), m.end(), w) for w in open_ if w[1] - w[0] >= len(whole) - k and (m := pattern.search(words, *w))), default=None)
+        if best is None:
+            return sorted(out)
+        errors, start, stop, w = best
+        out.append((i, start, stop, errors))
+        open_.remove(w)
+        open_ += [(w[0], start), (stop, w[1])]
+
+
+def edits(text, whole):
+    """Least edits of `whole` to any part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(whole, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(text, 1):
+            last, row[j] = row[j], min(last + (c != d), row[j] + 1, row[j - 1] + 1)
+    return min(row)
+
+
+def test_licence_spans_by_exhaustive_search():
+    from eventfold.llm.license_scan import Scanner, plain
+
+    scanner, rng = Scanner(), np.random.default_rng(7)
+    fuzzy = [i for i, n in enumerate(scanner.notices) if n.k]
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    for n in range(120):
+        parts = []
+        for _ in range(rng.integers(1, 5)):
+            words = list(scanner.notices[rng.choice(fuzzy)].words)
+            for _ in range(rng.integers(0, 8)):
+                at, kind = rng.integers(0, len(words)), rng.integers(0, 3)
+                words[at : at + int(kind != 1)] = [rng.choice(letters)] * int(kind != 2)
+            cut = rng.integers(0, 12)
+            parts.append("".join(words)[cut if n % 3 == 0 else 0 :])
+        text = plain(" ".join(parts))
+        got = scanner.matches(text)
+        for i in fuzzy:
+            own = [m for m in got if m[0] == i]
+            assert own == exhaustive(scanner, i, text), (scanner.notices[i], text)
+            assert bool(own) == (edits(text, scanner.patterns[i][0]) <= scanner.notices[i].k)
+
+
+@pytest.mark.parametrize("line", ["software is provided ", "under the license of the ", "permission is hereby granted free of charge to any person obtaining a copy of this software ", "the software is provided as was without warranty of any kind "])
+def test_licence_scan_of_repeated_words(line):
+    import time
+
+    from eventfold.llm.license_scan import Scanner, plain
+
+    scanner, words = Scanner(), plain(line * (100_000 // len(line)))
+    began = time.thread_time()
+    found = scanner.matches(words)
+    assert time.thread_time() - began < 1.5
+    assert all(a[2] <= b[1] for a, b in zip(found, found[1:], strict=False) if a[0] == b[0])
