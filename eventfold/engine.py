@@ -17,10 +17,10 @@ from . import schemas
 from .functions import keys, rules
 from .functions.dates import local_start
 from .jobs import Jobs
-from .operators import events, library, normalize, review, sync, windows
+from .operators import events, keywords, library, normalize, review, sync, windows
 from .operators.library import EventFilters
-from .sources import files, xlsx
-from .sources.store import Store
+from .sources import files, xlsx_sink
+from .sources.store import Scratch, Store
 
 
 @dataclass(frozen=True)
@@ -41,14 +41,64 @@ class ComparisonResult:
     missing_time_count: int
 
 
+class Settled:
+    """What pages, searches and exports of a comparison read: members and summaries in the order of
+    their events, and a keyword index, written once. Later overrides touch few events; these are
+    worked out anew from their own members and stand in for what was written."""
+
+    def __init__(self, members: DataFrame, seq: int, overrides: list[str], base: list[str]):
+        self.seq, self.overrides, self.base = seq, overrides, base
+        self.scratch, self.later = Scratch(members.sparkSession), Scratch(members.sparkSession)
+        self._members = self.scratch.staged(members.repartitionByRange("event_id").sortWithinPartitions("event_id", "record_key"), "members")
+        self._summaries = self.scratch.staged(library.kept_summaries(self._members).repartitionByRange("event_id").sortWithinPartitions("event_id"), "summaries")
+        self._index: DataFrame | None = None
+        self.touched: list[int] = []
+        self._anew: tuple[DataFrame, DataFrame] | None = None
+
+    def _of(self, ids: list[int]):
+        return F.col("event_id").isin(ids)
+
+    @property
+    def members(self) -> DataFrame:
+        return self._members if self._anew is None else self._members.where(~self._of(self.touched)).unionByName(self._anew[0])
+
+    @property
+    def summaries(self) -> DataFrame:
+        return self._summaries if self._anew is None else self._summaries.where(~self._of(self.touched)).unionByName(self._anew[1])
+
+    def touch(self, ids: list[int], log: DataFrame, names: DataFrame, overrides: list[str]) -> None:
+        """Works the events `ids` out anew: their members as first written, moved by `log`, under
+        `names` (event_id, event_name)."""
+        rows = review.moved(self._members.where(self._of(ids)), log).drop("event_name").join(F.broadcast(names), "event_id").select(self._members.columns)
+        before, self.later = self.later, Scratch(rows.sparkSession)
+        members = self.later.staged(rows.coalesce(1), "members")
+        self._anew = members, self.later.staged(library.kept_summaries(members).coalesce(1), "summaries")
+        self.touched, self.overrides = ids, overrides
+        before.release()
+
+    def find(self, word: str) -> DataFrame:
+        """Rows (event_id) of the events that have the word. The index is of what was first written,
+        so events touched since are looked through besides."""
+        if self._index is None:
+            self._index = self.scratch.staged(keywords.build(self._members, self._summaries), "keywords")
+        old = keywords.hits(self._members, self._summaries, self._index, word)
+        if self._anew is None:
+            return old
+        return old.where(~self._of(self.touched)).union(keywords.hits(*self._anew, None, word))
+
+    def release(self) -> None:
+        self.scratch.release()
+        self.later.release()
+
+
 class Engine:
-    #: Comparisons whose summaries are kept at once.
-    KEPT = 8
+    #: Comparisons that are kept at once, and events touched by overrides before one is written anew.
+    KEPT, MOST_TOUCHED = 8, 500
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Store(spark, root)
         self.jobs = Jobs(self.store)
-        self._kept: dict[str, tuple[list[str], DataFrame, DataFrame, list[str]]] = {}
+        self._kept: dict[str, Settled] = {}
 
     def _read(self, table: str, version: int | None = None) -> DataFrame:
         return self.store.read(table, getattr(schemas, table.upper()), version)
@@ -68,6 +118,9 @@ class Engine:
         run = {"id": sync_id, "file_name": file_name, "file_hash": file_hash, "created_at": started, "business_columns": headers}
         scratch: list[str] = []
         try:
+            # Written once: its number, its headers and its payload are all read from it.
+            scratch.append(self.store.stage("records", records))
+            records = self.spark.read.schema(records.schema).parquet(scratch[0])
             total = records.count()
             if not total:
                 raise ValueError("no records to sync")
@@ -78,7 +131,7 @@ class Engine:
                 run["business_columns"] = files.business_columns([[r["header"] for r in found]])
             # Written once: hash and diff both read it, and parsing is the costly part.
             scratch.append(self.store.stage("payload", sync.keep_last(normalize.normalize(records), ["record_key"], ["source_row"])))
-            payload = self.spark.read.schema(schemas.PAYLOAD).parquet(scratch[0])
+            payload = self.spark.read.schema(schemas.PAYLOAD).parquet(scratch[1])
             if file_hash is None:
                 rows = payload.select(F.sha2(F.to_json(F.struct(*[c for c in payload.columns if c != "raw_json"])).cast("binary"), 256).alias("h"))
                 # Order-free and of bounded size: sums of parts of the rows' hashes.
@@ -88,7 +141,7 @@ class Engine:
             now = F.lit(started)
             changes = sync.diff(payload, current)
             scratch.append(self.store.stage("changes", changes))
-            changes = self.spark.read.schema(changes.schema).parquet(scratch[1])
+            changes = self.spark.read.schema(changes.schema).parquet(scratch[2])
             n = sync.counts(changes).first()
             after = sync.apply(changes, schemas.PAYLOAD, sync_id=sync_id, now=now).to(schemas.WORK_ORDERS)
             log = sync.versions(changes, sync_id=sync_id, now=now)
@@ -115,7 +168,9 @@ class Engine:
     def sync_file(self, path: str, *, max_rows: int | None = files.MAX_ROWS) -> SyncResult:
         """Keeps a copy of the file under the store's uploads, and syncs that."""
         kept, digest = files.land(self.spark, path, f"{self.store.root}/uploads")
-        return self.sync_records(files.load_records(self.spark, kept, max_rows=max_rows), file_name=str(path).rsplit("/", 1)[-1], file_hash=digest)
+        with Scratch(self.spark) as owner:
+            records = files.load_records(self.spark, kept, max_rows=max_rows, owner=owner)
+            return self.sync_records(records, file_name=str(path).rsplit("/", 1)[-1], file_hash=digest)
 
     def list_current_orders(self) -> DataFrame:
         return self._read("work_orders").orderBy("record_key")
@@ -194,37 +249,57 @@ class Engine:
     def list_comparison_events(self, comparison_id: str) -> DataFrame:
         mine = F.col("comparison_id") == comparison_id
         log = self._read("overrides").where(mine)
-        made = log.where("kind = 'create'").select("comparison_id", "event_id", F.concat(F.lit("manual|"), F.col("record_key")).alias("event_key"), F.col("name").alias("event_name"), F.lit("active").alias("status"), F.lit(None).cast("timestamp").alias("created_at"))
-        found = review.renamed(self._read("events").where(mine).unionByName(made), log)
+        found = review.renamed(self._read("events").where(mine).unionByName(self._made(log)), log)
         return review.archived(found, review.moved(self._read("members").where(mine), log))
 
+    @staticmethod
+    def _made(log: DataFrame) -> DataFrame:
+        """Events that overrides have made."""
+        return log.where("kind = 'create'").select("comparison_id", "event_id", F.concat(F.lit("manual|"), F.col("record_key")).alias("event_key"), F.col("name").alias("event_name"), F.lit("active").alias("status"), F.lit(None).cast("timestamp").alias("created_at"))
+
     def list_comparison_members(self, comparison_id: str) -> DataFrame:
         return self._read("members").where(F.col("comparison_id") == comparison_id).select("comparison_id", "record_key", "side", "event_key", F.col("snapshot.work_order_id").alias("work_order_id"), "snapshot")
 
     def list_event_member_snapshots(self, comparison_id: str, event_id: int) -> DataFrame:
         return self.members(comparison_id).where(F.col("event_id") == event_id).orderBy("record_key")
 
-    def _settled(self, comparison_id: str) -> tuple[DataFrame, DataFrame]:
-        """Members and unfiltered summaries of a comparison, written once and kept until a table
-        that they come from has another version."""
+    def _settled(self, comparison_id: str) -> Settled:
+        """The comparison as written once, brought up to the overrides since."""
         found = self.store.manifest()
-        state = [p for t in ("members", "events", "overrides") for p in found.get(t, [])]
-        if comparison_id not in self._kept or self._kept[comparison_id][0] != state:
-            while len(self._kept) >= self.KEPT or comparison_id in self._kept:
-                self._forget(comparison_id if comparison_id in self._kept else next(iter(self._kept)))
-            paths = [self.store.stage("settled", self.members(comparison_id))]
-            members = self.spark.read.parquet(paths[0])
-            paths.append(self.store.stage("settled", library.summaries(members)))
-            self._kept[comparison_id] = (state, members, self.spark.read.parquet(paths[1]), paths)
-        return self._kept[comparison_id][1:3]
+        base, log = [*found.get("members", []), *found.get("events", [])], found.get("overrides", [])
+        kept = self._kept.get(comparison_id)
+        if kept is not None and kept.base == base:
+            if kept.overrides == log:
+                return kept
+            since = self._read("overrides").where((F.col("comparison_id") == comparison_id) & (F.col("seq") > kept.seq))
+            touched = since.select(F.explode(F.array("event_id", "to_event")).alias("id")).where("id is not null").distinct().limit(self.MOST_TOUCHED + 1).collect()
+            ids = sorted(r["id"] for r in touched)
+            if len(ids) <= self.MOST_TOUCHED:
+                kept.touch(ids, since, self._named(comparison_id, ids).select("event_id", "event_name"), log)
+                return kept
+        while len(self._kept) >= self.KEPT or comparison_id in self._kept:
+            self._forget(comparison_id if comparison_id in self._kept else next(iter(self._kept)))
+        seq = self._read("overrides").where(F.col("comparison_id") == comparison_id).agg(F.max("seq")).first()[0] or 0
+        self._kept[comparison_id] = Settled(self.members(comparison_id), seq, log, base)
+        return self._kept[comparison_id]
 
     def _forget(self, comparison_id: str) -> None:
-        for path in self._kept.pop(comparison_id)[3]:
-            self.store.remove(path)
+        self._kept.pop(comparison_id).release()
+
+    def release(self) -> None:
+        """Removes what is kept of comparisons; the store itself stays."""
+        for comparison_id in list(self._kept):
+            self._forget(comparison_id)
+
+    def _named(self, comparison_id: str, ids: list[int]) -> DataFrame:
+        """These events under their last names, whether they have members or not."""
+        mine = (F.col("comparison_id") == comparison_id) & F.col("event_id").isin(ids)
+        log = self._read("overrides").where(mine)
+        return review.renamed(self._read("events").where(mine).unionByName(self._made(log)), log)
 
     def event_summaries(self, comparison_id: str, filters: EventFilters | None = None) -> DataFrame:
-        members, found = self._settled(comparison_id)
-        return found if (filters or EventFilters()) == EventFilters() else library.summaries(members, filters)
+        kept, word = self._settled(comparison_id), (filters or EventFilters()).keyword.strip().lower()
+        return library.chosen(kept.summaries, filters, kept.find(word) if word else None)
 
     def list_event_summaries(self, comparison_id: str, *, filters: EventFilters | None = None, sort: str = "updated_desc", limit: int = 20, offset: int = 0) -> tuple[DataFrame, int]:
         found = self.event_summaries(comparison_id, filters)
@@ -237,11 +312,14 @@ class Engine:
         return library.facets(self.event_summaries(comparison_id), region, street).first().asDict()
 
     def get_event(self, comparison_id: str, event_id: int) -> dict | None:
-        found = self.list_comparison_events(comparison_id).where(F.col("event_id") == event_id).limit(1).collect()
-        return found[0].asDict() if found else None
+        found = self._named(comparison_id, [event_id]).limit(1).collect()
+        if not found:
+            return None
+        empty = self._settled(comparison_id).members.where(F.col("event_id") == event_id).isEmpty()
+        return found[0].asDict() | ({"status": "archived"} if empty else {})
 
     def list_event_records(self, comparison_id: str, event_id: int, *, limit: int = 20, offset: int = 0) -> tuple[dict | None, DataFrame, int]:
-        rows = self._settled(comparison_id)[0].where(F.col("event_id") == event_id)
+        rows = self._settled(comparison_id).members.where(F.col("event_id") == event_id)
         return self.get_event(comparison_id, event_id), library.page(rows, [F.asc("record_key")], limit, offset), rows.count()
 
     # -- review and export --------------------------------------------------------------
@@ -268,18 +346,18 @@ class Engine:
         """Renames an event; its comparison is looked up where none is given."""
         name, base = review.trimmed_name(name), self.store.version()
         comparison_id = comparison_id or self.comparison_of(event_id)
-        if self.get_event(comparison_id, event_id) is None:
+        if self._named(comparison_id, [event_id]).isEmpty():
             raise KeyError(event_id)
         self._override(comparison_id, [{"kind": "rename", "event_id": event_id, "name": name}], base)
 
     def exclude_event_member(self, comparison_id: str, event_id: int, record_key: str, *, target_name: str = "") -> int:
         """Moves a record to the active event of the given name, or to a new one; its id."""
         base = self.store.version()
-        there = self.members(comparison_id).where((F.col("event_id") == event_id) & (F.col("record_key") == record_key))
-        if there.isEmpty():
+        kept = self._settled(comparison_id)
+        if kept.members.where((F.col("event_id") == event_id) & (F.col("record_key") == record_key)).isEmpty():
             raise KeyError((event_id, record_key))
-        every = self.list_comparison_events(comparison_id)
-        match = [] if not target_name.strip() else every.where(review.has_name(target_name) & (F.col("status") == "active") & (F.col("event_id") != event_id)).orderBy("event_id").limit(1).collect()
+        # Events with members are the active ones.
+        match = [] if not target_name.strip() else kept.summaries.where(review.has_name(target_name) & (F.col("event_id") != event_id)).orderBy("event_id").limit(1).collect()
         if match:
             to, made = match[0]["event_id"], []
         else:
@@ -289,7 +367,7 @@ class Engine:
         return to
 
     def export_rows(self, comparison_id: str, *, filters: EventFilters | None = None) -> DataFrame:
-        return review.export_rows(self._settled(comparison_id)[0], self.event_summaries(comparison_id, filters))
+        return review.export_rows(self._settled(comparison_id).members, self.event_summaries(comparison_id, filters))
 
     def sync_business_columns(self, comparison_id: str) -> list[str]:
         run = self.get_comparison(comparison_id)
@@ -297,19 +375,11 @@ class Engine:
         return list(found[0]["business_columns"] or []) if found else []
 
     def export_workbook(self, comparison_id: str, path: str, *, filters: EventFilters | None = None) -> str:
-        """Two sheets, events of several records and lone ones. Rows stream through the driver,
-        as a workbook is one file; for large exports write `sheets(...)` as a table instead."""
+        """Two sheets, events of several records and lone ones, written by tasks (`xlsx_sink`)."""
         headers = self.sync_business_columns(comparison_id) or list(rules.CANONICAL_HEADERS)
         rows = review.sheets(self.export_rows(comparison_id, filters=filters), headers)
-        lead = list(rules.LEAD_HEADERS)
-
-        def of(sheet: str):
-            ordered = rows.where(F.col("sheet") == sheet).orderBy("event_id", "record_key")
-            for r in ordered.toLocalIterator():
-                yield r["band"], list(r)[4:]
-
-        xlsx.write(path, {name: (lead + headers, of(name)) for name in rules.SHEETS})
-        return path
+        shown = list(rules.LEAD_HEADERS) + headers
+        return xlsx_sink.write(path, {name: (shown, rows.where(F.col("sheet") == name)) for name in rules.SHEETS}, ["event_id", "record_key"], "band")
 
     # -- jobs ---------------------------------------------------------------------------
 

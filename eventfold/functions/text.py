@@ -31,7 +31,7 @@ def strip(c: Column) -> Column:
 
 
 def without_blanks(c: Column) -> Column:
-    return F.translate(c, BLANKS, "")
+    return F.regexp_replace(c, r"(?U)\s+", "")
 
 
 def trim_to_null(c: Column) -> Column:
@@ -40,12 +40,12 @@ def trim_to_null(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Carriage returns dropped, runs of blanks as one space, stripped; '' for null."""
-    return strip(F.regexp_replace(F.translate(or_empty(c), "\r", ""), r"(?U)\s+", " "))
+    return strip(F.regexp_replace(F.replace(or_empty(c), F.lit("\r"), F.lit("")), r"(?U)\s+", " "))
 
 
 def first_group(c: Column, pattern: str, group: int = 1) -> Column:
-    """The first match's group, null where the pattern has no match."""
-    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
+    """The first match's group, null where the pattern has no match or the group is empty."""
+    return none_if_empty(F.regexp_extract(c, pattern, group))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -66,8 +66,8 @@ def first_contained(c: Column, words) -> Column:
 def remove_first(c: Column, part: Column, tail: str = "") -> Column:
     """The text without the first occurrence of `part`, and of what matches `tail` after it.
     Either argument is used once, so that chains of this stay small."""
-    quoted = F.concat(F.lit(r"^(?s)(.*?)\Q"), F.replace(none_if_empty(part), F.lit("\\E"), F.lit("")), F.lit(rf"\E(?:{tail})?"))
-    return F.regexp_replace(c, F.coalesce(quoted, F.lit("(?!)")), F.lit("$1"))
+    quoted = F.concat(F.lit(r"\Q"), F.replace(none_if_empty(part), F.lit("\\E"), F.lit("")), F.lit(rf"\E(?:{tail})?"))
+    return F.array_join(F.split(c, F.coalesce(quoted, F.lit("(?!)")), 2), "")
 
 
 def clean_title(c: Column) -> Column:
@@ -77,18 +77,17 @@ def clean_title(c: Column) -> Column:
     return strip(out)
 
 
-def address_line(appeal: Column, location: Column, title: Column) -> Column:
-    """Struct (line, source): the appeal's address line, else location, else title."""
-    text = F.replace(or_empty(appeal), F.lit("_x000D_"), F.lit("\n"))
-    given = strip(F.regexp_extract(text, rules.ADDRESS_LINE, 1))
-    own = strip(F.get(F.split(given, rules.ADDRESS_END, 2), F.lit(0)))
-    pick = lambda line, source: F.struct(line.alias("line"), F.lit(source).alias("source"))
-    return (
-        F.when(text.rlike(rules.ADDRESS_LINE), pick(own, "appeal_address"))
-        .when(strip(or_empty(location)) != "", pick(strip(or_empty(location)), "location"))
-        .when(strip(or_empty(title)) != "", pick(strip(or_empty(title)), "title"))
-        .otherwise(pick(F.lit(""), "unknown"))
-    )
+def given_address(appeal: Column) -> Column:
+    """The rest of an appeal's address line as it stands, '' if there is none."""
+    return F.regexp_extract(F.replace(or_empty(appeal), F.lit("_x000D_"), F.lit("\n")), rules.ADDRESS_LINE, 1)
+
+
+def address_line(given: Column, location: Column, title: Column) -> tuple[Column, Column]:
+    """(line, source): the appeal's address line, else location, else title."""
+    own = strip(F.get(F.split(strip(given), rules.ADDRESS_END, 2), F.lit(0)))
+    place, name = strip(or_empty(location)), strip(or_empty(title))
+    pick = lambda *found: F.when(given != "", found[0]).when(place != "", found[1]).when(name != "", found[2]).otherwise(found[3])
+    return pick(own, place, name, F.lit("")), pick(*map(F.lit, ("appeal_address", "location", "title", "unknown")))
 
 
 def region(c: Column) -> Column:
@@ -140,8 +139,10 @@ def organization_in(c: Column) -> Column:
             out = F.regexp_replace(out, rules.ORGANIZATION_PLACE, "")
         return out
 
-    names = F.transform(F.regexp_extract_all(or_empty(c), F.lit(rules.ORGANIZATION), F.lit(1)), cleaned)
-    return F.get(F.filter(names, lambda n: (F.length(n) >= 4) & ~n.rlike(rules.ORGANIZATION_VAGUE)), F.lit(0))
+    names = F.transform(F.regexp_extract_all(c, F.lit(rules.ORGANIZATION), F.lit(1)), cleaned)
+    found = F.get(F.filter(names, lambda n: (F.length(n) >= 4) & ~n.rlike(rules.ORGANIZATION_VAGUE)), F.lit(0))
+    # Few texts have a suffix at all; only these are searched for names.
+    return F.when(c.rlike("|".join(rules.ORGANIZATION_SUFFIXES)), found)
 
 
 def organization(*texts: Column) -> Column:
@@ -198,27 +199,36 @@ def _segments_of(value: Column) -> Column:
     return F.when(F.size(labels) > 0, found).otherwise(alone)
 
 
-def address_parts(address: Column) -> Column:
-    """Struct of region, street and the address without either."""
+def without_place(address: Column, where: Column, way: Column) -> Column:
+    """The address without its region and street."""
+    return remove_first(remove_first(address, where), way, "镇|乡")
+
+
+#: Of each component the pattern, and its group. Where the group isn't all of the match, it is
+#: taken from the match.
+COMPONENTS = {"road": (rules.ROAD_HOUSE, 1), "house_no": (rules.ROAD_HOUSE, 2), "building": (rules.BUILDING, 0), "unit": (rules.UNIT, 0), "room": (rules.ROOM, 0), "shop_no": (rules.SHOP, 1), "floor": (rules.FLOOR, 0)}
+PATTERNS = {"road": rules.ROAD_HOUSE, "building": rules.BUILDING, "unit": rules.UNIT, "room": rules.ROOM, "shop_no": rules.SHOP, "floor": rules.FLOOR}
 
-    def parts(r: Column) -> Column:
-        where, way = r["region"], r["street"]
-        return F.struct(where.alias("region"), way.alias("street"), remove_first(remove_first(address, where), way, "镇|乡").alias("scoped"))
 
-    return let(region(address), lambda where: let(F.struct(where.alias("region"), normal_street(street(address, where)).alias("street")), parts))
+def component_matches(scoped: Column) -> dict[str, Column]:
+    """What each pattern matches first, '' if it doesn't; the road with its house number."""
+    numbered = scoped.rlike(r"(?U)\d")
+    return {name: F.when(numbered, F.regexp_extract(scoped, p, 0)).otherwise("") if name == "road" else F.regexp_extract(scoped, p, 0) for name, p in PATTERNS.items()}
 
 
-COMPONENTS = {"road": (rules.ROAD_HOUSE, 1), "house_no": (rules.ROAD_HOUSE, 2), "building": (rules.BUILDING, 1), "unit": (rules.UNIT, 1), "room": (rules.ROOM, 1), "shop_no": (rules.SHOP, 1), "floor": (rules.FLOOR, 1)}
+def raw_components(matches: dict[str, Column]) -> dict[str, Column]:
+    """The address components as written."""
+    of = lambda name, group: first_group(matches["road" if name == "house_no" else name], COMPONENTS[name][0], group)
+    return {name: of(name, group) if group else none_if_empty(matches[name]) for name, (_, group) in COMPONENTS.items()}
 
 
-def raw_components(scoped: Column) -> Column:
-    """Struct of the address components as written, and what remains without them."""
+def rest_of(scoped: Column, matches: dict[str, Column]) -> Column:
+    """What remains of an address without its components."""
     rest = scoped
-    for pattern in (rules.ROAD_HOUSE, rules.BUILDING, rules.UNIT, rules.ROOM, rules.SHOP, rules.FLOOR):
-        rest = remove_first(rest, F.regexp_extract(scoped, pattern, 0))
+    for found in matches.values():
+        rest = remove_first(rest, found)
     rest = F.regexp_replace(rest, r"(?U)^[\s,，。:：-]+|[\s,，。:：-]+$", "")
-    rest = strip(F.regexp_replace(rest, r"(?U)^(?:地址|事发地点)\s*[:：]?", ""))
-    return F.struct(*(first_group(scoped, pattern, group).alias(name) for name, (pattern, group) in COMPONENTS.items()), rest.alias("rest"))
+    return strip(F.regexp_replace(rest, r"(?U)^(?:地址|事发地点)\s*[:：]?", ""))
 
 
 def anchor_type(rest: Column) -> Column:

@@ -13,7 +13,9 @@ from ..functions.dates import ZONE, local_date
 from .events import summarize
 
 PAGE = 20
+#: Fields of members, and of events beside their departments, that a keyword is looked for in.
 SEARCHED = ("work_order_id", "title_raw", "appeal_text", "department", "processing_department")
+NAMED = ("event_name", "issue_name", "region", "street_name")
 
 
 @dataclass(frozen=True)
@@ -88,6 +90,38 @@ def summaries(members: DataFrame, filters: EventFilters | None = None, layout: L
     return out.drop(*marks)
 
 
+def kept_summaries(members: DataFrame, layout: Layout | None = None) -> DataFrame:
+    """Summaries of all events with `completed_days`, the local days on which members ended: what
+    every filter but a keyword asks for, so that none has to look at members again."""
+    at = layout or Layout()
+    days = F.array_sort(F.collect_set(at.completed_day))
+    return summarize(members, list(at.by), at.issue, {"completed_days": days}, at.name)
+
+
+def chosen(kept: DataFrame, filters: EventFilters | None = None, hits: DataFrame | None = None) -> DataFrame:
+    """The kept summaries that pass; `hits` (event_id) are the events of the filters' keyword."""
+    f, out = filters or EventFilters(), kept
+    if hits is not None:
+        out = out.join(hits, "event_id", "left_semi")
+    if not f.search_all:
+        for name, value in (("region", f.region), ("street_name", f.street)):
+            if value.strip():
+                out = out.where(F.col(name) == value.strip())
+        if f.processing_department.strip():
+            out = out.where(F.array_contains("processing_departments", f.processing_department.strip()))
+        if f.has_target_records:
+            out = out.where("target_count > 0")
+        if f.hide_singletons:
+            out = out.where("member_count > 1")
+        if f.missing_completed:
+            out = out.where(F.size("completed_days") == 0)
+        if f.completed_from or f.completed_to:
+            after = lambda d: d >= F.lit(f.completed_from) if f.completed_from else F.lit(True)
+            before = lambda d: d <= F.lit(f.completed_to) if f.completed_to else F.lit(True)
+            out = out.where(F.exists("completed_days", lambda d: after(d) & before(d)))
+    return out.drop("completed_days")
+
+
 def _any(tests: list[Column]) -> Column:
     out = F.lit(False)
     for t in tests:
@@ -105,8 +139,12 @@ def facets(found: DataFrame, region: str = "", street: str = "") -> DataFrame:
         found = found.where(F.col("region") == region.strip())
     if street.strip():
         found = found.where(F.col("street_name") == street.strip())
-    departments = F.array_sort(F.array_distinct(F.flatten(F.collect_set("processing_departments"))))
-    return found.agg(F.array_sort(F.collect_set("region")).alias("regions"), F.array_sort(F.collect_set("street_name")).alias("streets"), departments.alias("departments"))
+    # A row a value, made distinct before any task gathers them.
+    kinds = {"regions": F.array("region"), "streets": F.array("street_name"), "departments": F.col("processing_departments")}
+    of = lambda kind: lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+    each = F.concat(*(F.transform(c, of(kind)) for kind, c in kinds.items()))
+    values = found.select(F.explode(each).alias("of")).select("of.*").where("value is not null").distinct()
+    return values.agg(*(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))).alias(kind) for kind in kinds))
 
 
 def ordering(sort: str, event_id: str = "event_id") -> list[Column]:
@@ -128,6 +166,13 @@ def clamp(number: int, total: int, size: int = PAGE) -> tuple[int, int]:
     return min(max(1, number), pages), pages
 
 
+def page_count(found: DataFrame, number: int, size: int = PAGE) -> DataFrame:
+    """One row: total, pages, and the page number within what there is, as `clamp` has them."""
+    pages = F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("long")
+    counted = found.agg(F.count("*").alias("total")).withColumn("pages", pages)
+    return counted.withColumn("page", F.least(F.greatest(F.lit(1), F.lit(number)), "pages").cast("long"))
+
+
 def latest_local_date(rows: DataFrame, time_field: str, *, live: Column | None = None, zone: str = ZONE) -> DataFrame:
     live = ~F.col("missing_in_latest_upload") if live is None else live
     return rows.where(live).agg(local_date(F.max(time_field), zone).alias("latest"))

@@ -26,35 +26,48 @@ def fallback(*columns: Column) -> Column:
     return F.coalesce(*(text.none_if_empty(c) for c in columns))
 
 
+def with_parse(df: DataFrame, *, title: str = "title", appeal: str = "appeal_text", location: str = "location") -> DataFrame:
+    """Adds what a complaint is parsed into as columns p_..., so that those nobody reads are left
+    out of the plan. Each level of dependency is a projection of plain columns: the optimizer keeps
+    such a level apart where its values are used more than once."""
+    c = F.col
+    out = df.withColumn("p_given", text.given_address(c(appeal)))
+    line, source = text.address_line(c("p_given"), c(location), c(title))
+    out = out.withColumns({"p_line": line, "p_source": source})
+    out = out.withColumn("p_address", text.collapse(c("p_line")))
+    out = out.withColumn("p_region", text.region(c("p_address")))
+    out = out.withColumn("p_street", text.normal_street(text.street(c("p_address"), c("p_region"))))
+    out = out.withColumn("p_scoped", text.without_place(c("p_address"), c("p_region"), c("p_street")))
+    out = out.withColumns({f"p_match_{k}": v for k, v in text.component_matches(c("p_scoped")).items()})
+    matches = {k: c(f"p_match_{k}") for k in text.PATTERNS}
+    out = out.withColumns({f"p_{k}": v for k, v in text.raw_components(matches).items()} | {"p_rest": text.rest_of(c("p_scoped"), matches)})
+    return out.withColumn("p_organization", F.coalesce(text.organization_in(c(title)), text.organization_in(c(appeal))))
+
+
 def parse_complaint(df: DataFrame, *, title: str = "title", appeal: str = "appeal_text", location: str = "location", into: str = "parsed") -> DataFrame:
     """Adds the whole parse of a complaint as one struct column: address and its components,
     title, organisation, earlier order ids and issue segments."""
-    c, let = F.col, text.let
-    # Each level is one value that the optimizer keeps: merged into each other, the levels would
-    # repeat their expressions at every use.
-    given = F.struct(c(appeal).alias("appeal"), c(location).alias("location"), c(title).alias("title"))
-    out = df.withColumn("__line", let(given, lambda r: text.address_line(r["appeal"], r["location"], r["title"])))
-    out = out.withColumn("__address", let(c("__line.line"), text.collapse)).withColumn("__parts", let(c("__address"), text.address_parts))
-    out = out.withColumn("__found", let(c("__parts.scoped"), text.raw_components)).withColumn("__rest", c("__found.rest"))
-    out = out.withColumns({f"__{k}": let(c(f"__found.{k}"), text.numbered_component) for k in ("building", "floor")})
-    sure = F.when((c("__line.source") == "appeal_address") & c("__parts.street").isNotNull(), 0.95).when(c("__parts.street").isNotNull(), 0.75).otherwise(0.4)
+    c = F.col
+    out = with_parse(df, title=title, appeal=appeal, location=location)
+    there = c("p_street").isNotNull()
+    sure = F.when((c("p_source") == "appeal_address") & there, 0.95).when(there, 0.75).otherwise(0.4)
     parsed = F.struct(
-        c("__parts.region").alias("region"),
-        c("__parts.street").alias("street"),
-        *((c(f"__{k}") if k in ("building", "floor") else c(f"__found.{k}")).alias(k) for k in text.COMPONENTS),
-        text.none_if_empty(c("__rest")).alias("anchor_raw"),
-        text.anchor_type(c("__rest")).alias("anchor_type"),
-        text.first_contained(c("__rest"), rules.DIRECTIONS).alias("direction"),
-        c("__address").alias("address_raw"),
-        c("__line.line").alias("address_line"),
-        c("__line.source").alias("parse_source"),
+        c("p_region").alias("region"),
+        c("p_street").alias("street"),
+        *((text.numbered_component(c(f"p_{k}")) if k in ("building", "floor") else c(f"p_{k}")).alias(k) for k in text.COMPONENTS),
+        text.none_if_empty(c("p_rest")).alias("anchor_raw"),
+        text.anchor_type(c("p_rest")).alias("anchor_type"),
+        text.first_contained(c("p_rest"), rules.DIRECTIONS).alias("direction"),
+        c("p_address").alias("address_raw"),
+        c("p_line").alias("address_line"),
+        c("p_source").alias("parse_source"),
         sure.alias("parse_confidence"),
         text.clean_title(c(title)).alias("normalized_title"),
-        let(F.array(c(title), c(appeal), c("__line.line")), lambda texts: F.get(F.filter(F.transform(texts, text.organization_in), lambda n: n.isNotNull()), F.lit(0))).alias("organization_subject"),
+        F.coalesce(c("p_organization"), text.organization_in(c("p_line"))).alias("organization_subject"),
         text.earlier_orders(c(appeal)).alias("previous_work_order_ids"),
-        let(c(appeal), text.issue_segments).alias("issue_segments"),
+        text.issue_segments(c(appeal)).alias("issue_segments"),
     )
-    return out.withColumn(into, let(parsed, lambda p: p)).drop("__line", "__address", "__parts", "__found", "__building", "__floor", "__rest")
+    return out.withColumn(into, parsed).select(*df.columns, into)
 
 
 def normalize(records: DataFrame, *, label_as_category: bool = True, families=rules.FAMILIES) -> DataFrame:
@@ -66,8 +79,8 @@ def normalize(records: DataFrame, *, label_as_category: bool = True, families=ru
     c, raw = F.col, F.col("raw_fields")
     out = records.withColumn("raw_fields", F.coalesce(raw, F.create_map().cast("map<string,string>")))
     out = out.withColumn("location", fallback(c("location"), raw_value(raw, "事发地点", "地址")))
-    out = parse_complaint(out)
-    label = F.get(c("parsed.issue_segments"), F.lit(0))["label"] if label_as_category else F.lit(None).cast("string")
+    out = with_parse(out)
+    label = F.get(text.issue_segments(c("appeal_text")), F.lit(0))["label"] if label_as_category else F.lit(None).cast("string")
     out = out.withColumn("category", F.coalesce(fallback(c("category"), c("category_level_4"), label), raw_value(raw, "事项分类", "最终事项分类")))
     department = raw_value(raw, "所属部门", "部门")
     out = out.withColumns(
@@ -76,10 +89,10 @@ def normalize(records: DataFrame, *, label_as_category: bool = True, families=ru
             "work_order_id": text.trim_to_null(c("work_order_id")),
             "department": department,
             "handled_by": F.coalesce(text.none_if_empty(c("processing_department")), raw_value(raw, "处理部门", "承办部门"), department),
-            "street": F.coalesce(c("parsed.street"), F.lit(rules.UNKNOWN_STREET)),
-            "anchor": F.coalesce(c("parsed.anchor_raw"), F.lit(rules.UNKNOWN_ANCHOR)),
-            "region": c("parsed.region"),
-            "organization_subject": text.normal_organization(text.organization(c("title"), c("appeal_text"), c("location"))),
+            "street": F.coalesce(c("p_street"), F.lit(rules.UNKNOWN_STREET)),
+            "anchor": F.coalesce(text.none_if_empty(c("p_rest")), F.lit(rules.UNKNOWN_ANCHOR)),
+            "region": c("p_region"),
+            "organization_subject": text.normal_organization(F.coalesce(c("p_organization"), text.organization_in(c("location")))),
             "issue_family": text.issue_family(c("title"), c("category"), c("appeal_text"), families=families),
         }
     )
@@ -92,7 +105,7 @@ def normalize(records: DataFrame, *, label_as_category: bool = True, families=ru
         parse_timestamp(c("received_at")).alias("received_at"),
         parse_timestamp(ended).alias("completed_at"),
         c("title").alias("title_raw"),
-        c("parsed.normalized_title").alias("title_normalized"),
+        text.clean_title(c("title")).alias("title_normalized"),
         "appeal_text",
         "category",
         c("handled_by").alias("processing_department"),

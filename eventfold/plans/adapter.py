@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores, dealt to all of them, as what follows costs more
+    a row than moving it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with customer, nation and region, completed at their last shipment unless open."""
     t = lambda name: table(spark, sf_dir, name)

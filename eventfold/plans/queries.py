@@ -12,7 +12,7 @@ from ..functions import dates, keys, text
 from ..operators import events, library, normalize, review, sync, windows
 from ..operators.library import EventFilters
 from . import adapter as a
-from . import roundtrips
+from . import fields, roundtrips
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -298,9 +298,7 @@ def local_windows(spark, sf_dir):
 
 @query(f"WITH {a.GROUPED} SELECT count(*) total, CAST(ceil(count(*) / 20.0) AS BIGINT) pages, least(3, CAST(ceil(count(*) / 20.0) AS BIGINT)) AS page FROM grouped")
 def event_page_count(spark, sf_dir):
-    total = a.summaries(spark, sf_dir).count()
-    page, pages = library.clamp(3, total)
-    return spark.createDataFrame([(total, pages, page)], "total long, pages long, page long")
+    return library.page_count(a.summaries(spark, sf_dir), 3)
 
 
 @query("SELECT doc_id, length(t) n, sha256(t) h FROM (SELECT doc_id, trim(regexp_replace(replace(coalesce(text, ''), chr(13), ''), '[\\s\\x{3000}]+', ' ', 'g')) t FROM documents)")
@@ -309,135 +307,5 @@ def collapse_text(spark, sf_dir):
     return rows.select("doc_id", F.length("t").cast("long").alias("n"), F.sha2(F.col("t").cast("binary"), 256).alias("h"))
 
 
-def _golden(name: str, columns: list[str], rows: list[tuple], build) -> None:
-    """A query over inline inputs with known outputs; SQL states the outputs."""
-    given = len(rows[0]) - len(columns)
-
-    def run(spark, sf_dir):
-        df = spark.createDataFrame([(i, *r[:given]) for i, r in enumerate(rows)], "n int, " + ", ".join(f"x{k} string" for k in range(given)))
-        out = build(df, *(F.col(f"x{k}") for k in range(given)))
-        return out.select("n", *(F.col(c).cast("string").alias(c) for c in columns))
-
-    run.__name__ = name
-    quote = lambda v: "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
-    values = ", ".join("(" + ", ".join([str(i), *(f"CAST({quote(v)} AS VARCHAR)" for v in r[given:])]) + ")" for i, r in enumerate(rows))
-    query(f"SELECT * FROM (VALUES {values}) AS t(n, {', '.join(columns)})")(run)
-
-
-_ADDRESS = ["region", "street", "road", "house_no", "building", "unit", "room", "shop_no", "floor", "anchor_raw", "anchor_type", "direction", "parse_source"]
-
-
-def _parse(df, appeal, location, title):
-    rows = df.select("n", appeal.alias("appeal_text"), location.alias("location"), title.alias("title"))
-    return normalize.parse_complaint(rows).select("n", *(F.col(f"parsed.{c}").alias(c) for c in _ADDRESS))
-
-
-# Inputs with the outputs that follow from the rules.
-_golden(
-    "parse_address",
-    ["region", "street", "road", "house_no", "building", "unit", "room", "shop_no", "floor"],
-    [
-        ("地址：江海区外海街道东宁路107号11幢鑫汇塑业有限公司。\n事项：反映拖欠工资。\n备注：此事项转办江海区江南街道办事处。", None, None, "江海区", "外海街道", "东宁路", "107号", "11幢", None, None, None, None),
-        ("地址：江海区江南街道金瓯路188号26幢2单元301室，商铺A-12，3楼。\n事项：无。", None, None, "江海区", "江南街道", "金瓯路", "188号", "26幢", "2单元", "301室", "A-12", "3楼"),
-        ("地址：广东省江门市江海区外海街道麻三村道路。", None, None, "江海区", "外海街道", None, None, None, None, None, None, None),
-        ("地址：江海区礼乐街道镇文昌花园门口。", None, None, "江海区", "礼乐街道", None, None, None, None, None, None, None),
-        ("地址：新会区圭峰会城会城街道仁义明珠楼17号商铺。", None, None, "新会区", "会城街道", None, None, None, None, None, None, None),
-        (None, "华发四季小区", None, None, None, None, None, None, None, None, None, None),
-    ],
-    lambda df, x, y, z: _parse(df, x, y, z),
-)
-_golden(
-    "parse_anchor",
-    ["anchor_raw", "anchor_type", "direction", "parse_source"],
-    [
-        ("地址：江海区外海街道东宁路107号11幢鑫汇塑业有限公司。\n事项：反映拖欠工资。", None, None, "鑫汇塑业有限公司", "subject", None, "appeal_address"),
-        ("地址：江海区礼乐街道德昌电机门口。\n事项：路面积水。", None, None, "德昌电机门口", "landmark", "门口", "appeal_address"),
-        ("地址：江海区礼乐街道德昌电机门口。事项：道路积水。", None, None, "德昌电机门口", "landmark", "门口", "appeal_address"),
-        (None, " 江海区礼乐街道东海路888号德昌电机对面天桥底下 ", None, "德昌电机对面天桥底下", "landmark", "对面", "location"),
-        (None, None, "江海区外海街道", None, "unknown", None, "title"),
-        ("无", "", " ", None, "unknown", None, "unknown"),
-    ],
-    lambda df, x, y, z: _parse(df, x, y, z),
-)
-_golden(
-    "clean_title",
-    ["title"],
-    [("[粤省心]（江海）要求反映东宁路路灯不亮的问题", "东宁路路灯不亮"), ("投诉　 江海区 噪音事项", "噪音"), (None, ""), ("路灯。；", "路灯")],
-    lambda df, x: df.select("n", text.clean_title(x).alias("title")),
-)
-_golden(
-    "parse_org",
-    ["name", "folded"],
-    [("反映某食品厂有限公司食品安全问题", "某食品厂有限公司", "某食品厂"), ("投诉某公司", None, ""), ("江海区外海街道东宁路107号鑫汇塑业有限公司欠薪", "鑫汇塑业有限公司", "鑫汇塑业"), ("咨询ＡＢＣ 集团公司", None, ""), ("举报ＡＢＣ股份有限公司", "ＡＢＣ股份有限公司", "abc")],
-    lambda df, x: df.select("n", text.organization(x).alias("name"), text.normal_organization(text.organization(x)).alias("folded")),
-)
-_golden(
-    "phone_normalize",
-    ["phone_exact", "phone_mask_pattern", "phone_is_valid"],
-    [("13800138000", "13800138000", None, "true"), ("1380******000", None, "1380******000", "false"), ("***", None, None, "false"), (" 138 0013 8000", "13800138000", None, "true"), (None, None, None, "false")],
-    lambda df, x: df.select("n", text.phone(x).alias("p")).select("n", "p.*"),
-)
-_golden(
-    "parse_ids",
-    ["earlier", "occurrences"],
-    [
-        ("市民表示此前工单0826081308493182401仍未解决，身份证号码440781199311261128。", "0826081308493182401", ""),
-        ("订单号：6926215322015465430，投诉单号：1440704002026072470944200。", "6926215322015465430,144070400202607247094420", "order:6926215322015465430,complaint:1440704002026072470944200"),
-        ("支付订单号: ab-12cd-ef34, 交易编号 ab-12cd-ef34", "", "order:AB12CDEF34"),
-        (None, "", ""),
-    ],
-    lambda df, x: df.select("n", F.array_join(text.earlier_orders(x), ",").alias("earlier"), F.array_join(text.occurrences(x), ",").alias("occurrences")),
-)
-_golden(
-    "parse_segments",
-    ["segments"],
-    [("事项一：物业费过高。事项二：地下车库乱停车。事项三：路灯不亮。", "1/一/物业费过高。;2/二/地下车库乱停车。;3/三/路灯不亮。"), ("前言 事项: 事项2：乙", "2/2/乙"), ("没有标记", "1/-/没有标记"), (None, "")],
-    lambda df, x: df.select("n", F.array_join(F.transform(text.issue_segments(x), lambda s: F.concat_ws("/", s["segment_no"].cast("string"), F.coalesce(s["label"], F.lit("-")), s["text"])), ";").alias("segments")),
-)
-_golden(
-    "numbered_components",
-    ["shown"],
-    [("01号厂房", "1号厂房"), ("一号厂房", "1号厂房"), ("十二棟", "12栋"), ("二十幢", "20幢"), ("3F", "3楼"), ("百楼", "百楼"), ("一二棟", "一二栋"), ("007座", "7座"), ("三层", "3层")],
-    lambda df, x: df.select("n", text.numbered_component(x).alias("shown")),
-)
-_golden(
-    "parse_timestamps",
-    ["utc"],
-    [
-        ("2026-09-01", "2026-08-31 16:00:00"),
-        ("2026/9/1 8:05:06", "2026-09-01 00:05:06"),
-        ("2026.9.1", "2026-08-31 16:00:00"),
-        ("2026-09-01T08:00:00Z", "2026-09-01 08:00:00"),
-        ("2026-09-01 08:00:00+02:00", "2026-09-01 06:00:00"),
-        ("20260901", "2026-08-31 16:00:00"),
-        ("2026-09-01 08:30", "2026-09-01 00:30:00"),
-        ("2026-9-1 8:00", None),
-        ("2026", None),
-        ("2026-09", None),
-        ("2026-13-01", None),
-        ("", None),
-        (None, None),
-    ],
-    lambda df, x: df.select("n", F.date_format(dates.parse_timestamp(x), "yyyy-MM-dd HH:mm:ss").alias("utc")),
-)
-_golden(
-    "code_fences",
-    ["inside"],
-    [(' ```json\n{"a": 1}\n``` ', '{"a": 1}'), ("```x```", "x"), ("plain ", "plain"), (None, "")],
-    lambda df, x: df.select("n", text.strip_code_fence(x).alias("inside")),
-)
-_golden(
-    "safe_cells",
-    ["cell"],
-    [("=1+1", "'=1+1"), ("+a", "'+a"), ("-3", "'-3"), ("@x", "'@x"), ("a=b", "a=b"), (None, None)],
-    lambda df, x: df.select("n", review.safe_cell(x).alias("cell")),
-)
-_golden(
-    "labels",
-    ["status", "kind"],
-    [("queued", "sync", "待处理", "全量同步"), ("failed", "compare", "失败", "时间窗口比对"), (None, None, "未知状态", "时间窗口比对")],
-    lambda df, x, y: df.select("n", library.status_label(x).alias("status"), library.kind_label(y).alias("kind")),
-)
-
-for _run, _sql in roundtrips.ALL.items():
+for _run, _sql in (fields.ALL | roundtrips.ALL).items():
     query(_sql)(_run)

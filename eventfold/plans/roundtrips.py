@@ -2,36 +2,27 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import functools
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
+from ..functions import rules
 from ..functions.text import earlier_orders, issue_segments, occurrences
-from ..operators import normalize
+from ..operators import keywords, library, normalize, review
 from ..schemas import RECORD
-from ..sources import files, xlsx
-from ..sources.store import Store, scratch
+from ..sources import files, xlsx_sink
+from ..sources.store import Scratch, Store, scratch
 from . import adapter as a
 
 
-def _put(spark: SparkSession, local: str, path: str) -> str:
-    """A local file of the driver, moved to a path that all share."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.mkdirs(target.getParent())
-    store.moveFromLocalFile(jvm.org.apache.hadoop.fs.Path(f"file://{local}"), target)
-    return path
-
-
-def _one_file(df: DataFrame, path: str, **options: str) -> str:
+def _one_file(df: DataFrame, path: str, **options) -> str:
     """`df` as one CSV file with a header, rows in order."""
     spark = df.sparkSession
     folder = f"{path}.parts"
-    df.coalesce(1).write.csv(folder, header=True, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"', **options)
+    df.coalesce(1).write.csv(folder, **({"header": True, "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'} | options))
     jvm = spark.sparkContext._jvm
     store = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     part = next(f.getPath() for f in store.listStatus(jvm.org.apache.hadoop.fs.Path(folder)) if f.getPath().getName().startswith("part-"))
@@ -66,14 +57,53 @@ def csv_records_gb18030(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(files.load_records(spark, path))
 
 
+@contextmanager
+def _ranges(spark: SparkSession, size: str):
+    """Files are read in ranges of this size, so that small ones have many."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, size)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def csv_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in one file that many tasks read: quoted cells with line feeds, doubled quotes and
+    commas, blank lines within cells, and quotes that open nothing."""
+    o = a.table(spark, sf_dir, "orders").orderBy("o_orderkey")
+    note = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('a "b"\n\n,'), "o_orderpriority", F.lit('\r\n"'))).when(F.col("o_orderkey") % 3 == 1, F.concat("o_orderpriority", F.lit(' 5" pipe')))
+    rows = o.select(F.col("o_orderkey").cast("string").alias("编号"), note.alias("标题"), F.concat(F.lit("说,"), "o_orderstatus").alias("内容"))
+    path = _one_file(rows, scratch(spark, "export") + ".csv")
+    with _ranges(spark, "64k"):
+        found = files.scan_csv(spark, path)
+    return found.frame.select("__row", F.col("编号").alias("k"), F.col("标题").alias("note"), F.col("内容").alias("status"), F.lit(found.total).cast("long").alias("n"), F.lit(found.ranges > 1).alias("parted"))
+
+
 def _workbook(spark: SparkSession, sf_dir: str) -> str:
     """Two sheets: regions, and nations with a missing value and a formula-like text."""
-    regions = [(k, [r["r_regionkey"], r["r_name"]]) for k, r in enumerate(a.table(spark, sf_dir, "region").orderBy("r_regionkey").collect())]
-    nations = [(k, [r["n_nationkey"], None if r["n_nationkey"] == 3 else r["n_name"], f"地址：{r['n_name']} <&>"]) for k, r in enumerate(a.table(spark, sf_dir, "nation").orderBy("n_nationkey").collect())]
-    with tempfile.TemporaryDirectory() as folder:
-        local = os.path.join(folder, "book.xlsx")
-        xlsx.write(local, {"地区": (["r", "name"], regions), "国家": (["工单编号", "诉求标题", "市民诉求"], nations)})
-        return _put(spark, local, scratch(spark, "book") + ".xlsx")
+    r, n = a.table(spark, sf_dir, "region"), a.table(spark, sf_dir, "nation")
+    band = F.lit(0).alias("__band")
+    regions = r.select(F.col("r_regionkey").alias("__key"), band, F.col("r_regionkey").alias("r"), F.col("r_name").alias("name"))
+    name = F.when(F.col("n_nationkey") != 3, F.col("n_name"))
+    nations = n.select(F.col("n_nationkey").alias("__key"), band, F.col("n_nationkey").alias("工单编号"), name.alias("诉求标题"), F.concat(F.lit("地址："), "n_name", F.lit(" <&>")).alias("市民诉求"))
+    sheets = {"地区": (["r", "name"], regions), "国家": (["工单编号", "诉求标题", "市民诉求"], nations)}
+    return xlsx_sink.write(scratch(spark, "book") + ".xlsx", sheets, ["__key"], "__band")
+
+
+def workbook_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events with target records in a workbook that tasks write, read back sheet by sheet."""
+    rows = a.event_members(spark, sf_dir).withColumn("raw_json", F.create_map(F.lit("=note"), F.concat(F.lit("="), "work_order_id", F.lit(" <&\n>"))))
+    chosen = library.summaries(rows, library.EventFilters(has_target_records=True))
+    headers = ["工单编号", "诉求标题", "=note"]
+    out = review.sheets(review.export_rows(rows, chosen), headers)
+    shown = list(rules.LEAD_HEADERS) + headers
+    path = xlsx_sink.write(scratch(spark, "export") + ".xlsx", {name: (shown, out.where(F.col("sheet") == name)) for name in rules.SHEETS}, ["event_id", "record_key"], "band")
+    read = [files.read_sheet(spark, path, name).select(F.lit(name).alias("sheet"), F.col("__row").alias("row_no"), "数据侧", "事件名称", F.col("工单编号").alias("id"), F.col("诉求标题").alias("title"), F.col("=note").alias("note")) for name in rules.SHEETS]
+    return read[0].union(read[1])
 
 
 def workbook_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,29 +116,53 @@ def workbook_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a CSV file and a workbook: format, sheets, their rows and columns, and the column that
     is suggested for the work order's id."""
-    found = []
-    for path in (_one_file(_exported(spark, sf_dir), scratch(spark, "export") + ".csv"), _workbook(spark, sf_dir)):
-        seen = files.inspect(spark, path, preview_rows=1)
-        found += [(seen.format, s.name, s.row_count, len(s.columns), s.suggested_mapping["work_order_id"], seen.encoding, len(s.preview)) for s in seen.sheets]
-    return spark.createDataFrame(found, "format string, sheet string, n long, columns int, id_column string, encoding string, shown int")
+    paths = (_one_file(_exported(spark, sf_dir), scratch(spark, "export") + ".csv"), _workbook(spark, sf_dir))
+    first, second = (files.inspection(spark, path) for path in paths)
+    return first.union(second)
 
 
 def upload_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hash of an upload's copy is the hash of the bytes that were written: a region a line."""
-    text = "".join(f"{r['r_name']}\n" for r in a.table(spark, sf_dir, "region").orderBy("r_regionkey").collect())
-    with tempfile.TemporaryDirectory() as folder:
-        local = os.path.join(folder, "up.csv")
-        with open(local, "w", encoding="utf-8") as f:
-            f.write(text)
-        source = _put(spark, local, scratch(spark, "source") + "/up.csv")
+    """The hash of an upload's copy is the hash of the bytes that were written: an order a line."""
+    rows = a.table(spark, sf_dir, "orders").orderBy("o_orderkey").select(F.concat_ws(";", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("line"))
+    source = _one_file(rows, scratch(spark, "source") + ".csv", header=False, quoteAll=False)
     kept, digest = files.land(spark, source, scratch(spark, "uploads"))
     name = kept.rsplit("/", 1)[-1]
-    return spark.read.text(kept).agg(F.count("*").alias("n")).select("n", F.lit(digest).alias("file_hash"), F.lit(name.endswith("_up.csv") and len(name) == 39).alias("named"))
+    named = len(name) == 33 + len(source.rsplit("/", 1)[-1]) and name.endswith("_" + source.rsplit("/", 1)[-1])
+    return spark.read.text(kept).agg(F.count("*").alias("n")).select("n", F.lit(digest).alias("file_hash"), F.lit(named).alias("named"))
+
+
+#: Words of all lengths, in fields of members and of events, and some that stand nowhere.
+WORDS = ("customer#000000012", "#00000001", "urgent", "1-urg", "furn", "asia", "n", "7", "er#", "order 1", "食品", "食品安全", "欠薪", "not spe", "｜", "nation_7", "europe｜", "zzz", "rder 99", "machinery")
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty words looked up in one index of all members and events."""
+    owner = Scratch(spark)
+    members = owner.staged(a.event_members(spark, sf_dir), "members")
+    kept = owner.staged(library.kept_summaries(members), "summaries")
+    index = owner.staged(keywords.build(members, kept), "keywords")
+    found = [keywords.hits(members, kept, index, w).select(F.lit(w).alias("word"), "event_id") for w in WORDS]
+    return functools.reduce(DataFrame.union, found)
+
+
+def settled_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries that are kept while the first records of events 2 to 41 move into event 1, which is
+    given a name in between; only touched events are worked out anew."""
+    engine = Engine(spark, scratch(spark, "corpus"))
+    engine.sync_records(records(spark, sf_dir), file_name="orders.csv")
+    run = engine.compare(time_field="received_at", target_from=a.TARGET.target_from, target_to=a.TARGET.target_to).comparison_id
+    firsts = engine.members(run).where("event_id between 2 and 41").groupBy("event_id").agg(F.min("record_key").alias("record_key"))
+    moves = [{"kind": "move", "event_id": r["event_id"], "record_key": r["record_key"], "to_event": 1} for r in firsts.orderBy("event_id").collect()]  # forty rows
+    for some in (moves[:20], moves[20:]):
+        engine.event_summaries(run)
+        engine._override(run, some, engine.store.version())
+        engine.update_event_name(1, "all of them", comparison_id=run)
+    return engine.event_summaries(run).select("event_id", "event_name", "member_count", "target_count")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as records of a complaint form."""
-    o = a.table(spark, sf_dir, "orders").join(a.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = a.dealt(a.table(spark, sf_dir, "orders")).join(a.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     day = lambda f: F.date_format("o_orderdate", f)
     raw = F.create_map(F.lit("事项分类"), F.col("o_orderpriority"), F.lit("所属部门"), F.col("c_mktsegment"), F.lit("事发地点"), F.lit("礼乐"), F.lit("办结时间"), F.when(F.col("o_orderstatus") != "O", F.concat(day("yyyy/M/d"), F.lit(" 20:30:00"))))
     appeal = F.concat(F.lit("地址：江海区礼乐街道"), "c_name", F.lit("门口。\n事项："), "o_orderpriority", F.lit("。"))
@@ -128,7 +182,7 @@ def normalized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parsed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parse of a house address made of each order's customer and keys."""
-    o = a.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    o = a.dealt(a.table(spark, sf_dir, "orders")).select("o_orderkey", "o_custkey")
     appeal = F.concat(F.lit("地址：新会区会城街道仁义路"), F.col("o_custkey").cast("string"), F.lit("号"), ((F.col("o_orderkey") % 9) + 1).cast("string"), F.lit("幢二十"), F.lit("楼。\n备注：此前工单"), F.lpad(F.col("o_orderkey").cast("string"), 16, "0"), F.lit("未解决"))
     rows = o.select("o_orderkey", appeal.alias("appeal_text"), F.lit("").alias("location"), F.lit(None).cast("string").alias("title"))
     p = lambda c: F.col(f"parsed.{c}").cast("string").alias(c)
@@ -193,8 +247,12 @@ ALL = {
     csv_records: _RECORDS,
     csv_records_gb18030: _RECORDS,
     workbook_sheets: "SELECT '地区' sheet, CAST(row_number() OVER (ORDER BY r_regionkey) + 1 AS INTEGER) row_no, CAST(r_regionkey AS VARCHAR) k, r_name AS name, NULL more FROM region UNION ALL SELECT '国家', CAST(row_number() OVER (ORDER BY n_nationkey) + 1 AS INTEGER), CAST(n_nationkey AS VARCHAR), CASE WHEN n_nationkey <> 3 THEN n_name END, '地址：' || n_name || ' <&>' FROM nation",
-    file_inspection: "SELECT 'csv' AS format, 'CSV' sheet, (SELECT count(*) FROM customer) n, 5 AS columns, '工单编号 ' id_column, 'utf-8' AS encoding, 1 shown UNION ALL SELECT 'xlsx', '地区', (SELECT count(*) FROM region), 2, NULL, NULL, 1 UNION ALL SELECT 'xlsx', '国家', (SELECT count(*) FROM nation), 3, '工单编号', NULL, 1",
-    upload_landing: "SELECT count(*) n, sha256(string_agg(r_name || chr(10), '' ORDER BY r_regionkey)) file_hash, true AS named FROM region",
+    csv_ranges: "SELECT CAST(row_number() OVER (ORDER BY o_orderkey) + 1 AS INTEGER) __row, CAST(o_orderkey AS VARCHAR) k, CASE o_orderkey % 3 WHEN 0 THEN 'a \"b\"' || chr(10) || chr(10) || ',' || o_orderpriority || chr(13) || chr(10) || '\"' WHEN 1 THEN o_orderpriority || ' 5\" pipe' END note, '说,' || o_orderstatus status, count(*) OVER () n, true parted FROM orders",
+    workbook_export: f"WITH {a.GROUPED}, rows AS (SELECT m.*, CASE WHEN count(*) OVER (PARTITION BY event_id) > 1 THEN '重复项' ELSE '孤立工单' END sheet FROM event_members m WHERE event_id IN (SELECT event_id FROM grouped WHERE target_count > 0)) SELECT sheet, CAST(row_number() OVER (PARTITION BY sheet ORDER BY event_id, record_key) + 1 AS INTEGER) row_no, CASE side WHEN 'target' THEN '待比对' ELSE '被比对' END AS 数据侧, event_name AS 事件名称, work_order_id AS id, title_raw AS title, chr(39) || '=' || work_order_id || ' <&' || chr(10) || '>' AS note FROM rows",
+    keyword_index: f"WITH {a.SUMMARY}, words AS (SELECT unnest([{', '.join(f'$${w}$$' for w in WORDS)}]) word), said AS (SELECT event_id, string_agg(lower(concat_ws('|', work_order_id, title_raw, appeal_text, department, processing_department)), chr(10)) t FROM event_members GROUP BY event_id) SELECT word, s.event_id FROM words, summary s JOIN said USING (event_id) WHERE contains(t, word) OR contains(lower(concat_ws(chr(10), event_name, issue_name, region, street_name, departments)), word)",
+    settled_moves: f"{_EVENTS}, n AS (SELECT row_number() OVER (ORDER BY s, CASE WHEN s = 0 THEN r0 ELSE r1 END) event_id, event_key, event_name FROM g), p AS (SELECT n.event_id, n.event_name, m.side, CASE WHEN n.event_id BETWEEN 2 AND 41 AND m.record_key = min(m.record_key) OVER (PARTITION BY n.event_id) THEN 1 ELSE n.event_id END now FROM m JOIN n USING (event_key)), q AS (SELECT now, count(*) member_count, count(*) FILTER (side = 0) target_count FROM p GROUP BY now) SELECT event_id, CASE WHEN event_id = 1 THEN 'all of them' ELSE event_name END event_name, member_count, target_count FROM q JOIN n ON now = event_id",
+    file_inspection: "SELECT 'csv' AS format, 'CSV' sheet, (SELECT count(*) FROM customer) n, 5 AS columns, '工单编号 ' id_column, 'utf-8' AS encoding UNION ALL SELECT 'xlsx', '地区', (SELECT count(*) FROM region), 2, NULL, NULL UNION ALL SELECT 'xlsx', '国家', (SELECT count(*) FROM nation), 3, '工单编号', NULL",
+    upload_landing: "SELECT count(*) n, sha256(string_agg(o_orderkey || ';' || o_orderpriority || chr(10), '' ORDER BY o_orderkey)) file_hash, true AS named FROM orders",
     normalized_records: f"""SELECT 'wo:' || CAST(o_orderkey AS VARCHAR) record_key, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) - INTERVAL 8 HOUR received_at, CASE WHEN o_orderstatus <> 'O' THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 750 MINUTE END completed_at,
   c_name || '积水' title_normalized, o_orderpriority category, c_mktsegment department, c_mktsegment processing_department, '礼乐' AS location, '江海区' region, '礼乐街道' street, {_ANCHOR} anchor, '' organization_subject, NULL issue_family, {_KEY} event_key, c_mktsegment raw_department, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) raw_received FROM {_NORMAL}""",
     parsed_records: "SELECT o_orderkey, '新会区' region, '会城街道' street, '仁义路' road, CAST(o_custkey AS VARCHAR) || '号' house_no, CAST(o_orderkey % 9 + 1 AS VARCHAR) || '幢' building, '20楼' AS floor, 'appeal_address' parse_source, '0.95' parse_confidence, lpad(CAST(o_orderkey AS VARCHAR), 16, '0') earlier FROM orders",

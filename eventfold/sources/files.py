@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from dataclasses import dataclass
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..schemas import RECORD
-from . import xlsx
+from . import csv_scan, encodings, xlsx
+from .store import Scratch
 
 FORMATS = ("xlsx", "xls", "csv")
-SNIFFED = 1_000_000
 #: Data rows of an uploaded file, unless the caller sets another limit.
 MAX_ROWS = 200_000
 
@@ -53,45 +54,42 @@ def format_of(path: str) -> str:
     return kind
 
 
-def head(spark: SparkSession, path: str, size: int = SNIFFED) -> bytes:
-    """The first bytes of a file in any store that Spark reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(str(path))
-    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
-    try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
-    finally:
-        stream.close()
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """A file's encoding by Python's name, from pieces of all of it."""
+    return encodings.detect(encodings.sample(spark, path))
 
 
-def detect_encoding(sample: bytes) -> str:
-    """utf-8-sig or utf-16 by their marks, else utf-8 if the sample decodes (its last, maybe cut
-    character aside), else gb18030 if it decodes, else big5 if that does, else windows-1252."""
-    if sample.startswith(b"\xef\xbb\xbf"):
-        return "utf-8-sig"
-    if sample[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return "utf-16"
-    for name in ("utf-8", "gb18030", "big5"):
-        for cut in range(4 if len(sample) >= SNIFFED else 1):
-            try:
-                sample[: len(sample) - cut].decode(name)
-                return name
-            except UnicodeDecodeError:
-                continue
-    return "windows-1252"
+#: Python's names of encodings that Java knows by another, and those that are read in ranges.
+CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "gb18030": "GB18030", "big5": "Big5", "shift_jis": "Shift_JIS", "euc_kr": "EUC-KR", "euc_jp": "EUC-JP", "windows-1252": "windows-1252"}
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """All columns as text under their verbatim headers; usual tokens for missing values are
-    null. Quoted cells may hold line feeds, so a file is one split."""
-    encoding = encoding or detect_encoding(head(spark, path))
-    if encoding not in ("utf-8", "utf-8-sig", "utf-16"):
+def scan_csv(spark: SparkSession, path: str, encoding: str | None = None, *, max_rows: int | None = None, owner: Scratch | None = None) -> csv_scan.Scan:
+    """A file's data rows, all columns as text under their verbatim headers, with their numbers;
+    usual tokens for missing values are null. Many tasks read ranges of the file (of one in UTF-16
+    a single task), also where quoted cells hold line feeds. Bytes that aren't of the encoding are
+    an error, wherever they stand. More than `max_rows` rows are one too. What is written on the way
+    belongs to `owner`, or to the result."""
+    encoding = encoding or encoding_of(spark, path)
+    if encoding not in ("utf-8", "utf-8-sig"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    charset = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8"}.get(encoding, encoding)
-    frame = spark.read.csv(str(path), header=True, multiLine=True, inferSchema=False, encoding=charset, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="")
-    names = [c.lstrip("﻿") for c in frame.columns]
-    frame = frame.toDF(*names)
-    return frame.select(*(null_tokens(F.col(f"`{c}`")).alias(c) for c in frame.columns))
+    if encoding in CHARSETS:
+        found = csv_scan.scan(spark, path, CHARSETS[encoding], most=max_rows, check=check_rows, owner=owner)
+    else:
+        owner = owner or Scratch(spark)
+        frame = spark.read.csv(str(path), header=True, inferSchema=False, encoding=encoding, **csv_scan.OPTIONS)
+        frame = frame.toDF(*(c.lstrip("\ufeff") for c in frame.columns)).coalesce(1).withColumn("__row", (F.monotonically_increasing_id() + 2).cast("int"))
+        frame = owner.staged(frame.repartition("__row"), "records")
+        total = frame.count()
+        if max_rows is not None:
+            check_rows([total], max_rows)
+        found = csv_scan.Scan(frame, total, 1, owner)
+    columns = [c for c in found.frame.columns if c != "__row"]
+    found.frame = found.frame.select("__row", *(null_tokens(F.col(f"`{c}`")).alias(c) for c in columns))
+    return found
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    return scan_csv(spark, path, encoding).frame.drop("__row")
 
 
 def null_tokens(c: Column) -> Column:
@@ -121,14 +119,34 @@ def inspect(spark: SparkSession, path: str, *, encoding: str | None = None, prev
     if preview_rows < 0:
         raise ValueError("preview_rows must not be negative")
     if kind == "csv":
-        encoding = encoding or detect_encoding(head(spark, path))
-        frames = [("CSV", read_csv(spark, path, encoding))]
+        encoding = encoding or encoding_of(spark, path)
+        found = scan_csv(spark, path, encoding)
+        frames = [("CSV", found.frame, found.total)]
     else:
-        frames = [(name, read_sheet(spark, path, name).drop("__row")) for name in xlsx.sheet_names(spark, path)]
-    sheets = [SheetInspection(name, f.columns, f.count(), [r.asDict() for r in f.limit(preview_rows).collect()], suggest_mapping(f.columns)) for name, f in frames]
+        frames = [(name, read_sheet(spark, path, name), None) for name in xlsx.sheet_names(spark, path)]
+    sheets = []
+    for name, f, total in frames:
+        shown = [r.asDict() for r in f.orderBy("__row").limit(preview_rows).drop("__row").collect()]
+        columns = [c for c in f.columns if c != "__row"]
+        sheets.append(SheetInspection(name, columns, f.count() if total is None else total, shown, suggest_mapping(columns)))
     return FileInspection(str(path), kind, sheets, sum(s.row_count for s in sheets), encoding if kind == "csv" else None)
 
 
+def inspection(spark: SparkSession, path: str) -> DataFrame:
+    """`inspect` as a table, a row a sheet: format, sheet, n, columns, id_column, encoding."""
+    kind, encoding = format_of(path), None
+    if kind == "csv":
+        encoding = encoding_of(spark, path)
+        frames = {"CSV": read_csv(spark, path, encoding)}
+    else:
+        frames = {name: read_sheet(spark, path, name).drop("__row") for name in xlsx.sheet_names(spark, path)}
+    rows = []
+    for name, f in frames.items():
+        given = {"format": kind, "sheet": name, "columns": len(f.columns), "id_column": suggest_mapping(f.columns)["work_order_id"], "encoding": encoding}
+        rows.append(f.agg(F.count("*").alias("n")).select("n", *(F.lit(v).cast("int" if k == "columns" else "string").alias(k) for k, v in given.items())))
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
 def check_rows(counts: list[int], most: int) -> int:
     """The sum of the counts, which may not exceed `most`."""
     if most <= 0:
@@ -157,18 +175,17 @@ def records(frame: DataFrame, row: Column) -> DataFrame:
     return frame.select(row.cast("int").alias("source_row"), *fields, raw.alias("raw_fields")).select(*RECORD.fieldNames()).to(RECORD)
 
 
-def load_records(spark: SparkSession, path: str, *, max_rows: int | None = MAX_ROWS) -> DataFrame:
+def load_records(spark: SparkSession, path: str, *, max_rows: int | None = MAX_ROWS, owner: Scratch | None = None) -> DataFrame:
     """A file's records; data rows count from 2, after the header. More than `max_rows` data rows
     are an error, unless it is None."""
     if format_of(path) == "csv":
-        # A file with quoted line feeds is one partition, within which ids follow its rows; once
-        # numbered, rows are dealt to all tasks.
-        frame, row = read_csv(spark, path).coalesce(1).withColumn("__row", F.monotonically_increasing_id() + 2).repartition("__row"), F.col("__row")
+        frame = scan_csv(spark, path, max_rows=max_rows, owner=owner).frame
     else:
-        frame, row = read_sheet(spark, path).repartition("__row"), F.col("__row")
-    if max_rows is not None:
-        check_limit(frame, max_rows)
-    return records(frame, row)
+        frame = read_sheet(spark, path)
+        if max_rows is not None:
+            check_limit(frame, max_rows)
+        frame = frame.repartition("__row")
+    return records(frame, F.col("__row"))
 
 
 def business_columns(frames: list[list[str]]) -> list[str]:

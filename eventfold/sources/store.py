@@ -16,22 +16,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share. Only a session in
-    one process may name no such folder; it gets a local one."""
+_LOCAL: dict[str, str] = {}
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's scratch tables, below spark.checkpoint.dir, which driver and
+    executors share. Only a session in one process may name no such folder; it gets a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="eventfold-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        root = _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="eventfold-"))
+    return f"{root.rstrip('/')}/eventfold-{app}"
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path for a scratch table."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all scratch tables of this application. Frames that were made before can't be read
+    any more, unless they come from a store or from given files alone."""
+    delete(spark, scratch_root(spark))
+
+
+class Scratch:
+    """Scratch tables with one owner, which removes them once what is read from them is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def path(self, label: str) -> str:
+        self.paths.append(scratch(self.spark, label))
+        return self.paths[-1]
+
+    def staged(self, df: DataFrame, label: str = "step") -> DataFrame:
+        """`df` written and read back: what it holds is settled then."""
+        path = self.path(label)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def release(self) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+        self.paths = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
 
 
-def staged(df: DataFrame, label: str = "step") -> DataFrame:
-    """`df` written to a scratch folder and read back: what it holds is settled then."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def staged(df: DataFrame, label: str = "step", owner: Scratch | None = None) -> DataFrame:
+    """`df` written to a scratch table of `owner`, or of the application, and read back."""
+    return (owner or Scratch(df.sparkSession)).staged(df, label)
 
 
 class Store:

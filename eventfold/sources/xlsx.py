@@ -178,33 +178,48 @@ def _cell(column: int, row: int, value, style: int) -> str:
     return f'<c r="{_name(column)}{row}" s="{style}" t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
 
 
-def write(path: str, sheets: dict[str, tuple[list[str], Iterable[tuple[int, list]]]]) -> None:
-    """Writes a workbook: for each sheet its headers and rows of (band, values). The header is
-    frozen and filtered; cells are text. Rows stream into the file."""
+def row_xml(line: int, band: int, values: list) -> bytes:
+    """A data row; its band gives the fill."""
+    return (f'<row r="{line}">' + "".join(_cell(k, line, v, 2 + band % len(FILLS)) for k, v in enumerate(values)) + "</row>").encode()
+
+
+def sheet_ends(headers: list[str], last: int) -> tuple[str, str]:
+    """What stands before a sheet's data rows and after them; the header is frozen and filtered."""
+    columns = "".join(f'<col min="{k}" max="{k}" width="{width_of(h)}" customWidth="1"/>' for k, h in enumerate(headers, 1))
+    head = f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews><cols>{columns}</cols><sheetData><row r="1" ht="30" customHeight="1">' + "".join(_cell(k, 1, h, 1) for k, h in enumerate(headers)) + "</row>"
+    return head, f'</sheetData><autoFilter ref="A1:{_name(len(headers) - 1)}{max(last, 2)}"/></worksheet>'
+
+
+def frame_parts(names: list[str]) -> dict[str, str]:
+    """The parts of a workbook beside its sheets."""
     fills = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{c}"/></patternFill></fill>' for c in (HEADER_FILL, *FILLS))
     top = '<alignment vertical="top" wrapText="1"/>'
-    styles = (
-        f'<styleSheet xmlns="{_MAIN[1:-1]}"><fonts count="2"><font/><font><b/><color rgb="{HEADER_FONT}"/></font></fonts>'
-        f'<fills count="5"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills>'
-        '<borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="4"><xf/>'
-        '<xf fontId="1" fillId="2" applyFill="1" applyFont="1"><alignment horizontal="center" vertical="center" wrapText="1"/></xf>'
-        f'<xf fillId="3" applyFill="1">{top}</xf><xf fillId="4" applyFill="1">{top}</xf></cellXfs></styleSheet>'
-    )
     kind = "application/vnd.openxmlformats-officedocument.spreadsheetml."
-    parts = range(1, len(sheets) + 1)
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    pack = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+    parts = range(1, len(names) + 1)
+    return {
+        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>' + f'<Override PartName="/xl/workbook.xml" ContentType="{kind}sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}styles+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}worksheet+xml"/>' for i in parts) + "</Types>",
+        "_rels/.rels": f'{pack}<Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/_rels/workbook.xml.rels": pack + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in parts) + f'<Relationship Id="rId0" Type="{rel}/styles" Target="styles.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="rId{i}"/>' for i, n in zip(parts, names, strict=True)) + "</sheets></workbook>",
+        "xl/styles.xml": (
+            f'<styleSheet xmlns="{_MAIN[1:-1]}"><fonts count="2"><font/><font><b/><color rgb="{HEADER_FONT}"/></font></fonts>'
+            f'<fills count="5"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills>'
+            '<borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="4"><xf/>'
+            '<xf fontId="1" fillId="2" applyFill="1" applyFont="1"><alignment horizontal="center" vertical="center" wrapText="1"/></xf>'
+            f'<xf fillId="3" applyFill="1">{top}</xf><xf fillId="4" applyFill="1">{top}</xf></cellXfs></styleSheet>'
+        ),
+    }
+
+
+def write(path: str, sheets: dict[str, tuple[list[str], Iterable[tuple[int, list]]]]) -> None:
+    """Writes a small workbook of rows that the caller holds: for each sheet its headers and rows of
+    (band, values); cells are text. Frames are written by `xlsx_sink`."""
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>' + f'<Override PartName="/xl/workbook.xml" ContentType="{kind}sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}styles+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}worksheet+xml"/>' for i in parts) + "</Types>")
-        rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-        pack = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
-        z.writestr("_rels/.rels", f'{pack}<Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/_rels/workbook.xml.rels", pack + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in parts) + f'<Relationship Id="rId0" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="rId{i}"/>' for i, n in zip(parts, sheets, strict=True)) + "</sheets></workbook>")
-        z.writestr("xl/styles.xml", styles)
-        for i, (headers, rows) in zip(parts, sheets.values(), strict=True):
-            with z.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as f:
-                columns = "".join(f'<col min="{k}" max="{k}" width="{width_of(h)}" customWidth="1"/>' for k, h in enumerate(headers, 1))
-                f.write((f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews><cols>{columns}</cols><sheetData><row r="1" ht="30" customHeight="1">' + "".join(_cell(k, 1, h, 1) for k, h in enumerate(headers)) + "</row>").encode())
-                last = 1
-                for last, (band, values) in enumerate(rows, 2):  # noqa: B007
-                    f.write((f'<row r="{last}">' + "".join(_cell(k, last, v, 2 + band % len(FILLS)) for k, v in enumerate(values)) + "</row>").encode())
-                f.write(f'</sheetData><autoFilter ref="A1:{_name(len(headers) - 1)}{max(last, 2)}"/></worksheet>'.encode())
+        for name, text in frame_parts(list(sheets)).items():
+            z.writestr(name, text)
+        for i, (headers, rows) in enumerate(sheets.values(), 1):
+            lines = [row_xml(k, band, values) for k, (band, values) in enumerate(rows, 2)]
+            head, tail = sheet_ends(headers, len(lines) + 1)
+            z.writestr(f"xl/worksheets/sheet{i}.xml", head.encode() + b"".join(lines) + tail.encode())

@@ -1,4 +1,4 @@
-"""A drop folder as a stream: each new CSV export is synced once, in order of arrival."""
+"""A drop folder as a stream: each new export (CSV, XLSX or XLS) is synced once, in order of arrival."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from ..engine import Engine
 
 def drop_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Paths of new files, one file a batch."""
-    return spark.readStream.format("binaryFile").option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.{csv,xlsx}").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path", "modificationTime")
+    return spark.readStream.format("binaryFile").option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.{csv,xlsx,xls}").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path", "modificationTime")
 
 
 def sync_folder(engine: Engine, folder: str, checkpoint: str) -> StreamingQuery:
