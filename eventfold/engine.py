@@ -10,7 +10,7 @@ import uuid
 from dataclasses import dataclass
 from datetime import UTC, date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -52,6 +52,8 @@ class Settled:
         self._members = self.scratch.staged(members.repartitionByRange("event_id").sortWithinPartitions("event_id", "record_key"), "members")
         self._summaries = self.scratch.staged(library.kept_summaries(self._members).repartitionByRange("event_id").sortWithinPartitions("event_id"), "summaries")
         self._index: DataFrame | None = None
+        self._places: dict[str, DataFrame] = {}
+        self.total = self._summaries.count()
         self.touched: list[int] = []
         self._anew: tuple[DataFrame, DataFrame] | None = None
 
@@ -76,6 +78,16 @@ class Settled:
         self.touched, self.overrides = ids, overrides
         before.release()
 
+    def page(self, sort: str, limit: int, offset: int) -> tuple[DataFrame, int]:
+        """A page of all events and their number. As long as nothing was touched a page is a range
+        of places; afterwards the first events of the order are found anew."""
+        if self._anew is not None:
+            found = self.summaries.drop("completed_days")
+            return library.page(found, library.ordering(sort), limit, offset), found.count()
+        if sort not in self._places:
+            self._places[sort] = library.placed(self._summaries.drop("completed_days"), sort, self.scratch)
+        return library.page_at(self._places[sort], limit, offset), self.total
+
     def find(self, word: str) -> DataFrame:
         """Rows (event_id) of the events that have the word. The index is of what was first written,
         so events touched since are looked through besides."""
@@ -139,11 +151,19 @@ class Engine:
                 run["file_hash"] = hashlib.sha256(str(list(parts)).encode()).hexdigest()
             current = self._read("work_orders", base)
             now = F.lit(started)
-            changes = sync.diff(payload, current)
+            # Keys and digests tell what changes. Of few changes only the rows are joined, and the
+            # rest of the corpus is passed over without a shuffle.
+            changed = sync.actions(payload, current)
+            scratch.append(self.store.stage("changed", changed))
+            changed = self.spark.read.schema(changed.schema).parquet(scratch[2])
+            few = changed.count() <= sync.BROADCAST_KEYS
+            changes = sync.changes_of(payload, current, changed) if few else sync.diff(payload, current)
             scratch.append(self.store.stage("changes", changes))
-            changes = self.spark.read.schema(changes.schema).parquet(scratch[2])
+            changes = self.spark.read.schema(changes.schema).parquet(scratch[3])
             n = sync.counts(changes).first()
             after = sync.apply(changes, schemas.PAYLOAD, sync_id=sync_id, now=now).to(schemas.WORK_ORDERS)
+            if few:
+                after = after.unionByName(sync.carried(current, changed, sync_id=sync_id).to(schemas.WORK_ORDERS))
             log = sync.versions(changes, sync_id=sync_id, now=now)
             log = log.select("sync_id", "record_key", "action", *(self._as_row(c) for c in ("before", "after")), "created_at").to(schemas.VERSIONS)
             run |= {"status": "completed", "total_rows": total, "inserted_rows": n["inserted"], "updated_rows": n["updated"], "missing_rows": n["missing"], "completed_at": datetime.now(UTC)}
@@ -184,6 +204,16 @@ class Engine:
     def version_count(self, sync_id: str) -> int:
         return self._read("versions").where(F.col("sync_id") == sync_id).count()
 
+    def versions(self) -> DataFrame:
+        """Every change of every sync, with the row before and after."""
+        return self._read("versions")
+
+    def sync_history(self) -> DataFrame:
+        """Completed and failed syncs, `nth` 1 for the latest, with the number of versions of each."""
+        counted = self._read("versions").groupBy(F.col("sync_id").alias("id")).agg(F.count("*").alias("n_versions"))
+        runs = self._read("sync_runs").withColumn("nth", F.row_number().over(Window.orderBy(F.desc("created_at"), "id")))  # a row an upload
+        return runs.join(counted, "id", "left").withColumn("n_versions", F.coalesce("n_versions", F.lit(0)))
+
     def list_sync_runs(self, *, limit: int | None = None, offset: int = 0) -> DataFrame:
         return self._listed("sync_runs", limit, offset)
 
@@ -230,6 +260,16 @@ class Engine:
     def list_comparisons(self, *, limit: int | None = None, offset: int = 0) -> DataFrame:
         return self._listed("comparison_runs", limit, offset)
 
+    def comparison_headers(self) -> DataFrame:
+        """Comparisons, `nth` 1 for the latest, with the headers of the sync each stands on."""
+        runs = self._read("comparison_runs").withColumn("nth", F.row_number().over(Window.orderBy(F.desc("created_at"), "id")))  # a row a comparison
+        return runs.join(self._read("sync_runs").select(F.col("id").alias("sync_id"), F.col("business_columns").alias("headers")), "sync_id", "left")
+
+    def event_owners(self) -> DataFrame:
+        """Rows (event_id, comparison_id) of all events, made ones included."""
+        made = self._read("overrides").where("kind = 'create'").select("event_id", "comparison_id")
+        return self._read("events").select("event_id", "comparison_id").union(made)
+
     def count_comparisons(self) -> int:
         return self._read("comparison_runs").count()
 
@@ -260,8 +300,12 @@ class Engine:
     def list_comparison_members(self, comparison_id: str) -> DataFrame:
         return self._read("members").where(F.col("comparison_id") == comparison_id).select("comparison_id", "record_key", "side", "event_key", F.col("snapshot.work_order_id").alias("work_order_id"), "snapshot")
 
+    def event_member_snapshots(self, comparison_id: str, event_ids: list[int]) -> DataFrame:
+        """Members of these events with their snapshots' fields; the scan skips other events' files."""
+        return self._settled(comparison_id).members.where(F.col("event_id").isin(event_ids))
+
     def list_event_member_snapshots(self, comparison_id: str, event_id: int) -> DataFrame:
-        return self.members(comparison_id).where(F.col("event_id") == event_id).orderBy("record_key")
+        return self.event_member_snapshots(comparison_id, [event_id]).orderBy("record_key")
 
     def _settled(self, comparison_id: str) -> Settled:
         """The comparison as written once, brought up to the overrides since."""
@@ -302,6 +346,8 @@ class Engine:
         return library.chosen(kept.summaries, filters, kept.find(word) if word else None)
 
     def list_event_summaries(self, comparison_id: str, *, filters: EventFilters | None = None, sort: str = "updated_desc", limit: int = 20, offset: int = 0) -> tuple[DataFrame, int]:
+        if (filters or EventFilters()) == EventFilters():
+            return self._settled(comparison_id).page(sort, limit, offset)
         found = self.event_summaries(comparison_id, filters)
         return library.page(found, library.ordering(sort), limit, offset), found.count()
 
@@ -311,12 +357,16 @@ class Engine:
     def event_filter_options(self, comparison_id: str, *, region: str = "", street: str = "") -> dict[str, list[str]]:
         return library.facets(self.event_summaries(comparison_id), region, street).first().asDict()
 
+    def find_events(self, comparison_id: str, event_ids: list[int]) -> DataFrame:
+        """Those of these events that there are, under their last names; without members they are
+        archived. Only their own parts of events and summaries are read."""
+        some = self._settled(comparison_id).summaries.where(F.col("event_id").isin(event_ids)).select("event_id", F.lit(True).alias("__some"))
+        found = self._named(comparison_id, event_ids).join(F.broadcast(some), "event_id", "left")
+        return found.withColumn("status", F.when(F.col("__some"), F.col("status")).otherwise("archived")).drop("__some").select(schemas.EVENTS.fieldNames())
+
     def get_event(self, comparison_id: str, event_id: int) -> dict | None:
-        found = self._named(comparison_id, [event_id]).limit(1).collect()
-        if not found:
-            return None
-        empty = self._settled(comparison_id).members.where(F.col("event_id") == event_id).isEmpty()
-        return found[0].asDict() | ({"status": "archived"} if empty else {})
+        found = self.find_events(comparison_id, [event_id]).limit(1).collect()
+        return found[0].asDict() if found else None
 
     def list_event_records(self, comparison_id: str, event_id: int, *, limit: int = 20, offset: int = 0) -> tuple[dict | None, DataFrame, int]:
         rows = self._settled(comparison_id).members.where(F.col("event_id") == event_id)
@@ -332,8 +382,7 @@ class Engine:
     def comparison_of(self, event_id: int) -> str:
         """The comparison that an event belongs to; event ids are unique in the store."""
         of = F.col("event_id") == event_id
-        made = self._read("overrides").where(of & (F.col("kind") == "create")).select("comparison_id")
-        found = self._read("events").where(of).select("comparison_id").union(made).limit(1).collect()
+        found = self.event_owners().where(of).limit(1).collect()
         if not found:
             raise KeyError(event_id)
         return found[0]["comparison_id"]

@@ -24,15 +24,6 @@ class ActiveJobConflictError(RuntimeError):
         super().__init__(f"a job is active: {JOB_KIND_LABELS.get(job['kind'], OTHER_KIND)} ({job['id']})")
 
 
-def retry_delay(attempt: int, retry_after: str | None = None) -> float:
-    """Seconds to wait before another attempt: what the other side asks for, else 0.25 s
-    doubled each time, 2 s at most."""
-    try:
-        return max(float(retry_after), 0.0) if retry_after else min(2**attempt, 8) * 0.25
-    except ValueError:
-        return min(2**attempt, 8) * 0.25
-
-
 class Jobs:
     def __init__(self, store: Store):
         self.store = store

@@ -1,6 +1,8 @@
 """Full-snapshot sync: keep-last dedup, three-way diff, new state and version rows.
 
-One full outer join on the record key decides everything; only its result is kept.
+What happens to a key follows from digests of both sides' rows: only keys and digests are shuffled.
+Where few keys change, the rows themselves are not: the corpus is passed over once, and the changed
+keys go to its scan. Where many change (a first upload), one full outer join of the rows decides.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 IGNORED = ("created_at", "updated_at", "last_sync_id")
+#: Changed keys that are broadcast, at most.
+BROADCAST_KEYS = 200_000
 
 
 def keep_last(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -33,6 +37,38 @@ def differs(before: str, after: str, schema: T.StructType, ignored: tuple[str, .
     return out
 
 
+def digests(rows: DataFrame, columns: list[T.StructField], key: str, *more: Column) -> DataFrame:
+    """Rows (key, more, __digest): 128 bits of the comparable fields, in the order of their names."""
+    named = [f for f in sorted(columns, key=lambda f: f.name) if f.name not in (*IGNORED, key)]
+    half = lambda k, f: F.when(F.col(f.name).isNull(), F.lit(0)).otherwise(F.xxhash64(F.lit(k), comparable(F.col(f.name), f.dataType)))
+    return rows.select(key, *more, F.struct(*(F.xxhash64(F.lit(k), *(half(k, f) for f in named)).alias(f"d{k}") for k in (1, 2))).alias("__digest"))
+
+
+def actions(upload: DataFrame, current: DataFrame, *, key: str = "record_key", missing: str = "missing_in_latest_upload") -> DataFrame:
+    """Rows (key, action) of the keys that change, as `diff` has them. Keys and digests are joined,
+    no other field leaves its task."""
+    fields = [f for f in upload.schema.fields if f.name != missing]
+    new = digests(upload, fields, key).select(key, F.col("__digest").alias("__new"))
+    old = digests(current, fields, key, F.col(missing).alias("__gone")).select(key, "__gone", F.col("__digest").alias("__old"))
+    joined = new.join(old, key, "full_outer")
+    gone = F.when(~F.col("__gone"), "missing")
+    action = F.when(F.col("__old").isNull(), "inserted").when(F.col("__new").isNull(), gone).when((F.col("__new") != F.col("__old")) | F.col("__gone"), "updated")
+    return joined.select(key, action.alias("action")).where("action is not null")
+
+
+def changes_of(upload: DataFrame, current: DataFrame, changed: DataFrame, *, key: str = "record_key", missing: str = "missing_in_latest_upload") -> DataFrame:
+    """The rows of `diff` for these few changed keys, which go to the scans of both sides."""
+    few = F.broadcast(changed.select(key))
+    return diff(upload.join(few, key, "left_semi"), current.join(few, key, "left_semi"), key=key, missing=missing)
+
+
+def carried(current: DataFrame, changed: DataFrame, *, sync_id: str, key: str = "record_key", missing: str = "missing_in_latest_upload") -> DataFrame:
+    """The corpus's rows of all other keys after the sync: those that the upload has get its id. One
+    that was missing and is still so isn't in the upload."""
+    kept = current.join(F.broadcast(changed.select(key)), key, "left_anti")
+    return kept.withColumn("last_sync_id", F.when(F.col(missing), F.col("last_sync_id")).otherwise(F.lit(sync_id)))
+
+
 def diff(upload: DataFrame, current: DataFrame, *, key: str = "record_key", missing: str = "missing_in_latest_upload") -> DataFrame:
     """Rows (key, action, before, after) of the union of keys. `upload` has one row a key and
     `current` the same columns and the missing flag. Actions are inserted, updated (any field

@@ -31,7 +31,7 @@ def work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     shipped = t("lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
     joined = (
-        t("orders")
+        dealt(t("orders"))
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -12,7 +12,7 @@ from ..functions import dates, keys, text
 from ..operators import events, library, normalize, review, sync, windows
 from ..operators.library import EventFilters
 from . import adapter as a
-from . import fields, roundtrips
+from . import fields, roundtrips, service
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -229,6 +229,21 @@ def snapshot_counts(spark, sf_dir):
     return sync.counts(sync.diff(*_snapshots(spark, sf_dir)))
 
 
+@query(
+    _DIFF.replace("d AS (SELECT", "d AS (SELECT u.k uk, u.p up, c.p cp, c.gone,")
+    + "SELECT record_key, CASE WHEN uk IS NULL THEN cp ELSE up END price, uk IS NULL missing, CASE WHEN uk IS NULL AND gone THEN 's1' ELSE 's2' END last_sync_id, CASE action WHEN 'unchanged' THEN 1 ELSE 2 END updated FROM d"
+)
+def narrow_sync(spark, sf_dir):
+    """The corpus after an upload of which few keys differ: only these keys' rows are joined."""
+    upload, current = _snapshots(spark, sf_dir)
+    current = current.select("*", F.lit("s1").alias("last_sync_id"), F.lit(1).alias("created_at"), F.lit(1).alias("updated_at"))
+    changed = sync.actions(upload, current)
+    changes = sync.changes_of(upload, current, changed)
+    after = sync.apply(changes, upload.schema, sync_id="s2", now=F.lit(2))
+    both = after.unionByName(sync.carried(current, changed, sync_id="s2").select(after.columns))
+    return both.select("record_key", "price", F.col("missing_in_latest_upload").alias("missing"), "last_sync_id", F.col("updated_at").alias("updated"))
+
+
 @query("SELECT CAST(o_orderkey AS VARCHAR) record_key, o_orderkey % 3 = 0 missing, CASE WHEN o_orderkey % 3 = 0 THEN 's2' ELSE 's3' END last_sync_id, CASE o_orderkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END updated FROM orders")
 def missing_reappear(spark, sf_dir):
     """Three uploads: all; only keys with remainder 2 by 3; then all but remainder 0."""
@@ -307,5 +322,5 @@ def collapse_text(spark, sf_dir):
     return rows.select("doc_id", F.length("t").cast("long").alias("n"), F.sha2(F.col("t").cast("binary"), 256).alias("h"))
 
 
-for _run, _sql in (fields.ALL | roundtrips.ALL).items():
+for _run, _sql in (fields.ALL | roundtrips.ALL | service.ALL).items():
     query(_sql)(_run)

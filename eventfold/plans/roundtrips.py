@@ -78,7 +78,7 @@ def csv_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('a "b"\n\n,'), "o_orderpriority", F.lit('\r\n"'))).when(F.col("o_orderkey") % 3 == 1, F.concat("o_orderpriority", F.lit(' 5" pipe')))
     rows = o.select(F.col("o_orderkey").cast("string").alias("编号"), note.alias("标题"), F.concat(F.lit("说,"), "o_orderstatus").alias("内容"))
     path = _one_file(rows, scratch(spark, "export") + ".csv")
-    with _ranges(spark, "64k"):
+    with _ranges(spark, "16k"):
         found = files.scan_csv(spark, path)
     return found.frame.select("__row", F.col("编号").alias("k"), F.col("标题").alias("note"), F.col("内容").alias("status"), F.lit(found.total).cast("long").alias("n"), F.lit(found.ranges > 1).alias("parted"))
 
@@ -238,10 +238,17 @@ def engine_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEY = f"'ordinary|江海区|礼乐街道|' || lower({_ANCHOR}) || '|' || lower(replace(o_orderpriority, ' ', ''))"
-_EVENTS = f"""WITH m AS (SELECT 'wo:' || CAST(o_orderkey AS VARCHAR) record_key, {_KEY} event_key, '江海区｜礼乐街道｜' || {_ANCHOR} || '｜' || o_orderpriority event_name, o_orderpriority issue_name,
-  CASE WHEN CAST(o_orderdate AS DATE) BETWEEN '{a.TARGET.target_from}' AND '{a.TARGET.target_to}' THEN 0 ELSE 1 END side FROM {_NORMAL}),
+
+
+def events_sql(where: str = "") -> str:
+    """Members (m) and events (g) of a comparison of the records of orders, in SQL."""
+    return f"""WITH m AS (SELECT 'wo:' || CAST(o_orderkey AS VARCHAR) record_key, {_KEY} event_key, '江海区｜礼乐街道｜' || {_ANCHOR} || '｜' || o_orderpriority event_name, o_orderpriority issue_name,
+  CASE WHEN CAST(o_orderdate AS DATE) BETWEEN '{a.TARGET.target_from}' AND '{a.TARGET.target_to}' THEN 0 ELSE 1 END side FROM {_NORMAL} {where}),
 g AS (SELECT event_key, event_name, issue_name, count(*) member_count, count(*) FILTER (side = 0) target_count, min(side) AS s, min(record_key) FILTER (side = 0) AS r0, min(record_key) r1 FROM m GROUP BY ALL)"""
 
+
+_EVENTS = events_sql()
+
 #: Each query with its SQL.
 ALL = {
     csv_records: _RECORDS,

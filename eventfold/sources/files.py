@@ -156,6 +156,15 @@ def check_rows(counts: list[int], most: int) -> int:
     return sum(counts)
 
 
+def within_limit(frames: list[DataFrame], most: int) -> DataFrame:
+    """One row: whether the frames have `most` rows or fewer together. Of each no more rows are
+    counted than it takes to see the limit broken."""
+    if most <= 0:
+        raise ValueError("max_rows must be positive")
+    some = functools.reduce(DataFrame.union, (f.limit(most + 1).select(F.lit(1)) for f in frames))
+    return some.agg((F.count("*") <= most).alias("within"))
+
+
 def check_limit(df: DataFrame, most: int) -> DataFrame:
     """`df` itself, after reading no more rows than it takes to see the limit broken."""
     check_rows([df.limit(most + 1).count()], most)

@@ -90,6 +90,8 @@ class Store:
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
     def _numbers(self) -> list[int]:
+        if not self._fs.exists(self._path(self.root)):
+            return []
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
         return sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
 

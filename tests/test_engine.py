@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 
 from eventfold.engine import Engine
-from eventfold.jobs import ActiveJobConflictError, retry_delay
+from eventfold.jobs import ActiveJobConflictError
 from eventfold.operators.library import EventFilters
 from eventfold.operators.windows import Windows, WindowOverlapError, from_text, parse_flag
 from eventfold.schemas import RECORD
@@ -52,13 +52,48 @@ def test_last_row_of_a_key_wins_and_blank_ids_are_fingerprinted(engine):
     assert put(engine, record("A", completed="2026-09-03", row=3), record(" ", "2026-10-10", row=4))[0] == 0
 
 
-def test_form_fields_and_delays():
+def test_few_changes_and_many_give_the_same(engine, monkeypatch):
+    import random
+
+    from eventfold.operators import sync
+
+    rng = random.Random(3)
+    uploads = []
+    for _ in range(3):
+        keys = rng.sample(range(12), 8)
+        uploads.append([record(f"K{k}", completed=rng.choice([None, "2026-09-03"]), title=rng.choice(["甲", "乙"]), raw={"=x": rng.choice(["1", None])}) for k in keys])
+    states = []
+    for most in (sync.BROADCAST_KEYS, -1):
+        monkeypatch.setattr(sync, "BROADCAST_KEYS", most)
+        fresh = Engine(engine.spark, f"{engine.store.root}-{most}")
+        counts = [put(fresh, *rows) for rows in uploads]
+        names = {r["id"]: n for n, r in enumerate(fresh.list_sync_runs().collect())}
+        rows = fresh.list_current_orders().collect()
+        versions = sorted((names[v["sync_id"]], v["record_key"], v["action"], str(v["after"]["title_raw"])) for v in fresh.versions().collect())
+        states.append((counts, [(r["record_key"], r["title_raw"], r["completed_at"], r["raw_json"], r["missing_in_latest_upload"], names[r["last_sync_id"]]) for r in rows], versions))
+    assert states[0] == states[1] and len(states[0][1]) > 8
+
+
+def test_a_sync_of_few_changes_shuffles_no_row(spark):
+    from pyspark.sql import functions as F
+
+    from eventfold.operators import sync
+
+    current = spark.range(5000).select(F.concat(F.lit("wo:"), "id").alias("record_key"), F.lit("x").alias("title"), F.lit(False).alias("missing_in_latest_upload"), F.lit("s1").alias("last_sync_id"), F.lit(1).alias("created_at"), F.lit(1).alias("updated_at"))
+    upload = current.select("record_key", F.when(F.col("record_key") == "wo:7", "y").otherwise(F.col("title")).alias("title"))
+    changed = sync.actions(upload, current)
+    assert [tuple(r) for r in changed.collect()] == [("wo:7", "updated")]
+    plan = sync.carried(current, changed, sync_id="s2")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "left_anti" in plan.lower().replace("leftanti", "left_anti")
+    assert [r["last_sync_id"] for r in sync.carried(current, changed, sync_id="s2").select("last_sync_id").distinct().collect()] == ["s2"]
+
+
+def test_form_fields():
     assert from_text(date(2026, 9, 5), "received_at").target_to == date(2026, 9, 5)
     assert from_text(date(2026, 9, 5), "received_at", "2026-09-01").target_to == date(2026, 9, 1)
     with pytest.raises(ValueError):
         from_text(None, "received_at")
     assert [parse_flag(x) for x in (" ON", "1", "0", None)] == [True, True, False, False]
-    assert [retry_delay(n) for n in (0, 1, 5)] == [0.25, 0.5, 2.0] and retry_delay(0, "3") == 3.0 and retry_delay(1, "x") == 0.5
 
 
 def test_window_rules():

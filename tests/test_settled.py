@@ -67,6 +67,48 @@ def test_pages_and_filters_of_kept_summaries(engine):
         assert shown(engine.event_summaries(engine.run, f)) == shown(library.summaries(members, f)), f
 
 
+def read_by(page):
+    """Rows of the page, and how many the scan gave for it."""
+    rows = page.collect()
+    plan = page._jdf.queryExecution().executedPlan()
+    found, open_ = [], [plan]
+    while open_:
+        node = open_.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            open_.append(node.executedPlan())
+        elif node.getClass().getSimpleName().endswith("QueryStageExec"):
+            open_.append(node.plan())
+        elif node.getClass().getSimpleName() == "FileSourceScanExec":
+            found.append(node.metrics().apply("numOutputRows").value())
+        else:
+            open_ += [node.children().apply(k) for k in range(node.children().size())]
+    return rows, sum(found)
+
+
+@pytest.fixture
+def parted(spark):
+    """Small tables keep their ranges, as large ones do."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+def test_pages_read_a_range(engine, parted):
+    engine.release()
+    kept = engine._settled(engine.run)
+    for sort in library.SORTS:
+        want = kept.summaries.drop("completed_days").orderBy(*library.ordering(sort)).collect()
+        for offset in (0, 7, 150, len(want) - 5, len(want) + 5):
+            page, total = engine.list_event_summaries(engine.run, sort=sort, limit=20, offset=offset)
+            rows, seen = read_by(page)
+            assert rows == want[offset : offset + 20] and total == len(want)
+            assert seen <= total * 0.6  # one of four ranges, or two where a page meets the next
+    some = kept.members.where("event_id = 11")
+    rows, seen = read_by(some)
+    assert rows and seen <= kept.members.count() * 0.6
+
+
 WORDS = ["a", "ab", "abc", "bca", "ABC", "abcabc", "门口", "门口积", "é𝒳门", "𝒳", "zzz", "dept", "x y", " y", "name", "aab", "cab", "b", "é", "abcd"]
 
 
