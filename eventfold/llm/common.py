@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import scratch, scratch_root
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,15 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
             return there.get()
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="eventfold-")
+        named = scratch_root(spark).rsplit("/", 1)[0]
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path in this application's part of the shared folder, all of which
+    `sources.store.release` removes."""
+    shared_dir(spark)
+    return scratch(spark, label)
 
 
 def saved(df: DataFrame, label: str = "step") -> DataFrame:
