@@ -154,7 +154,9 @@ def identify(docs: DataFrame, model: LanguageModel, *, key: str = "doc_id", text
     """Rows (key, lang_pred, score, ambiguous), one for each row of `docs`, from whole texts.
 
     `lang_pred` is a learned language, or `und` with score 0 if the text is null, empty or
-    without a letter, or if no language was learned. Other columns are not read.
+    without a letter, or if no language was learned. Of languages equally near the first by name is
+    taken. Repeated rows give a row each, an empty table none. Other columns are not read, whatever
+    their names; keys may be null.
     """
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
 

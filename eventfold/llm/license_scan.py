@@ -210,7 +210,8 @@ def scan(docs: DataFrame, *, base: tuple[Notice, ...] = BASE, notices: tuple[Not
 
     A match has the notice's label, whether it is a base place, the number of its first word
     (from 0), how many words it touches, its edits, and 1 minus edits by length. Null and
-    empty texts have no words and no matches. Repeated rows are kept. Other columns are not read.
+    empty texts have no words and no matches. Repeated rows are kept; an empty table gives no rows.
+    Of matches with equal errors the first is taken. Other columns are not read, whatever their names.
     """
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
     schema = T.StructType([rows.schema["key"], T.StructField("n_words", T.LongType()), T.StructField("matches", T.ArrayType(T.StructType.fromDDL(MATCH)))])

@@ -26,9 +26,11 @@ END_OF_TEXT = 50256
 
 def write_flat(docs: DataFrame, tokenizer_path: str, *, end_id: int = END_OF_TEXT, key: str = "doc_id", text: str = "text") -> tuple[str, DataFrame]:
     """Folder of flat files, one for each partition of `docs`, and the documents' order in them
-    as rows (file, doc_no, key). Null and empty texts give the end id alone. As files have no
-    index, the spelling of a special token in a text is ordinary text here, and an end id that
-    texts can yield is an error."""
+    as rows (file, doc_no, key). Null and empty texts give the end id alone. Each row of `docs` is a
+    document, rows that repeat and rows of equal or null key among them; a text of any length is one.
+    An empty table gives no file and no rows. Other columns are not read, whatever their names. As
+    files have no index, the spelling of a special token in a text is ordinary text here, and an end
+    id that texts can yield is an error."""
     if SegmentEncoder(tokenizer_path, plain=True).yields(end_id):
         raise ValueError(f"id {end_id} stands for text in this vocabulary and can't end documents")
     spark = docs.sparkSession
@@ -52,7 +54,8 @@ def count_tokens(spark: SparkSession, folder: str, *, separator: int = END_OF_TE
 
     `start` and `n_tokens` count ids within the file, the separator included; doc_no counts
     from 0. Ids after the last separator are a document with closed = false. Empty files and
-    an empty folder give no rows; adjacent separators give documents of one id.
+    an empty folder give no rows; adjacent separators give documents of one id, equal documents a
+    row each.
     """
     files = [(name, size // width) for name, size in flat_files(spark, folder)]
     blocks = spark.createDataFrame(files, "file string, ids long").where("ids > 0").select("file", "ids", F.explode(F.sequence(F.lit(0), ((F.col("ids") - 1) / block_ids).cast("long"))).alias("block"))

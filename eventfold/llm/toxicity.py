@@ -9,7 +9,7 @@ and softmax are trained together in numpy, on the windows that score highest.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chars import SPACE, grams, text_groups, words_of
+from .common import Steps
 from .sentencepiece_codec import by_size
 
 #: Labelled rows that are fitted on, of each label.
@@ -168,34 +169,61 @@ def _cut(model: ToxicityModel, texts: list[str], most: int) -> tuple[list[str],
     return out, np.array(number, np.int64), np.concatenate(top)
 
 
-def fit(texts: list[str], labels: np.ndarray) -> ToxicityModel:
+#: cut(model, which, most): windows of the numbered texts, all of them for None, as `_cut` has them.
+Cut = Callable[[ToxicityModel, np.ndarray | None, int], tuple[list[str], np.ndarray, np.ndarray]]
+
+
+def fit(labels: np.ndarray, cut: Cut) -> ToxicityModel:
     """Trains on all windows of a few hundred texts, then on the highest-scoring windows of all,
     chosen anew between rounds of steps."""
-    if not len(texts) or len(set(labels.tolist())) < 2:
-        return ToxicityModel(np.zeros(BUCKETS), 4.0 if len(texts) and labels[0] else -4.0)
+    if len(set(labels.tolist())) < 2:
+        return ToxicityModel(np.zeros(BUCKETS), 4.0 if len(labels) and labels[0] else -4.0)
     trainer = _Trainer()
     few = np.sort(np.concatenate([np.flatnonzero(labels == y)[:START_TEXTS] for y in (0, 1)]))
-    windows, text, _ = _cut(trainer.model(), [texts[i] for i in few], 10**9)
+    windows, text, _ = cut(trainer.model(), few, 10**9)
     trainer.run(windows, text, labels[few], 16)
     for rounds in (12, 12, 12):
-        windows, text, _ = _cut(trainer.model(), texts, 4)
+        windows, text, _ = cut(trainer.model(), None, 4)
         trainer.run(windows, text, labels, rounds)
     model = trainer.model()
     # The bias in the middle of the gap, where the fewest texts of the sample are on the wrong side.
-    top = _cut(model, texts, 1)[2]
+    top = cut(model, None, 1)[2]
     order = np.argsort(top, kind="stable")
     clean = np.sum(labels == 0)
     wrong = np.concatenate(([clean], clean + np.cumsum(np.where(labels[order] == 1, 1, -1))))
     best = np.flatnonzero(wrong == wrong.min())
-    cut = int(best[len(best) // 2])
+    at = int(best[len(best) // 2])
     edges = np.concatenate(([top[order[0]] - 1], (top[order][1:] + top[order][:-1]) / 2, [top[order[-1]] + 1]))
-    return ToxicityModel(model.pull, float(model.bias - edges[cut]))
+    return ToxicityModel(model.pull, float(model.bias - edges[at]))
+
+
+def cut_on_executors(texts: DataFrame, keys: list) -> Cut:
+    """Cuts a written table of texts by their keys, which are unique; the texts are numbered in the
+    order of `keys`. Only windows come to the driver."""
+    schema = T.StructType([texts.schema["key"], *T.StructType.fromDDL("windows array<string>, top double").fields])
+
+    def cut(model: ToxicityModel, which: np.ndarray | None, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                # One text at a time: sums of a batch would round by what else is in it.
+                for b in by_size(whole, 2_000_000):
+                    each = [_cut(model, [t], most) for t in b.column(1).to_pylist()]
+                    lists, top = pa.array([w for w, _, _ in each], pa.list_(pa.string())), np.array([t[0] for _, _, t in each], np.float64)
+                    yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(top)], schema.fieldNames())
+
+        wanted = keys if which is None else [keys[i] for i in which.tolist()]
+        some = texts if which is None else texts.where(F.col("key").isin(wanted))
+        found = {r["key"]: r for r in some.select("key", "text").mapInArrow(run, schema).collect()}
+        rows = [found[k] for k in wanted]
+        return [w for r in rows for w in r["windows"]], np.repeat(np.arange(len(rows)), [len(r["windows"]) for r in rows]), np.array([r["top"] for r in rows])
+
+    return cut
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> ToxicityModel:
     """Fits on about `toxic` and `clean` of the labelled keys where `learn`, a condition on the
-    key, holds, drawn by a hash of the key, twice as many at most; their whole texts go to the
-    driver. Of rows that share a key the one whose text has the least hash is used. Rows without
+    key, holds, drawn by a hash of the key, twice as many at most; their texts are cut on the
+    executors. Of rows that share a key the one whose text has the least hash is used. Rows without
     text or label are not used; keys labelled twice count as toxic if one label is 1."""
     known = labels.select(labels[key].alias("key"), F.col(label).alias("y")).where(F.col("key").isNotNull() & F.col("y").isNotNull())
     known = known.withColumnRenamed("key", key).where(learn).groupBy(key).agg(F.max("y").alias("y"))
@@ -205,14 +233,20 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, *, key: str = "doc_
     keep = F.coalesce(*(F.when(F.col("y") == y, draw < most / counts[y]) for y, most in ((1, toxic), (0, clean)) if counts.get(y)), F.lit(False))
     drawn = F.broadcast(known.where(keep).orderBy(rank).limit(2 * (toxic + clean)))
     found = docs.select(docs[key], docs[text].cast("string").alias("text")).where(F.col("text").isNotNull()).join(drawn, key)
-    found = found.groupBy(key, "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
-    found.sort(key=lambda r: (r[key], r["text"]))
-    return fit([r["text"] for r in found], np.array([int(r["y"] == 1) for r in found], np.int64))
+    found = found.groupBy(F.col(key).alias("key"), "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    steps = Steps(docs.sparkSession)
+    found = steps.saved(found, "labelled")
+    # A key and a label a row, as many as are drawn.
+    rows = sorted((r["key"], int(r["y"] == 1)) for r in found.select("key", "y").collect())
+    model = fit(np.array([y for _, y in rows], np.int64), cut_on_executors(found, [k for k, _ in rows]))
+    steps.drop(found)
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, score), one for each row of `docs`, from whole texts; null and empty texts
-    and texts without a word get the score of an empty window."""
+    """Rows (key, score), one for each row of `docs`, repeated ones too, from whole texts; null and
+    empty texts and texts without a word get the score of an empty window. An empty table gives no
+    rows. Other columns are not read, whatever their names; keys may be null."""
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -120,7 +120,8 @@ def test_every_edited_notice_is_found():
 
 
 def test_very_long_texts(spark):
-    """One text of millions of characters gives what its definition says, in all operators."""
+    """One text of millions of characters gives what its definition says; the other operators are in
+    `test_edges` and `test_corpus`."""
     from eventfold.llm import minhash_join, syncmers
 
     long = "word and another one here " * 120_000 + "all rights reserved"
@@ -143,7 +144,7 @@ def test_one_key_with_most_rows_leaves_the_samples_bounded(spark):
     counted = []
     real = toxicity.fit
     try:
-        toxicity.fit = lambda texts, y: counted.append(len(texts)) or real(texts, y)
+        toxicity.fit = lambda y, cut: counted.append(len(y)) or real(y, cut)
         toxicity.train(docs, labels, F.lit(True))
     finally:
         toxicity.fit = real
@@ -210,3 +211,20 @@ def test_licence_scan_of_repeated_words(line):
     found = scanner.matches(words)
     assert time.thread_time() - began < 1.5
     assert all(a[2] <= b[1] for a, b in zip(found, found[1:], strict=False) if a[0] == b[0])
+
+
+def test_windows_cut_on_executors(spark):
+    """The same windows, in the same order, as of texts that are held."""
+    rng = np.random.default_rng(5)
+    texts = {int(k): " ".join(rng.choice(["a", "word", "idiot", "x1", "É"], rng.integers(0, 40))) for k in rng.permutation(60)}
+    df = spark.createDataFrame(list(texts.items()), "key long, text string").repartition(4)
+    model = toxicity.ToxicityModel(rng.normal(0, 1, toxicity.BUCKETS), 0.1)
+    keys = sorted(texts)
+    cut = toxicity.cut_on_executors(df, keys)
+    for which, most in ((None, 4), (np.array([3, 7, 8]), 10**9), (None, 1)):
+        each = [toxicity._cut(model, [texts[keys[i]]], most) for i in (range(60) if which is None else which.tolist())]
+        want = [w for x in each for w in x[0]], np.repeat(np.arange(len(each)), [len(x[0]) for x in each]), np.concatenate([x[2] for x in each])
+        got = cut(model, which, most)
+        again = toxicity.cut_on_executors(df.repartition(2), keys)(model, which, most)
+        assert got[0] == again[0] and np.array_equal(got[2], again[2])
+        assert got[0] == want[0] and got[1].tolist() == want[1].tolist() and np.array_equal(got[2], want[2])
