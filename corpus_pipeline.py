@@ -23,7 +23,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score as toxic, learned from the labels of the documents left."""
+    """Drops documents that score as toxic, learned from the labels of the documents left: equal
+    texts all stay or all go, whatever their ids. Null and empty texts score as an empty window and
+    stay; without labels of both kinds all are judged alike. An empty table stays empty."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return filtered(docs, "text", lambda texts: model.scores(texts) < 0.5)
 
@@ -60,7 +62,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids, decoded) of the mixed documents."""
+    """Rows (doc_id, n_tokens, ids, decoded), one for each of the mixed documents, copies and rows of
+    equal or null id among them; null and empty texts give the end id alone, an empty table no rows."""
     found = sentencepiece_codec.encode_decode(docs, vocabulary("piece_bpe_32k.model"))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
