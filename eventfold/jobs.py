@@ -18,6 +18,10 @@ from .schemas import JOBS
 from .sources.store import Store
 
 
+#: Jobs that aren't finished.
+ACTIVE = "status in ('queued', 'running')"
+
+
 class ActiveJobConflictError(RuntimeError):
     def __init__(self, job: dict):
         self.job = job
@@ -33,10 +37,11 @@ class Jobs:
 
     def _changed(self, change):
         """change(rows) returns a result and whether rows changed; it is called again on newer
-        rows if another writer came between."""
+        rows if another writer came between. It sees the active jobs, of which there is one at most;
+        finished ones stay as they are."""
         for _ in range(50):
             base = self.store.version()
-            rows = [r.asDict() for r in self.store.read("jobs", JOBS, base).orderBy("created_at", "id").collect()]
+            rows = [r.asDict() for r in self.store.read("jobs", JOBS, base).where(ACTIVE).orderBy("created_at", "id").collect()]
             result, changed = change(rows)
             if not changed:
                 return result
@@ -48,16 +53,16 @@ class Jobs:
         raise FileExistsError("other writers keep changing the jobs")
 
     def _put(self, rows: list[dict], base: int) -> None:
-        df = self.store.spark.createDataFrame([tuple(r[f] for f in JOBS.fieldNames()) for r in rows], JOBS).coalesce(1)
+        now = self.store.spark.createDataFrame([tuple(r[f] for f in JOBS.fieldNames()) for r in rows], JOBS)
+        df = self.store.read("jobs", JOBS, base).where(f"not ({ACTIVE})").unionByName(now).coalesce(1)
         self.store.commit(replace={"jobs": self.store.stage("jobs", df)}, base=base)
 
     def create(self, kind: str, payload: dict) -> str:
         job = dict.fromkeys(JOBS.fieldNames()) | {"id": uuid.uuid4().hex, "kind": kind, "status": "queued", "payload": json.dumps(payload, ensure_ascii=False, sort_keys=True), "progress": 0, "created_at": datetime.now(UTC)}
 
         def change(rows: list[dict]):
-            active = [r for r in rows if r["status"] in ("queued", "running")]
-            if active:
-                raise ActiveJobConflictError(active[0])
+            if rows:
+                raise ActiveJobConflictError(rows[0])
             rows.append(job)
             return job["id"], True
 
