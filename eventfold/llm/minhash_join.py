@@ -305,11 +305,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, key:
     nodes = members.where("signature is not null").select("node", "n", "signature")
     least = matches(percent, COORDINATES)
     posted = nodes.select("node", F.posexplode("signature").alias("pos", "token"))
-    shared = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # Coordinates that a thousandth of all sets' postings share go to the postings, not these to them.
+    shared = steps.saved(posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     by_node = Window.partitionBy("node")
-    ranked = posted.join(shared, "token").select("*", F.count("*").over(by_node).alias("c"), F.row_number().over(by_node.orderBy("df", "token")).alias("nth"))
+    ranked = by_class(posted, shared, ["token"], nodes.count() * COORDINATES, "df").select("*", F.count("*").over(by_node).alias("c"), F.row_number().over(by_node.orderBy("df", "token")).alias("nth"))
     chosen = ranked.where((F.col("c") >= least) & (F.col("nth") <= F.col("c") - least + 1))
     prefix = steps.saved(chosen.select("token", "pos", "node", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks")).distinct(), "postings")
+    steps.drop(shared)
     masks = prefix.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, pos)")).alias("mask"))
     # Texts move by their key at every size: a side that fits a broadcast today won't tomorrow.
     texts = docs.select(docs[key].cast("long").alias("node"), docs[text].cast("string").alias("text")).join(masks.select("node").hint("merge"), "node", "left_semi")
@@ -352,7 +354,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, key:
         if prefix.where(f"blocks > {1 if turn == 'within' else 2}").isEmpty():
             break
     joined = labels.where("component <> node")
-    out = members.select("id", "n", "node").join(joined, "node", "left").select("id", "n", F.coalesce("component", "node").alias("component_id"))
+    named = members.groupBy("node").agg(F.count("*").alias("copies")).join(joined, "node", "left")
+    named = steps.saved(named.select("node", "copies", F.coalesce("component", "node").alias("component_id")), "named")
+    out = by_class(members.select("id", "n", "node"), named, ["node"], members.count()).select("id", "n", "component_id")
     rest = rest.select("id", "n", F.when(F.col("id").isNotNull(), F.col("id").cast("long")).alias("component_id"))
     last = steps.saved(out.union(rest).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")), "groups")
     steps.drop(*(df for df, _ in steps.made if df is not last))
