@@ -24,6 +24,8 @@ from .common import Steps, by_class
 from .components import components
 
 TABLES, HASHES, PROBES = 8, 2, 6
+#: Hashes of a bucket at most: with more of them fewer pairs at a cosine of 0.98 meet.
+MOST_HASHES = 6
 #: Vectors of one label to a bucket, on average, beyond which a bucket is made of more hashes.
 FULL = 0.25
 #: Vectors of a bucket that are compared in one task.
@@ -42,9 +44,10 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
 
 def hashes_for(vectors: int, width: int) -> int:
     """Hashes of a bucket, so that unlike vectors seldom share one: HASHES, and one more each
-    time that a label's vectors outgrow the buckets."""
+    time that a label's vectors outgrow the buckets, as long as vectors at the least cosine still
+    meet. Fuller buckets are compared whole, block by block."""
     axes = 2 << max(1, (width - 1).bit_length())
-    return max(HASHES, math.ceil(math.log(max(1, vectors / FULL)) / math.log(axes)))
+    return max(HASHES, min(4 if width <= 4 else MOST_HASHES, math.ceil(math.log(max(1, vectors / FULL)) / math.log(axes))))
 
 
 def buckets(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> np.ndarray:

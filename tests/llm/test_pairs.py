@@ -116,7 +116,7 @@ def test_embeddings_of_any_size_and_repeated_ids(spark):
     assert got == sorted(want)
 
 
-@pytest.mark.parametrize("width", [3, 64, 384, 1024])
+@pytest.mark.parametrize("width", [3, 4, 8, 64, 384, 1024])
 def test_recall_of_buckets(width):
     """Pairs at exactly the least cosine meet in some table, however many hashes a bucket has."""
     rng = np.random.default_rng(width)
@@ -125,9 +125,9 @@ def test_recall_of_buckets(width):
     z = rng.normal(size=a.shape)
     z = unit(z - (z * a).sum(1, keepdims=True) * a)
     b = 0.98 * a + np.sqrt(1 - 0.98**2) * z
-    for hashes in (2, 3, 4, 5):
+    for hashes in range(2, embedding_dedup.hashes_for(10**15, width) + 1):
         x, y = embedding_dedup.buckets(a, hashes=hashes), embedding_dedup.buckets(b, hashes=hashes)
-        assert ((x[:, :, :1] == y) | (y[:, :, :1] == x)).any((1, 2)).mean() >= 0.99
+        assert ((x[:, :, :1] == y) | (y[:, :, :1] == x)).any((1, 2)).mean() >= 0.98
     assert embedding_dedup.hashes_for(1, 64) == 2 < embedding_dedup.hashes_for(10**9, 64)
 
 
