@@ -30,15 +30,17 @@ def group_events(members: DataFrame, name: Column) -> DataFrame:
     return number(grouped, [F.col("__first.side_rank"), F.col("__first.record_key")], "event_id").select("event_id", "event_key", F.col("__named.event_name").alias("event_name"), "member_count", "target_count")
 
 
-def number(df: DataFrame, order: list[Column], into: str, owner: Scratch | None = None) -> DataFrame:
-    """Row numbers from 1 in the given order, without one task that sees all rows.
+def number(df: DataFrame, order: list[Column], into: str, owner: Scratch | None = None, descending: tuple[bool, ...] = ()) -> DataFrame:
+    """Row numbers from 1 in the given order (ascending, unless told otherwise for each column),
+    without one task that sees all rows.
 
     Rows are dealt by sampled ranges of the order and sorted within; the result is written, so
     that a row's range and place hold, and a range's first number follows from the sizes of the
     ranges before it, one row each on the driver.
     """
-    # An order may be a plain column or one with a direction.
-    keyed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    names = [f"__by{k}" for k in range(len(order))]
+    by = [F.desc(n) if down else F.asc(n) for n, down in zip(names, descending or (False,) * len(order), strict=True)]
+    keyed = df.select("*", *(c.alias(n) for c, n in zip(order, names, strict=True))).repartitionByRange(*by).sortWithinPartitions(*by).drop(*names)
     placed = staged(keyed.withColumn("__at", F.monotonically_increasing_id()), "numbered", owner)
     part = F.shiftright("__at", 33)
     done, firsts = 0, []

@@ -169,7 +169,8 @@ def placed(found: DataFrame, sort: str, owner: Scratch) -> DataFrame:
     """`found` with `__place`, each row's place from 1 in one of the orders, written in that order in
     small row groups: a page is a range of places, of which the scan reads a group or two, however
     far down it is."""
-    ranked = number(found, ordering(sort), "__place", owner)
+    by = [F.col("event_id")] if sort not in SORTS[1:] else [F.col("member_count"), F.col("event_id")]
+    ranked = number(found, by, "__place", owner, (True,) if len(by) == 1 else (sort == "member_count_desc", False))
     path = owner.path("placed")
     ranked.repartitionByRange("__place").sortWithinPartitions("__place").write.option("parquet.block.size", 1 << 20).parquet(path)
     return found.sparkSession.read.schema(ranked.schema).parquet(path)
