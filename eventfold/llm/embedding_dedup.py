@@ -25,7 +25,7 @@ from .components import components
 
 TABLES, HASHES, PROBES = 8, 2, 6
 #: Hashes of a bucket at most: with more of them fewer pairs at a cosine of 0.98 meet.
-MOST_HASHES = 6
+MOST_HASHES = 5
 #: Vectors of one label to a bucket, on average, beyond which a bucket is made of more hashes.
 FULL = 0.25
 #: Vectors of a bucket that are compared in one task.
