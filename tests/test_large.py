@@ -25,3 +25,7 @@ def _all_records(found):
 
 def test_csv_records_has_every_row(spark, many_customers):
     assert _all_records(roundtrips.csv_records(spark, many_customers))
+
+
+def test_csv_records_gb18030_has_every_row(spark, many_customers):
+    assert _all_records(roundtrips.csv_records_gb18030(spark, many_customers))
