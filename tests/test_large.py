@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventfold.plans import roundtrips
-from eventfold.sources import files
+from eventfold.sources import files, xlsx, xlsx_sink
 
 
 @pytest.fixture(scope="module")
@@ -41,3 +41,15 @@ def test_ranges_are_few(length):
     """Ranges of 16 kB of a file of gigabytes were hundred thousands of tasks."""
     assert length / roundtrips._range_size(length) <= roundtrips.MOST_RANGES
     assert length <= 1 << 14 or length / roundtrips._range_size(length) > 1
+
+
+def test_a_full_sheet_goes_on_in_further_ones(spark, sf_dir, tmp_path, monkeypatch):
+    want = sorted(map(tuple, roundtrips.workbook_export(spark, sf_dir).collect()))
+    monkeypatch.setattr(xlsx_sink, "MOST_ROWS", 100)
+    found = roundtrips.workbook_export(spark, sf_dir)
+    assert found.rdd.getNumPartitions() > 2 and sorted(map(tuple, found.collect())) == want
+    rows = spark.range(250).select(F.col("id").alias("k"), F.lit(0).alias("band"), F.col("id").alias("n"))
+    path = xlsx_sink.write(f"file://{tmp_path}/a.xlsx", {"一": (["n"], rows)}, ["k"], "band", spread=True)
+    assert xlsx.sheet_names(spark, path) == ["一", "一 ~2", "一 ~3"] and len(set(map(len, (xlsx.continued("x" * 40, k) for k in (1, 11))))) == 1
+    assert [tuple(r) for r in files.read_sheet(spark, path, "一", continued=True).orderBy("__row").collect()] == [(k + 2, str(k)) for k in range(250)]
+    assert files.read_sheet(spark, path, "一").count() == 100
