@@ -12,6 +12,7 @@ from ..functions import dates, keys, text
 from ..operators import events, library, normalize, review, sync, windows
 from ..operators.library import EventFilters
 from . import adapter as a
+from ..sources.store import staged
 from . import fields, roundtrips, service
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,9 +201,9 @@ def export_split(spark, sf_dir):
     rows = a.event_members(spark, sf_dir)
     blank = F.create_map(F.lit("事项分类"), F.lit(None).cast("string"), F.lit("=note"), F.concat(F.lit("="), "work_order_id"))
     plain = F.create_map(F.lit("=note"), F.concat(F.lit("="), "work_order_id"))
-    rows = rows.withColumn("raw_json", F.when(F.col("work_order_id").endswith("3"), blank).otherwise(plain))
+    rows = staged(rows.withColumn("raw_json", F.when(F.col("work_order_id").endswith("3"), blank).otherwise(plain)), "members")
     chosen = library.summaries(rows, EventFilters(has_target_records=True))
-    out = review.sheets(review.export_rows(rows, chosen), _EXPORT)
+    out = review.sheets(staged(review.export_rows(rows, chosen)), _EXPORT)
     return out.select("sheet", "record_key", F.col("band").cast("long").alias("band"), "数据侧", "事件名称", F.col("工单编号").alias("id"), F.col("诉求标题").alias("title"), F.col("事项分类").alias("category"), F.col("=note").alias("note"))
 
 
