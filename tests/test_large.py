@@ -3,8 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from eventfold import schemas
+from eventfold.engine import Engine
+from eventfold.operators import sync
 from eventfold.plans import roundtrips
 from eventfold.sources import files, xlsx, xlsx_sink
+from eventfold.sources.store import Store
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +57,28 @@ def test_a_full_sheet_goes_on_in_further_ones(spark, sf_dir, tmp_path, monkeypat
     assert xlsx.sheet_names(spark, path) == ["一", "一 ~2", "一 ~3"] and len(set(map(len, (xlsx.continued("x" * 40, k) for k in (1, 11))))) == 1
     assert [tuple(r) for r in files.read_sheet(spark, path, "一", continued=True).orderBy("__row").collect()] == [(k + 2, str(k)) for k in range(250)]
     assert files.read_sheet(spark, path, "一").count() == 100
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_empty_table_moves_no_rows(spark, tmp_path):
+    """The first upload and comparisons without overrides were joined with nothing, row by row."""
+    store = Store(spark, f"file://{tmp_path}")
+    rows = spark.range(5).select(F.col("id").cast("string").alias("record_key"), F.lit("c").alias("comparison_id"))
+    none = store.read("overrides", schemas.OVERRIDES)
+    assert "Join" not in _plan(rows.join(none.groupBy("comparison_id", "record_key").agg(F.max("seq")), ["comparison_id", "record_key"], "left"))
+    assert "Join" not in _plan(rows.join(store.read("work_orders", schemas.WORK_ORDERS).select("record_key"), "record_key", "full_outer"))
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_last_rows_of_keys_that_repeat(spark, monkeypatch, most, tmp_path):
+    monkeypatch.setattr(sync, "BROADCAST_KEYS", most)
+    values = [(f"wo:{k}", k * 10 + n) for k in range(20) for n in range(1 + (k % 7 == 0) * 2)]
+    rows = spark.createDataFrame(values, "record_key string, source_row int")
+    rows = rows.select(*(F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.PAYLOAD.fields))
+    made = Engine(spark, f"file://{tmp_path}")._last_rows(rows, [])
+    assert sorted((r["record_key"], r["source_row"]) for r in made.collect()) == sorted((f"wo:{k}", k * 10 + (k % 7 == 0) * 2) for k in range(20))
+    single = rows.where("source_row % 10 = 0")
+    assert "Aggregate" not in _plan(Engine(spark, f"file://{tmp_path}/b")._last_rows(single, []))
