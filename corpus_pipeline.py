@@ -6,14 +6,29 @@ as the next one's docs; all but the last return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventfold.llm import langid, minhash_join, mixing, sentencepiece_codec, toxicity
-from eventfold.llm.common import Steps, addressed, by_class, filtered, table
+from eventfold.llm.common import BATCH, Steps, addressed, by_class, filtered, table
 from eventfold.llm.queries import vocabulary
 
 
+def _in_small_batches(stage):
+    """The stage with batches of 4 MB between Spark and Python. Its result is worked out after it
+    returns, so the session keeps the setting."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(BATCH, "4m")
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_in_small_batches
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in none of the languages that are learned from the documents' own non-null
     `lang`: null texts, texts without a letter, and texts whose predicted bits are further from
@@ -22,6 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return filtered(docs, "text", langid.train(docs, F.lit(True)).known)
 
 
+@_in_small_batches
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score as toxic, learned from the labels of the documents left: equal
     texts all stay or all go, whatever their ids. Null and empty texts score as an empty window and
@@ -30,6 +46,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return filtered(docs, "text", lambda texts: model.scores(texts) < 0.5)
 
 
+@_in_small_batches
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates (shingles of five words, similarity 0.8) the row
     with the least id, rows without an id last. Rows are told apart by their place in the table:
@@ -48,6 +65,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(gone.hint("merge"), row, "left_anti").select(docs.columns)
 
 
+@_in_small_batches
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources meet their target weights, in whole copies:
     a part of half a document or more counts as one. Each row is drawn for itself, also where
@@ -61,6 +79,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return each.select(docs.columns)
 
 
+@_in_small_batches
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows (doc_id, n_tokens, ids, decoded), one for each of the mixed documents, copies and rows of
     equal or null id among them; null and empty texts give the end id alone, an empty table no rows."""

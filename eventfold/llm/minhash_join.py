@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Steps, by_class
+from .common import Steps, by_class, small_batches
 from .components import LINKS, components
 from .sentencepiece_codec import by_size
 
@@ -295,6 +295,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, key:
     alike. Rows with a null key link with nothing, have no component and are kept. Keys are
     integers. Other columns are not read. An empty table gives no rows.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, words, percent, key, text)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
     steps = Steps(docs.sparkSession)
     found = steps.saved(features(docs, words, key=key, text=text), "features")
     linked = found.where("n > 0 and id is not null")

@@ -293,7 +293,7 @@ def encode_decode(docs: DataFrame, model_path: str, *, key: str = "doc_id", text
         codec = None
         for whole in batches:
             codec = codec or Codec(model_path)
-            for batch in by_size(whole, 1_000_000):
+            for batch in by_size(whole, 500_000):
                 ids, counts = codec.encode(batch.column(1))
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 back = pa.array(codec.decode(ids, counts) if decode else [None] * batch.num_rows, pa.string())
