@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import Steps
 
 LINKS = "a long, b long"
+#: Nodes whose least neighbours are broadcast, at most.
+BROADCAST_NODES = 200_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,31 +49,40 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def _stars(links: DataFrame) -> bool:
-    """Whether every node has one link to a node that has none."""
-    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("b", F.lit(0), F.lit(1)))
-    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
+def _few(table: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How to join what has no more rows than `table`: it is broadcast if these are few."""
+    return F.broadcast if table.count() <= BROADCAST_NODES else lambda df: df
 
 
-def components(links: DataFrame, steps: Steps | None = None) -> DataFrame:
-    """Rows (node, component) of all nodes in `links` (a, b), components by their least node.
-    They are read from the last table written, which `steps` can drop.
+def stars(links: DataFrame, steps: Steps) -> DataFrame:
+    """Rows (a, b) of all nodes in `links` (a, b) but the least one of each component, which is b.
 
     Links within a partition are first reduced to stars. Then large-star and small-star steps
     alternate (each node's larger neighbours, then its smaller ones, move to the least of them)
     until all links are stars, in a number of rounds that grows with the logarithm of the
     longest path. Self-links, repeated links and either direction are allowed; no links, no rows.
+    A node's least neighbour goes to the links by a broadcast as long as nodes are few.
     """
     links = links.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b")
-    steps = steps or Steps(links.sparkSession)
     now = steps.saved(links.mapInArrow(_forest, LINKS).distinct(), "stars")
-    while not _stars(now):
+    while True:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", "m")).where("a <> b").distinct()
-        last, now = now, steps.saved(small, "stars")
-        steps.drop(last)
+        # Links up and down of each node: stars have one link to a node that has none up.
+        ends = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") < F.col("a")).alias("up"), F.max((F.col("b") > F.col("a")).cast("int")).alias("down"))
+        ends = steps.saved(ends, "ends")
+        if ends.where("up > 0 and up + down > 1").isEmpty():
+            steps.drop(ends)
+            return now
+        few = _few(ends)
+        large = both.where("b > a").join(few(ends.select("a", "m")), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        joined = large.join(few(large.groupBy("a").agg(F.min("b").alias("m"))), "a")
+        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", "m")).where("a <> b")
+        last, now = now, steps.saved(small.mapInArrow(_forest, LINKS).distinct(), "stars")
+        steps.drop(last, ends)
+
+
+def components(links: DataFrame, steps: Steps | None = None) -> DataFrame:
+    """Rows (node, component) of all nodes in `links` (a, b), components by their least node, as
+    `stars` finds them. They are read from the last table written, which `steps` can drop."""
+    now = stars(links, steps or Steps(links.sparkSession))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Steps, by_class, small_batches
-from .components import LINKS, components
+from .components import BROADCAST_NODES, LINKS, stars
 from .sentencepiece_codec import by_size
 
 #: Coordinates that are posted, and further ones of eight bits that candidates are compared in.
@@ -182,10 +182,10 @@ class _List:
     """One block of a posting list, or two, as arrays."""
 
     def __init__(self, columns: list[np.ndarray], percent: int):
-        self.token, self.block, self.side, self.node, component, pos, self.mask, self.n, self.signature, self.wide, *rest = columns
+        self.token, self.block, self.side, self.node, self.component, pos, self.mask, self.n, self.signature, self.wide, *rest = columns
         self.shingles = rest[0] if rest else None
-        _, self.joined = np.unique(component, return_inverse=True)
-        self.pos, self.percent = int(pos[0]), percent
+        _, self.joined = np.unique(self.component, return_inverse=True)
+        self.at, self.pos, self.percent = pos, int(pos[0]), percent
         self.narrow_least, self.wide_least = matches(percent, COORDINATES), matches(percent, WIDE)
         self.right = np.flatnonzero(self.side > 0)
         self.alone = bool((self.side == 1).any())
@@ -231,7 +231,7 @@ class _List:
             found = self.candidates(i, among)
             some[found] = True
             some[i] |= len(found) > 0
-        return [c[some] for c in (self.token, self.block, self.side, self.node)]
+        return [c[some] for c in (self.token, self.block, self.side, self.node, self.component, self.at)]
 
 
 def _open(percent: int):
@@ -239,7 +239,7 @@ def _open(percent: int):
         out, count = [], 0
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "block", "side", "node"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], list(MEETING[:6]))
 
         for columns in _groups(batches, 2):
             out.append(_List(columns, percent).open())
@@ -285,6 +285,11 @@ def _widened(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, n long, wide array<tinyint>, shingles array<long>")
 
 
+def _small(joined: DataFrame) -> DataFrame:
+    """Joined nodes, broadcast if they are few."""
+    return F.broadcast(joined) if joined.count() <= BROADCAST_NODES else joined
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_shingles, component_id, kept), one for each row of `docs`.
 
@@ -321,15 +326,18 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, key: str, text:
     # Texts move by their key at every size: a side that fits a broadcast today won't tomorrow.
     texts = docs.select(docs[key].cast("long").alias("node"), docs[text].cast("string").alias("text")).join(masks.select("node").hint("merge"), "node", "left_semi")
     candidates = steps.saved(nodes.join(masks, "node").join(_widened(texts, words), ["node", "n"]).distinct(), "candidates")
-    links = docs.sparkSession.createDataFrame([], LINKS)
-    labels = candidates.select("node", F.col("node").alias("component")).distinct()
+    joined: DataFrame | None = None  # the nodes that links have joined to lesser ones, as stars
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")
-    for turn in ("within", "next", "all"):
-        met = prefix.join(labels, "node").withColumn("own", block)
+    for turn, more in (("within", 0), ("next", 1), ("all", 2)):
+        met = prefix.where(f"blocks > {more}").withColumn("own", block)
+        if joined is None:
+            met = met.withColumn("component", F.col("node"))
+        else:
+            met = met.join(_small(joined).withColumnsRenamed({"a": "node", "b": "component"}), "node", "left").withColumn("component", F.coalesce("component", "node"))
         if turn == "within":
             met = met.withColumns({"block": F.col("own"), "side": F.lit(1)})
         else:
-            split = met.where(f"blocks > {1 if turn == 'next' else 2}").groupBy("token", "component", "blocks").agg(F.count("*").alias("n"))
+            split = met.groupBy("token", "component", "blocks").agg(F.count("*").alias("n"))
             split = split.groupBy("token", "blocks").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
             # A row for each block, so that a long list is met block by block.
             split = split.select("token", "most", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("own"))
@@ -344,21 +352,20 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, key: str, text:
             met = met.withColumn("place", F.explode(places)).select("token", "pos", "node", "component", "place.block", "place.side")
         met = met.select("token", F.col("block").cast("long").alias("block"), F.col("side").cast("int").alias("side"), "node", "component", "pos")
         rows = met.join(candidates.drop("shingles"), "node").select(*MEETING[:-1])
-        some = rows.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(_open(percent), "token long, block long, side int, node long")
-        open_ = steps.saved(some.join(met.select("token", "node", "component", "pos").distinct(), ["token", "node"]), "open")
+        some = rows.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(_open(percent), "token long, block long, side int, node long, component long, pos int")
+        open_ = steps.saved(some, "open")
         rows = open_.join(candidates, "node").select(*MEETING)
         found_links = rows.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(_links(percent), LINKS)
         pairs = steps.saved(found_links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
         steps.drop(open_)
         if not pairs.isEmpty():
-            links = links.union(pairs)
-            inner = Steps(steps.spark)
-            old, labels = labels, steps.saved(candidates.select("node").distinct().join(components(links, inner), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
-            inner.drop(*(df for df, _ in inner.made))
+            old, joined = joined, stars(pairs if joined is None else joined.union(pairs), steps)
             steps.drop(old)
-        if prefix.where(f"blocks > {1 if turn == 'within' else 2}").isEmpty():
+        steps.drop(pairs)
+        if prefix.where(f"blocks > {more + 1}").isEmpty():
             break
-    joined = labels.where("component <> node")
+    joined = docs.sparkSession.createDataFrame([], LINKS) if joined is None else joined
+    joined = _small(joined).select(F.col("a").alias("node"), F.col("b").alias("component"))
     named = members.groupBy("node").agg(F.count("*").alias("copies")).join(joined, "node", "left")
     named = steps.saved(named.select("node", "copies", F.coalesce("component", "node").alias("component_id")), "named")
     out = by_class(members.select("id", "n", "node"), named, ["node"], members.count()).select("id", "n", "component_id")
