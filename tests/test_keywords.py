@@ -22,8 +22,7 @@ def text(rng):
 
 
 @pytest.mark.parametrize("size", [1, 40, 1 << 21])
-def test_lists_of_runs(size, monkeypatch):
-    monkeypatch.setattr(keywords, "SLICE", size)
+def test_lists_of_runs(size):
     rng = random.Random(size)
     ids = sorted(rng.choice([1, 2, 65_535, 65_536, 2**33, 2**33 + 1]) for _ in range(60))
     rows = [(i, [text(rng) for _ in range(rng.randint(0, 4))]) for i in ids]
@@ -32,7 +31,7 @@ def test_lists_of_runs(size, monkeypatch):
     schema = pa.schema([("event_id", pa.int64()), ("texts", pa.list_(pa.string()))])
     batches = [pa.RecordBatch.from_pylist([{"event_id": i, "texts": t} for i, t in rows[k : k + 7]], schema) for k in range(0, len(rows), 7)]
     got = set()
-    for batch in keywords._lists(b.slice(1) if k == 1 else b for k, b in enumerate(batches)):
+    for batch in keywords._lister(size)(b.slice(1) if k == 1 else b for k, b in enumerate(batches)):
         for r in batch.to_pylist():
             assert r["events"] == sorted(set(r["events"]))
             got |= {(r["run"], (r["chunk"] << keywords.CHUNK) + e) for e in r["events"]}
@@ -47,11 +46,23 @@ def test_many_characters_and_events():
     texts = [[("".join(wide[k * 100 : k * 100 + 100]))] for k in range(n)]
     schema = pa.schema([("event_id", pa.int64()), ("texts", pa.list_(pa.string()))])
     batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts, pa.list_(pa.string()))], schema=schema)
-    parts = list(keywords._lists([batch]))
+    parts = list(keywords._lister()([batch]))
     got = {(r["run"], e) for p in parts for r in p.to_pylist() for e in r["events"]}
     assert got == {(t[k : k + 3], i) for i, (t,) in enumerate(texts) for k in range(len(t) - 2)}
 
 
+def test_workers_need_no_package():
+    """What goes to the tasks runs in a process that can't import this package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    code = "import pickle, sys; f = pickle.loads(sys.stdin.buffer.read()); print(list(f([])), 'eventfold' in sys.modules)"
+    out = subprocess.run([sys.executable, "-P", "-c", code], input=cloudpickle.dumps(keywords._lister()), capture_output=True, cwd="/", check=True)
+    assert out.stdout.split() == [b"[]", b"False"]
+
+
 def test_looked_up_together_as_one_by_one(spark, monkeypatch):
     monkeypatch.setattr(keywords, "MOST_WORDS", 5)
     rng = random.Random(8)
